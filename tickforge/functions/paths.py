@@ -1,16 +1,19 @@
-"""First touch of price levels on the bars that follow a row.
+"""Array kernels over one block of a series: forward first touch, window ranks.
 
-The forward highs and lows of a row arrive as two arrays of bounded length (the
-horizon). Their running extremes are sorted, so the first touch of any level is
-a binary search; one numpy pass answers all placements of a batch.
+Spark partitions and sorts the blocks; a task hands one bounded block at a time
+to numpy. Sliding collect_list frames would rebuild a few hundred boxed values
+per row for the same result.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+import pyarrow.compute as pc
+from numpy.lib.stride_tricks import sliding_window_view
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from tickforge.constants import MIN_SL_FLOOR, SL_MULTS, SPREAD, TP_RATIOS
@@ -20,14 +23,35 @@ _OUTCOME = [("touch", T.IntegerType()), ("hit_sl", T.BooleanType()), ("hit_tp",
 _PLACE = [("direction", T.DoubleType()), ("sl_mult", T.DoubleType()), ("tp_ratio", T.DoubleType())]
 TOUCH = T.StructType([T.StructField(n, t) for n, t in _OUTCOME])
 CELLS = T.ArrayType(T.StructType([T.StructField(n, t) for n, t in _PLACE + _OUTCOME]))
+ROWS_AT_ONCE = 1024
+
+
+@dataclass(frozen=True)
+class BlockPass:
+    """What one pass over the blocks adds.
+
+    ranks: {new column: column} average-tie percentile ranks among rank_rows rows.
+    horizon: rows ahead; adds path_close (last close) and path_time (its time).
+    grid: adds cells, the outcome of every grid placement (needs atr_14, spread).
+    levels: {new column: (entry, sl, tp, buy, unit)} outcome of one placement per row.
+    """
 
+    ranks: dict[str, str] = field(default_factory=dict)
+    rank_rows: int = 200
+    horizon: int = 0
+    grid: bool = False
+    levels: dict[str, tuple[str, str, str, str, str]] = field(default_factory=dict)
 
-def _padded(lists: pa.Array, fill: float) -> tuple[np.ndarray, np.ndarray]:
-    n = np.asarray(lists.value_lengths().fill_null(0), dtype=np.int64)
-    width = max(int(n.max(initial=0)), 1)
-    out = np.full((len(n), width), fill)
-    out[np.arange(width) < n[:, None]] = np.asarray(lists.flatten(), dtype=np.float64)
-    return out, n
+
+def rolling_pct_rank(x: np.ndarray, n: int) -> np.ndarray:
+    """Average-tie percentile rank of each value among the last n; nan until n values exist."""
+    out = np.full(len(x), np.nan)
+    if len(x) >= n:
+        win = sliding_window_view(x, n)
+        newest = x[n - 1:, None]
+        rank = ((win < newest).sum(axis=1) + (win <= newest).sum(axis=1) + 1) / (2.0 * n)
+        out[n - 1:] = np.where(np.isnan(win).any(axis=1), np.nan, rank)
+    return out
 
 
 def _first_reaching(extremes: np.ndarray, levels: np.ndarray) -> np.ndarray:
@@ -38,82 +62,112 @@ def _first_reaching(extremes: np.ndarray, levels: np.ndarray) -> np.ndarray:
     for _ in range(int(width).bit_length()):
         mid = np.minimum((lo + hi) >> 1, width - 1)
         below = np.take_along_axis(extremes, mid, axis=1) < levels
-        open_ = lo < hi
-        lo = np.where(open_ & below, mid + 1, lo)
-        hi = np.where(open_ & ~below, mid, hi)
+        active = lo < hi
+        lo = np.where(active & below, mid + 1, lo)
+        hi = np.where(active & ~below, mid, hi)
     return lo
 
 
-def resolve_paths(highs, lows, entry, sl, tp, buy, unit):
-    """Touch position (-1: none), SL and TP flags and excursions before the touch.
+def resolve_paths(high, low, horizon, entry, sl, tp, buy, unit):
+    """Outcome of placements (columns) on the `horizon` bars after each row.
 
-    entry, sl, tp, buy have one column per placement; unit scales excursions.
-    A bar that reaches both levels counts as SL and TP at the same position.
+    Returns touch position (0 is the next bar, -1 none), SL and TP flags and the
+    excursions before the touch, in `unit`. A bar reaching both levels sets both
+    flags.
     """
-    top, n = _padded(highs, -np.inf)
-    bottom, _ = _padded(lows, np.inf)
-    top = np.maximum.accumulate(top, axis=1)
-    bottom = np.minimum.accumulate(bottom, axis=1)
-    width = top.shape[1]
-    up = _first_reaching(top, np.where(buy, tp, sl))
-    down = _first_reaching(-bottom, -np.where(buy, sl, tp))
-    sl_at, tp_at = np.where(buy, down, up), np.where(buy, up, down)
-    first = np.minimum(sl_at, tp_at)
-    hit = first < width
-    # bars before the touch, or the whole path when nothing was touched
-    seen = np.where(hit, first, n[:, None])
-    at = np.clip(seen - 1, 0, width - 1)
-    hi_seen, lo_seen = np.take_along_axis(top, at, axis=1), np.take_along_axis(bottom, at, axis=1)
-    empty = seen <= 0
-    mfe = np.where(buy, hi_seen - entry, entry - lo_seen) / unit
-    mfa = np.where(buy, entry - lo_seen, hi_seen - entry) / unit
-    return (np.where(hit, first, -1).astype(np.int32), hit & (sl_at == first), hit & (tp_at == first),
-            np.where(empty, np.nan, mfe), np.where(empty, np.nan, mfa), n)
+    n = len(high)
+    ahead_high = sliding_window_view(np.concatenate([high[1:], np.full(horizon, -np.inf)]), horizon)
+    ahead_low = sliding_window_view(np.concatenate([low[1:], np.full(horizon, np.inf)]), horizon)
+    parts = []
+    for a in range(0, n, ROWS_AT_ONCE):
+        s = slice(a, min(a + ROWS_AT_ONCE, n))
+        top = np.maximum.accumulate(ahead_high[s], axis=1)
+        bottom = np.minimum.accumulate(ahead_low[s], axis=1)
+        b, e = buy[s], entry[s]
+        up = _first_reaching(top, np.where(b, tp[s], sl[s]))
+        down = _first_reaching(-bottom, -np.where(b, sl[s], tp[s]))
+        sl_at, tp_at = np.where(b, down, up), np.where(b, up, down)
+        first = np.minimum(sl_at, tp_at)
+        hit = first < horizon
+        left = np.minimum(horizon, n - 1 - np.arange(s.start, s.stop))[:, None]
+        seen = np.where(hit, first, left)
+        at = np.clip(seen - 1, 0, horizon - 1)
+        hi_seen, lo_seen = np.take_along_axis(top, at, axis=1), np.take_along_axis(bottom, at, axis=1)
+        with np.errstate(invalid="ignore"):
+            mfe = np.where(b, hi_seen - e, e - lo_seen) / unit[s]
+            mfa = np.where(b, e - lo_seen, hi_seen - e) / unit[s]
+        none = seen <= 0
+        parts.append((np.where(hit, first, -1).astype(np.int32), hit & (sl_at == first), hit & (tp_at == first),
+                      np.where(none, np.nan, mfe), np.where(none, np.nan, mfa)))
+    return [np.concatenate(x) for x in zip(*parts)]
 
 
 def _nullable(values: np.ndarray) -> pa.Array:
-    return pa.array(values.ravel(), mask=np.isnan(values.ravel()))
+    flat = values.ravel()
+    return pa.array(flat, mask=np.isnan(flat))
 
 
-def _col(values: pa.Array) -> np.ndarray:
-    return values.to_numpy(zero_copy_only=False).astype(np.float64)[:, None]
+def _numbers(table: pa.Table, name: str) -> np.ndarray:
+    return pc.cast(table.column(name), pa.float64()).to_numpy(zero_copy_only=False)
 
 
 _DIRS, _MULTS, _RATIOS = (a.ravel() for a in np.meshgrid([1.0, 0.0], SL_MULTS, TP_RATIOS, indexing="ij"))
 
 
-@F.arrow_udf(CELLS)
-def _grid_paths(highs: pa.Array, lows: pa.Array, close: pa.Array, atr: pa.Array, spread: pa.Array) -> pa.Array:
-    c, a, s = _col(close), _col(atr), _col(spread)
-    sl_dist = np.maximum(a * _MULTS, MIN_SL_FLOOR)
-    tp_dist = (sl_dist + s) * _RATIOS
+def _grid_cells(table: pa.Table, horizon: int) -> pa.Array:
+    close, atr = _numbers(table, "close")[:, None], _numbers(table, "atr_14")[:, None]
+    spread = np.nan_to_num(_numbers(table, "spread"), nan=100 * SPREAD)[:, None] / 100.0
+    sl_dist = np.maximum(atr * _MULTS, MIN_SL_FLOOR)
+    tp_dist = (sl_dist + spread) * _RATIOS
     buy = np.broadcast_to(_DIRS > 0.5, sl_dist.shape)
-    entry = np.where(buy, c + SPREAD, c)
-    sl = np.where(buy, c - sl_dist, c + sl_dist + SPREAD)
+    entry = np.where(buy, close + SPREAD, close)
+    sl = np.where(buy, close - sl_dist, close + sl_dist + SPREAD)
     tp = np.where(buy, entry + tp_dist, entry - tp_dist)
-    touch, hit_sl, hit_tp, mfe, mfa, n = resolve_paths(highs, lows, entry, sl, tp, buy, np.where(a > 0, a, 1.0))
+    touch, hit_sl, hit_tp, mfe, mfa = resolve_paths(
+        _numbers(table, "high"), _numbers(table, "low"), horizon, entry, sl, tp, buy, np.where(atr > 0, atr, 1.0))
     rows, cells = touch.shape
     flat = pa.StructArray.from_arrays(
         [pa.array(np.tile(x, rows)) for x in (_DIRS, _MULTS, _RATIOS)]
         + [pa.array(touch.ravel()), pa.array(hit_sl.ravel()), pa.array(hit_tp.ravel()), _nullable(mfe), _nullable(mfa)],
-        names=["direction", "sl_mult", "tp_ratio", "touch", "hit_sl", "hit_tp", "mfe", "mfa"])
+        names=[n for n, _ in _PLACE + _OUTCOME])
     return pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * cells), flat)
 
 
-@F.arrow_udf(TOUCH)
-def _level_paths(highs: pa.Array, lows: pa.Array, entry: pa.Array, sl: pa.Array, tp: pa.Array, buy: pa.Array, unit: pa.Array) -> pa.Array:
-    is_buy = buy.to_numpy(zero_copy_only=False).astype(bool)[:, None]
-    touch, hit_sl, hit_tp, mfe, mfa, _ = resolve_paths(highs, lows, _col(entry), _col(sl), _col(tp), is_buy, _col(unit))
+def _one_placement(table: pa.Table, horizon: int, spec: tuple[str, str, str, str, str]) -> pa.Array:
+    entry, sl, tp = (_numbers(table, c)[:, None] for c in spec[:3])
+    buy = table.column(spec[3]).to_numpy(zero_copy_only=False).astype(bool)[:, None]
+    got = resolve_paths(_numbers(table, "high"), _numbers(table, "low"), horizon, entry, sl, tp, buy,
+                        _numbers(table, spec[4])[:, None])
+    touch, hit_sl, hit_tp, mfe, mfa = got
     return pa.StructArray.from_arrays(
         [pa.array(touch.ravel()), pa.array(hit_sl.ravel()), pa.array(hit_tp.ravel()), _nullable(mfe), _nullable(mfa)],
-        names=["touch", "hit_sl", "hit_tp", "mfe", "mfa"])
-
-
-def grid_paths(highs: Column, lows: Column, close: Column, atr: Column, spread_dollars: Column) -> Column:
-    """All grid placements of a row as an array of structs."""
-    return _grid_paths(highs, lows, close, atr, spread_dollars)
-
-
-def level_paths(highs: Column, lows: Column, entry: Column, sl: Column, tp: Column, buy: Column, unit: Column | None = None) -> Column:
-    """One placement per row as a struct."""
-    return _level_paths(highs, lows, entry, sl, tp, buy, F.lit(1.0) if unit is None else unit)
+        names=[n for n, _ in _OUTCOME])
+
+
+def run_block_pass(framed: DataFrame, todo: BlockPass) -> DataFrame:
+    """Apply a BlockPass to a frame cut by operators.series.blocks."""
+    fields = [T.StructField(n, T.DoubleType()) for n in todo.ranks]
+    if todo.horizon:
+        fields += [T.StructField("path_close", T.DoubleType()), T.StructField("path_time", framed.schema["time"].dataType)]
+    if todo.grid:
+        fields.append(T.StructField("cells", CELLS))
+    fields += [T.StructField(n, TOUCH) for n in todo.levels]
+    schema = T.StructType([*framed.schema.fields, *fields])
+
+    def per_block(table: pa.Table) -> pa.Table:
+        table = table.sort_by("rn")
+        n = table.num_rows
+        new: list[pa.Array] = [
+            _nullable(rolling_pct_rank(_numbers(table, c), todo.rank_rows)) for c in todo.ranks.values()]
+        if todo.horizon:
+            at = np.minimum(np.arange(n) + todo.horizon, n - 1)
+            pick = pa.array(at, mask=at == np.arange(n))
+            new += [table.column("close").take(pick), table.column("time").take(pick)]
+        if todo.grid:
+            new.append(_grid_cells(table, todo.horizon))
+        new += [_one_placement(table, todo.horizon, spec) for spec in todo.levels.values()]
+        for f, values in zip(fields, new):
+            table = table.append_column(f.name, values)
+        return table
+
+    return framed.groupBy("sym", "period_id", "block").applyInArrow(per_block, schema)

@@ -76,14 +76,6 @@ def ewm_std(value: Column, alpha: float, w: WindowSpec) -> Column:
     return F.when(n >= 2, F.sqrt(F.greatest(m2 - m1 * m1, F.lit(0.0)) / (1.0 - sum_w2)))
 
 
-def pct_rank(value: Column, n: int, w: WindowSpec) -> Column:
-    """Average-tie percentile rank of the newest value among the last n rows."""
-    rows = F.collect_list(value).over(last_rows(w, n))
-    less = F.size(F.filter(rows, lambda x: x < value))
-    not_more = F.size(F.filter(rows, lambda x: x <= value))
-    return (less + not_more + 1) / (2.0 * n)
-
-
 def clip(value: Column, lo: float, hi: float) -> Column:
     return F.when(value.isNotNull(), F.greatest(F.least(value, F.lit(float(hi))), F.lit(float(lo))))
 

@@ -13,6 +13,7 @@ frame and for exponential means to forget their start.
 from __future__ import annotations
 
 import math
+import re
 from functools import lru_cache
 from collections.abc import Sequence
 
@@ -22,8 +23,9 @@ from pyspark.sql import functions as F
 
 from tickforge.constants import HTF_COLS
 from tickforge.functions.windows import (
-    clip, ewm_mean, ewm_memory, ewm_std, flag, full, last_rows, pct_rank, span_alpha, warm,
+    clip, ewm_mean, ewm_memory, ewm_std, flag, full, last_rows, span_alpha, warm,
 )
+from tickforge.functions.paths import BlockPass, run_block_pass
 from tickforge.operators.events import DayEvents, event_proximity
 from tickforge.operators.series import BLOCK_ROWS, block_window, blocks, core_rows
 
@@ -179,13 +181,13 @@ def _scalars_1() -> dict[str, Column]:
     rng = F.when(h != low, h - low)
     return {
         "_tr": F.greatest(h - low, F.abs(h - _c("_c1")), F.abs(low - _c("_c1"))),
-        "_ret": c / _c("_c1") - 1.0,
+        "_ret": F.try_divide(c, _c("_c1")) - 1.0,
         "_up": F.when(_c("_c1").isNotNull(), F.greatest(c - _c("_c1"), F.lit(0.0))),
         "_dn": F.when(_c("_c1").isNotNull(), F.greatest(_c("_c1") - c, F.lit(0.0))),
         "_pdm": F.when((h - _c("_h1") > _c("_l1") - low) & (h > _c("_h1")), h - _c("_h1")).otherwise(0.0),
         "_mdm": F.when((_c("_l1") - low > h - _c("_h1")) & (_c("_l1") > low), _c("_l1") - low).otherwise(0.0),
         "macd": _c("_ema12") - _c("_ema26"),
-        "bb_w_20": warm(_c("rn"), 19, 2 * _c("_sd20") / _c("_ma20") * 100),
+        "bb_w_20": warm(_c("rn"), 19, F.try_divide(2 * _c("_sd20"), _c("_ma20")) * 100),
         "stoch_k": warm(_c("rn"), 13, (c - _c("_ll14")) / (_c("_hh14") - _c("_ll14") + EPS) * 100),
         "_tp": (h + low + c) / 3.0,
         "_signed_v": F.coalesce(F.signum(c - _c("_c1")), F.lit(0.0)) * v,
@@ -209,7 +211,6 @@ def _stage_2() -> dict[str, Column]:
         "_obv": F.sum("_signed_v").over(w.rowsBetween(W.unboundedPreceding, 0)),
         "_hh20_1": F.lag("_hh20").over(w), "_ll20_1": F.lag("_ll20").over(w),
         "_flow": full(w, 10, F.avg, _c("_bsig")), "_locm": full(w, 10, F.avg, _c("_cloc")),
-        "_bb_rank": pct_rank(_c("bb_w_20"), 200, w),
     }
     cols |= {f"_vol{n}": ewm_std(_c("_ret"), span_alpha(n), w) for n in (10, 30, 60)}
     return cols
@@ -235,7 +236,6 @@ def _stage_3() -> dict[str, Column]:
         "_md20": F.avg("_dev_tp").over(last20), "_atr20": F.avg("atr_14").over(last20),
         "_news": F.avg(flag(_c("body_atr") > 2.5)).over(last_rows(w, 5)),
         "_obv20": F.lag("_obv", 20).over(w), "_obv_sd": F.stddev_samp("_obv").over(last20),
-        "_atr_rank": pct_rank(_c("atr_14"), 200, w),
     }
 
 
@@ -265,8 +265,8 @@ def _finals(legacy: bool) -> dict[str, Column]:
     prev_rng = F.when(_c("_h1") == _c("_l1"), F.lit(EPS)).otherwise(_c("_h1") - _c("_l1"))
     body, body1 = F.abs(c - o), F.abs(_c("_c1") - _c("_o1"))
     zero = F.lit(0.0)
-    cols: dict[str, Column] = {f"ret_{n}": F.ln(c / _c(f"_c{n}")) for n in RETURN_LAGS}
-    cols["ret_mom"] = F.ln(c / _c("_c5")) - F.ln(c / _c("_c60"))
+    cols: dict[str, Column] = {f"ret_{n}": F.ln(F.try_divide(c, _c(f"_c{n}"))) for n in RETURN_LAGS}
+    cols["ret_mom"] = cols["ret_5"] - cols["ret_60"]
     cols["bb_pos_20"] = warm(rn, 19, (c - (_c("_ma20") - 2 * _c("_sd20"))) / (4 * _c("_sd20") + EPS))
     cols |= {f"vol_ewma_{n}": _c(f"_vol{n}") * math.sqrt(1440) for n in (10, 30, 60)}
     cols["rsi_14"] = 100 - 100 / (1 + _c("_ru") / (_c("_rd") + EPS))
@@ -277,7 +277,7 @@ def _finals(legacy: bool) -> dict[str, Column]:
         "body": c - o, "upper_wick": h - top, "lower_wick": bottom - low,
         "body_frac": body / full_rng, "wick_ratio": ((h - top) + (bottom - low)) / full_rng,
         "daily_pos": (c - _c("_dlo")) / (_c("_dhi") - _c("_dlo") + EPS) * 100,
-        "daily_range_pct": (_c("_dhi") - _c("_dlo")) / _c("_dlo") * 100,
+        "daily_range_pct": F.try_divide(_c("_dhi") - _c("_dlo"), _c("_dlo")) * 100,
         "vol_atr_ratio": v / atr,
         "trend_ema": (_c("_ema20") - _c("_ema50")) / atr,
         "trend_slope": (_c("_ema20") - _c("_ema20_5")) / atr,
@@ -358,6 +358,15 @@ def _bin_finals() -> dict[str, Column]:
     return cols
 
 
+def _columns_used(groups: Sequence[str], bins: bool, legacy: bool) -> set[str]:
+    """Frame columns the final expressions of these groups read."""
+    known = {**_finals(legacy), **(_bin_finals() if bins else {})}
+    names = feature_names(groups)
+    text = " ".join(str(known[n]) for n in names if n in known)
+    used = set(re.findall(r"[A-Za-z_]\w*", text))
+    return used | {*names, *BAR_COLS, *ROW_COLS, "atr_14", "block", "core"}
+
+
 def features(
     bars: DataFrame,
     groups: Sequence[str] | None = None,
@@ -368,12 +377,15 @@ def features(
     ahead: int = 0,
     legacy: bool = False,
     carry: Sequence[str] = (),
+    grid_horizon: int = 0,
 ) -> DataFrame:
     """Feature columns of the chosen groups (default all) on segmented bars.
 
     With ahead > 0 the frame stays cut in blocks (columns block and core, with
     `ahead` following rows) so that forward labels can run on it without another
-    shuffle; otherwise only the bars themselves are returned.
+    shuffle; otherwise only the bars themselves are returned. grid_horizon adds
+    the outcomes of all grid placements (columns cells and path_close) in the
+    same pass over the blocks that ranks the volatility columns.
     """
     groups = list(groups or GROUPS)
     if "ret_streak" in groups and "ret_streak" not in bars.columns:
@@ -381,11 +393,17 @@ def features(
     # a day must fit in the halo for the running day range
     halo = max(FEATURE_HALO, math.ceil(86400 / bar_secs))
     base = with_higher_timeframes(bars, gap_secs) if NEEDS_BINS & set(groups) else bars
-    framed = blocks(base, back=min(halo, block_rows), ahead=ahead, rows=block_rows)
+    framed = blocks(base, back=min(halo, block_rows), ahead=max(ahead, grid_horizon), rows=block_rows)
     framed = framed.withColumns({"_day": F.to_date("time"), "tick_volume": _c("tick_volume").cast("double")})
     framed = framed.withColumns(_stage_1()).withColumns(_scalars_1())
     framed = framed.withColumns(_stage_2()).withColumns(_scalars_2())
     framed = framed.withColumns(_stage_3())
+    ranks = {"_bb_rank": "bb_w_20", "_atr_rank": "atr_14"} if "rolling_pctrank" in groups else {}
+    if ranks or grid_horizon:
+        todo = BlockPass(ranks=ranks, horizon=grid_horizon, grid=grid_horizon > 0)
+        # the block pass moves all its input through Arrow: give it only what is used later
+        used = _columns_used(groups, bool(NEEDS_BINS & set(groups)), legacy)
+        framed = run_block_pass(framed.select(*[c for c in framed.columns if c in used or c in carry]), todo)
     known = {**_clock(), **_finals(legacy)}
     if NEEDS_BINS & set(groups):
         known |= _bin_finals()
@@ -395,6 +413,7 @@ def features(
         groups.remove("event_proximity")
     names = feature_names(groups)
     passing = [c for c in [*BAR_COLS, *ROW_COLS, *carry] if c in bars.columns and c not in names]
+    passing += ["cells", "path_close"] if grid_horizon else []
     out = framed.select(
         *passing, "block", "core", *[known[n].alias(n) if n in known else _c(n) for n in names])
     return out if ahead else core_rows(out)

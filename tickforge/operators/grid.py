@@ -8,11 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickforge.constants import EXTENSION, MAX_BARS_M5, MIN_SL_FLOOR, RAW_PRICE_COLS, SL_MULTS, TP_RATIOS
-from tickforge.functions.paths import grid_paths
 from tickforge.operators.events import DayEvents
-from tickforge.operators.features import features, feature_names
-from tickforge.operators.labels import PATH_COLS, forward_path, resolved_target, trade_levels
-from tickforge.operators.series import BLOCK_ROWS, core_rows
+from tickforge.operators.features import GROUPS, feature_names, features
+from tickforge.operators.labels import resolved_target, trade_levels
+from tickforge.operators.series import BLOCK_ROWS
 
 
 def grid(spark: SparkSession) -> DataFrame:
@@ -59,26 +58,24 @@ def placement_matrix(
     """84 rows per bar: features, geometry, first-touch target and excursions.
 
     Features are computed once per bar and exploded last; the forward arrays of
-    a bar live only between two projections. `only_complete` drops warm-up bars
+    a bar never leave the block pass. `only_complete` drops warm-up bars
     before the explode and rows without a forward path after it.
     """
-    horizon = EXTENSION * max_bars
-    need = ["ret_streak"] if "ret_streak" in bars.columns and (groups is None or "ret_streak" in groups) else []
-    fx = features(bars, groups, events, bar_secs, gap_secs, block_rows, ahead=horizon, legacy=legacy)
-    fx = core_rows(forward_path(fx, horizon)).filter(F.col("path_close").isNotNull())
-    names = [n for n in feature_names(groups) if n in fx.columns] + [n for n in need if n not in feature_names(groups)]
+    groups = list(groups or GROUPS)
+    if "atr" not in groups:
+        groups.append("atr")
+    fx = features(bars, groups, events, bar_secs, gap_secs, block_rows, legacy=legacy, grid_horizon=EXTENSION * max_bars)
+    fx = fx.filter(F.col("path_close").isNotNull())
     if only_complete:
-        fx = fx.dropna(subset=names)
-    cells = grid_paths(F.col("path_high"), F.col("path_low"), F.col("close"), F.col("atr_14"), spread_dollars())
-    fx = fx.withColumn("_cells", cells).drop("path_high", "path_low")
-    out = fx.select("*", F.inline("_cells")).drop("_cells")
+        fx = fx.dropna(subset=[n for n in feature_names(groups) if n in fx.columns])
+    out = fx.select("*", F.inline("cells")).drop("cells")
     dist = distances(F.col("atr_14"), spread_dollars(), F.col("sl_mult"), F.col("tp_ratio"))
     entry = trade_levels(F.col("direction"), F.col("close"), dist["sl_dist"], dist["tp_dist"])["entry"]
     outcome = F.struct("touch", "hit_sl", "hit_tp")
     out = geometry(out, dist["sl_dist"], dist["tp_dist"]).withColumn(
         "target", resolved_target(outcome, F.col("direction"), entry, F.col("path_close"), legacy=legacy))
     out = out.withColumnsRenamed({"mfe": "mfe_atr", "mfa": "mfa_atr"})
-    return out.drop("touch", "hit_sl", "hit_tp", *PATH_COLS)
+    return out.drop("touch", "hit_sl", "hit_tp", "path_close")
 
 
 def model_columns(matrix: DataFrame, without_htf: bool = True) -> list[str]:

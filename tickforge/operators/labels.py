@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickforge.constants import EXTENSION, MAX_BARS_M1, SPREAD
-from tickforge.functions.paths import level_paths
+from tickforge.functions.paths import BlockPass, run_block_pass
 from tickforge.operators.series import BLOCK_ROWS, block_window, blocks, core_rows
 
 
@@ -14,15 +14,24 @@ def _framed(df: DataFrame, ahead: int, block_rows: int) -> DataFrame:
     return df if "block" in df.columns else blocks(df, ahead=ahead, rows=block_rows)
 
 
-def forward_path(df: DataFrame, horizon: int) -> DataFrame:
-    """Columns path_high, path_low (arrays of the next `horizon` bars), path_close (last of them)."""
-    ahead = block_window().rowsBetween(1, horizon)
-    return df.withColumns({
-        "path_high": F.collect_list("high").over(ahead), "path_low": F.collect_list("low").over(ahead),
-        "path_close": F.last("close").over(ahead)})
-
+def with_outcome(
+    df: DataFrame,
+    horizon: int,
+    entry: Column,
+    sl: Column,
+    tp: Column,
+    buy: Column,
+    unit: Column | None = None,
+    block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """Outcome of one placement per row: columns entry, sl, tp, buy, p, path_close, path_time.
 
-PATH_COLS = ["path_high", "path_low", "path_close"]
+    p is a struct: touch (rows ahead, from 0; -1 none), hit_sl, hit_tp, mfe, mfa.
+    """
+    framed = _framed(df, horizon, block_rows).withColumns({
+        "entry": entry, "sl": sl, "tp": tp, "buy": buy, "_unit": F.lit(1.0) if unit is None else unit})
+    todo = BlockPass(horizon=horizon, levels={"p": ("entry", "sl", "tp", "buy", "_unit")})
+    return core_rows(run_block_pass(framed, todo)).drop("_unit")
 
 
 def fwd_target(bars: DataFrame, horizon: int = 15, threshold: float = 0.0, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -70,19 +79,15 @@ def first_touch(
     The horizon is max_bars, extended four times when nothing was touched, which
     equals the earliest touch in the longer horizon.
     """
-    horizon = EXTENSION * max_bars
-    framed = _framed(bars, horizon, block_rows).withColumns({"_dir": direction, "_sld": sl_dist, "_tpd": tp_dist})
-    framed = core_rows(forward_path(framed, horizon))
-    framed = framed.withColumns(trade_levels(F.col("_dir"), F.col("close"), F.col("_sld"), F.col("_tpd")))
+    lv = trade_levels(direction, F.col("close"), sl_dist, tp_dist)
     unit = F.when(F.col("atr_14") > 0, F.col("atr_14")).otherwise(1.0)
-    framed = framed.withColumn("_p", level_paths(
-        F.col("path_high"), F.col("path_low"), F.col("entry"), F.col("sl"), F.col("tp"), F.col("_dir") > 0.5, unit))
-    p = F.col("_p")
-    return framed.select(
-        *bars.columns, F.col("_dir").cast("double").alias("direction"),
-        resolved_target(p, F.col("_dir"), F.col("entry"), F.col("path_close"), legacy=legacy).alias("target"),
-        F.when(F.col("path_close").isNotNull(), p["mfe"]).alias("mfe_atr"),
-        F.when(F.col("path_close").isNotNull(), p["mfa"]).alias("mfa_atr"))
+    out = with_outcome(bars.withColumn("direction", direction.cast("double")), EXTENSION * max_bars,
+                       lv["entry"], lv["sl"], lv["tp"], direction > 0.5, unit, block_rows)
+    known = F.col("path_close").isNotNull()
+    return out.select(
+        *bars.columns, "direction",
+        resolved_target(F.col("p"), F.col("direction"), F.col("entry"), F.col("path_close"), legacy=legacy).alias("target"),
+        F.when(known, F.col("p.mfe")).alias("mfe_atr"), F.when(known, F.col("p.mfa")).alias("mfa_atr"))
 
 
 def dir_first_touch(bars: DataFrame, horizon: int = 60, band: float = 1.5, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -92,13 +97,11 @@ def dir_first_touch(bars: DataFrame, horizon: int = 60, band: float = 1.5, block
     a following bar.
     """
     atr = F.greatest(F.coalesce("atr_14", F.lit(1.0)), F.lit(0.05))
-    framed = core_rows(forward_path(_framed(bars, horizon, block_rows), horizon))
     c = F.col("close")
-    p = level_paths(F.col("path_high"), F.col("path_low"), c, c - band * atr, c + band * atr, F.lit(True))
-    framed = framed.withColumn("_p", p)
-    label = (F.when(F.col("path_close").isNull(), None).when(F.col("_p.touch") < 0, 0.5)
-             .otherwise(F.col("_p.hit_tp").cast("double")))
-    return framed.withColumn("target", label).drop("_p", *PATH_COLS)
+    out = with_outcome(bars, horizon, c, c - band * atr, c + band * atr, F.lit(True), None, block_rows)
+    label = (F.when(F.col("path_close").isNull(), None).when(F.col("p.touch") < 0, 0.5)
+             .otherwise(F.col("p.hit_tp").cast("double")))
+    return out.select(*bars.columns, label.alias("target"))
 
 
 def dir_price(bars: DataFrame, horizon: int = 240, block_rows: int = BLOCK_ROWS) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BLOCK_ROWS = 32768
+BLOCK_ROWS = 8192
 
 
 def _micros(time: str) -> Column:
