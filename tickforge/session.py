@@ -14,6 +14,8 @@ RUNTIME_CONF = {
     # a frame already partitioned on a subset of the join keys is not shuffled again
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # deriving constraints from a hundred aliased feature columns grows without bound
+    "spark.sql.constraintPropagation.enabled": "false",
     # label batches carry two path arrays per row; keep one batch near 10 MB
     "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",
 }
