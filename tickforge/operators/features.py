@@ -403,7 +403,7 @@ def features(
         todo = BlockPass(ranks=ranks, horizon=grid_horizon, grid=grid_horizon > 0)
         # the block pass moves all its input through Arrow: give it only what is used later
         used = _columns_used(groups, bool(NEEDS_BINS & set(groups)), legacy)
-        framed = run_block_pass(framed.select(*[c for c in framed.columns if c in used or c in carry]), todo)
+        framed = run_block_pass(framed.select(*[c for c in framed.columns if c in used or c in carry or c in ranks.values()]), todo)
     known = {**_clock(), **_finals(legacy)}
     if NEEDS_BINS & set(groups):
         known |= _bin_finals()
