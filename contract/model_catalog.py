@@ -1 +1,753 @@
+"""Registered queries: labels, grid, regimes, calibration, decisions, models, backtests, audits, streams."""
 
+from __future__ import annotations
+
+from itertools import count
+
+from pyspark.sql import functions as F
+
+from contract.base import (
+    ATR, CELLS, FEATS, HEAD, KEY, OUTCOMES, PRIOR, PROBS, PW, R, REG, TICKS, W, bars, epoch, outcomes, prior, probs, query, rd, roll,
+    seg, sql_bars, sql_excursions, sql_levels, sql_seg, sql_touch, table, ticks,
+)
+from tickforge.constants import REGIMES
+from tickforge.operators import audit as A
+from tickforge.operators import backtest as BT
+from tickforge.operators import bars as B
+from tickforge.operators import calibration as C
+from tickforge.operators import decision as D
+from tickforge.operators import grid as G
+from tickforge.operators import labels as L
+from tickforge.operators import maintenance as MN
+from tickforge.operators import models as M
+from tickforge.operators import regime as RG
+from tickforge.operators.features import features
+from tickforge.plans.pipelines import REGIME_GROUPS
+from tickforge.session import checkpointed
+from tickforge.streaming import live
+
+SHORT = 9  # label horizon in bars; four times that is searched
+EXT = 4 * SHORT
+
+
+def atr_bars(spark, sf):
+    return features(seg(spark, sf), ["atr"], None, bar_secs=3600)
+
+
+def regime_bars(spark, sf):
+    return RG.with_regime(features(seg(spark, sf), REGIME_GROUPS, None, bar_secs=3600))
+
+
+# ── labels ──────────────────────────────────────────────────────────────────
+
+@query("fwd_target", HEAD + f""", f AS (SELECT *, (lead(close, 15) OVER ({PW}) - close) / close AS fr FROM seg)
+ SELECT {KEY}, {R('fr', 'fwd_return')}, coalesce((fr > 0)::INT, 0)::BIGINT AS target FROM f""")
+def _(spark, sf):
+    return L.fwd_target(seg(spark, sf), 15).select("sym", epoch(), *rd("fwd_return"), F.col("target").cast("bigint").alias("target"))
+
+
+ONE = ATR + ", cells AS (SELECT 1.2::DOUBLE AS sl_mult, 1.8::DOUBLE AS tp_ratio, unnest([1.0, 0.0]::DOUBLE[]) AS direction), " + \
+    sql_levels("b") + ", l1 AS (SELECT * FROM lw WHERE direction = rn % 2), " + sql_touch("b", "l1", EXT) + ", " + sql_excursions()
+
+
+@query("first_touch", ONE + f" SELECT b.sym, epoch(b.time)::BIGINT AS t, target FROM b LEFT JOIN mx USING (sym, period_id, rn)")
+def _(spark, sf):
+    return _touch(spark, sf).select("sym", epoch(), "target")
+
+
+@query("excursions", ONE + f" SELECT b.sym, epoch(b.time)::BIGINT AS t, {R('mfe_atr', 'mfe_atr')}, {R('mfa_atr', 'mfa_atr')} FROM b LEFT JOIN mx USING (sym, period_id, rn)")
+def _(spark, sf):
+    return _touch(spark, sf).select("sym", epoch(), *rd("mfe_atr", "mfa_atr"))
+
+
+def _touch(spark, sf):
+    d = G.distances(F.col("atr_14"), G.spread_dollars(), F.lit(1.2), F.lit(1.8))
+    return L.first_touch(atr_bars(spark, sf), d["sl_dist"], d["tp_dist"], (F.col("rn") % 2).cast("double"), SHORT)
+
+
+@query("dir_first_touch", ATR + f""", a AS (SELECT *, greatest(atr_14, 0.05) AS aw FROM b),
+ h AS (SELECT x.sym, x.time, min(CASE WHEN f.high >= x.close + 1.5 * aw THEN f.rn END) AS u, min(CASE WHEN f.low <= x.close - 1.5 * aw THEN f.rn END) AS d, count(f.rn) AS n
+  FROM a x LEFT JOIN b f ON f.sym = x.sym AND f.period_id = x.period_id AND f.rn BETWEEN x.rn + 1 AND x.rn + 20 GROUP BY ALL)
+ SELECT {KEY}, CASE WHEN n = 0 THEN NULL WHEN u IS NULL AND d IS NULL THEN 0.5 WHEN d IS NULL OR u <= d THEN 1.0 ELSE 0.0 END::DOUBLE AS target FROM h""")
+def _(spark, sf):
+    return L.dir_first_touch(atr_bars(spark, sf), 20).select("sym", epoch(), "target")
+
+
+@query("dir_price", HEAD + f", f AS (SELECT *, lead(close, 37) OVER ({PW}) - close AS fr FROM seg) SELECT {KEY}, {R('fr', 'fwd_return')}, (fr > 0)::INT::DOUBLE AS target FROM f")
+def _(spark, sf):
+    return L.dir_price(seg(spark, sf), 36).select("sym", epoch(), *rd("fwd_return"), "target")
+
+
+_F15 = "ROWS BETWEEN 1 FOLLOWING AND 15 FOLLOWING"
+
+
+@query("big_move", ATR + f""", m AS (SELECT *, CASE WHEN count(*) OVER ({PW} {_F15}) = 15 THEN max(close) OVER ({PW} {_F15}) - close END / (atr_14 + 1e-9) AS u,
+ CASE WHEN count(*) OVER ({PW} {_F15}) = 15 THEN close - min(close) OVER ({PW} {_F15}) END / (atr_14 + 1e-9) AS d FROM b)
+ SELECT {KEY}, coalesce((greatest(u, d) >= 2.0)::INT, 0)::BIGINT AS regime_label, coalesce((u >= d)::INT, 0)::DOUBLE AS regime_dir FROM m""")
+def _(spark, sf):
+    out = L.big_move(atr_bars(spark, sf), 15, 2.0)
+    return out.select("sym", epoch(), F.col("regime_label").cast("bigint").alias("regime_label"), "regime_dir")
+
+
+_F30 = "ROWS BETWEEN 1 FOLLOWING AND 30 FOLLOWING"
+EVENTS30 = ATR + f""", m AS (SELECT *, CASE WHEN count(*) OVER ({PW} {_F30}) = 30 THEN avg(close) OVER ({PW} {_F30}) END AS mean FROM b),
+ m2 AS (SELECT *, (mean - close) / (atr_14 + 1e-9) AS move_atr, (mean - close) / close AS post_ret FROM m)"""
+
+
+@query("big_move_30", EVENTS30 + f" SELECT {KEY}, {R('move_atr', 'move_atr')}, {R('post_ret', 'post_ret')}, coalesce(abs(move_atr) >= 0.5, false) AS is_event FROM m2")
+def _(spark, sf):
+    return L.big_move_30(atr_bars(spark, sf), 30, 0.5).select("sym", epoch(), *rd("move_atr", "post_ret"), "is_event")
+
+
+@query("recency_weight", """WITH w AS (SELECT l_orderkey, l_linenumber, exp(-((SELECT max(epoch(l_shipdate)) FROM lineitem) - epoch(l_shipdate)) / 86400.0 / 120.0) AS r FROM lineitem)
+ SELECT l_orderkey, l_linenumber, round(r / (SELECT avg(r) FROM w), 6) + 0.0 AS weight FROM w""")
+def _(spark, sf):
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_shipdate").cast("timestamp").alias("time"))
+    return L.recency_weight(li).select("l_orderkey", "l_linenumber", *rd("weight"))
+
+
+# ── grid, regimes ───────────────────────────────────────────────────────────
+
+MATRIX = ATR + ", " + CELLS + ", " + sql_levels("b") + ", " + sql_touch("b", "lw", EXT) + ", " + sql_excursions()
+
+
+def matrix(spark, sf, groups=("atr",), **kw):
+    return G.placement_matrix(seg(spark, sf), SHORT, None, 3600, groups=groups, only_complete=False, **kw)
+
+
+@query("grid", ATR + ", " + CELLS + ", " + sql_levels("b") + f" SELECT {KEY}, sl_mult, tp_ratio, {R('sl_dist', 'sl_dist')}, {R('tp_dist', 'tp_dist')} FROM lv WHERE direction = 1")
+def _(spark, sf):
+    return G.live_geometry(atr_bars(spark, sf)).select("sym", epoch(), "sl_mult", "tp_ratio", *rd("sl_dist", "tp_dist"))
+
+
+@query("geometry", ATR + f" SELECT {KEY}, {R('greatest(atr_14 * 1.8, 0.3) / (atr_14 + 1e-9)', 'sl_atr_buy')}, {R('2.5 * (greatest(atr_14 * 1.8, 0.3) + 0.2) / (greatest(atr_14 * 1.8, 0.3) + 1e-9)', 'rr_sell')} FROM b")
+def _(spark, sf):
+    d = G.distances(F.col("atr_14"), F.lit(0.2), F.lit(1.8), F.lit(2.5))
+    return G.geometry(atr_bars(spark, sf), d["sl_dist"], d["tp_dist"]).select("sym", epoch(), *rd("sl_atr_buy", "rr_sell"))
+
+
+@query("placement_matrix", MATRIX + f" SELECT {KEY}, direction, sl_mult, tp_ratio, target, {R('mfe_atr', 'mfe_atr')}, {R('mfa_atr', 'mfa_atr')} FROM mx")
+def _(spark, sf):
+    return matrix(spark, sf).select("sym", epoch(), "direction", "sl_mult", "tp_ratio", "target", *rd("mfe_atr", "mfa_atr"))
+
+
+@query("target_balance", MATRIX + " SELECT direction, target, count(*) AS n FROM mx GROUP BY 1, 2")
+def _(spark, sf):
+    return B.target_balance(matrix(spark, sf), "target", ["direction"])
+
+
+@query("dedupe_grid", MATRIX + " SELECT count(*) AS kept, count(*) AS dropped FROM mx")
+def _(spark, sf):
+    m = matrix(spark, sf).select(*B.GRID_KEY, "sym")
+    return B.dedupe_report(m.unionByName(m))
+
+
+REGMX = REG + ", " + CELLS + ", " + sql_levels("rg") + ", " + sql_touch("rg", "lw", EXT) + ", " + sql_excursions() + \
+    ", rm AS MATERIALIZED (SELECT mx.*, rg.regime, trend_ema, atr_pctile FROM mx JOIN rg USING (sym, period_id, rn))"
+
+
+def regime_matrix(spark, sf):
+    return RG.with_regime(matrix(spark, sf, REGIME_GROUPS))
+
+
+@query("placement_by_regime", REGMX + f" SELECT regime, direction, count(*) AS n, {R('avg(target)', 'win_rate')}, {R('avg(mfe_atr)', 'mfe')} FROM rm GROUP BY 1, 2")
+def _(spark, sf):
+    return regime_matrix(spark, sf).groupBy("regime", "direction").agg(
+        F.count("*").alias("n"), F.avg("target").alias("win_rate"), F.avg("mfe_atr").alias("mfe")).select("regime", "direction", "n", *rd("win_rate", "mfe"))
+
+
+@query("regime_bin", REG + f" SELECT {KEY}, regime FROM rg")
+def _(spark, sf):
+    return regime_bars(spark, sf).select("sym", epoch(), "regime")
+
+
+@query("regime_coverage", REG + f" SELECT regime, count(*) AS n, {R('100.0 * count(*) / (SELECT count(*) FROM rg)', 'pct')} FROM rg GROUP BY 1")
+def _(spark, sf):
+    return RG.regime_coverage(regime_bars(spark, sf)).select("regime", "n", *rd("pct"))
+
+
+@query("regime_label", REG + f""" SELECT {KEY}, concat_ws(' | ', CASE WHEN trend_ema > 1.2 AND trend_ema * trend_slope > 0 THEN 'TRENDING UP' WHEN trend_ema < -1.2 AND trend_ema * trend_slope > 0 THEN 'TRENDING DOWN'
+ WHEN bb_pctile < 0.3 THEN 'RANGING' ELSE 'MIXED' END, CASE WHEN news_candle > 0.4 OR vol_spike > 2.0 THEN 'NEWS-SPIKE' WHEN atr_pctile < 0.3 THEN 'QUIET' WHEN atr_pctile > 0.7 THEN 'VOLATILE' END) AS label FROM rg""")
+def _(spark, sf):
+    return regime_bars(spark, sf).select("sym", epoch(), RG.regime_label().alias("label"))
+
+
+# ── joins, priors, calibration ──────────────────────────────────────────────
+
+@query("oof_join", "WITH " + sql_bars("hour") + f""", o AS (SELECT event_type AS sym, ts AS time, (event_id * 37 % 1000) / 1000.0::DOUBLE AS p FROM events),
+ h AS (SELECT sym, date_trunc('hour', time) AS time, max(p) AS p FROM o WHERE hour(time) < 16 GROUP BY 1, 2) SELECT b.sym, epoch(b.time)::BIGINT AS t, coalesce(p, 0.5) AS p_up FROM bars b LEFT JOIN h USING (sym, time)""")
+def _(spark, sf):
+    o = probs(spark, sf).filter(F.hour("time") < 16).groupBy("sym", F.date_trunc("hour", "time").alias("time")).agg(F.max("p").alias("p"))
+    return bars(spark, sf).join(o, ["sym", "time"], "left").select("sym", epoch(), F.coalesce("p", F.lit(0.5)).alias("p_up"))
+
+
+@query("semi_anti", "SELECT (SELECT count(*) FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45)) AS seen, (SELECT count(*) FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45)) AS fresh")
+def _(spark, sf):
+    big = table(spark, sf, "lineitem").filter("l_quantity > 45").select(F.col("l_orderkey").alias("o_orderkey"))
+    o = table(spark, sf, "orders")
+    seen = o.join(big, "o_orderkey", "left_semi").agg(F.count("*").alias("seen"))
+    return seen.crossJoin(o.join(big, "o_orderkey", "left_anti").agg(F.count("*").alias("fresh")))
+
+
+@query("nearest_grid", "WITH " + PROBS + ", g AS (SELECT event_id, p * 8 AS v FROM pr) SELECT event_id, arg_min(r, abs(v - r)) AS nearest FROM g, unnest([1.3, 1.8, 2.5, 3.0, 4.0, 5.5, 7.0]::DOUBLE[]) t(r) GROUP BY 1")
+def _(spark, sf):
+    from tickforge.constants import TP_RATIOS
+    from tickforge.functions.windows import nearest
+
+    # 8p lies between grid members for all values of p, so there are no ties
+    return probs(spark, sf).select("event_id", nearest(F.col("p") * 8, TP_RATIOS).alias("nearest"))
+
+
+@query("placement_prior", REGMX + f""", q AS (SELECT regime, direction, sl_dist / (atr_14 + 1e-9) AS sa, mfe_atr, mfa_atr, target FROM rm WHERE mfe_atr IS NOT NULL AND mfa_atr IS NOT NULL),
+ a AS (SELECT regime, direction, count(*) FILTER (target = 1) AS n_winners, count(*) FILTER (target = 0) AS n_losers, quantile_cont(mfe_atr, 0.5) FILTER (target = 1) AS w,
+  quantile_cont(mfa_atr, 0.5) FILTER (target = 0) AS l5, quantile_cont(mfa_atr, 0.9) FILTER (target = 0) AS l9, quantile_cont(sa, 0.1) AS t1, quantile_cont(sa, 0.9) AS t9 FROM q GROUP BY 1, 2),
+ c AS (SELECT *, greatest(least(l9, t9), t1) AS s, n_winners >= 200 AND n_losers >= 200 AS ok FROM a)
+ SELECT regime, direction, {R('CASE WHEN ok THEN s END', 'sl_atr')}, {R('CASE WHEN ok THEN greatest(w / s, 1.0) END', 'tp_ratio')}, {R('CASE WHEN ok THEN w END', 'mfe_p50')},
+ {R('CASE WHEN ok THEN l9 END', 'mfa_p90')}, {R('CASE WHEN ok THEN l5 END', 'mfa_p50')}, n_winners, n_losers FROM c""")
+def _(spark, sf):
+    m = regime_matrix(spark, sf).withColumn("sl_atr", F.col("sl_atr_buy"))
+    return C.placement_prior(m).select("regime", "direction", *rd("sl_atr", "tp_ratio", "mfe_p50", "mfa_p90", "mfa_p50"), "n_winners", "n_losers")
+
+
+@query("dir_prior", REG + f""", hz AS (SELECT unnest([3, 12]) AS h), z AS (SELECT r.regime, h, r.time, r.close, (SELECT arg_min(f.close, f.time) FROM rg f WHERE f.sym = r.sym AND f.time >= r.time + h * INTERVAL 1 HOUR) AS later FROM rg r, hz),
+ e AS (SELECT regime, max(time) - INTERVAL 10 DAYS AS cut FROM rg GROUP BY 1), k AS (SELECT rg.regime, count(*) FILTER (time >= cut) AS rr FROM rg JOIN e USING (regime) GROUP BY 1),
+ a AS (SELECT z.regime, h, count(*) AS n_full, avg((later > close)::INT) AS p_full, count(*) FILTER (time >= cut) AS nr, coalesce(avg((later > close)::INT) FILTER (time >= cut), 0) AS pr FROM z JOIN e USING (regime) WHERE later IS NOT NULL GROUP BY 1, 2),
+ c AS (SELECT a.*, CASE WHEN rr > 50 THEN nr ELSE 0 END AS n_recent, CASE WHEN rr > 50 THEN pr ELSE p_full END AS p_rec FROM a JOIN k USING (regime))
+ SELECT regime, h::BIGINT AS horizon, {R('least(n_recent / 500.0, 1) * p_rec + (1 - least(n_recent / 500.0, 1)) * p_full', 'p_up')}, {R('p_full', 'p_full')}, n_full, n_recent::BIGINT AS n_recent FROM c""")
+def _(spark, sf):
+    out = C.dir_prior(regime_bars(spark, sf), [3, 12], 3600, recent_days=10)
+    return out.select("regime", F.col("horizon").cast("bigint").alias("horizon"), *rd("p_up", "p_full"), "n_full", F.col("n_recent").cast("bigint").alias("n_recent"))
+
+
+# exact in both engines: the probabilities are multiples of 1/1000, so 40 bins have distinct edges
+BINS = "WITH " + PROBS + """, pp AS (SELECT *, p * p AS q FROM pr), ed AS (SELECT sym, list_distinct(quantile_cont(q, list_transform(range(41), lambda x: x / 40.0))) AS e0 FROM pp GROUP BY 1),
+ bn AS (SELECT pp.*, greatest(least(len(list_filter(e0, lambda v: v <= q)) - 1, len(e0) - 2), 0) AS bin FROM pp JOIN ed USING (sym)),
+ ag AS (SELECT sym, bin, avg(q) AS mean_p, sum(y) AS sum_y, count(*) AS n FROM bn GROUP BY 1, 2)"""
+
+
+def squares(spark, sf):
+    return probs(spark, sf).withColumn("q", F.col("p") * F.col("p"))
+
+
+@query("quantile_bins", BINS + f" SELECT sym, bin::BIGINT AS bin, {R('mean_p', 'mean_p')}, sum_y, n FROM ag")
+def _(spark, sf):
+    return C.quantile_bins(squares(spark, sf), ["sym"], "q", "y", 40).select("sym", F.col("bin").cast("bigint").alias("bin"), *rd("mean_p"), "sum_y", "n")
+
+
+@query("shrink_bins", BINS + f""", bs AS (SELECT sym, sum(sum_y) / sum(n) AS base FROM ag GROUP BY 1)
+ SELECT sym, bin::BIGINT AS bin, {R('CASE WHEN n < 2000 THEN (sum_y + base * 2000) / (n + 2000) ELSE sum_y / n END', 'rate')} FROM ag JOIN bs USING (sym)""")
+def _(spark, sf):
+    return C.shrink_bins(C.quantile_bins(squares(spark, sf), ["sym"], "q", "y", 40), ["sym"]).select("sym", F.col("bin").cast("bigint").alias("bin"), *rd("rate"))
+
+
+@query("isotonic")
+def _(spark, sf):
+    bins = C.shrink_bins(C.quantile_bins(probs(spark, sf), ["sym"]), ["sym"], 0)
+    return C.isotonic(bins, ["sym"]).select("sym", F.posexplode(F.arrays_zip("knots_p", "knots_y")).alias("i", "k"), "n").select("sym", "i", *[F.col(f"k.{c}") for c in ("knots_p", "knots_y")], "n")
+
+
+@query("calib_by_key")
+def _(spark, sf):
+    m = scored(spark, sf)
+    return C.fit_curves(m, ["direction", "tp_ratio"], "p", "target", min_rows=1000).select("direction", "tp_ratio", F.size("knots_p").alias("knots"), "n")
+
+
+CURVES = [(1.0, [0.1, 0.4, 0.7, 0.9], [0.15, 0.35, 0.55, 0.8]), (0.0, [0.2, 0.5, 0.8], [0.1, 0.45, 0.6])]
+
+
+@query("apply_calib", "WITH " + PROBS + f""" SELECT event_id, {R('''CASE WHEN direction = 1 THEN CASE WHEN p < 0.1 THEN 0.15 WHEN p < 0.4 THEN 0.15 + 0.2 * (p - 0.1) / (0.4::DOUBLE - 0.1)
+  WHEN p < 0.7 THEN 0.35 + 0.2 * (p - 0.4) / (0.7::DOUBLE - 0.4) WHEN p < 0.9 THEN 0.55 + 0.25 * (p - 0.7) / (0.9::DOUBLE - 0.7) ELSE 0.8 END
+ ELSE CASE WHEN p < 0.2 THEN 0.1 WHEN p < 0.5 THEN 0.1 + 0.35 * (p - 0.2) / (0.5::DOUBLE - 0.2) WHEN p < 0.8 THEN 0.45 + 0.15 * (p - 0.5) / (0.8::DOUBLE - 0.5) ELSE 0.6 END END''', 'p_cal')} FROM pr""")
+def _(spark, sf):
+    curves = spark.createDataFrame(CURVES, "direction double, knots_p array<double>, knots_y array<double>")
+    return C.apply_curves(probs(spark, sf), curves, ["direction"]).select("event_id", *rd("p_cal"))
+
+
+# ── decisions ───────────────────────────────────────────────────────────────
+
+PCELL = "(((epoch(time)::BIGINT // 3600) * 37 + round(sl_mult * 10)::BIGINT * 7 + round(tp_ratio * 10)::BIGINT * 3 + direction::BIGINT * 11) % 100) / 100.0::DOUBLE"
+
+
+def pcell():
+    whole = F.floor(F.unix_seconds("time") / 3600) * 37 + F.round(F.col("sl_mult") * 10).cast("bigint") * 7 + \
+        F.round(F.col("tp_ratio") * 10).cast("bigint") * 3 + F.col("direction").cast("bigint") * 11
+    return (whole % 100) / F.lit(100.0)
+
+
+def scored(spark, sf):
+    return regime_matrix(spark, sf).withColumn("p", pcell())
+
+
+def cells(spark, sf):
+    """Scored placements of all bars, without the need of a forward path."""
+    out = RG.with_regime(features(seg(spark, sf), REGIME_GROUPS, None, bar_secs=3600)).withColumn("spread", G.spread_dollars())
+    out = out.crossJoin(F.broadcast(G.grid(spark))).withColumn("direction", F.explode(F.array(F.lit(1.0), F.lit(0.0))))
+    out = out.withColumns(G.distances(F.col("atr_14"), F.col("spread"), F.col("sl_mult"), F.col("tp_ratio")))
+    return out.withColumn("p", pcell()).withColumn("is_anchor", (F.col("sl_mult") == 1.2) & (F.col("tp_ratio") == 1.8))
+
+
+CELL = REG + ", " + CELLS + f""", cd0 AS (SELECT sym, period_id, rn, time, regime, trend_ema, atr_pctile, atr_14, close, direction, sl_mult, tp_ratio, greatest(atr_14 * sl_mult, 0.30) AS sl_dist,
+   (greatest(atr_14 * sl_mult, 0.30) + 0.2) * tp_ratio AS tp_dist, {PCELL} AS p, sl_mult = 1.2 AND tp_ratio = 1.8 AS is_anchor FROM rg, cells),
+ cd AS MATERIALIZED (SELECT *, p * (tp_dist / (sl_dist + 0.2 + 1e-9)) - (1 - p) AS exp FROM cd0)"""
+
+
+def _best(src):
+    return f"""bp AS MATERIALIZED (SELECT * FROM {src} QUALIFY row_number() OVER (PARTITION BY sym, time, direction ORDER BY round(exp, 9) DESC, is_anchor DESC, sl_mult, tp_ratio) = 1)"""
+
+
+@query("best_placement", CELL + ", " + _best("cd") + f" SELECT {KEY}, direction, sl_mult, tp_ratio, {R('exp', 'exp')} FROM bp")
+def _(spark, sf):
+    return D.best_placement(cells(spark, sf)).select("sym", epoch(), "direction", "sl_mult", "tp_ratio", *rd("exp"))
+
+
+@query("reachable_band", CELL + ", " + PRIOR + """, bd AS (SELECT cd.* FROM cd JOIN prior p ON p.regime = cd.regime AND p.direction = cd.direction
+ WHERE is_anchor OR (sl_dist / greatest(atr_14, 1e-9) <= p.sl_atr AND tp_dist / greatest(atr_14, 1e-9) <= p.mfe_p50)), """ + _best("bd") + f" SELECT {KEY}, direction, sl_mult, tp_ratio, {R('exp', 'exp')} FROM bp")
+def _(spark, sf):
+    return D.best_placement(D.reachable_band(cells(spark, sf), prior(spark))).select("sym", epoch(), "direction", "sl_mult", "tp_ratio", *rd("exp"))
+
+
+SIDE = CELL + ", " + _best("cd") + """, sd AS (SELECT b.sym, b.time, b.regime, b.trend_ema, b.atr_pctile, b.close, b.atr_14, CASE WHEN b.exp * 0.5 >= s.exp * 0.5 THEN 1.0::DOUBLE ELSE 0.0 END AS direction,
+  CASE WHEN b.exp * 0.5 >= s.exp * 0.5 THEN b.exp ELSE s.exp END AS exp, CASE WHEN b.exp * 0.5 >= s.exp * 0.5 THEN b.p ELSE s.p END AS p,
+  CASE WHEN b.exp * 0.5 >= s.exp * 0.5 THEN b.sl_dist ELSE s.sl_dist END AS sl_dist, CASE WHEN b.exp * 0.5 >= s.exp * 0.5 THEN b.tp_dist ELSE s.tp_dist END AS tp_dist
+  FROM bp b JOIN bp s ON s.sym = b.sym AND s.time = b.time WHERE b.direction = 1 AND s.direction = 0)"""
+
+
+@query("side_choice", SIDE + f" SELECT {KEY}, direction, {R('exp', 'exp')}, exp > 0 AS fire FROM sd")
+def _(spark, sf):
+    return D.side_choice(D.best_placement(cells(spark, sf))).select("sym", epoch(), "direction", *rd("exp"), "fire")
+
+
+@query("direction_gate", "WITH " + PROBS + f""", m AS (SELECT avg(((p >= 0.5) = (y = 1))::INT) AS acc, avg((y = 1)::INT) AS up FROM pr), g AS (SELECT acc <= 0.53 OR acc <= greatest(up, 1 - up) + 0.02 AS weak FROM m)
+ SELECT event_id, {R("CASE WHEN weak THEN CASE WHEN direction = 1 THEN 0.52 ELSE 0.5 END ELSE greatest(least(p, 0.95), 0.05) END", 'p_up')} FROM pr, g""")
+def _(spark, sf):
+    pr = probs(spark, sf)
+    acc = F.avg(((F.col("p") >= 0.5) == (F.col("y") == 1)).cast("double"))
+    metrics = pr.agg(acc.alias("acc"), acc.alias("acc_price"), F.avg("y").alias("base_up"))
+    rows = pr.withColumns({"regime": F.when(F.col("direction") == 1, "UP").otherwise("NONE"), "p_model": F.col("p")})
+    return D.direction_gate(rows, metrics, spark.createDataFrame([("UP", 0.52)], "regime string, p_up double")).select("event_id", *rd("p_up"))
+
+
+RATE = SIDE + ", " + PRIOR + """, cp AS MATERIALIZED (SELECT sd.*, sl_dist / greatest(atr_14, 1e-9) AS sa, p AS p_comp, greatest(least((exp + 0.25) / 3.0, 1), 0) AS e_comp,
+  greatest(least(0.5 * (1 - least(abs(abs(coalesce(trend_ema, 0)) - 0.4), abs(abs(coalesce(trend_ema, 0)) - 1.2), 1.0)) + 0.5 * abs(coalesce(atr_pctile, 0.5) - 0.5), 1), 0) AS r_comp,
+  CASE WHEN sl_dist / greatest(atr_14, 1e-9) >= q.sl_atr THEN 1.0 WHEN sl_dist / greatest(atr_14, 1e-9) > q.mfa_p50 THEN 0.6 ELSE 0.2 END::DOUBLE AS x_comp
+  FROM sd JOIN prior q ON q.regime = sd.regime AND q.direction = sd.direction)"""
+WEIGHTS = "50.0 * p_comp + 30.0 * e_comp + 10.0 * r_comp + 10.0 * x_comp"
+
+
+def rated(spark, sf):
+    side = D.side_choice(D.best_placement(cells(spark, sf), ["sym", "time", "direction"]))
+    reg = regime_bars(spark, sf).select("sym", "time", "regime", "trend_ema", "atr_pctile", "atr_14", "close")
+    rows = side.join(reg, ["sym", "time"]).withColumn("sl_atr", F.col("sl_dist") / F.greatest("atr_14", F.lit(1e-9)))
+    return D.rating_components(rows, prior(spark))
+
+
+def fixed_weights(spark):
+    return spark.createDataFrame([(0.5, 0.3, 0.1, 0.1)], "w_p_comp double, w_e_comp double, w_r_comp double, w_x_comp double")
+
+
+@query("rating_components", RATE + f" SELECT {KEY}, {R('p_comp', 'p_comp')}, {R('e_comp', 'e_comp')}, {R('r_comp', 'r_comp')}, {R('x_comp', 'x_comp')} FROM cp")
+def _(spark, sf):
+    return rated(spark, sf).select("sym", epoch(), *rd(*D.COMPONENTS))
+
+
+@query("rate_signal", RATE + f" SELECT {KEY}, round_even(greatest(least({WEIGHTS}, 100), 0), 1) + 0.0 AS rating FROM cp")
+def _(spark, sf):
+    return D.rate_signal(rated(spark, sf), fixed_weights(spark)).select("sym", epoch(), "rating")
+
+
+def outcome_ratings(spark, sf):
+    """Ratings and results per event, by shared arithmetic."""
+    return probs(spark, sf).withColumns({"rating": F.col("p") * 100, "rr": 1 + (F.col("event_id") % 5) / F.lit(2.0), "target": F.col("y")})
+
+
+@query("rating_deciles", "WITH " + PROBS + f", d AS (SELECT least(floor(p * 100 / 10.0), 9)::BIGINT AS decile, y, 1 + (event_id % 5) / 2.0::DOUBLE AS rr FROM pr) SELECT decile, count(*) AS n, {R('avg(y)', 'win_rate')}, {R('avg(rr)', 'rr_mean')}, {R('avg(y) * avg(rr) - (1 - avg(y))', 'realized_exp')} FROM d GROUP BY 1")
+def _(spark, sf):
+    out = D.rating_deciles(outcome_ratings(spark, sf))
+    return out.select(F.col("decile").cast("bigint").alias("decile"), "n", *rd("win_rate", "rr_mean", "realized_exp"))
+
+
+@query("rating_threshold", "WITH " + PROBS + ", d AS (SELECT least(floor(p * 100 / 10.0), 9) AS k, avg(y) AS w, avg(1 + (event_id % 5) / 2.0::DOUBLE) AS r, count(*) AS n FROM pr GROUP BY 1) SELECT coalesce(min(k * 10.0) FILTER (w * r - (1 - w) > 0 AND n >= 50), 100.0)::DOUBLE AS threshold FROM d")
+def _(spark, sf):
+    return D.rating_threshold(D.rating_deciles(outcome_ratings(spark, sf)), 50)
+
+
+@query("rating_weights")
+def _(spark, sf):
+    m = scored(spark, sf).withColumn("spread", G.spread_dollars()).withColumns({"sl_dist": F.col("sl_dist_buy"), "tp_dist": F.col("tp_dist_buy")})
+    m = m.withColumns(D.expectancy(F.col("p"), F.col("sl_dist"), F.col("tp_dist"), F.col("spread"))).withColumn("sl_atr", F.col("sl_atr_buy"))
+    return D.rating_weights(D.rating_components(m.filter(F.col("target").isNotNull()), prior(spark)))
+
+
+@query("same_idea")
+def _(spark, sf):
+    s = rated(spark, sf).select("sym", "time", "direction", "regime", F.col("close").alias("px"), F.col("atr_14").alias("atr"), "tp_dist")
+    return D.same_idea(s).select("sym", epoch(), "direction", "kept")
+
+
+# ── models ──────────────────────────────────────────────────────────────────
+
+@query("walk_forward", "WITH " + sql_bars("hour") + f""", r AS (SELECT *, row_number() OVER (PARTITION BY sym ORDER BY time) - 1 AS i, count(*) OVER (PARTITION BY sym) AS n FROM bars)
+ SELECT {KEY}, least(i // greatest(n // 6, 1), 6)::BIGINT AS chunk FROM r""")
+def _(spark, sf):
+    return M.time_chunks(bars(spark, sf), 6, ["sym"]).select("sym", epoch(), F.col("chunk").cast("bigint").alias("chunk"))
+
+
+MODEL_COLS = ["rsi_14", "trend_ema", "trend_slope", "vol_spike", "news_candle", "range_pos", "body_atr"]
+FAST = dict(max_iter=2, max_depth=3)
+_names = count()
+
+
+def training(spark, sf):
+    rows = L.dir_price(regime_bars(spark, sf), 12).dropna(subset=[*MODEL_COLS, "target"])
+    # training reads its rows many times: cut the lineage once
+    return checkpointed(M.time_chunks(L.recency_weight(rows), 4))
+
+
+@query("oof_ensemble")
+def _(spark, sf):
+    out = M.oof_ensemble(training(spark, sf), MODEL_COLS, ["sym", "time"], weight="weight", n_chunks=4, seeds=[42, 7], **FAST)
+    return out.select("sym", epoch(), "target", *rd("p", d=4))
+
+
+@query("direction_model")
+def _(spark, sf):
+    rows = training(spark, sf)
+    oof = M.oof_ensemble(rows, MODEL_COLS, ["sym", "time", "fwd_return"], weight="weight", n_chunks=3, seeds=[42], **FAST)
+    return M.eval_metrics(oof, "p", "target").crossJoin(M.price_metrics(oof))
+
+
+@query("big_move_model")
+def _(spark, sf):
+    rows = L.big_move(regime_bars(spark, sf), 15, 2.0).dropna(subset=MODEL_COLS)
+    rows = checkpointed(M.time_chunks(rows, 5))
+    model = M.gbt(MODEL_COLS, "regime_label", None, 42, **FAST).fit(rows.filter("chunk < 4"))
+    return M.auc(M.p_win(model, rows.filter("chunk >= 4")), "p", "regime_label", 1e-2).withColumn("passed", F.col("auc") > 0.60)
+
+
+@query("routed_scoring")
+def _(spark, sf):
+    rows = training(spark, sf)
+    models = M.specialists(rows, MODEL_COLS, ["UP", "DOWN"], weight="weight", seeds=[42], **FAST)
+    return M.routed_scoring(rows, models, ["sym", "time"]).select("sym", epoch(), *rd("p", d=4))
+
+
+@query("warm_start")
+def _(spark, sf):
+    rows = training(spark, sf)
+    model = M.refit_recent(B.recent_window(rows, 20), MODEL_COLS, "weight", **FAST)
+    return M.eval_metrics(M.p_win(model, rows), "p", "target")
+
+
+@query("eval_metrics", "WITH " + PROBS + f" SELECT {R('avg(((p >= 0.5) = (y = 1))::INT)', 'acc')}, {R('avg(y) FILTER (p >= 0.5)', 'p_up')}, {R('avg(1 - y) FILTER (p < 0.5)', 'p_dn')}, count(*) AS n FROM pr")
+def _(spark, sf):
+    return M.eval_metrics(probs(spark, sf)).select(*rd("acc", "p_up", "p_dn"), "n")
+
+
+@query("auc", "WITH " + PROBS + f", r AS (SELECT y, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0 AS k FROM pr) SELECT {R('(sum(k) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * (count(*) - sum(y)))', 'auc')} FROM r")
+def _(spark, sf):
+    return M.auc(probs(spark, sf)).select(*rd("auc"))
+
+
+def _hz(n):
+    return ONE.replace(f"x.rn + {EXT}", f"x.rn + {n}").replace(f"a.rn + {EXT}", f"a.rn + {n}") + f" SELECT {n // 4} AS max_bars, {R('avg(target)', 'base')}, count(*) AS n FROM mx"
+
+
+@query("horizon_study", f"SELECT max_bars::BIGINT AS max_bars, base, n FROM ({_hz(20)}) UNION ALL SELECT max_bars::BIGINT, base, n FROM ({_hz(80)})")
+def _(spark, sf):
+    d = G.distances(F.col("atr_14"), G.spread_dollars(), F.lit(1.2), F.lit(1.8))
+    parts = [L.first_touch(atr_bars(spark, sf), d["sl_dist"], d["tp_dist"], (F.col("rn") % 2).cast("double"), n).filter(F.col("target").isNotNull())
+             .agg(F.lit(n).cast("bigint").alias("max_bars"), F.avg("target").alias("base"), F.count("*").alias("n")) for n in (5, 20)]
+    return parts[0].unionByName(parts[1]).select("max_bars", *rd("base"), "n")
+
+
+# ── backtest ────────────────────────────────────────────────────────────────
+
+BTP = "((rn * 37) % 100) / 100.0::DOUBLE"
+
+
+def threshold_trades(spark, sf):
+    b = atr_bars(spark, sf)
+    p = (F.col("rn") * 37 % 100) / F.lit(100.0)
+    return BT.entry_exit(b, BT.threshold_levels(p, 0.6, F.col("atr_14"), F.col("close")), 24)
+
+
+TRADES = ATR + f""", en AS (SELECT *, CASE WHEN {BTP} >= 0.6 THEN 1.0::DOUBLE WHEN {BTP} <= 1 - 0.6::DOUBLE THEN 0.0 END AS direction, greatest(atr_14 * 1.6, 4.0) + 0.2 AS sd,
+   greatest((greatest(atr_14 * 1.6, 4.0) + 0.2) * 1.3, atr_14 * 2.0) AS td FROM b),
+ e2 AS MATERIALIZED (SELECT *, close AS entry, CASE WHEN direction = 1 THEN close - sd ELSE close + sd END AS sl, CASE WHEN direction = 1 THEN close + td ELSE close - td END AS tp FROM en WHERE direction IS NOT NULL),
+ hk AS (SELECT e.sym, e.period_id, e.rn, min(CASE WHEN e.direction = 1 AND f.low <= e.sl OR e.direction = 0 AND f.high >= e.sl THEN f.rn END) AS s,
+   min(CASE WHEN e.direction = 1 AND f.high >= e.tp OR e.direction = 0 AND f.low <= e.tp THEN f.rn END) AS k, max(f.rn) AS last_rn, arg_max(f.close, f.rn) AS lc
+   FROM e2 e JOIN b f ON f.sym = e.sym AND f.period_id = e.period_id AND f.rn BETWEEN e.rn + 1 AND e.rn + 24 GROUP BY ALL),
+ t0 AS (SELECT e.*, s, k, last_rn, lc, CASE WHEN s IS NULL AND k IS NULL THEN 'TIME' WHEN k IS NULL OR s <= k THEN 'SL' ELSE 'TP' END AS kind FROM e2 e JOIN hk USING (sym, period_id, rn)),
+ tr AS MATERIALIZED (SELECT *, CASE kind WHEN 'TIME' THEN last_rn WHEN 'SL' THEN s ELSE k END AS exit_rn,
+   (CASE kind WHEN 'TIME' THEN lc WHEN 'SL' THEN sl ELSE tp END - entry) * CASE WHEN direction = 1 THEN 1 ELSE -1 END AS pnl FROM t0)"""
+
+
+@query("entry_exit", TRADES + f" SELECT {KEY}, direction, kind, exit_rn, {R('pnl', 'pnl')} FROM tr")
+def _(spark, sf):
+    return threshold_trades(spark, sf).select("sym", epoch(), "direction", "kind", "exit_rn", *rd("pnl"))
+
+
+@query("threshold_entry", TRADES + f" SELECT {KEY}, direction, {R('entry', 'entry')}, {R('sl', 'sl')}, {R('tp', 'tp')} FROM tr")
+def _(spark, sf):
+    return threshold_trades(spark, sf).select("sym", epoch(), "direction", *rd("entry", "sl", "tp"))
+
+
+CHAIN = TRADES + """, nx AS MATERIALIZED (SELECT a.sym, a.period_id, a.rn, min(z.rn) AS nxt FROM tr a LEFT JOIN tr z ON z.sym = a.sym AND z.period_id = a.period_id AND z.rn > a.exit_rn GROUP BY ALL),
+ ch AS (SELECT sym, period_id, min(rn) AS rn FROM tr GROUP BY 1, 2 UNION ALL SELECT n.sym, n.period_id, n.nxt FROM ch JOIN nx n ON n.sym = ch.sym AND n.period_id = ch.period_id AND n.rn = ch.rn WHERE n.nxt IS NOT NULL),
+ no AS MATERIALIZED (SELECT tr.* FROM tr JOIN ch USING (sym, period_id, rn))"""
+
+
+def one_at_a_time(spark, sf, block_rows=8192):
+    return BT.non_overlap(threshold_trades(spark, sf), 24, 1, block_rows=block_rows)
+
+
+@query("non_overlap", CHAIN + f" SELECT {KEY}, kind, exit_rn, {R('pnl', 'pnl')} FROM no")
+def _(spark, sf):
+    return one_at_a_time(spark, sf).select("sym", epoch(), "kind", "exit_rn", *rd("pnl"))
+
+
+@query("bt_report", CHAIN + f""", cu AS (SELECT *, sum(pnl) OVER (PARTITION BY sym ORDER BY time) AS cum FROM no), dd AS (SELECT *, cum - max(cum) OVER (PARTITION BY sym ORDER BY time) AS d FROM cu)
+ SELECT sym, count(*) AS trades, count(*) FILTER (pnl > 0) AS wins, count(*) FILTER (kind = 'SL') AS n_sl, count(*) FILTER (kind = 'TP') AS n_tp, count(*) FILTER (kind = 'TIME') AS n_time,
+ {R('avg((pnl > 0)::INT)', 'win_rate')}, {R('sum(CASE WHEN pnl > 0 THEN pnl ELSE 0 END) / sum(CASE WHEN pnl < 0 THEN -pnl ELSE 0 END)', 'profit_factor')},
+ {R('avg(pnl)', 'expectancy')}, {R('sum(pnl)', 'net')}, {R('min(d)', 'max_drawdown')}, {R('avg((pnl > 0)::INT) FILTER (direction = 1)', 'buy_wr')} FROM dd GROUP BY 1""")
+def _(spark, sf):
+    return BT.report(one_at_a_time(spark, sf)).select("sym", "trades", "wins", "n_sl", "n_tp", "n_time", *rd("win_rate", "profit_factor", "expectancy", "net", "max_drawdown", "buy_wr"))
+
+
+@query("bt_by_regime", REG + ", " + CHAIN[len(HEAD) + 2:] + f""" SELECT rg.regime, count(*) AS trades, {R('avg((pnl > 0)::INT)', 'win_rate')},
+ {R('sum(CASE WHEN pnl > 0 THEN pnl ELSE 0 END) / greatest(sum(CASE WHEN pnl < 0 THEN -pnl ELSE 0 END), 1e-9)', 'profit_factor')}, {R('sum(pnl)', 'net')}, {R('avg(pnl / greatest(abs(entry - sl), 1e-9))', 'ev_r')}
+ FROM no JOIN rg USING (sym, time) GROUP BY 1 HAVING count(*) >= 5""")
+def _(spark, sf):
+    t = BT.entries_with_regime(one_at_a_time(spark, sf), regime_bars(spark, sf))
+    return BT.report_by_regime(t).select("regime", "trades", *rd("win_rate", "profit_factor", "net", "ev_r"))
+
+
+@query("prob_calibration", "WITH " + PROBS + f""", th AS (SELECT unnest([0.55, 0.60, 0.65, 0.70, 0.75, 0.80]::DOUBLE[]) AS threshold), z AS (SELECT threshold, 'BUY' AS side, y AS c FROM pr, th WHERE p >= threshold
+ UNION ALL SELECT threshold, 'SELL', 1 - y FROM pr, th WHERE p <= 1 - threshold) SELECT threshold, side, count(*) AS n, {R('avg(c)', 'correct')} FROM z GROUP BY 1, 2 HAVING count(*) >= 20""")
+def _(spark, sf):
+    return BT.prob_calibration(probs(spark, sf)).select("threshold", "side", "n", *rd("correct"))
+
+
+@query("selectivity", "WITH " + PROBS + " SELECT event_id FROM pr WHERE p >= (SELECT quantile_cont(p, 0.95) FROM pr WHERE p <> 0)")
+def _(spark, sf):
+    return BT.selectivity(probs(spark, sf), 95).select("event_id")
+
+
+@query("spread_sensitivity", CHAIN + f", s AS (SELECT unnest([0.2, 0.3, 0.41]::DOUBLE[]) AS cost) SELECT cost, count(*) AS trades, {R('sum(pnl - cost)', 'net')}, count(*) FILTER (pnl - cost > 0) AS wins FROM no, s GROUP BY 1")
+def _(spark, sf):
+    t = BT.at_spreads(one_at_a_time(spark, sf)).withColumn("pnl", F.col("pnl") - F.col("cost"))
+    return t.groupBy("cost").agg(F.count("*").alias("trades"), F.sum("pnl").alias("net"), F.count_if(F.col("pnl") > 0).alias("wins")).select("cost", "trades", *rd("net"), "wins")
+
+
+# ── audits ──────────────────────────────────────────────────────────────────
+
+CLASS = "WITH " + OUTCOMES + ", " + PRIOR + """, cl AS (SELECT o.*, CASE WHEN news_candle > 0.4 OR vol_spike > 2.0 THEN 'NEWS_SPIKE' WHEN spread_z > 2.0 THEN 'SPREAD_BLOWOUT' WHEN o.sl_atr < p.mfa_p50 * 1.1 THEN 'EXCURSION_STOP'
+ WHEN (dir = 'BUY' AND trend_ema < -1.0 AND trend_slope < 0) OR (dir = 'SELL' AND trend_ema > 1.0 AND trend_slope > 0) THEN 'DIRECTION_WRONG'
+ WHEN ((dir = 'SELL' AND trend_ema > 1.5) OR (dir = 'BUY' AND trend_ema < -1.5)) AND atr_pctile > 0.6 THEN 'TREND_FADE'
+ WHEN bb_pctile < 0.3 THEN 'RANGE_ENTRY' WHEN atr_pctile > 0.5 THEN 'STOP_TIGHT' ELSE 'UNKNOWN' END AS reason FROM oc o JOIN prior p ON p.regime = o.regime AND p.direction = o.direction WHERE result = 'SL')"""
+
+
+def losses(spark, sf):
+    return A.loss_classify(outcomes(spark, sf).filter("result = 'SL'"), prior(spark))
+
+
+@query("loss_classify", CLASS + " SELECT event_id, reason FROM cl")
+def _(spark, sf):
+    return losses(spark, sf).select("event_id", "reason")
+
+
+@query("lessons", CLASS + " SELECT reason, arg_min(event_id, event_id) AS event_id FROM cl GROUP BY 1")
+def _(spark, sf):
+    return A.lessons(losses(spark, sf).select("reason", "t", "event_id"), ["t", "event_id"]).select("reason", "event_id")
+
+
+@query("audit_summary", CLASS + ", r AS (SELECT * FROM cl ORDER BY t DESC, event_id DESC LIMIT 20) SELECT reason, count(*) AS n FROM r GROUP BY 1")
+def _(spark, sf):
+    return A.audit_summary(losses(spark, sf), 20, ["t", "event_id"])
+
+
+@query("journal_stats", "WITH " + OUTCOMES + """ SELECT count(*) FILTER (result <> 'UNVERIFIED') AS n, count(*) FILTER (result = 'TP') AS wins, count(*) FILTER (result = 'SL') AS losses,
+ count(*) FILTER (result = 'UNVERIFIED') AS unverified, round(sum(pnl) FILTER (result <> 'UNVERIFIED'), 4) AS net FROM oc""")
+def _(spark, sf):
+    return A.journal_stats(outcomes(spark, sf)).select("n", "wins", "losses", "unverified", *rd("net", d=4))
+
+
+@query("merge_outcomes", "WITH " + OUTCOMES + """, f AS (SELECT t, dir, trend_ema, result, direction FROM oc WHERE result <> 'UNVERIFIED' AND hour(time) >= 12)
+ SELECT floor(t)::BIGINT AS t, direction, count(*) AS n, max((result = 'TP')::INT)::DOUBLE AS target FROM (SELECT DISTINCT t, dir, direction, result FROM f) GROUP BY 1, 2 HAVING count(*) = 1""")
+def _(spark, sf):
+    rows = outcomes(spark, sf)
+    done = rows.filter(F.hour("time") < 12).select(F.concat_ws("|", F.col("t").cast("string"), "dir").alias("uid"))
+    out = A.merge_outcomes(rows, done, list(FEATS))
+    return out.select(epoch(), "direction", F.lit(1).cast("bigint").alias("n"), "target")
+
+
+@query("replay_decisions")
+def _(spark, sf):
+    rows = A.stored_inputs(outcomes(spark, sf))
+    rows = rows.withColumn("regime_now", RG.regime_bin("feats"))
+    new = rows.withColumn("new_dir", F.when(F.col("regime_now").isin("STRONG_UP", "UP"), "BUY").otherwise("SELL"))
+    decisions = new.groupBy("t", "dir").agg(F.max("new_dir").alias("new_dir"))
+    done = rows.filter(F.hour("time") < 6).select("t", "dir").distinct()
+    return A.replay_verdict(rows, decisions, done).groupBy("dir", "new_dir", "verdict").agg(F.count("*").alias("n"))
+
+
+RECON = f"""tt AS (SELECT event_id AS trade_id, sym, time, direction, entry, sl, tp FROM oc), h AS (SELECT trade_id, max(b.high) AS hi, min(b.low) AS lo FROM tt JOIN bars b ON b.sym = tt.sym AND b.time >= tt.time GROUP BY 1),
+ v AS (SELECT tt.*, CASE WHEN direction = 1 THEN hi >= tp ELSE lo <= tp END AS th, CASE WHEN direction = 1 THEN lo <= sl ELSE hi >= sl END AS sh FROM tt LEFT JOIN h USING (trade_id)),
+ x AS (SELECT *, CASE WHEN th AND NOT sh THEN 'TP' WHEN sh AND NOT th THEN 'SL' ELSE 'UNVERIFIED' END AS verdict FROM v)"""
+
+
+@query("reconcile", "WITH " + sql_bars("hour") + ", " + OUTCOMES + ", " + RECON + f" SELECT trade_id, verdict, {R('''CASE verdict WHEN 'TP' THEN tp - entry WHEN 'SL' THEN sl - entry ELSE 0 END * CASE WHEN direction = 1 THEN 1 ELSE -1 END''', 'pnl')} FROM x")
+def _(spark, sf):
+    t = outcomes(spark, sf).select(F.col("event_id").alias("trade_id"), "sym", "time", "direction", "entry", "sl", F.col("tp"))
+    return A.reconcile(t, bars(spark, sf)).select("trade_id", "verdict", *rd("pnl"))
+
+
+@query("purge_row", "WITH " + OUTCOMES + " SELECT event_id FROM oc WHERE NOT (dir = 'SELL' AND result = 'TP' AND entry > 100)")
+def _(spark, sf):
+    return A.purge(outcomes(spark, sf), (F.col("dir") == "SELL") & (F.col("result") == "TP") & (F.col("entry") > 100)).select("event_id")
+
+
+@query("market_digest", "WITH " + sql_bars("hour") + f""", l AS (SELECT sym, max(time::DATE) AS day FROM bars GROUP BY 1), t AS (SELECT b.*, day FROM bars b JOIN l ON l.sym = b.sym AND b.time::DATE = l.day)
+ SELECT sym, max(day)::VARCHAR AS day, count(*) AS bars, arg_min(open, time) AS o, arg_max(close, time) AS c, {R('(arg_max(close, time) / arg_min(open, time) - 1) * 100', 'day_ret_pct')},
+ {R('(max(high) - min(low)) / arg_min(open, time) * 100', 'range_pct')} FROM t GROUP BY 1""")
+def _(spark, sf):
+    return A.market_digest(bars(spark, sf)).select("sym", F.col("day").cast("string").alias("day"), "bars", "o", "c", *rd("day_ret_pct", "range_pct"))
+
+
+@query("session_counts", EVENTS30 + """ SELECT sym, time::DATE::VARCHAR AS day, count(*) FILTER (hour(time) < 7) AS asia, count(*) FILTER (hour(time) BETWEEN 7 AND 11) AS london,
+ count(*) FILTER (hour(time) BETWEEN 12 AND 16) AS ny, count(*) FILTER (hour(time) >= 17) AS late FROM m2 WHERE abs(move_atr) >= 0.5 GROUP BY 1, 2""")
+def _(spark, sf):
+    ev = L.big_move_30(atr_bars(spark, sf), 30, 0.5).filter("is_event")
+    return A.session_counts(ev).select("sym", F.col("day").cast("string").alias("day"), "asia", "london", "ny", "late")
+
+
+@query("move_events")
+def _(spark, sf):
+    ev = L.big_move_30(A.precursors(atr_bars(spark, sf)), 30, 0.5).filter("is_event")
+    cols = ["pre_ret_pct", "pre_vol_rel", "pre_spread", "pre_body_ratio"]
+    return A.move_events(ev.select("sym", "time", "move_atr", *cols), 7200).select("sym", epoch(), *rd("move_atr", *cols))
+
+
+@query("precursors", HEAD + f""", p AS (SELECT *, count(*) OVER ({PW} ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING) AS n, (last_value(close) OVER ({PW} ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING)
+  / first_value(close) OVER ({PW} ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING) - 1) * 100 AS r, avg(spread) OVER ({PW} ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING) AS s FROM seg)
+ SELECT {KEY}, {R('CASE WHEN n >= 5 THEN r END', 'pre_ret_pct')}, {R('CASE WHEN n >= 5 THEN s END', 'pre_spread')} FROM p""")
+def _(spark, sf):
+    return A.precursors(seg(spark, sf)).select("sym", epoch(), *rd("pre_ret_pct", "pre_spread"))
+
+
+@query("feature_parity", HEAD + " SELECT f AS feature, count(*) AS n, 0::BIGINT AS mismatches FROM seg, unnest(['atr_14', 'rsi_14', 'trend_ema']) t(f) GROUP BY 1")
+def _(spark, sf):
+    s = seg(spark, sf)
+    a = features(s, ["atr", "rsi", "regime_feats"], None, bar_secs=3600)
+    b = features(s, REGIME_GROUPS, None, bar_secs=3600, block_rows=4096)
+    return A.feature_parity(a, b, ["sym", "time"], ["atr_14", "rsi_14", "trend_ema"]).select("feature", "n", "mismatches")
+
+
+@query("weekend_minutes", """WITH e AS (SELECT event_id, epoch(ts)::BIGINT AS s0, floor(epoch(ts))::BIGINT AS s, isodow(ts) - 1 AS wd FROM events),
+ c AS (SELECT *, (s // 86400 + (11 - wd) % 7) * 86400 + 75300 AS cl FROM e) SELECT event_id, CASE WHEN s > cl AND wd >= 4 THEN 0 ELSE (CASE WHEN s > cl THEN cl + 604800 ELSE cl END - s) // 60 END::BIGINT AS minutes FROM c""")
+def _(spark, sf):
+    return table(spark, sf, "events").select("event_id", A.weekend_minutes(F.col("ts").cast("timestamp")).alias("minutes"))
+
+
+@query("position_state", "WITH " + OUTCOMES + """, q AS (SELECT *, sum(pnl) OVER (PARTITION BY sym, time::DATE ORDER BY time) AS dp, count(*) OVER (PARTITION BY sym, time::DATE ORDER BY time) AS tt, sign(pnl) AS sg FROM oc),
+ i AS (SELECT *, CASE WHEN sg IS DISTINCT FROM lag(sg) OVER (PARTITION BY sym ORDER BY time) THEN 1 ELSE 0 END AS ch FROM q), j AS (SELECT *, sum(ch) OVER (PARTITION BY sym ORDER BY time) AS isl FROM i)
+ SELECT event_id, round(dp, 4) + 0.0 AS day_pnl, tt AS trades_today, (sg * row_number() OVER (PARTITION BY sym, isl ORDER BY time))::BIGINT AS streak FROM j""")
+def _(spark, sf):
+    out = A.position_state(outcomes(spark, sf).select("event_id", "sym", "time", "pnl"))
+    return out.select("event_id", *rd("day_pnl", d=4), "trades_today", F.col("streak").cast("bigint").alias("streak"))
+
+
+# ── streams ─────────────────────────────────────────────────────────────────
+
+def tick_stream(spark, sf):
+    schema = table(spark, sf, "events").schema
+    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    bid = F.greatest("value", F.lit(0.01))
+    return raw.select(F.col("event_type").alias("sym"), F.col("ts").cast("timestamp").alias("ts"), bid.alias("bid"), (bid + 0.2).alias("ask"))
+
+
+@query("stream_bars", "WITH " + sql_bars("hour") + f" SELECT {KEY}, open, high, low, close, tick_volume, spread FROM bars")
+def _(spark, sf):
+    out = live.run_available(live.stream_bars(tick_stream(spark, sf), "1 hour"), f"stream_bars_{next(_names)}")
+    return out.select("sym", epoch(), "open", "high", "low", "close", "tick_volume", "spread")
+
+
+MICRO = "WITH " + TICKS + f""", d AS (SELECT *, sign(bid - lag(bid) OVER (PARTITION BY sym ORDER BY ts)) AS dr FROM ticks),
+ m AS (SELECT *, count(*) OVER s AS a, count(*) OVER l AS b, count(*) FILTER (dr > 0) OVER s AS us, count(*) FILTER (dr < 0) OVER s AS ds, count(*) FILTER (dr > 0) OVER l AS ul, count(*) FILTER (dr < 0) OVER l AS dl,
+   avg(ask - bid) OVER s AS sm FROM d WINDOW s AS (PARTITION BY sym ORDER BY ts RANGE BETWEEN INTERVAL 600 SECONDS PRECEDING AND CURRENT ROW), l AS (PARTITION BY sym ORDER BY ts RANGE BETWEEN INTERVAL 3000 SECONDS PRECEDING AND CURRENT ROW))
+ SELECT event_id, a AS ticks_60s, b AS ticks_300s, {R('(us - ds) / (us + ds + 1e-9)', 'imb_60s')}, {R('(ul - dl) / (ul + dl + 1e-9)', 'imb_300s')}, {R('sm', 'spread_mean_60s')} FROM m"""
+
+
+@query("microstructure", MICRO)
+def _(spark, sf):
+    # the test ticks are sparse, so the windows are ten times longer than live ones
+    out = live.microstructure(ticks(spark, sf), 600, 3000)
+    return out.select("event_id", "ticks_60s", "ticks_300s", *rd("imb_60s", "imb_300s", "spread_mean_60s"))
+
+
+@query("stream_microstructure", "WITH " + TICKS + """, w AS (SELECT sym, time_bucket(INTERVAL 1 HOUR, ts) AS st, count(*) AS ticks, round(avg(ask - bid), 6) AS spread_mean FROM ticks GROUP BY 1, 2)
+ SELECT sym, epoch(st)::BIGINT AS t, ticks, spread_mean FROM w""")
+def _(spark, sf):
+    out = live.run_available(live.stream_microstructure(tick_stream(spark, sf), "1 hour", "1 hour"), f"stream_micro_{next(_names)}")
+    return out.select("sym", epoch("start"), "ticks", *rd("spread_mean"))
+
+
+def open_trades(spark, sf):
+    """One open trade per series and day, from its first tick."""
+    t = ticks(spark, sf).groupBy("sym", F.to_date("ts").alias("d")).agg(F.min("ts").alias("opened"), F.min_by("bid", "ts").alias("px"), F.min("event_id").alias("trade_id"))
+    side = (F.col("trade_id") % 2).cast("double")
+    return t.select("trade_id", "sym", (F.col("opened") - F.expr("INTERVAL 2 SECONDS")).alias("opened"), side.alias("direction"),
+                    F.when(side == 1, F.col("px") - 15).otherwise(F.col("px") + 15).alias("sl"), F.when(side == 1, F.col("px") + 40).otherwise(F.col("px") - 10).alias("tp"))
+
+
+TOUCH = "WITH " + TICKS + """, o AS (SELECT sym, ts::DATE AS d, min(ts) - INTERVAL 2 SECONDS AS opened, arg_min(bid, ts) AS px, min(event_id) AS trade_id FROM ticks GROUP BY 1, 2),
+ o2 AS (SELECT *, trade_id % 2 AS di, CASE WHEN trade_id % 2 = 1 THEN px - 15 ELSE px + 15 END AS sl, CASE WHEN trade_id % 2 = 1 THEN px + 40 ELSE px - 10 END AS tp FROM o),
+ j AS (SELECT trade_id, o2.opened, min(CASE WHEN di = 1 AND bid <= sl OR di = 0 AND ask >= sl THEN ts END) AS s, min(CASE WHEN di = 1 AND bid >= tp OR di = 0 AND ask <= tp THEN ts END) AS k, min(ts) AS f, min(bid) AS min_bid, max(ask) AS max_ask
+  FROM o2 JOIN ticks t ON t.sym = o2.sym AND t.ts >= o2.opened GROUP BY 1, 2)"""
+
+
+@query("stream_first_touch", TOUCH + f" SELECT trade_id, CASE WHEN s IS NOT NULL AND (k IS NULL OR s <= k) THEN 'SL' WHEN k IS NOT NULL THEN 'TP' END AS verdict, {R('min_bid', 'min_bid')}, {R('max_ask', 'max_ask')} FROM j")
+def _(spark, sf):
+    out = live.run_available(live.tick_first_touch(tick_stream(spark, sf), open_trades(spark, sf)), f"touch_{next(_names)}")
+    return out.select("trade_id", "verdict", *rd("min_bid", "max_ask"))
+
+
+@query("partial_coverage", TOUCH + " SELECT trade_id, epoch(f) - epoch(opened) > 1 AS partial FROM j")
+def _(spark, sf):
+    return live.tick_first_touch(ticks(spark, sf), open_trades(spark, sf), 1.0).select("trade_id", "partial")
+
+
+@query("fresh_tick", "SELECT event_id FROM events WHERE event_id % 120 < 60")
+def _(spark, sf):
+    e = table(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp").alias("arrival"))
+    lag = F.col("event_id") % 120
+    e = e.withColumn("server", F.timestamp_micros(F.unix_micros("arrival") + (3 * 3600 - lag) * 1_000_000))
+    return live.fresh_ticks(e, "server", "arrival").select("event_id")
+
+
+@query("upsert_bar", "WITH " + sql_bars("hour") + f" SELECT {KEY}, open, high + CASE WHEN hour(time) < 12 THEN 1 ELSE 0 END AS high, low, close + CASE WHEN hour(time) < 12 THEN 1 ELSE 0 END AS close FROM bars")
+def _(spark, sf):
+    b = bars(spark, sf).drop("real_volume")
+    up = b.filter(F.hour("time") < 12).withColumns({"high": F.col("high") + 1, "close": F.col("close") + 1, "low": F.col("low") + 0.5})
+    return live.upsert_bars(b, up).select("sym", epoch(), "open", "high", "low", "close")
+
+
+@query("bar_watermark", "WITH " + sql_bars("hour") + f" SELECT {KEY}, close FROM bars WHERE time > TIMESTAMP '2024-01-20 00:00:00'")
+def _(spark, sf):
+    b = bars(spark, sf)
+    last = b.select("sym").distinct().withColumn("last_time", F.lit("2024-01-20").cast("timestamp"))
+    return live.after_watermark(b, last).select("sym", epoch(), "close")
+
+
+@query("stream_score", SIDE + f" SELECT {KEY}, direction, {R('exp', 'exp')} FROM sd WHERE time >= TIMESTAMP '2024-01-25'")
+def _(spark, sf):
+    fresh = bars(spark, sf).filter(F.col("time") >= F.lit("2024-01-25").cast("timestamp")).select("sym", "time")
+    return D.side_choice(D.best_placement(cells(spark, sf))).join(fresh, ["sym", "time"], "left_semi").select("sym", epoch(), "direction", *rd("exp"))
+
+
+@query("incremental_append", MATRIX + f" SELECT {KEY}, direction, sl_mult, tp_ratio, target FROM mx WHERE time > TIMESTAMP '2024-01-25'")
+def _(spark, sf):
+    b = bars(spark, sf)
+    old = b.filter(F.col("time") <= F.lit("2024-01-25").cast("timestamp")).groupBy("sym").agg(F.lit("2024-01-25").cast("timestamp").alias("time"))
+    out = MN.incremental_rows(b, old, min_bars=0, max_bars=SHORT, bar_secs=3600, groups=["atr"], only_complete=False)
+    return out.select("sym", epoch(), "direction", "sl_mult", "tp_ratio", "target")

@@ -186,11 +186,11 @@ def same_idea(
     def follow(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_us")
         t, px, atr, tp = (pdf[c].to_numpy(dtype=float) for c in ("_us", "px", "atr", "tp_dist"))
-        st = pdf["_state"].to_numpy()
+        st, stretch = pdf["_state"].to_numpy(), pdf["_stretch"].to_numpy()
         kept = np.zeros(len(pdf), dtype=bool)
         k = -1
         for i in range(len(pdf)):
-            if k >= 0:
+            if k >= 0 and stretch[i] == stretch[k]:
                 if t[i] - t[k] < min_gap_secs * 1e6:
                     continue
                 if st[i] == st[k] and abs(px[i] - px[k]) < move_atr * atr[i] and abs(tp[i] - tp[k]) <= tp_band:
@@ -199,4 +199,6 @@ def same_idea(
             k = i
         return pdf.assign(kept=kept)[[*names, "kept"]]
 
-    return rows.select(*names, "_us", "_state", "_stretch").groupBy("sym", "_stretch").applyInPandas(follow, schema)
+    # stretches are mostly short; a few hundred share one call
+    rows = rows.select(*names, "_us", "_state", "_stretch")
+    return rows.groupBy("sym", F.floor(F.col("_stretch") / 256)).applyInPandas(follow, schema)
