@@ -205,8 +205,9 @@ def _(spark, sf):
  SELECT regime, direction, {R('CASE WHEN ok THEN s END', 'sl_atr')}, {R('CASE WHEN ok THEN greatest(w / s, 1.0) END', 'tp_ratio')}, {R('CASE WHEN ok THEN w END', 'mfe_p50')},
  {R('CASE WHEN ok THEN l9 END', 'mfa_p90')}, {R('CASE WHEN ok THEN l5 END', 'mfa_p50')}, n_winners, n_losers FROM c""")
 def _(spark, sf):
-    m = regime_matrix(spark, sf).withColumn("sl_atr", F.col("sl_atr_buy"))
-    return C.placement_prior(m).select("regime", "direction", *rd("sl_atr", "tp_ratio", "mfe_p50", "mfa_p90", "mfa_p50"), "n_winners", "n_losers")
+    m = regime_matrix(spark, sf).select("regime", "direction", F.col("sl_atr_buy").alias("sl_atr"), "mfe_atr", "mfa_atr", "target")
+    # several ranked passes follow: write the six columns once
+    return C.placement_prior(checkpointed(m)).select("regime", "direction", *rd("sl_atr", "tp_ratio", "mfe_p50", "mfa_p90", "mfa_p50"), "n_winners", "n_losers")
 
 
 @query("dir_prior", REG + f""", hz AS (SELECT unnest([3, 12]) AS h), z AS (SELECT r.regime, h, r.time, r.close, (SELECT arg_min(f.close, f.time) FROM rg f WHERE f.sym = r.sym AND f.time >= r.time + h * INTERVAL 1 HOUR) AS later FROM rg r, hz),
@@ -215,7 +216,7 @@ def _(spark, sf):
  c AS (SELECT a.*, CASE WHEN rr > 50 THEN nr ELSE 0 END AS n_recent, CASE WHEN rr > 50 THEN pr ELSE p_full END AS p_rec FROM a JOIN k USING (regime))
  SELECT regime, h::BIGINT AS horizon, {R('least(n_recent / 500.0, 1) * p_rec + (1 - least(n_recent / 500.0, 1)) * p_full', 'p_up')}, {R('p_full', 'p_full')}, n_full, n_recent::BIGINT AS n_recent FROM c""")
 def _(spark, sf):
-    out = C.dir_prior(regime_bars(spark, sf), [3, 12], 3600, recent_days=10)
+    out = C.dir_prior(checkpointed(regime_bars(spark, sf).select("sym", "time", "close", "regime")), [3, 12], 3600, recent_days=10)
     return out.select("regime", F.col("horizon").cast("bigint").alias("horizon"), *rd("p_up", "p_full"), "n_full", F.col("n_recent").cast("bigint").alias("n_recent"))
 
 
@@ -229,9 +230,9 @@ def squares(spark, sf):
     return probs(spark, sf).withColumn("q", F.col("p") * F.col("p"))
 
 
-@query("quantile_bins", BINS + f" SELECT sym, bin::BIGINT AS bin, {R('mean_p', 'mean_p')}, sum_y, n FROM ag")
+@query("quantile_bins", BINS + f" SELECT sym, bin::BIGINT AS bin, {R('mean_p', 'mean_p', 9)}, sum_y, n FROM ag")
 def _(spark, sf):
-    return C.quantile_bins(squares(spark, sf), ["sym"], "q", "y", 40).select("sym", F.col("bin").cast("bigint").alias("bin"), *rd("mean_p"), "sum_y", "n")
+    return C.quantile_bins(squares(spark, sf), ["sym"], "q", "y", 40).select("sym", F.col("bin").cast("bigint").alias("bin"), *rd("mean_p", d=9), "sum_y", "n")
 
 
 @query("shrink_bins", BINS + f""", bs AS (SELECT sym, sum(sum_y) / sum(n) AS base FROM ag GROUP BY 1)
@@ -248,7 +249,7 @@ def _(spark, sf):
 
 @query("calib_by_key")
 def _(spark, sf):
-    m = scored(spark, sf)
+    m = checkpointed(scored(spark, sf).select("direction", "tp_ratio", "p", "target"))
     return C.fit_curves(m, ["direction", "tp_ratio"], "p", "target", min_rows=1000).select("direction", "tp_ratio", F.size("knots_p").alias("knots"), "n")
 
 
@@ -381,7 +382,7 @@ def _(spark, sf):
 @query("same_idea")
 def _(spark, sf):
     s = rated(spark, sf).select("sym", "time", "direction", "regime", F.col("close").alias("px"), F.col("atr_14").alias("atr"), "tp_dist")
-    return D.same_idea(s).select("sym", epoch(), "direction", "kept")
+    return D.same_idea(checkpointed(s)).select("sym", epoch(), "direction", "kept")
 
 
 # ── models ──────────────────────────────────────────────────────────────────
@@ -498,7 +499,7 @@ CHAIN = TRADES + """, nx AS MATERIALIZED (SELECT a.sym, a.period_id, a.rn, min(z
 
 
 def one_at_a_time(spark, sf, block_rows=8192):
-    return BT.non_overlap(threshold_trades(spark, sf), 24, 1, block_rows=block_rows)
+    return checkpointed(BT.non_overlap(checkpointed(threshold_trades(spark, sf)), 24, 1, block_rows=block_rows))
 
 
 @query("non_overlap", CHAIN + f" SELECT {KEY}, kind, exit_rn, {R('pnl', 'pnl')} FROM no")

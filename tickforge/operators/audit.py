@@ -13,7 +13,8 @@ from pyspark.sql import types as T
 from tickforge.operators.regime import DEFAULTS
 from tickforge.operators.series import block_window, blocks, core_rows, running
 
-OUTCOME_SCHEMA = T.StructType.fromDDL(
+# schema of an outcome journal, for spark.read.schema(...).json(...)
+OUTCOME_DDL = (
     "t double, dir string, entry double, sl double, tp double, pnl double, result string, conf double, "
     "regime string, sl_atr double, state struct<day_pnl:double,streak:double,trades_today:double>, feats map<string,double>")
 

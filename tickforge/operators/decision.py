@@ -162,24 +162,21 @@ def same_idea(
     """Marks signals kept (True) or suppressed as repeats of the last kept one.
 
     Input: sym, time, direction, regime, px, atr, tp_dist. A signal is certainly
-    kept when it is min_gap after the one before and changes side or regime.
-    Such signals split a series into independent stretches; only inside one is
+    kept when it changes side or regime and both it and the one before follow
+    their predecessors by min_gap: then the last kept signal has the side and
+    regime of the one before. Such signals split a series into independent stretches; only inside one is
     the order followed row by row.
     """
-    us = F.unix_micros("time")
-    bucket = F.floor(us / (bucket_secs * 1_000_000))
+    gap = int(min_gap_secs * 1e6)
+    bucket = F.floor(F.unix_micros("time") / (bucket_secs * 1_000_000))
     state = F.concat_ws("|", F.col("direction").cast("string"), "regime")
-    rows = signals.withColumns({"_us": us, "_state": state, "_bk0": bucket})
-    # last row of each bucket gives the neighbour of the next bucket's first row
+    rows = signals.withColumns({"_us": F.unix_micros("time"), "_state": state, "_bk0": bucket})
     w = W.partitionBy("sym", "_bk0").orderBy("time")
-    last = rows.groupBy("sym", "_bk0").agg(F.max_by(F.struct("_us", "_state"), "_us").alias("_e"))
-    last = last.withColumn("_e", F.lag("_e").over(W.partitionBy("sym").orderBy("_bk0")))
-    rows = rows.join(last, ["sym", "_bk0"])
-    prev = F.coalesce(F.lag(F.struct("_us", "_state")).over(w), F.col("_e"))
-    rows = rows.withColumn("_pv", prev).drop("_e", "_bk0")
-    fresh = F.col("_pv").isNull() | ((us - F.col("_pv._us") >= int(min_gap_secs * 1e6)) & (F.col("_state") != F.col("_pv._state")))
-    rows = rows.withColumn("_new", fresh.cast("int")).drop("_pv")
-    rows = running(rows, ["sym"], ["time"], F.floor(F.col("_us") / (bucket_secs * 1_000_000)), {"_stretch": ("sum", "_new")})
+    # without both neighbours in the bucket a row simply stays in the stretch before it
+    fresh = ((F.col("_us") - F.lag("_us").over(w) >= gap) & (F.lag("_us").over(w) - F.lag("_us", 2).over(w) >= gap)
+             & (F.col("_state") != F.lag("_state").over(w)))
+    rows = rows.withColumn("_new", F.coalesce(fresh, F.lit(False)).cast("int"))
+    rows = running(rows, ["sym"], ["time"], F.col("_bk0"), {"_stretch": ("sum", "_new")})
     schema = T.StructType([*signals.schema.fields, T.StructField("kept", T.BooleanType())])
     names = signals.columns
 
