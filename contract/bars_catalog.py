@@ -10,8 +10,9 @@ from contract.base import (
 )
 from tickforge.operators import bars as B
 from tickforge.operators import events as EV
-from tickforge.operators.features import GROUPS, features
+from tickforge.operators.features import GROUPS, NEEDS_BINS, features
 from tickforge.operators.series import segment
+from tickforge.session import checkpointed
 
 OHLC = ["open", "high", "low", "close", "tick_volume", "spread"]
 OHLC_SQL = "open, high, low, close, tick_volume, spread"
@@ -146,7 +147,11 @@ def _(spark, sf):
 # ── features ────────────────────────────────────────────────────────────────
 
 def feat(spark, sf, groups, **kw):
-    return features(seg(spark, sf, streak_of="close"), groups, kw.pop("events", None), bar_secs=3600, **kw)
+    base = seg(spark, sf, streak_of="close")
+    if NEEDS_BINS & set(groups):
+        # bars feed three timeframes: write the narrow frame once instead of deriving it for each
+        base = checkpointed(base)
+    return features(base, groups, kw.pop("events", None), bar_secs=3600, **kw)
 
 
 def feature_query(name, sql, d=6, **kw):
@@ -232,26 +237,26 @@ def _z(e):
     return f"coalesce({e}, 0)"
 
 
-feature_query("levels", HTF + f" SELECT {KEY}, " + cols_sql({
+CAP = 1e5  # a zero range or ATR divides by 1e-9; such values are compared as large only
+
+
+def capped_query(name, exprs):
+    @query(name, HTF + f" SELECT {KEY}, " + cols_sql({a: f"greatest(least({e}, {CAP}), -{CAP})" for a, e in exprs.items()}, 4) + " FROM x")
+    def _(spark, sf):
+        f = feat(spark, sf, [name])
+        return f.select("sym", epoch(), *[F.round(F.greatest(F.least(c, F.lit(CAP)), F.lit(-CAP)), 4).alias(c) for c in GROUPS[name]])
+
+
+capped_query("levels", {
     "dist_prev_close": _z("(close - d1_cl) / (atr_14 + 1e-9)"), "dist_prev_high": _z("(close - d1_hi) / (atr_14 + 1e-9)"),
     "dist_prev_low": _z("(close - d1_lo) / (atr_14 + 1e-9)"), "dist_day_open": "(close - d_open) / (atr_14 + 1e-9)",
-    "round50_dist": "(close - round_even(close / 50.0, 0) * 50.0) / (atr_14 + 1e-9)", "dow_cos": "cos(2 * pi() * (isodow(time) - 1) / 7.0)"}) + " FROM x")
-_htf_cols = {
+    "round50_dist": "(close - round_even(close / 50.0, 0) * 50.0) / (atr_14 + 1e-9)", "dow_cos": "cos(2 * pi() * (isodow(time) - 1) / 7.0)"})
+capped_query("htf_context", {
     **{f"{r}_trend": _z(f"{r}_tr") for r in ("h1", "d1", "m15")}, **{f"{r}_pos": _z(f"(close - {r}_lo) / ({r}_hi - {r}_lo + 1e-9)") for r in ("h1", "d1", "m15")},
     "m1_h1_vol_ratio": _z("atr_14 / ((h1_hi - h1_lo) / 60 + 1e-9)"), "m1_d1_vol_ratio": _z("atr_14 / ((d1_hi - d1_lo) / 1440 + 1e-9)"),
     "m15_m1_vol_ratio": _z("(m15_hi - m15_lo) / (atr_14 * 3 + 1e-9)"),
     **{f"dist_{r}_hi": _z(f"({r}_hi - close) / (atr_14 + 1e-9)") for r in ("h1", "m15")}, **{f"dist_{r}_lo": _z(f"(close - {r}_lo) / (atr_14 + 1e-9)") for r in ("h1", "m15")},
-    "htf_align": _z("sign(h1_tr) * sign(d1_tr)"), "m15_align": _z("sign(m15_tr) * sign(h1_tr)")}
-CAP = 1e5  # a bin without range divides by 1e-9; such values are compared as large only
-
-
-@query("htf_context", HTF + f" SELECT {KEY}, " + cols_sql({a: f"greatest(least({e}, {CAP}), -{CAP})" for a, e in _htf_cols.items()}, 4) + " FROM x")
-def _(spark, sf):
-    f = feat(spark, sf, ["htf_context"])
-    return f.select("sym", epoch(), *[F.round(F.greatest(F.least(c, F.lit(CAP)), F.lit(-CAP)), 4).alias(c) for c in GROUPS["htf_context"]])
-
-
-
+    "htf_align": _z("sign(h1_tr) * sign(d1_tr)"), "m15_align": _z("sign(m15_tr) * sign(h1_tr)")})
 _ma = {n: f"({roll('avg', 'close', n)} + 1e-9)" for n in (100, 200)}
 feature_query("scale_free", ATR + ", " + ewm("em", "seg", {"f": ("close", "(2.0::DOUBLE/13)"), "s": ("close", "(2.0::DOUBLE/27)")}) + ", " + ewm("es", "em", {"sig": ("f - s", "(0.2::DOUBLE)")}) + f" SELECT {KEY}, " + cols_sql({
     **{f"{c}_ma100": f"{c} / ({_ma[100]})" for c in ("close", "open", "high", "low")}, "close_ma200": f"close / ({_ma[200]})",
@@ -330,7 +335,7 @@ feature_query("donchian", HEAD + f""", d AS (SELECT *, {roll('max', 'high', 20)}
 
 @query("feature_block", RX + f""" SELECT {KEY}, {R('atr_14', 'atr_14')}, {R('rsi_14', 'rsi_14')}, {R('bb_pctile', 'bb_pctile')}, {R('trend_ema', 'trend_ema')}, {R('news_candle', 'news_candle')} FROM r3""")
 def _(spark, sf):
-    full = features(seg(spark, sf, streak_of="close"), None, calendar(spark), bar_secs=3600)
+    full = features(checkpointed(seg(spark, sf, streak_of="close")), None, calendar(spark), bar_secs=3600)
     return full.select("sym", epoch(), *rd("atr_14", "rsi_14", "bb_pctile", "trend_ema", "news_candle"))
 
 

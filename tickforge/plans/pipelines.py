@@ -13,6 +13,7 @@ from tickforge.operators.features import features
 from tickforge.operators.grid import placement_matrix
 from tickforge.operators.regime import with_regime
 from tickforge.operators.series import segment
+from tickforge.session import checkpointed
 from tickforge.sources.readers import write_time_ordered
 
 REGIME_GROUPS = ["atr", "rsi", "bollinger", "volume", "regime_feats", "rolling_pctrank"]
@@ -26,7 +27,7 @@ def regime_frame(bars: DataFrame, gap_secs: float = 6 * 3600, min_bars: int = 0,
 def nightly_matrix(bars: DataFrame, path: str, events: DayEvents | None = None, gap_secs: float = 6 * 3600,
                    min_bars: int = 300, bar_secs: int = 300, max_bars: int = MAX_BARS_M5) -> None:
     """Bars to the stored placement matrix."""
-    seg = segment(bars, gap_secs, min_bars, streak_of="close")
+    seg = checkpointed(segment(bars, gap_secs, min_bars, streak_of="close"))
     write_time_ordered(placement_matrix(seg, max_bars, events, bar_secs, gap_secs), path)
 
 
