@@ -10,9 +10,11 @@ from contract.base import (
 )
 from tickforge.operators import bars as B
 from tickforge.operators import events as EV
-from tickforge.operators.features import GROUPS, NEEDS_BINS, features
+from tickforge.constants import RAW_PRICE_COLS
+from tickforge.operators.features import GROUPS, NEEDS_BINS, complete_rows, features, market_columns
 from tickforge.operators.series import segment
 from tickforge.session import checkpointed
+from tickforge.sources.readers import schema_fingerprint
 
 OHLC = ["open", "high", "low", "close", "tick_volume", "spread"]
 OHLC_SQL = "open, high, low, close, tick_volume, spread"
@@ -343,3 +345,22 @@ def _(spark, sf):
 def _(spark, sf):
     s = segment(daily(spark, sf), gap_secs=10 ** 9, bucket_secs=512 * 86400)
     return features(s, ["atr"], None, bar_secs=86400, gap_secs=10 ** 9).select("sym", epoch(), *rd("atr_14", d=4))
+
+
+@query("complete_rows", HEAD + f" SELECT {KEY}, {R(ret['ret_60'], 'ret_60')} FROM seg QUALIFY {lagc('close', 60)} IS NOT NULL")
+def _(spark, sf):
+    return complete_rows(feat(spark, sf, ["returns"])).select("sym", epoch(), *rd("ret_60"))
+
+
+@query("market_columns", HEAD + f" SELECT {KEY}, {R(ret['ret_1'], 'ret_1')} FROM seg QUALIFY coalesce(close > c1, false)")
+def _(spark, sf):
+    """Anti-list projection: raw prices never reach the model frame."""
+    f = feat(spark, sf, ["returns"])
+    names = market_columns(f, RAW_PRICE_COLS)
+    return f.select(*names).filter(F.col("ret_1") > 0).select("sym", epoch(), *rd("ret_1"))
+
+
+@query("schema_guard")
+def _(spark, sf):
+    b = bars(spark, sf)
+    return b.groupBy("sym").agg(F.count("*").alias("n"), F.lit(schema_fingerprint(b)).alias("fingerprint"))

@@ -230,9 +230,9 @@ def squares(spark, sf):
     return probs(spark, sf).withColumn("q", F.col("p") * F.col("p"))
 
 
-@query("quantile_bins", BINS + f" SELECT sym, bin::BIGINT AS bin, {R('mean_p', 'mean_p', 9)}, sum_y, n FROM ag")
+@query("quantile_bins", BINS + f" SELECT sym, bin::BIGINT AS bin, {R('mean_p * n', 'sum_p')}, sum_y, n FROM ag")
 def _(spark, sf):
-    return C.quantile_bins(squares(spark, sf), ["sym"], "q", "y", 40).select("sym", F.col("bin").cast("bigint").alias("bin"), *rd("mean_p", d=9), "sum_y", "n")
+    return C.quantile_bins(squares(spark, sf), ["sym"], "q", "y", 40).select("sym", F.col("bin").cast("bigint").alias("bin"), F.round(F.col("mean_p") * F.col("n"), 6).alias("sum_p"), "sum_y", "n")
 
 
 @query("shrink_bins", BINS + f""", bs AS (SELECT sym, sum(sum_y) / sum(n) AS base FROM ag GROUP BY 1)
