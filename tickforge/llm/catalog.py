@@ -1,4 +1,4 @@
 """All registered queries of this subpackage."""
 
-from tickforge.llm import language, mixing, near_dedup, quality, sharding, url_filter  # noqa: F401  (registration)
+from tickforge.llm import fingerprint, language, mixing, near_dedup, quality, sharding, url_filter  # noqa: F401  (registration)
 from tickforge.llm.common import ORACLE, QUERIES  # noqa: F401
