@@ -189,7 +189,8 @@ def keep_identified(docs: DataFrame, least: float = 0.3, **options) -> DataFrame
     model = train(train_rows(docs), **options)
     p = predictor(model, docs.sparkSession)(docs["text"])
     judged = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), p.alias("_p"))
-    return judged.where((F.col("_p.lang_pred") != "und") & (F.col("_p.score") >= least)).select("_row.*")
+    kept = F.when((F.col("_p.lang_pred") != "und") & (F.col("_p.score") >= least), F.array("_row"))
+    return judged.select(F.explode(kept).alias("_row")).select("_row.*")
 
 
 @query("op2_language_bitmask")
