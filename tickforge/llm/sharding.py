@@ -8,8 +8,9 @@ best movers of the other, filled up with unlinked documents, so counts never cha
 Each exchange lessens the cut (linked pairs in different shards) or leaves it.
 
 Hot hubs: neighbours are counted per (hub, shard) before anything is joined, ranks are
-taken in buckets (`with_offsets`), and quotas are 8 x 8 numbers. A group larger than a
-shard fills whole shards and spills over.
+taken in buckets (`with_offsets`), and quotas are 8 x 8 numbers. Every other round only
+shards that still hold unlinked documents are wished for, so that a group larger than a
+shard goes on to fill a second one when its first is full.
 
 Null texts have size 1, checksum 0 and are equal to empty texts. Rows with equal or
 missing doc_id are placed one by one. Only the named columns are read.
@@ -27,13 +28,16 @@ def propagate(rows: DataFrame, n: int, shards: int = 8, rounds: int = 12) -> Dat
     """Adds `shard` to rows (v: 0..n-1 without gaps, hub: null for unlinked rows; other columns are kept)."""
     names = rows.columns
     state = materialize(rows.withColumn("shard", (F.col("v") % shards).cast("int")))
+    still = 0
     for r in range(rounds):
+        free = sorted(x["shard"] for x in state.where("hub IS NULL").select("shard").distinct().collect())  # at most shards rows
+        open_to = F.col("shard").isin(free) if r % 2 and free else F.lit(True)
         wish = state.where("hub IS NOT NULL").groupBy("hub", "shard").agg(F.count(F.lit(1)).alias("c")).groupBy("hub").agg(
-            F.max(F.struct("c", F.xxhash64("hub", "shard").alias("tie"), "shard")).alias("best"),
+            F.max(F.struct(open_to.alias("open"), "c", F.xxhash64("hub", "shard").alias("tie"), "shard")).alias("best"),
             F.map_from_entries(F.collect_list(F.struct("shard", "c"))).alias("by"))  # one entry for each shard
         wish = wish.where(F.size("by") > 1).select(F.col("hub").alias("_hub"), F.col("best.shard").alias("home"), F.col("best.c").alias("most"), "by")
         linked = state.where("hub IS NOT NULL").join(wish, F.col("hub") == F.col("_hub"))
-        movers = linked.where("home <> shard").select(
+        movers = linked.where((F.col("home") != F.col("shard")) & (F.element_at("by", F.col("shard")) <= F.col("most"))).select(
             *names, "shard", F.col("home").alias("to"), F.least(F.lit(62), F.log2((F.col("most") - F.element_at("by", F.col("shard")) + 2).cast("double")).cast("int")).alias("gain"))
         partner = (F.col("shard") + 1 + F.pmod(F.xxhash64(F.lit(r), "v"), F.lit(shards - 1)).cast("int")) % shards
         fill = state.where("hub IS NULL").select(*names, "shard", partner.alias("to"), F.lit(0).alias("gain"))
@@ -44,8 +48,11 @@ def propagate(rows: DataFrame, n: int, shards: int = 8, rounds: int = 12) -> Dat
         for (a, b), (t, p) in cells.items():
             t2, p2 = cells.get((b, a), (0, 0))
             quota[a * shards + b] = min(t, t2, max(p, p2))
-        if not any(quota):
+        still = 0 if any(quota) else still + 1
+        if still == 2:
             break
+        if still:
+            continue
         # movers of high gain first, then unlinked rows; within a gain at random
         order = (F.lit(62) - F.col("gain")).cast("long") * F.lit(1 << 55) + F.shiftright(spread(F.lit(r), "v"), 7)
         ranked = with_offsets(moves, ["shard", "to"], F.shiftright(order, 0), ["v"], "rank", n * 8)
