@@ -23,8 +23,9 @@ import heapq
 import json
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import regex
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -67,29 +68,22 @@ def lookup(buckets: Column, key: Column) -> Column:
 def encode_piece(piece: Column, buckets: Column) -> Column:
     """array<int>: ids of one piece (a string of byte characters) by a fold of ranked merges."""
     rank = lambda key: F.coalesce(lookup(buckets, key), F.lit(NONE))
-    parts = F.transform(F.sequence(F.lit(1), F.length(piece)), lambda i: F.substring(piece, i, F.lit(1)))
-    pairs = F.transform(F.sequence(F.lit(1), F.length(piece) - 1), lambda i: rank(F.substring(piece, i, F.lit(2))))
-    none = F.array().cast("array<int>")
+    places = F.sequence(F.lit(1), F.length(piece))
+    parts = F.transform(places, lambda i: F.substring(piece, i, F.lit(1)))
+    pairs = F.transform(places, lambda i: F.when(i < F.length(piece), rank(F.substring(piece, i, F.lit(2)))).otherwise(F.lit(NONE)))
 
-    def merge(acc: Column, low: Column) -> Column:
-        p, r = acc["p"], acc["r"]
+    def step(acc: Column, _: Column) -> Column:
+        p, r = acc["p"], acc["r"]  # parts, and the rank of each part joined with the next
 
-        def at(m: Column) -> Column:  # parts m and m + 1, counted from 1, become one
+        def at(m: Column) -> Column:  # parts m - 1 and m, counted from 0, become one
             both = F.concat(F.get(p, m - 1), F.get(p, m))
+            left, right = rank(F.concat(F.get(p, m - 2), both)), rank(F.concat(both, F.get(p, m + 1)))
+            merged = F.struct(
+                F.transform(F.filter(p, lambda x, i: i != m), lambda x, i: F.when(i == m - 1, both).otherwise(x)).alias("p"),
+                F.transform(F.filter(r, lambda x, i: i != m), lambda x, i: F.when(i == m - 1, right).when(i == m - 2, left).otherwise(x)).alias("r"))
+            return F.when(F.get(r, m - 1) < NONE, merged).otherwise(acc)
 
-            def joined(x: Column) -> Column:
-                left = F.when(m > 1, F.array(rank(F.concat(F.get(p, m - 2), x)))).otherwise(none)
-                right = F.when(m < F.size(r), F.array(rank(F.concat(x, F.get(p, m + 1))))).otherwise(none)
-                return F.struct(
-                    F.concat(F.slice(p, F.lit(1), m - 1), F.array(x), F.slice(p, m + 2, F.size(p))).alias("p"),
-                    F.concat(F.slice(r, F.lit(1), F.greatest(m - 2, F.lit(0))), left, right, F.slice(r, m + 2, F.size(p))).alias("r"))
-
-            return let(both, joined)
-
-        return let(F.array_position(r, low).cast("int"), at)
-
-    def step(acc: Column, _: Column) -> Column:
-        return let(F.array_min(acc["r"]), lambda low: F.when(low < NONE, merge(acc, low)).otherwise(acc))
+        return let(F.array_position(r, F.array_min(r)).cast("int"), at)
 
     start = F.struct(parts.alias("p"), pairs.alias("r"))
     folded = F.aggregate(F.sequence(F.lit(2), F.length(piece)), start, step)["p"]
@@ -133,29 +127,36 @@ def merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 def _chunker(pattern: str, shared, chunk_chars: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, ranks = regex.compile(pattern).findall, shared.value
-        docs: list[dict] = []
+        ids: list[int | None] = []
+        at: list[np.ndarray] = []
         number: dict[str, int] = {}
         held = 0
 
-        def row() -> pd.DataFrame:
-            pieces = []
-            for s in number:
-                raw = s.encode()
-                pieces.append({"s": raw.decode("latin-1"), "ids": None} if len(raw) <= LONG else {"s": "", "ids": merge_long(raw, ranks)})
-            return pd.DataFrame({"docs": [docs], "pieces": [pieces]})
+        def nested(values: pa.Array) -> pa.Array:
+            return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+        def row() -> pa.RecordBatch:
+            ends = np.cumsum([0, *map(len, at)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(at)))
+            docs = pa.StructArray.from_arrays([pa.array(ids, pa.int64()), lists], ["id", "at"])
+            size = [len(s) if s.isascii() else len(s.encode()) for s in number]
+            keys = pa.array([("" if n > LONG else s if n == len(s) else s.encode().decode("latin-1")) for s, n in zip(number, size)], pa.string())
+            known = pa.array([merge_long(s.encode(), ranks) if n > LONG else None for s, n in zip(number, size)], pa.list_(pa.int32()))
+            pieces = pa.StructArray.from_arrays([keys, known], ["s", "ids"])
+            return pa.RecordBatch.from_arrays([nested(docs), nested(pieces)], ["docs", "pieces"])
 
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                text = text or ""
-                at = [number.setdefault(p, len(number)) for p in find(text)]
-                docs.append({"id": None if pd.isna(doc_id) else int(doc_id), "at": at})
+            for k in range(batch.num_rows):
+                text = batch["text"][k].as_py() or ""
+                at.append(np.array([number.setdefault(p, len(number)) for p in find(text)], np.int32))
+                ids.append(batch["doc_id"][k].as_py())
                 held += len(text)
                 if held >= chunk_chars:
                     yield row()
-                    docs, number, held = [], {}, 0
-        if docs:
+                    ids, at, number, held = [], [], {}, 0
+        if ids:
             yield row()
 
     return run
@@ -164,11 +165,11 @@ def _chunker(pattern: str, shared, chunk_chars: int):
 def chunks(docs: DataFrame, vocabulary: Vocabulary, pattern: str, chunk_chars: int) -> DataFrame:
     """One row per chunk: its documents as positions in its list of distinct pieces."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary.ranks)  # the vocabulary's size bounds it
-    return docs.select("doc_id", "text").mapInPandas(_chunker(pattern, shared, chunk_chars), CHUNK_TYPE)
+    return docs.select("doc_id", "text").mapInArrow(_chunker(pattern, shared, chunk_chars), CHUNK_TYPE)
 
 
 def encode_documents(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN,
-                     chunk_chars: int = 1 << 24, keep_ids: bool = False) -> DataFrame:
+                     chunk_chars: int = 1 << 25, keep_ids: bool = False) -> DataFrame:
     """Rows (doc_id, n_tokens, ids_sha256, decoded_sha256), with keep_ids also `ids`, one per row of docs."""
     v = Vocabulary(read_ranks(path or public_tokenizers.path(RANK_FILE)))
     sets = chunks(docs, v, pattern, chunk_chars)
