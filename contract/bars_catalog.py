@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from contract.base import (
@@ -13,8 +15,8 @@ from tickforge.operators import events as EV
 from tickforge.constants import RAW_PRICE_COLS
 from tickforge.operators.features import GROUPS, NEEDS_BINS, complete_rows, features, market_columns
 from tickforge.operators.series import segment
-from tickforge.session import checkpointed
-from tickforge.sources.readers import schema_fingerprint
+from tickforge.session import checkpointed, shared_folder
+from tickforge.sources.readers import read_bars_csv, read_live_bars, schema_fingerprint
 
 OHLC = ["open", "high", "low", "close", "tick_volume", "spread"]
 OHLC_SQL = "open, high, low, close, tick_volume, spread"
@@ -47,6 +49,32 @@ def _(spark, sf):
     return li.groupBy(F.col("l_returnflag").alias("sym")).agg(F.count("*").alias("n"), F.round(F.sum("l_extendedprice"), 2).alias("total"))
 
 
+def written(df, kind, **options):
+    """Writes a table for a reader in the shared folder; returns its path."""
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.format(kind).options(**options).save(path)
+    return path
+
+
+@query("csv_scan", "SELECT l_returnflag AS sym, year(l_shipdate) AS y, count(*) AS n, round(sum(l_extendedprice), 2) AS total FROM lineitem GROUP BY 1, 2")
+def _(spark, sf):
+    """The table written as CSV in another order of columns and read back by its header."""
+    li = table(spark, sf, "lineitem").select(
+        F.col("l_extendedprice").alias("close"), F.col("l_quantity").alias("note"), F.col("l_shipdate").cast("timestamp").alias("time"), F.col("l_returnflag").alias("sym"))
+    got = read_bars_csv(spark, written(li, "csv", header=True), ["sym", "time", "close"])
+    return got.groupBy("sym", F.year("time").alias("y")).agg(F.count("*").alias("n"), F.round(F.sum("close"), 2).alias("total"))
+
+
+@query("live_scan", "SELECT count(*) AS n, sum(floor(epoch(ts)))::BIGINT AS t, round(sum(value), 4) AS total, sum(event_id % 100)::DOUBLE AS volume FROM events")
+def _(spark, sf):
+    """Ticks written as JSON lines and read back as live bars."""
+    e = table(spark, sf, "events").select(
+        F.unix_seconds(F.date_trunc("second", F.col("ts").cast("timestamp"))).alias("t"), *[F.col("value").alias(c) for c in "ohlc"],
+        F.lit(20).alias("spread"), (F.col("event_id") % 100).cast("int").alias("v"))
+    got = read_live_bars(spark, written(e, "json"), "ALL")
+    return got.agg(F.count("*").alias("n"), F.sum(F.unix_seconds("time")).alias("t"), F.round(F.sum("open"), 4).alias("total"), F.sum("tick_volume").alias("volume"))
+
+
 @query("json_scan", "SELECT event_type AS sym, sum(regexp_extract(props, '([0-9]+)', 1)::INT)::BIGINT AS k_sum, count(*) AS n FROM events GROUP BY 1")
 def _(spark, sf):
     e = table(spark, sf, "events").withColumn("k", F.from_json("props", "k bigint")["k"])

@@ -7,7 +7,7 @@ from itertools import count
 from pyspark.sql import functions as F
 
 from contract.base import (
-    ATR, CELLS, FEATS, HEAD, KEY, OUTCOMES, PRIOR, PROBS, PW, R, REG, TICKS, W, bars, epoch, outcomes, prior, probs, query, rd, roll,
+    ATR, BARS, CELLS, FEATS, HEAD, KEY, OUTCOMES, PRIOR, PROBS, PW, R, REG, TICKS, W, bars, calendar, epoch, outcomes, prior, probs, query, rd, roll,
     seg, sql_bars, sql_excursions, sql_levels, sql_seg, sql_touch, table, ticks,
 )
 from tickforge.constants import REGIMES
@@ -534,9 +534,18 @@ def _(spark, sf):
     return BT.selectivity(probs(spark, sf), 95).select("event_id")
 
 
-@query("spread_sensitivity", CHAIN + f", s AS (SELECT unnest([0.2, 0.3, 0.41]::DOUBLE[]) AS cost) SELECT cost, count(*) AS trades, {R('sum(pnl - cost)', 'net')}, count(*) FILTER (pnl - cost > 0) AS wins FROM no, s GROUP BY 1")
+#: Rows of a period before every feature of the matrix is known (the longest look-back).
+WARM_UP = 218
+
+SPREADS = ATR + ", bs AS MATERIALIZED (SELECT b.* REPLACE (b.sym || '@' || cost AS sym), cost FROM b, (SELECT unnest([0.2, 0.3, 0.41]::DOUBLE[]) AS cost))" + CHAIN[len(ATR):].replace(
+    "FROM b)", "FROM bs)").replace("JOIN b f", "JOIN bs f").replace("+ 0.2", "+ cost")
+
+
+@query("spread_sensitivity", SPREADS + f" SELECT cost, count(*) AS trades, {R('sum(pnl)', 'net')}, count(*) FILTER (pnl > 0) AS wins FROM no GROUP BY 1")
 def _(spark, sf):
-    t = BT.at_spreads(one_at_a_time(spark, sf)).withColumn("pnl", F.col("pnl") - F.col("cost"))
+    p = (F.col("rn") * 37 % 100) / F.lit(100.0)
+    bars_in = checkpointed(atr_bars(spark, sf))
+    t = BT.rerun_at_spreads(bars_in, lambda cost: BT.threshold_levels(p, 0.6, F.col("atr_14"), F.col("close"), cost), 24)
     return t.groupBy("cost").agg(F.count("*").alias("trades"), F.sum("pnl").alias("net"), F.count_if(F.col("pnl") > 0).alias("wins")).select("cost", "trades", *rd("net"), "wins")
 
 
@@ -752,3 +761,21 @@ def _(spark, sf):
     old = b.filter(F.col("time") <= F.lit("2024-01-25").cast("timestamp")).groupBy("sym").agg(F.lit("2024-01-25").cast("timestamp").alias("time"))
     out = MN.incremental_rows(b, old, min_bars=0, max_bars=SHORT, bar_secs=3600, groups=["atr"], only_complete=False)
     return out.select("sym", epoch(), "direction", "sl_mult", "tp_ratio", "target")
+
+
+@query("incremental_union", MATRIX + f" SELECT {KEY}, direction, sl_mult, tp_ratio, target, {R('mfe_atr', 'mfe_atr')} FROM mx")
+def _(spark, sf):
+    """A matrix stored at an earlier date and brought up to date; the oracle rebuilds it in full."""
+    b = bars(spark, sf)
+    options = {"max_bars": SHORT, "bar_secs": 3600, "groups": ["atr"], "only_complete": False}
+    stored = checkpointed(G.placement_matrix(seg(spark, sf, streak_of="close").filter(F.col("time") <= F.lit("2024-01-25").cast("timestamp")), **options))
+    out = MN.updated_matrix(b, stored, min_bars=0, **options)
+    return out.select("sym", epoch(), "direction", "sl_mult", "tp_ratio", "target", *rd("mfe_atr"))
+
+
+@query("matrix_rows", "WITH " + BARS + ", " + sql_seg() + f""", w AS (SELECT sym, period_id, max(period_rows) AS n FROM seg GROUP BY 1, 2)
+ SELECT sym, sum(greatest(0, n - {WARM_UP} - 1) * 84)::BIGINT AS n FROM w GROUP BY 1 HAVING sum(greatest(0, n - {WARM_UP} - 1)) > 0""")
+def _(spark, sf):
+    """Rows of the full matrix: every bar after the warm-up but the last of its period has its 84 placements, whatever the calendar covers."""
+    rows = G.placement_matrix(seg(spark, sf, streak_of="close"), 36, calendar(spark), 3600)
+    return rows.groupBy("sym").agg(F.count(F.lit(1)).alias("n"))

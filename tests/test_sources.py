@@ -93,3 +93,42 @@ def test_microstructure_across_buckets(spark):
     cols = ["ts", "ticks_60s", "ticks_300s", "imb_60s", "imb_300s"]
     a, b = (live.microstructure(df, bucket_secs=s).select(*cols).toPandas().sort_values("ts").reset_index(drop=True) for s in (400, 10 ** 6))
     pd.testing.assert_frame_equal(a, b)
+
+
+def test_csv_is_read_by_its_header(spark, tmp_path):
+    from tickforge.sources.readers import read_bars_csv
+
+    (tmp_path / "a.csv").write_text("close,time,open,note\n1.5,2024-01-01 00:00:00,1.25,x\n,2024-01-01 00:01:00,2.0,y\n")
+    got = read_bars_csv(spark, str(tmp_path / "a.csv")).collect()
+    assert (got[0].close, got[0].open, str(got[0].time), got[0].note) == (1.5, 1.25, "2024-01-01 00:00:00", "x") and got[1].close is None
+    assert read_bars_csv(spark, str(tmp_path / "a.csv"), ["sym", "time", "open"]).columns == ["time", "open"]
+
+
+def test_readers_report_what_they_leave_out(spark, tmp_path):
+    import lzma
+
+    from tickforge.sources.readers import candle_rejects, live_rejects
+
+    (tmp_path / "good.bi5").write_bytes(lzma.compress(bytes(48)))
+    (tmp_path / "cut.bi5").write_bytes(lzma.compress(bytes(50)))
+    (tmp_path / "bad.bi5").write_bytes(b"no archive")
+    got = candle_rejects(spark.read.format("binaryFile").load(str(tmp_path / "*.bi5"))).collect()
+    assert sorted((r.path.rsplit("/")[-1], r.reason, r.bytes) for r in got) == [("bad.bi5", "corrupt", 10), ("cut.bi5", "partial", 2)]
+    (tmp_path / "live.jsonl").write_text('{"t": 1, "o": 2.0}\nno json\n{"o": 1.0}\n')
+    assert live_rejects(spark, str(tmp_path / "live.jsonl")).count() == 2
+
+
+def test_window_keeps_nulls(spark):
+    from tickforge.operators.bars import pick_windows
+
+    df = spark.sql("SELECT TIMESTAMP '2024-01-05' AS time, CAST(NULL AS double) AS open, 1.0D AS close")
+    row = pick_windows(df, [("w", "2024-01-01", "2024-01-31")]).first()
+    assert row.open is None and row.src == "w"
+
+
+def test_models_keep_rows_with_missing_features(spark):
+    from tickforge.operators.models import gbt, p_win
+
+    df = spark.range(60).selectExpr("id", "IF(id % 7 = 0, NULL, CAST(id AS double)) x", "CAST(id > 30 AS double) target")
+    scored = p_win(gbt(["x"], max_iter=2, max_depth=2).fit(df), df)
+    assert scored.count() == 60 and scored.columns == ["id", "x", "target", "p"]

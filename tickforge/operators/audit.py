@@ -61,12 +61,16 @@ def journal_stats(journal: DataFrame) -> DataFrame:
 def merge_outcomes(outcomes: DataFrame, merged: DataFrame | None, feature_cols: Sequence[str]) -> DataFrame:
     """Resolved outcomes as labelled rows, each uid (t|dir) once; missing features are 0.
 
+    Of several outcomes of a uid the one of least result, amount, entry and stop stays.
+
     Rows of an older feature space (without trend_ema or bb_pctile) are left out.
     merged holds the uids of earlier runs.
     """
     known = F.map_contains_key("feats", "trend_ema") & F.map_contains_key("feats", "bb_pctile")
     rows = outcomes.filter(F.col("result").isin("TP", "SL") & F.col("feats").isNotNull()).filter(known)
-    rows = rows.withColumn("uid", F.concat_ws("|", F.col("t").cast("string"), "dir")).dropDuplicates(["uid"])
+    rows = rows.withColumn("uid", F.concat_ws("|", F.col("t").cast("string"), "dir"))
+    order = F.struct(*[F.col(c) for c in ("result", "pnl", "entry", "sl", "tp", "conf") if c in rows.columns])
+    rows = rows.groupBy("uid").agg(F.min_by(F.struct(*[c for c in rows.columns if c != "uid"]), order).alias("_r")).select("uid", "_r.*")
     if merged is not None:
         rows = rows.join(merged.select("uid"), "uid", "left_anti")
     feats = [F.coalesce(F.col("feats")[c], F.lit(0.0)).alias(c) for c in feature_cols]

@@ -181,6 +181,17 @@ def selectivity(df: DataFrame, q: float, p: str = "p", width: float = 1e-3) -> D
     return df.crossJoin(F.broadcast(cut)).filter(F.col(p) >= F.col("_cut")[0]).drop("_cut")
 
 
+def rerun_at_spreads(bars: DataFrame, levels_of, horizon: int, spreads: Sequence[float] = (0.20, 0.30, 0.41), skip: int = 1, **options) -> DataFrame:
+    """Trades taken one at a time under each assumed spread: exits and chains are found again for each.
+
+    levels_of(spread column) gives the levels. Every spread makes its own series, so the
+    work is one pass over bars times spreads.
+    """
+    each = at_spreads(bars, spreads).withColumn("_sym", F.col("sym")).withColumn("sym", F.concat_ws("@", "sym", F.col("cost").cast("string")))
+    trades = non_overlap(entry_exit(each, levels_of(F.col("cost")), horizon, **options), horizon, skip)
+    return trades.withColumn("sym", F.col("_sym")).drop("_sym")
+
+
 def at_spreads(df: DataFrame, spreads: Sequence[float] = (0.20, 0.30, 0.41)) -> DataFrame:
     """Each row once per assumed spread (cost), a plan constant."""
     return df.withColumn("cost", F.explode(F.array(*[F.lit(float(s)) for s in spreads])))

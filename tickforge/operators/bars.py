@@ -106,7 +106,7 @@ def pick_windows(bars: DataFrame, windows: Sequence[tuple[str, str, str]], whole
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    return out.fillna(0)
+    return out
 
 
 def year_coverage(bars: DataFrame, keys: Sequence[str] = ("src",)) -> DataFrame:

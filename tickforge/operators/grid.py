@@ -67,7 +67,8 @@ def placement_matrix(
     fx = features(bars, groups, events, bar_secs, gap_secs, block_rows, legacy=legacy, grid_horizon=EXTENSION * max_bars)
     fx = fx.filter(F.col("path_close").isNotNull())
     if only_complete:
-        fx = fx.dropna(subset=[n for n in feature_names(groups) if n in fx.columns])
+        # the calendar may end inside the series: event columns are null there, which is no warm-up
+        fx = fx.dropna(subset=[n for n in feature_names(groups) if n in fx.columns and n not in GROUPS["event_proximity"]])
     out = fx.select("*", F.inline("cells")).drop("cells")
     dist = distances(F.col("atr_14"), spread_dollars(), F.col("sl_mult"), F.col("tp_ratio"))
     entry = trade_levels(F.col("direction"), F.col("close"), dist["sl_dist"], dist["tp_dist"])["entry"]

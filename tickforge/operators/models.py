@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,16 +32,19 @@ def walk_forward(n_chunks: int = 6) -> list[tuple[int, Column, Column]]:
 
 
 def gbt(features: Sequence[str], label: str = "target", weight: str | None = None, seed: int = 42, max_iter: int = 20, max_depth: int = 5) -> Pipeline:
+    """Boosted trees over the features; a missing feature counts as 0, in training and in scoring, and no row is left out."""
     options = {"weightCol": weight} if weight else {}
+    filled = ", ".join(f"nanvl(coalesce(cast(`{c}` AS double), 0D), 0D) AS `_f_{c}`" for c in features)
     return Pipeline(stages=[
-        VectorAssembler(inputCols=list(features), outputCol="_x", handleInvalid="skip"),
+        SQLTransformer(statement=f"SELECT *, {filled} FROM __THIS__"),
+        VectorAssembler(inputCols=[f"_f_{c}" for c in features], outputCol="_x"),
         GBTClassifier(featuresCol="_x", labelCol=label, seed=seed, maxIter=max_iter, maxDepth=max_depth,
                       subsamplingRate=0.85, featureSubsetStrategy="0.85", **options)])
 
 
 def p_win(model: PipelineModel, df: DataFrame, out: str = "p") -> DataFrame:
     scored = model.transform(df).withColumn(out, vector_to_array("probability")[1])
-    return scored.drop("_x", "rawPrediction", "probability", "prediction")
+    return scored.drop("_x", "rawPrediction", "probability", "prediction", *[c for c in scored.columns if c.startswith("_f_")])
 
 
 def oof_ensemble(df: DataFrame, features: Sequence[str], key: Sequence[str], label: str = "target", weight: str | None = None,

@@ -36,20 +36,24 @@ def get_session(app: str = "tickforge", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared folder of the cluster.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share: spark.checkpoint.dir.
 
-    The folder is spark.checkpoint.dir; a private one is set only where the
-    session has none and runs on one machine (tests).
+    A private one is set only where the session has none and runs on one machine (tests).
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
         if shared:
             sc.setCheckpointDir(shared)
-        elif sc.master.startswith("local"):
+        elif sc.master == "local" or sc.master.startswith("local["):
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-ckpt-"))
         else:
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut lineage through the shared folder of the cluster."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

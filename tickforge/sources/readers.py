@@ -19,8 +19,15 @@ LIVE_DDL = "t bigint, o double, h double, l double, c double, spread int, v int"
 
 
 def read_bars_csv(spark: SparkSession, path: str, columns: Sequence[str] | None = None, schema: str = BAR_DDL) -> DataFrame:
-    """Bars with a header; only the wanted columns are parsed (the scan is pruned)."""
-    df = spark.read.schema(schema).option("header", True).csv(path)
+    """Bars with a header, in any order of columns; only the wanted columns are parsed.
+
+    Known columns take their type from schema, others are strings; a column the files
+    lack is absent. Files whose header differs from the first one's raise.
+    """
+    types = {f.name: f.dataType for f in T.StructType.fromDDL(schema)}
+    header = spark.read.option("header", True).csv(path).columns
+    found = T.StructType([T.StructField(c, types.get(c, T.StringType())) for c in header])
+    df = spark.read.schema(found).option("header", True).option("enforceSchema", False).csv(path)
     return df.select(*[c for c in columns if c in df.columns]) if columns else df
 
 
@@ -57,6 +64,30 @@ def decode_candles(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(decode, CANDLE_DDL)
 
 
+def candle_rejects(files: DataFrame) -> DataFrame:
+    """Files that decode_candles leaves out or cuts: (path, reason, bytes), reason corrupt or partial."""
+
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            bad = []
+            for path, content in zip(batch["path"], batch["content"]):
+                try:
+                    rest = len(lzma.decompress(content)) % 24
+                    if rest:
+                        bad.append((path, "partial", rest))
+                except lzma.LZMAError:
+                    bad.append((path, "corrupt", len(content)))
+            yield pd.DataFrame(bad, columns=["path", "reason", "bytes"]).astype({"bytes": "int64"})
+
+    return files.select("path", "content").mapInPandas(judge, "path string, reason string, bytes long")
+
+
+def live_rejects(spark: SparkSession, path: str) -> DataFrame:
+    """Lines that read_live_bars leaves out: malformed JSON or without a time."""
+    raw = spark.read.text(path).withColumn("r", F.from_json("value", LIVE_DDL))
+    return raw.where(F.col("r").isNull() | F.col("r.t").isNull()).select(F.col("value").alias("line"))
+
+
 def read_candles(spark: SparkSession, path: str) -> DataFrame:
     return decode_candles(spark.read.format("binaryFile").load(path))
 
