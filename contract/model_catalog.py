@@ -307,6 +307,20 @@ def _(spark, sf):
     return D.best_placement(D.reachable_band(cells(spark, sf), prior(spark))).select("sym", epoch(), "direction", "sl_mult", "tp_ratio", *rd("exp"))
 
 
+LEARNED = CELL + ", " + PRIOR + """, ln0 AS (SELECT cd.*, p.sl_atr AS psl, p.tp_ratio AS ptp, p.mfe_p50 FROM cd JOIN prior p ON p.regime = cd.regime AND p.direction = cd.direction),
+ ln1 AS (SELECT * FROM ln0 QUALIFY row_number() OVER (PARTITION BY sym, time, direction ORDER BY abs(tp_ratio - ptp), tp_ratio, abs(sl_mult - psl), sl_mult) = 1),
+ ln2 AS (SELECT sym, time, direction, psl AS sl_mult, ptp AS tp_ratio, greatest(atr_14 * psl, 0.30) AS sl_dist, (greatest(atr_14 * psl, 0.30) + 0.2) * ptp AS tp_dist, p, false AS is_anchor FROM ln1),
+ lc AS MATERIALIZED (SELECT sym, time, direction, sl_mult, tp_ratio, is_anchor, exp FROM ln0 WHERE is_anchor OR (sl_dist / greatest(atr_14, 1e-9) <= psl AND tp_dist / greatest(atr_14, 1e-9) <= mfe_p50)
+  UNION ALL SELECT sym, time, direction, sl_mult, tp_ratio, is_anchor, p * (tp_dist / (sl_dist + 0.2 + 1e-9)) - (1 - p) FROM ln2)"""
+
+
+@query("learned_pair", LEARNED + ", " + _best("lc") + f" SELECT {KEY}, direction, sl_mult, tp_ratio, {R('exp', 'exp')} FROM bp")
+def _(spark, sf):
+    """Best placement in the reachable band with the learned pair among the candidates."""
+    pr = prior(spark)
+    return D.best_placement(D.reachable_band(D.with_learned_pair(cells(spark, sf), pr), pr)).select("sym", epoch(), "direction", "sl_mult", "tp_ratio", *rd("exp"))
+
+
 SIDE = CELL + ", " + _best("cd") + """, sd AS (SELECT b.sym, b.time, b.regime, b.trend_ema, b.atr_pctile, b.close, b.atr_14, CASE WHEN b.exp * 0.5 >= s.exp * 0.5 THEN 1.0::DOUBLE ELSE 0.0 END AS direction,
   CASE WHEN b.exp * 0.5 >= s.exp * 0.5 THEN b.exp ELSE s.exp END AS exp, CASE WHEN b.exp * 0.5 >= s.exp * 0.5 THEN b.p ELSE s.p END AS p,
   CASE WHEN b.exp * 0.5 >= s.exp * 0.5 THEN b.sl_dist ELSE s.sl_dist END AS sl_dist, CASE WHEN b.exp * 0.5 >= s.exp * 0.5 THEN b.tp_dist ELSE s.tp_dist END AS tp_dist

@@ -12,7 +12,7 @@ CORE = [
     "ticks_to_bars", "bars_tf", "bar_integrity", "merge_bars", "tail_union", "periods", "bar_subsample", "atr", "ewma_vol", "rsi", "ret_streak",
     "structure", "levels", "candles", "event_asof", "first_touch", "excursions", "dir_first_touch", "big_move", "placement_prior", "quantile_bins",
     "apply_calib", "side_choice", "non_overlap", "loss_classify", "reconcile", "position_state", "microstructure", "stream_bars", "incremental_append",
-    "csv_scan", "live_scan", "spread_sensitivity", "incremental_union", "matrix_rows",
+    "csv_scan", "learned_pair", "live_scan", "spread_sensitivity", "incremental_union", "matrix_rows",
 ]
 NAMES = sorted(entry.oracle_sql()) if os.environ.get("ORACLE") == "all" else CORE
 

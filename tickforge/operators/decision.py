@@ -11,7 +11,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tickforge.constants import SL_MULTS, TP_RATIOS
 from tickforge.functions.windows import clip
+from tickforge.operators.grid import distances
 from tickforge.operators.series import running
 
 
@@ -22,16 +24,39 @@ def expectancy(p: Column, sl_dist: Column, tp_dist: Column, spread: Column) -> d
     return {"rr": rr, "exp": p * rr - (1 - p), "ev": p * tp_dist - (1 - p) * risk}
 
 
+def nearest(value: Column, grid: Sequence[float]) -> Column:
+    """The grid value nearest to a value (of two equally near the lesser)."""
+    return F.array_min(F.transform(F.array(*[F.lit(float(g)) for g in grid]), lambda g: F.struct(F.abs(g - value).alias("d"), g.alias("g"))))["g"]
+
+
+def with_learned_pair(cells: DataFrame, prior: DataFrame) -> DataFrame:
+    """Cells and, per bar and side, the stop and target pair learned for its regime as a further candidate.
+
+    The pair takes the probability of the grid cell of nearest target ratio and stop, as
+    its curve is the one of the nearest ratio. Adds `learned`. Every bar keeps its other
+    rows; the prior is joined by regime and side, nothing is grouped.
+    """
+    pair = prior.select("regime", "direction", F.col("sl_atr").alias("_sl"), F.col("tp_ratio").alias("_tp"))
+    base = cells.join(pair, ["regime", "direction"])
+    at = (F.col("tp_ratio") == nearest(F.col("_tp"), TP_RATIOS)) & (F.col("sl_mult") == nearest(F.col("_sl"), SL_MULTS))
+    dist = distances(F.col("atr_14"), F.col("spread"), F.col("_sl"), F.col("_tp"))
+    added = base.filter(at).withColumns({"sl_mult": F.col("_sl"), "tp_ratio": F.col("_tp"), **dist, "is_anchor": F.lit(False), "learned": F.lit(True)})
+    return cells.withColumn("learned", F.lit(False)).unionByName(added.drop("_sl", "_tp"))
+
+
 def reachable_band(cells: DataFrame, prior: DataFrame) -> DataFrame:
-    """Drop cells beyond the learned stop and run of their regime and side; anchors stay.
+    """Drop cells beyond the learned stop and run of their regime and side; anchors and learned pairs stay.
 
-    Input columns regime, direction, sl_dist, tp_dist, atr_14, is_anchor.
+    Input columns regime, direction, sl_dist, tp_dist, atr_14, is_anchor and, after
+    with_learned_pair, learned, so that no bar of a known regime is left without a cell.
     """
     caps = prior.select("regime", "direction", F.col("sl_atr").alias("_cap_sl"),
                         F.coalesce("mfe_p50", F.col("sl_atr") * F.col("tp_ratio")).alias("_cap_tp"))
     unit = F.greatest("atr_14", F.lit(1e-9))
     inside = (F.col("sl_dist") / unit <= F.col("_cap_sl")) & (F.col("tp_dist") / unit <= F.col("_cap_tp"))
     free = F.col("_cap_sl").isNull() | F.col("is_anchor")
+    if "learned" in cells.columns:
+        free = free | F.col("learned")
     return cells.join(caps, ["regime", "direction"], "left").filter(free | inside).drop("_cap_sl", "_cap_tp")
 
 
