@@ -174,3 +174,11 @@ def test_auc_with_ties(spark):
     want = ((pos > neg) + 0.5 * (pos == neg)).mean()
     got = auc(spark.createDataFrame(pd.DataFrame({"p": p, "y": y}))).first()["auc"]
     assert abs(got - want) < 1e-12
+
+
+def test_ranks_with_one_hot_bucket(spark):
+    from tickforge.operators.series import ranked_counts
+
+    df = spark.range(3000).selectExpr("'k' sym", "CAST(id % 1000 AS double) / 1e7 v")
+    got = ranked_counts(df, ["sym"], "v", 1.0, bucket_rows=16).orderBy("v").toPandas()
+    assert got["n"].tolist() == [3] * 1000 and got["below"].tolist() == list(range(0, 3000, 3)) and (got["total"] == 3000).all()

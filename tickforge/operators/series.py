@@ -208,25 +208,31 @@ def asof_join(
     return out.select("_row.*", *[got[f"_r_{c}"].alias(c) for c in columns])
 
 
-def ranked_counts(df: DataFrame, keys: Sequence[str], value: str, width: float, extra: dict[str, Column] | None = None) -> DataFrame:
+def ranked_counts(df: DataFrame, keys: Sequence[str], value: str, width: float, extra: dict[str, Column] | None = None,
+                  bucket_rows: int = 8192) -> DataFrame:
     """Distinct values with n, below (rows with a smaller value) and total.
 
-    Equal values are merged first, so a hot value is one row; the rest is
-    ordered inside buckets of `width` and between bucket totals.
+    Equal values are merged first, so a hot value is one row; the rest is ordered
+    inside buckets and between bucket totals. A bucket of `width` that holds more
+    than bucket_rows distinct values is cut evenly into as many parts as that takes.
     """
     keys = list(keys)
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(
         F.count(F.lit(1)).alias("n"), *[c.alias(n) for n, c in (extra or {}).items()])
     counts = counts.withColumn("_bk", F.floor(F.col(value) / width))
-    totals = counts.groupBy(*keys, "_bk").agg(F.sum("n").alias("_bn"))
-    wk = W.partitionBy(*keys)
+    parts = counts.groupBy(*keys, "_bk").agg(F.ceil(F.count(F.lit(1)) / bucket_rows).alias("_parts"))
+    part = F.floor((F.col(value) / width - F.col("_bk")) * F.col("_parts"))
+    counts = counts.join(parts, [*keys, "_bk"]).withColumn("_pt", F.least(F.greatest(part, F.lit(0)), F.col("_parts") - 1)).drop("_parts")
+    at = ["_bk", "_pt"]
+    totals = counts.groupBy(*keys, *at).agg(F.sum("n").alias("_bn"))
+    wk = W.partitionBy(*keys).orderBy(*at)
     totals = totals.select(
-        *keys, "_bk",
-        F.coalesce(F.sum("_bn").over(wk.orderBy("_bk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
-        F.sum("_bn").over(wk.orderBy("_bk").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("total"))
-    wl = W.partitionBy(*keys, "_bk").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
+        *keys, *at,
+        F.coalesce(F.sum("_bn").over(wk.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
+        F.sum("_bn").over(wk.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("total"))
+    wl = W.partitionBy(*keys, *at).orderBy(value).rowsBetween(W.unboundedPreceding, -1)
     local = counts.withColumn("_lo", F.coalesce(F.sum("n").over(wl), F.lit(0)))
-    return local.join(totals, [*keys, "_bk"]).withColumn("below", F.col("_lo") + F.col("_off")).drop("_bk", "_lo", "_off")
+    return local.join(totals, [*keys, *at]).withColumn("below", F.col("_lo") + F.col("_off")).drop(*at, "_lo", "_off")
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], width: float, name: str = "q") -> DataFrame:
