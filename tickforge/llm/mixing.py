@@ -128,23 +128,21 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix as rows with the columns of documents: per draw of a document one row with the words drawn.
 
     A document drawn whole keeps its text; of a partly drawn one the drawn words stay, with
-    the white space between them. n_chars follows the text. Rows of equal doc_id take
-    their draws by rank, so none is used twice.
+    the white space between them. n_chars follows the text. Rows that agree in doc_id,
+    source and size share the draws of one of them.
     """
-    options.setdefault("shards", 8)
-    drawn = draw(docs, **options).where("taken > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_src"), "size", "draws")
-    once = drawn.groupBy("_id", "_src", "size").agg(F.first("draws").alias("draws"))
-    cut = pandas_udf(cut_words, "string")
-    row = docs.withColumn("_n", F.size(words(F.col("text"))).cast("long"))
-    on = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_src")) & (F.col("_n") == F.col("size"))
-    both = row.join(once, on).select(*[docs[c] for c in docs.columns], "_n", F.explode(F.array(F.lit(1), F.lit(2))).alias("_epoch"), "draws")
-    mine = both.withColumn("_mine", F.filter("draws", lambda d: d["epoch"] == F.col("_epoch"))).where(F.size("_mine") > 0)
+    drawn = draw(docs, **options).where("taken > 0")
+    once = drawn.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_src"), F.col("size").alias("_size")).agg(F.min("draws").alias("_draws"))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), F.size(words(docs["text"])).cast("long").alias("_n"))
+    on = F.col("_row.doc_id").eqNullSafe(F.col("_id")) & F.col("_row.source").eqNullSafe(F.col("_src")) & (F.col("_n") == F.col("_size"))
+    both = rows.join(once, on).select("_row", "_n", F.explode(F.array(F.lit(1), F.lit(2))).alias("_epoch"), "_draws")
+    mine = both.withColumn("_mine", F.filter("_draws", lambda d: d["epoch"] == F.col("_epoch"))).where(F.size("_mine") > 0)
     spans = F.flatten(F.transform("_mine", lambda d: F.array(d["start"], d["stop"])))
-    text = F.when(F.aggregate("_mine", F.lit(0).cast("long"), lambda a, d: a + d["stop"] - d["start"]) == F.col("_n"), F.col("text")).otherwise(
-        cut(F.col("text"), spans))
-    out = mine.withColumn("_cut", text)
+    count = F.aggregate("_mine", F.lit(0).cast("long"), lambda a, d: a + d["stop"] - d["start"])
+    text = F.col("_row.text")
+    out = mine.withColumn("_cut", F.when(count == F.col("_n"), text).otherwise(pandas_udf(cut_words, "string")(text, spans)))
     new = {"text": F.col("_cut"), "n_chars": F.length("_cut").cast("long")}
-    return out.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+    return out.select(*[new.get(c, F.col("_row")[c]).alias(c) for c in docs.columns])
 
 
 def cut_words(texts: pd.Series, spans: pd.Series) -> pd.Series:
