@@ -4,11 +4,11 @@ Texts are cut into pieces by the tokenizer's pattern, and the distinct pieces of
 of documents (about `chunk_chars` characters, within one partition) are encoded once: a
 fold over the piece's bytes merges, step by step, the adjacent pair whose joined bytes
 have the least rank, leftmost first, until no pair has one. The rank map is a literal,
-cut into buckets by hash so that a look-up is constant time. Documents hold positions in
+keyed by the ids of the two parts and cut into buckets so that a look-up is constant time. Documents hold positions in
 the chunk's list of pieces, so nothing is shuffled and no dictionary of the corpus is
 kept. Decoding looks up the bytes of every id in a literal array and concatenates them.
 
-Bytes travel as strings of the characters U+0000 to U+00FF. The fold is quadratic in the
+Decoded bytes travel as strings of the characters U+0000 to U+00FF. The fold is quadratic in the
 length of a piece, so pieces over `LONG` bytes (runs without white space) are merged by
 the same rule with a heap, in n log n.
 
@@ -27,7 +27,6 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,9 +35,10 @@ from tickforge.llm.fingerprint import let
 
 RANK_FILE = "byte_bpe_50k.tiktoken"
 LONG = 64
-BUCKETS = 1 << 16
+BUCKETS = 131_101  # a prime near the number of pairs
+SHIFT = 1 << 17
 NONE = (1 << 31) - 1
-CHUNK_TYPE = "docs array<struct<id: bigint, at: array<int>>>, pieces array<struct<s: string, ids: array<int>>>"
+CHUNK_TYPE = "docs array<struct<id: bigint, at: array<int>>>, pieces array<struct<parts: array<int>, pairs: array<int>, ids: array<int>>>"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -47,49 +47,56 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class Vocabulary:
-    """Literal columns of the rank map and of the ids' bytes."""
+    """Literal columns of the rank map and of the ids' bytes.
+
+    The rank map is keyed by the ids of two adjacent parts; its value, the rank of their
+    joined bytes, is also the id of the joined part.
+    """
 
     def __init__(self, ranks: dict[bytes, int]):
-        buckets: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
-        tokens = [""] * (max(ranks.values(), default=-1) + 1)
+        if any(bytes([b]) not in ranks for b in range(256)) or max(ranks.values()) >= SHIFT:
+            raise ValueError("every byte needs an id, and ids must stay below 2^17")
+        buckets = [{"k": [], "v": []} for _ in range(BUCKETS)]
+        tokens = [""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
-            key = token.decode("latin-1")
-            buckets[xxhash.xxh64_intdigest(key.encode(), 42) % BUCKETS][key] = rank
-            tokens[rank] = key
+            tokens[rank] = token.decode("latin-1")
+            for cut in range(1, len(token)):
+                left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
+                if left is not None and right is not None:
+                    key = left * SHIFT + right
+                    buckets[key % BUCKETS]["k"].append(key)
+                    buckets[key % BUCKETS]["v"].append(rank)
         self.ranks = ranks
-        self.buckets = F.from_json(F.lit(json.dumps(buckets)), "array<map<string,int>>")
+        self.buckets = F.from_json(F.lit(json.dumps(buckets, separators=(",", ":"))), "array<struct<k: array<bigint>, v: array<int>>>")
         self.tokens = F.from_json(F.lit(json.dumps(tokens)), "array<string>")
 
 
-def lookup(buckets: Column, key: Column) -> Column:
-    return F.try_element_at(F.get(buckets, F.xxhash64(key).bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), key)
+def lookup(buckets: Column, left: Column, right: Column) -> Column:
+    """Rank of two adjacent parts joined, NONE if they cannot be (or one is missing)."""
+    key = left.cast("bigint") * SHIFT + right
+    bucket = F.get(buckets, (key % BUCKETS).cast("int"))
+    return F.coalesce(F.get(bucket["v"], F.array_position(bucket["k"], key).cast("int") - 1), F.lit(NONE))
 
 
-def encode_piece(piece: Column, buckets: Column) -> Column:
-    """array<int>: ids of one piece (a string of byte characters) by a fold of ranked merges."""
-    rank = lambda key: F.coalesce(lookup(buckets, key), F.lit(NONE))
-    places = F.sequence(F.lit(1), F.length(piece))
-    parts = F.transform(places, lambda i: F.substring(piece, i, F.lit(1)))
-    pairs = F.transform(places, lambda i: F.when(i < F.length(piece), rank(F.substring(piece, i, F.lit(2)))).otherwise(F.lit(NONE)))
+def encode_piece(parts: Column, pairs: Column, buckets: Column) -> Column:
+    """array<int>: ids of one piece by a fold of ranked merges, from its bytes' ids and the ranks of adjacent bytes."""
+    rest = lambda a: F.slice(a, F.lit(2), F.size(a))
 
     def step(acc: Column, _: Column) -> Column:
         p, r = acc["p"], acc["r"]  # parts, and the rank of each part joined with the next
 
         def at(m: Column) -> Column:  # parts m - 1 and m, counted from 0, become one
-            both = F.concat(F.get(p, m - 1), F.get(p, m))
-            left, right = rank(F.concat(F.get(p, m - 2), both)), rank(F.concat(both, F.get(p, m + 1)))
+            low = F.get(r, m - 1)
+            left, right = lookup(buckets, F.get(p, m - 2), low), lookup(buckets, low, F.get(p, m + 1))
             merged = F.struct(
-                F.transform(F.filter(p, lambda x, i: i != m), lambda x, i: F.when(i == m - 1, both).otherwise(x)).alias("p"),
-                F.transform(F.filter(r, lambda x, i: i != m), lambda x, i: F.when(i == m - 1, right).when(i == m - 2, left).otherwise(x)).alias("r"))
-            return F.when(F.get(r, m - 1) < NONE, merged).otherwise(acc)
+                F.transform(rest(p), lambda x, i: F.when(i >= m, x).when(i < m - 1, F.get(p, i)).otherwise(low)).alias("p"),
+                F.transform(rest(r), lambda x, i: F.when(i >= m, x).when(i < m - 2, F.get(r, i)).when(i == m - 1, right).otherwise(left)).alias("r"))
+            return F.when(low < NONE, merged).otherwise(acc)
 
         return let(F.array_position(r, F.array_min(r)).cast("int"), at)
 
     start = F.struct(parts.alias("p"), pairs.alias("r"))
-    folded = F.aggregate(F.sequence(F.lit(2), F.length(piece)), start, step)["p"]
-    ids = F.transform(folded, lambda x: lookup(buckets, x))
-    whole = lookup(buckets, piece)
-    return F.when(whole.isNotNull(), F.array(whole)).when(F.length(piece) > 1, ids).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(rest(parts), start, step)["p"]
 
 
 def decode_ids(ids: Column, tokens: Column) -> Column:
@@ -129,6 +136,8 @@ def merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 def _chunker(pattern: str, shared, chunk_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, ranks = regex.compile(pattern).findall, shared.value
+        of_byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
+        of_pair = np.array([[ranks.get(bytes([a, b]), NONE) for b in range(256)] for a in range(256)], np.int32)
         ids: list[int | None] = []
         at: list[np.ndarray] = []
         number: dict[str, int] = {}
@@ -141,10 +150,15 @@ def _chunker(pattern: str, shared, chunk_chars: int):
             ends = np.cumsum([0, *map(len, at)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(at)))
             docs = pa.StructArray.from_arrays([pa.array(ids, pa.int64()), lists], ["id", "at"])
-            size = [len(s) if s.isascii() else len(s.encode()) for s in number]
-            keys = pa.array([("" if n > LONG else s if n == len(s) else s.encode().decode("latin-1")) for s, n in zip(number, size)], pa.string())
-            known = pa.array([merge_long(s.encode(), ranks) if n > LONG else None for s, n in zip(number, size)], pa.list_(pa.int32()))
-            pieces = pa.StructArray.from_arrays([keys, known], ["s", "ids"])
+            raw = [s.encode() for s in number]
+            known = pa.array([merge_long(x, ranks) if len(x) > LONG else None for x in raw], pa.list_(pa.int32()))
+            raw = [x if len(x) <= LONG else b"" for x in raw]
+            marks = np.cumsum([0, *map(len, raw)]).astype(np.int32)
+            data = np.frombuffer(b"".join(raw), np.uint8)
+            first = np.append(of_pair[data[:-1], data[1:]], NONE).astype(np.int32)[:len(data)]
+            first[marks[1:][np.diff(marks) > 0] - 1] = NONE  # no pair reaches over the end of a piece
+            parts, pairs = (pa.ListArray.from_arrays(pa.array(marks), pa.array(x)) for x in (of_byte[data], first))
+            pieces = pa.StructArray.from_arrays([parts, pairs, known], ["parts", "pairs", "ids"])
             return pa.RecordBatch.from_arrays([nested(docs), nested(pieces)], ["docs", "pieces"])
 
         for batch in batches:
@@ -176,7 +190,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, pattern: str = pu
 
     def piece_row(buckets: Column, tokens: Column):
         def one(p: Column) -> Column:
-            ids = F.coalesce(p["ids"], encode_piece(p["s"], buckets))
+            ids = F.coalesce(p["ids"], encode_piece(p["parts"], p["pairs"], buckets))
             return let(ids, lambda x: F.struct(
                 x.alias("ids"), F.array_join(x.cast("array<string>"), " ").alias("text"), decode_ids(x, tokens).alias("bytes")))
         return one
@@ -186,9 +200,11 @@ def encode_documents(docs: DataFrame, path: str | None = None, pattern: str = pu
             ids = F.flatten(F.transform(d["at"], lambda i: F.get(pieces, i)["ids"]))
             text = F.array_join(F.transform(d["at"], lambda i: F.get(pieces, i)["text"]), " ")
             raw = F.encode(F.array_join(F.transform(d["at"], lambda i: F.get(pieces, i)["bytes"]), ""), "ISO-8859-1")
-            n = F.aggregate(d["at"], F.lit(0).cast("bigint"), lambda acc, i: acc + F.size(F.get(pieces, i)["ids"]))
-            out = [d["id"].alias("doc_id"), n.alias("n_tokens"), F.sha2(text.cast("binary"), 256).alias("ids_sha256"), F.sha2(raw, 256).alias("decoded_sha256")]
-            return F.struct(*out, *([ids.alias("ids")] if keep_ids else []))
+            blanks = lambda t: F.length(F.translate(t, "0123456789", "")).cast("bigint")
+            n = lambda t: F.when(F.size(d["at"]) > 0, blanks(t) + 1).otherwise(F.lit(0).cast("bigint"))
+            return let(text, lambda t: F.struct(
+                d["id"].alias("doc_id"), n(t).alias("n_tokens"), F.sha2(t.cast("binary"), 256).alias("ids_sha256"),
+                F.sha2(raw, 256).alias("decoded_sha256"), *([ids.alias("ids")] if keep_ids else [])))
         return one
 
     def chunk_rows(buckets: Column) -> Column:
