@@ -20,7 +20,7 @@ from tests.check import compare, oracle
 from tests.conftest import SF
 from tickforge.llm import (bpe, catalog, fingerprint, golay, language, lm_score, mixing, near_dedup, preference, quality,
                            sharding, url_filter)
-from tickforge.llm.common import components, with_offsets
+from tickforge.llm.common import components, materialize, with_offsets
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -379,15 +379,15 @@ def test_language_model_is_a_distribution(spark):
 def test_pipeline_against_brute_force(spark, docs):
     """Stages by stage: kept ids, mix sizes and token counts."""
     sf = SF
-    a = corpus_pipeline.quality_rules(spark, docs, sf)
+    a = materialize(corpus_pipeline.quality_rules(spark, docs, sf))
     led = quality.apply_policy(quality.ledger(docs), "v2").where("kept").toPandas()
     assert sorted(r.doc_id for r in a.collect()) == sorted(led.doc_id) and a.columns == docs.columns
-    b = corpus_pipeline.language_id(spark, a, sf)
+    b = materialize(corpus_pipeline.language_id(spark, a, sf))
     assert b.count() == a.count()
-    c = corpus_pipeline.near_duplicates(spark, b, sf)
+    c = materialize(corpus_pipeline.near_duplicates(spark, b, sf))
     root = brute_components({i: brute_simhash(t) for i, t in texts(b).items()})
     assert sorted(r.doc_id for r in c.collect()) == sorted({v for v in root.values()})
-    d = corpus_pipeline.mix_sources(spark, c, sf)
+    d = materialize(corpus_pipeline.mix_sources(spark, c, sf))
     assert d.columns == docs.columns
     enc = tokenizer()
     want = sorted((r.doc_id, len(enc.encode_ordinary(r.text))) for r in d.collect())

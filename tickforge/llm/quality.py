@@ -86,7 +86,9 @@ def _measured(docs: DataFrame, carry: Column) -> DataFrame:
     for name, rule in RULES:
         failed = F.expr(rule) if isinstance(rule, str) else rule
         bits = bits.bitwiseOR(F.when(failed, F.lit(1 << BIT[name])).otherwise(F.lit(0)).cast("long"))
-    return df.select("_row", *MEASURES, bits.alias("fail_bits"))
+    # a generator keeps later filters on the results above the measurements; pushed below them,
+    # they would take along every expression they rest on, many times over
+    return df.select(F.explode(F.array(F.struct("_row", *MEASURES, bits.alias("fail_bits")))).alias("_one")).select("_one.*")
 
 
 def ledger(docs: DataFrame) -> DataFrame:
@@ -116,9 +118,7 @@ def ablations(rows: DataFrame, policy: str) -> DataFrame:
 def keep_good(docs: DataFrame, policy: str = "v2") -> DataFrame:
     """Rows of docs that the policy keeps, with all their columns whatever their names."""
     rows = _measured(docs, F.struct(*[docs[c] for c in docs.columns]))
-    kept = F.when(F.col("fail_bits").bitwiseAND(F.lit(mask(policy))) == 0, F.array("_row"))
-    # a generator, for a filter would be pushed down and the measurements with it, many times over
-    return rows.select(F.explode(kept).alias("_row")).select("_row.*")
+    return rows.where(F.col("fail_bits").bitwiseAND(F.lit(mask(policy))) == 0).select("_row.*")
 
 
 SQL = r"""
