@@ -19,7 +19,7 @@ import corpus_pipeline
 from tests.check import compare, oracle
 from tests.conftest import SF
 from tickforge.llm import (bpe, catalog, fingerprint, golay, language, lm_score, mixing, near_dedup, preference, quality,
-                           sharding, url_filter)
+                           sharding, similar, url_filter)
 from tickforge.llm.common import components, materialize, with_offsets
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -401,3 +401,36 @@ def test_pipeline_of_empty_and_odd_tables(spark, edge, empty):
             assert out.columns == df.columns
             df = spark.createDataFrame(out.collect(), out.schema)
         assert corpus_pipeline.tokens(spark, df, SF).count() == df.count()
+
+
+def test_similar_finds_pairs_of_brute_force(spark):
+    """Every pair of five-word Jaccard 0.8 or more is linked, and nothing else; also if all bands count as large."""
+    docs = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet")
+    sets = {i: shingles(t.lower()) for i, t in texts(docs).items()}
+    having = defaultdict(list)
+    for i in sorted(sets):
+        for g in sets[i]:
+            having[g].append(i)
+    common = Counter((a, b) for ids in having.values() for n, a in enumerate(ids) for b in ids[n + 1:])
+    root = {i: i for i in sets}
+
+    def find(i):
+        return i if root[i] == i else find(root[i])
+    pairs = [(a, b) for (a, b), n in common.items() if 9 * n >= 4 * (len(sets[a]) + len(sets[b]))]
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    assert any(sets[a] != sets[b] for a, b in pairs)
+    want = sorted({find(i) for i in sets})
+    for small in (12, 1):
+        assert sorted(r.doc_id for r in similar.keep_distinct(docs, small).select("doc_id").collect()) == want
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, SF).select("doc_id").collect()) == want
+
+
+def test_similar_keeps_one_row_of_each_text(spark, edge, empty):
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    rows = [(1, a, "en", "s", 1), (2, a + " more", "en", "s", 1), (2, b, "en", "s", 1), (None, b, "en", "s", 1), (3, "x", "en", "s", 1), (3, "x", "en", "s", 1), (None, "y", None, None, None)]
+    got = [(r.doc_id, r.text) for r in similar.keep_distinct(spark.createDataFrame(rows, DOCS)).collect()]
+    assert sorted(got, key=str) == sorted([(1, a), (2, b), (3, "x"), (None, "y")], key=str)
+    kept = similar.keep_distinct(edge)
+    assert kept.columns == edge.columns and kept.where("doc_id in (2, 3, 5, 7)").count() == 0 and similar.keep_distinct(empty).count() == 0
