@@ -274,6 +274,16 @@ def test_shards(spark, docs, edge, empty):
     assert sharding.shard_documents(empty).count() == 0
 
 
+@pytest.mark.parametrize("groups", [2, 400])
+def test_shards_without_unlinked_rows(spark, groups):
+    """A group larger than a shard fills a second one, also where every document has copies."""
+    rows = [(i, "hot" if i % 3 == 0 else f"g{i * groups // 2400 if groups > 2 else i % 2}", None, None, None) for i in range(2400)]
+    df = spark.createDataFrame(rows, DOCS)
+    got = sharding.shard_documents(df).join(df.select("doc_id", "text"), "doc_id").toPandas()
+    assert (got.shard.value_counts() == 300).all()
+    assert list(got[got.text == "hot"].shard.value_counts().iloc[:2]) == [300, 300]
+
+
 def test_mixing(spark, docs, edge, empty):
     assert mixing.targets([100, 100, 100], [3, 1, 2]) == [200.0, 250 / 3, 500 / 3]
     got = mixing.draw(docs).drop("draws").toPandas()
