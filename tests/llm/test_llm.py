@@ -444,3 +444,23 @@ def test_similar_keeps_one_row_of_each_text(spark, edge, empty):
     assert sorted(got, key=str) == sorted([(1, a), (2, b), (3, "x"), (None, "y")], key=str)
     kept = similar.keep_distinct(edge)
     assert kept.columns == edge.columns and kept.where("doc_id in (2, 3, 5, 7)").count() == 0 and similar.keep_distinct(empty).count() == 0
+
+
+def test_mix_is_dealt_to_shards_in_order(spark, docs):
+    """Draws of a shard have the positions 0, 1, .. in an order unlike the input's; the mix is written in it."""
+    got = catalog.QUERIES["op8_split_tree_mix"](spark, SF).select("doc_id", F.explode("draws").alias("d")).select("doc_id", "d.*").toPandas()
+    for _, g in got.groupby("shard"):
+        g = g.sort_values("position")
+        assert list(g.position) == list(range(len(g))) and abs(np.corrcoef(g.doc_id, g.position)[0, 1]) < 0.3
+    least = got.groupby(["doc_id", "epoch", "shard"]).position.min().reset_index().sort_values(["shard", "position"])
+    out = mixing.mixed_documents(docs).coalesce(1).collect()
+    assert len(out) == len(least)
+    one = mixing.mixed_documents(docs, rows_per_task=1 << 40)
+    parts = one.withColumn("p", F.spark_partition_id()).toPandas()
+    for _, g in parts.groupby("p"):
+        shards = [list(x.doc_id) for _, x in least.groupby("shard")]
+        assert any(list(g.doc_id) == [i for k in picks for i in shards[k]] for picks in subsets(len(shards)))
+
+
+def subsets(n):
+    return [[k for k in range(n) if m >> k & 1] for m in range(1, 1 << n)]

@@ -8,8 +8,9 @@ the output shards by a binary tree, each node drawing its left half from the
 multivariate hypergeometric law, so that a shard holds what a fair shuffle would give
 it, without shuffling. A shard's quota is a range of places in the source's block
 permutation (an affine bijection), so ranges are disjoint and a document knows its
-blocks, shards and places by arithmetic on its offset. Rows within a shard are ordered
-by a seeded key, so the last shuffle is local to the shard.
+blocks, shards and places by arithmetic on its offset. Blocks within a shard are ordered
+by a seeded key (a draw's position), so the last shuffle is local to the shard; the mix is
+written in runs of a shard's positions.
 
 Only one table is summed over buckets (offsets of documents within their source, exact
 also where one source holds most rows). The driver holds one row per source, at most
@@ -34,6 +35,7 @@ from tickforge.llm.common import materialize, query, spread, table, with_offsets
 
 WEIGHTS = (3, 1, 2)
 DRAWS = "array<struct<epoch: int, shard: int, place: bigint, start: bigint, stop: bigint>>"
+DEALT = DRAWS.replace(">>", ", position: bigint>>")
 
 
 def targets(sizes: list[int], weights: list[float], share: float = 1.5, most: float = 2.0) -> list[float]:
@@ -86,7 +88,7 @@ def plan(sizes: list[int], goal: list[float], shards: int, seed: int, pieces: in
 
 def draw(docs: DataFrame, shards: int = 8, seed: int = 7, share: float = 1.5, most: float = 2.0,
          weights: tuple[float, ...] = WEIGHTS, max_sources: int = 100_000) -> DataFrame:
-    """docs with size, source_size, target, taken and draws (epoch, shard, place, words start to stop of the document)."""
+    """docs with size, source_size, target, taken and draws (epoch, shard, place, words start to stop of the document, position in the shard)."""
     spark = docs.sparkSession
     sized = materialize(docs.select("doc_id", "source", F.size(words(docs["text"])).cast("long").alias("size")))
     found = sized.groupBy("source").agg(F.sum("size").alias("n")).limit(max_sources + 1).collect()
@@ -102,10 +104,22 @@ def draw(docs: DataFrame, shards: int = 8, seed: int = 7, share: float = 1.5, mo
     placed = with_offsets(sized, ["source"], key, ["doc_id", "size"], "_rank", sized.count(), total=("size", "_from"))
     whole = placed.join(F.broadcast(plans), F.col("source").eqNullSafe(F.col("_source")))  # at most max_sources rows
     drawn = whole.withColumn("draws", F.when(F.col("size") > 0, _draws(F.col("_from"), F.col("size"))).otherwise(F.array().cast(DRAWS)))
+    drawn = _with_positions(materialize(drawn.select("doc_id", "source", "_rank", "size", "source_size", "target", "draws")), seed)
     taken = F.aggregate("draws", F.lit(0).cast("long"), lambda acc, d: acc + d["stop"] - d["start"])
     return drawn.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "draws")
 
 
+def _with_positions(drawn: DataFrame, seed: int) -> DataFrame:
+    """Adds to every draw its rank in its shard, by a seeded key of its block; (source, _rank) names a row."""
+    flat = materialize(drawn.select("source", "_rank", F.inline("draws")))
+    order = spread(F.lit(seed + 1), "epoch", "place", F.coalesce("source", F.lit("")), F.col("source").isNull())
+    ranked = with_offsets(flat, ["shard"], order, ["source", "epoch", "place", "_rank"], "position", flat.count())
+    fields = F.struct("epoch", "shard", "place", "start", "stop", "position")
+    dealt = ranked.groupBy(F.col("source").alias("_s"), F.col("_rank").alias("_r")).agg(F.sort_array(F.collect_list(fields)).alias("_dealt"))
+    both = drawn.join(dealt, (F.col("_rank") == F.col("_r")) & F.col("source").eqNullSafe(F.col("_s")), "left")
+    return both.withColumn("draws", F.coalesce(F.col("_dealt").cast(DEALT), F.array().cast(DEALT)))
+
+
 def _draws(start: Column, size: Column) -> Column:
     p = F.col("p")
     b, n = p["block"], p["blocks"]
@@ -124,8 +138,10 @@ def _draws(start: Column, size: Column) -> Column:
     return F.concat(*both).cast(DRAWS)
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix as rows with the columns of documents: per draw of a document one row with the words drawn.
+def mixed_documents(docs: DataFrame, rows_per_task: int = 4096, **options) -> DataFrame:
+    """The mix as rows with the columns of documents: per draw of a document and shard one row with the words drawn.
+
+    Rows are laid out in runs of about `rows_per_task` positions of a shard, each in order.
 
     A document drawn whole keeps its text; of a partly drawn one the drawn words stay, with
     the white space between them. n_chars follows the text. Rows that agree in doc_id,
@@ -135,14 +151,18 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     once = drawn.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_src"), F.col("size").alias("_size")).agg(F.min("draws").alias("_draws"))
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), F.size(words(docs["text"])).cast("long").alias("_n"))
     on = F.col("_row.doc_id").eqNullSafe(F.col("_id")) & F.col("_row.source").eqNullSafe(F.col("_src")) & (F.col("_n") == F.col("_size"))
-    both = rows.join(once, on).select("_row", "_n", F.explode(F.array(F.lit(1), F.lit(2))).alias("_epoch"), "_draws")
-    mine = both.withColumn("_mine", F.filter("_draws", lambda d: d["epoch"] == F.col("_epoch"))).where(F.size("_mine") > 0)
+    pieces = F.array_distinct(F.transform("_draws", lambda d: F.struct(d["epoch"].alias("epoch"), d["shard"].alias("shard"))))
+    both = rows.join(once, on).select("_row", "_n", F.explode(pieces).alias("_piece"), "_draws")
+    mine = both.withColumn("_mine", F.filter("_draws", lambda d: (d["epoch"] == F.col("_piece.epoch")) & (d["shard"] == F.col("_piece.shard"))))
+    mine = mine.withColumns({"_shard": F.col("_piece.shard"), "_at": F.array_min(F.transform("_mine", lambda d: d["position"]))})
     spans = F.flatten(F.transform("_mine", lambda d: F.array(d["start"], d["stop"])))
     count = F.aggregate("_mine", F.lit(0).cast("long"), lambda a, d: a + d["stop"] - d["start"])
     text = F.col("_row.text")
     out = mine.withColumn("_cut", F.when(count == F.col("_n"), text).otherwise(pandas_udf(cut_words, "string")(text, spans)))
     new = {"text": F.col("_cut"), "n_chars": F.length("_cut").cast("long")}
-    return out.select(*[new.get(c, F.col("_row")[c]).alias(c) for c in docs.columns])
+    laid = out.select(*[new.get(c, F.col("_row")[c]).alias(c) for c in docs.columns], "_shard", "_at")
+    laid = laid.repartition("_shard", F.floor(F.col("_at") / rows_per_task)).sortWithinPartitions("_shard", "_at")
+    return laid.select(*docs.columns)
 
 
 def cut_words(texts: pd.Series, spans: pd.Series) -> pd.Series:
@@ -162,4 +182,4 @@ def cut_words(texts: pd.Series, spans: pd.Series) -> pd.Series:
 
 @query("op8_split_tree_mix")
 def op8_split_tree_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return draw(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return draw(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "draws")
