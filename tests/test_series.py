@@ -61,6 +61,14 @@ def test_features_do_not_depend_on_blocks(spark):
             np.testing.assert_allclose(cut[c].astype(float), whole[c].astype(float), rtol=1e-6, atol=1e-7, err_msg=c)
 
 
+def test_day_of_short_bars_fits_in_the_halo(spark):
+    pdf = walk(21_000, 11, step=4)
+    got = features(segment(spark.createDataFrame(pdf)), ["structure"], bar_secs=4).select("rn", "daily_pos").toPandas().sort_values("rn")["daily_pos"]
+    day = pdf.groupby(pdf["time"].dt.date)
+    hi, lo = day["high"].cummax(), day["low"].cummin()
+    np.testing.assert_allclose(got.astype(float), (pdf["close"] - lo) / (hi - lo + 1e-9) * 100, rtol=1e-6, atol=1e-6)
+
+
 def test_features_are_causal(spark):
     pdf = walk(700, 4)
     cal = calendar_of(spark, [2024])

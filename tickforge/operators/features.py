@@ -392,8 +392,9 @@ def features(
         raise ValueError("ret_streak is computed by segment(streak_of='close')")
     # a day must fit in the halo for the running day range
     halo = max(FEATURE_HALO, math.ceil(86400 / bar_secs))
+    block_rows = max(block_rows, halo)
     base = with_higher_timeframes(bars, gap_secs) if NEEDS_BINS & set(groups) else bars
-    framed = blocks(base, back=min(halo, block_rows), ahead=max(ahead, grid_horizon), rows=block_rows)
+    framed = blocks(base, back=halo, ahead=max(ahead, grid_horizon), rows=block_rows)
     framed = framed.withColumns({"_day": F.to_date("time"), "tick_volume": _c("tick_volume").cast("double")})
     framed = framed.withColumns(_stage_1()).withColumns(_scalars_1())
     framed = framed.withColumns(_stage_2()).withColumns(_scalars_2())
