@@ -23,7 +23,7 @@ def oracle(sf_dir: str, sql: str) -> pd.DataFrame:
 
 
 def norm(v):
-    if v is None or v is pd.NaT or (isinstance(v, float) and math.isnan(v)):
+    if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and math.isnan(v)):
         return None
     return v.item() if hasattr(v, "item") else v
 
@@ -41,7 +41,9 @@ def compare(a: pd.DataFrame, b: pd.DataFrame) -> str:
         return f"rows {len(a)} != {len(b)}"
     ra, rb = rows(a), rows(b)
     bad = [(x, y) for x, y in zip(ra, rb) if x != y]
-    kinds = {c: (a[c].dtype.kind, b[c].dtype.kind) for c in a.columns if a[c].dtype.kind != b[c].dtype.kind}
+    # pandas turns a whole-number column with nulls into floats
+    kinds = {c: (a[c].dtype.kind, b[c].dtype.kind) for c in a.columns if a[c].dtype.kind != b[c].dtype.kind
+             and not (a[c].isna().any() and {a[c].dtype.kind, b[c].dtype.kind} == {"f", "i"})}
     note = f" kinds {kinds}" if kinds else ""
     return (f"{len(bad)} of {len(ra)} rows differ, e.g. {bad[0][0]} | {bad[0][1]}" if bad else "") + note
 
