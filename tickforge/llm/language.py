@@ -108,10 +108,11 @@ class LanguageFilter:
         ones = [(table >> np.uint64(i) & np.uint64(1)).mean() if len(table) else 0.0 for i in range(len(langs))]
         self.false = np.array(ones) ** hashes
 
-    def predict(self, text: str | None) -> tuple[str, float]:
+    def predict(self, text: str | None) -> tuple[str, float, float]:
+        """Language, its share of all languages' corrected sums, and the share of the text's n-grams that it contains."""
         codes = letter_codes(text or "")
         if not self.langs or not (codes != 32).any():
-            return "und", 0.0
+            return "und", 0.0, 0.0
         hits, total = np.zeros(len(self.langs), np.int64), 0
         for key in grams(codes):
             mask = self.table[slots(key, 0, len(self.table))]
@@ -122,7 +123,7 @@ class LanguageFilter:
                 hits[i] += int(np.count_nonzero(mask & np.uint64(1 << i)))
         true = np.maximum(0.0, (hits - total * self.false) / np.maximum(1e-9, 1 - self.false))
         best = int(np.argmax(true))
-        return self.langs[best], float(true[best] / true.sum()) if true.sum() > 0 else 0.0
+        return self.langs[best], float(true[best] / true.sum()) if true.sum() > 0 else 0.0, float(min(1.0, true[best] / max(1, total)))
 
 
 def train(rows: DataFrame, min_rate: float = 2e-6, ratio: float = 0.25, bits_per_key: int = 10, hashes: int = 2, max_slots: int = 1 << 22) -> LanguageFilter:
@@ -155,14 +156,14 @@ def train(rows: DataFrame, min_rate: float = 2e-6, ratio: float = 0.25, bits_per
 
 
 def predictor(model: LanguageFilter, spark: SparkSession):
-    """Column function: text to struct (lang_pred, score). The filter is broadcast; max_slots bounds it."""
+    """Column function: text to struct (lang_pred, score, known). The filter is broadcast; max_slots bounds it."""
     shared = spark.sparkContext.broadcast((model.langs, model.table, model.hashes))
 
-    @pandas_udf("struct<lang_pred: string, score: double>")
+    @pandas_udf("struct<lang_pred: string, score: double, known: double>")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = LanguageFilter(*shared.value)
         for texts in parts:
-            yield pd.DataFrame([own.predict(t) for t in texts], columns=["lang_pred", "score"])
+            yield pd.DataFrame([own.predict(t) for t in texts], columns=["lang_pred", "score", "known"])
 
     return run
 
@@ -184,12 +185,18 @@ def identify(docs: DataFrame, **options) -> DataFrame:
     return out.select("doc_id", "held_out", "p.lang_pred", "p.score")
 
 
-def keep_identified(docs: DataFrame, least: float = 0.3, **options) -> DataFrame:
-    """Documents with a language: rejects `und` and texts whose winner has less than `least` of the corrected sums."""
+def keep_identified(docs: DataFrame, least: float = 0.4, **options) -> DataFrame:
+    """Documents with a language: rejects texts without a letter, and those of whose n-grams the winner contains less than `least`.
+
+    That share does not depend on how many languages there are, or how alike. Where no row has a
+    language nothing can be judged, and texts with a letter stay.
+    """
     model = train(train_rows(docs), **options)
-    p = predictor(model, docs.sparkSession)(docs["text"])
-    judged = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), p.alias("_p"))
-    kept = F.when((F.col("_p.lang_pred") != "und") & (F.col("_p.score") >= least), F.array("_row"))
+    row = F.struct(*[docs[c] for c in docs.columns]).alias("_row")
+    if not model.langs:
+        return docs.select(row).where(F.coalesce(F.regexp_like(F.col("_row.text"), F.lit(r"\p{L}")), F.lit(False))).select("_row.*")
+    judged = docs.select(row, predictor(model, docs.sparkSession)(docs["text"]).alias("_p"))
+    kept = F.when((F.col("_p.lang_pred") != "und") & (F.col("_p.known") >= least), F.array("_row"))
     return judged.select(F.explode(kept).alias("_row")).select("_row.*")
 
 
