@@ -235,6 +235,16 @@ def test_language_held_out_accuracy(spark, docs, edge, empty):
     assert language.keep_identified(edge).columns == edge.columns
 
 
+def test_language_rule_does_not_depend_on_the_number_of_languages(spark, docs):
+    """Sixteen languages, four alike each, and none at all: texts stay; other scripts and noise go."""
+    many = docs.withColumn("lang", F.concat("lang", F.lit("-"), (F.col("doc_id") % 4).cast("string")))
+    odd = spark.createDataFrame([(-1, "zxq kjw vvpq xzzk qqwj " * 9, None, "a", 1), (-2, "привет мир как дела", None, "a", 1), (-3, "12 34", None, "a", 1)], DOCS)
+    kept = language.keep_identified(many.union(odd))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(r.doc_id for r in docs.collect())
+    none = docs.withColumn("lang", F.lit(None).cast("string")).union(odd)
+    assert language.keep_identified(none).count() == docs.count() + 2
+
+
 def test_language_counts_correct_false_positives():
     model = language.LanguageFilter(["a", "b"], np.array([1, 3] * 512, np.uint64), 1)
     assert model.false[0] == 1.0 and model.false[1] == 0.5
@@ -295,8 +305,21 @@ def test_mixing(spark, docs, edge, empty):
     assert len(mixing.draw(edge).toPandas()) == len(EDGE) and mixing.draw(empty).count() == 0
     out = mixing.mixed_documents(docs)
     assert out.columns == docs.columns
-    words = sum(len(WORD.findall(r.text)) for r in out.collect())
+    rows = out.collect()
+    words = sum(len(WORD.findall(r.text)) for r in rows)
     assert words == got.taken.sum() and mixing.mixed_documents(edge).columns == edge.columns
+    whole = texts(docs)
+    assert sum(r.text != whole[r.doc_id] for r in rows) <= len(by)  # one cut per target at most
+
+
+def test_mix_takes_what_draw_takes(spark):
+    """Rows without doc_id, or with one, of equal sizes: words of the mix are those of draw; short documents stay whole."""
+    rows = [(None, " ".join(f"w{i}x{j}" for j in range(50)), "en", "a", 1) for i in range(60)] + [(7, f"x{i} y z", "en", "b", 1) for i in range(200)]
+    df = spark.createDataFrame(rows, DOCS)
+    drawn = mixing.draw(df).toPandas()
+    out = mixing.mixed_documents(df).collect()
+    assert sum(len(WORD.findall(r.text)) for r in out) == drawn.taken.sum() and len(drawn) == 260
+    assert sum(r.text not in {x[1] for x in rows} for r in out) <= 2 and len(out) <= 2 * 260
 
 
 def test_mixing_places_are_disjoint(spark, docs):
@@ -395,10 +418,14 @@ def test_pipeline_against_brute_force(spark, docs):
     b = materialize(corpus_pipeline.language_id(spark, a, sf))
     assert b.count() == a.count()
     c = materialize(corpus_pipeline.near_duplicates(spark, b, sf))
-    root = brute_components({i: brute_simhash(t) for i, t in texts(b).items()})
-    assert sorted(r.doc_id for r in c.collect()) == sorted({v for v in root.values()})
+    assert sorted(r.doc_id for r in c.collect()) == brute_kept(texts(b))
     d = materialize(corpus_pipeline.mix_sources(spark, c, sf))
     assert d.columns == docs.columns
+    taken = {r.doc_id: r.taken for r in mixing.draw(c).collect()}
+    mixed = Counter()
+    for r in d.collect():
+        mixed[r.doc_id] += len(WORD.findall(r.text))
+    assert mixed == Counter({k: v for k, v in taken.items() if v})
     enc = tokenizer()
     want = sorted((r.doc_id, len(enc.encode_ordinary(r.text))) for r in d.collect())
     assert sorted((r.doc_id, r.n_tokens) for r in corpus_pipeline.run(spark, sf).collect()) == want
@@ -413,10 +440,9 @@ def test_pipeline_of_empty_and_odd_tables(spark, edge, empty):
         assert corpus_pipeline.tokens(spark, df, SF).count() == df.count()
 
 
-def test_similar_finds_pairs_of_brute_force(spark):
-    """Every pair of five-word Jaccard 0.8 or more is linked, and nothing else; also if all bands count as large."""
-    docs = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet")
-    sets = {i: shingles(t.lower()) for i, t in texts(docs).items()}
+def brute_kept(found):
+    """Least doc_id of each component of five-word Jaccard 0.8 or more, over all pairs that share a shingle."""
+    sets = {i: shingles(t.lower()) for i, t in found.items()}
     having = defaultdict(list)
     for i in sorted(sets):
         for g in sets[i]:
@@ -426,17 +452,56 @@ def test_similar_finds_pairs_of_brute_force(spark):
 
     def find(i):
         return i if root[i] == i else find(root[i])
-    pairs = [(a, b) for (a, b), n in common.items() if 9 * n >= 4 * (len(sets[a]) + len(sets[b]))]
-    for a, b in pairs:
-        a, b = find(a), find(b)
-        root[max(a, b)] = min(a, b)
-    assert any(sets[a] != sets[b] for a, b in pairs)
-    want = sorted({find(i) for i in sets})
+    for (a, b), n in common.items():
+        if 9 * n >= 4 * (len(sets[a]) + len(sets[b])):
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+    return sorted({find(i) for i in sets})
+
+
+def test_similar_finds_pairs_of_brute_force(spark):
+    """Every pair of five-word Jaccard 0.8 or more is linked, and nothing else; also if all bands count as large."""
+    docs = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet")
+    want = brute_kept(texts(docs))
+    assert len(want) < docs.select("text").distinct().count()
     for small in (12, 1):
         assert sorted(r.doc_id for r in similar.keep_distinct(docs, small).select("doc_id").collect()) == want
     assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, SF).select("doc_id").collect()) == want
 
 
+@pytest.mark.parametrize("own, apart, below", [(4, 4, True), (2, 1, False)])
+def test_similar_tells_pairs_of_one_template_apart(spark, own, apart, below):
+    """Pairs (own edits) of one template among hundreds of texts just under the threshold, and a group above it."""
+    base, data = [f"t{i}" for i in range(120)], []
+    for k in range(300):
+        first = list(base)
+        first[10:10 + own] = [f"p{k}x{j}" for j in range(own)]
+        for v in range(2):
+            text = list(first)
+            text[60:60 + apart] = [f"q{k}v{v}x{j}" for j in range(apart)]
+            data.append((2 * k + v, " ".join(text)))
+    want = brute_kept(dict(data))
+    assert len(want) == (300 if below else 1)
+    df = spark.createDataFrame([(*d, "x", 1, 2, None) for d in data], "doc_id long, text string, r1 string, node int, r2 int, k string")
+    out = similar.keep_distinct(df, small=12)
+    assert out.columns == df.columns and sorted(r.doc_id for r in out.where("r1 = 'x' and node = 1").collect()) == want
+
+
+def test_similar_keeps_a_group_around_its_original(spark):
+    """Edited copies unlike each other are linked through the original, wherever its hash falls."""
+    rnd, base, data = random.Random(5), [f"t{i}" for i in range(200)], []
+    data.append((77, " ".join(base)))
+    for k in range(200):
+        text = list(base)
+        for j in range(3):
+            text[rnd.randrange(200)] = f"e{k}x{j}"
+        data.append((100 + k, " ".join(text)))
+    want = brute_kept(dict(data))
+    assert len(want) < 60
+    got = similar.keep_distinct(spark.createDataFrame(data, "doc_id long, text string"), small=4)
+    assert sorted(r.doc_id for r in got.collect()) == want
+
+
 def test_similar_keeps_one_row_of_each_text(spark, edge, empty):
     a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
     rows = [(1, a, "en", "s", 1), (2, a + " more", "en", "s", 1), (2, b, "en", "s", 1), (None, b, "en", "s", 1), (3, "x", "en", "s", 1), (3, "x", "en", "s", 1), (None, "y", None, None, None)]

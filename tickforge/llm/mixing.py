@@ -1,23 +1,27 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree.
 
-Every source is a stream of words: its documents in a seeded order, cut into blocks of
-equally many words. The number of blocks each source gives is fixed first (its target,
-in blocks); where a target is above the source's size the stream is drawn whole once
-and partly a second time. The exact block quotas of all sources are then divided among
-the output shards by a binary tree, each node drawing its left half from the
-multivariate hypergeometric law, so that a shard holds what a fair shuffle would give
-it, without shuffling. A shard's quota is a range of places in the source's block
-permutation (an affine bijection), so ranges are disjoint and a document knows its
-blocks, shards and places by arithmetic on its offset. Blocks within a shard are ordered
-by a seeded key (a draw's position), so the last shuffle is local to the shard; the mix is
-written in runs of a shard's positions.
+Every source is a stream of words: its documents in a seeded order. Its target is the first
+so many words of the stream; where the target is above the source's size the stream is
+drawn whole once and its first words a second time. So documents are drawn whole, but for
+at most one that a target cuts. A draw's stream is divided into blocks of equally many
+words, and a document belongs to the block where it starts. The exact block quotas of all
+sources are divided among the output shards by a binary tree, each node drawing its left
+half from the multivariate hypergeometric law, so that a shard holds what a fair shuffle
+would give it, without shuffling. A shard's quota is a range of places in the draw's block
+permutation (an affine bijection), so ranges are disjoint and a document knows its shard
+and place by arithmetic on its offset. Blocks within a shard are ordered by a seeded key (a
+draw's position), so the last shuffle is local to the shard; the mix is written in runs of
+a shard's positions. `pieces` and `longest` set the length of blocks: a thousandth of the
+source, at most 4096 words; blocks shorter than documents only make the shuffle finer.
 
 Only one table is summed over buckets (offsets of documents within their source, exact
 also where one source holds most rows). The driver holds one row per source, at most
 `max_sources`, and the quotas.
 
 Null texts have no words and size 0. A null source is a source of its own, the last.
-Repeated rows and equal doc_ids are placed one by one. Other columns are kept.
+Repeated rows, equal doc_ids and rows without doc_id are placed one by one, in order of
+their texts' hash. Very long texts are counted whole. Empty tables give an empty mix. `draw`
+reads doc_id, source and text; `mixed_documents` keeps all columns, in one struct, whatever their names.
 """
 
 from __future__ import annotations
@@ -66,47 +70,52 @@ def split_tree(quotas: np.ndarray, leaves: int, rng: np.random.Generator) -> np.
 
 
 def plan(sizes: list[int], goal: list[float], shards: int, seed: int, pieces: int = 1000, longest: int = 4096) -> list[dict]:
-    """Per source: block words, number of blocks, permutation and the ends of the shards' ranges for both draws."""
+    """Per source: block words, and for both draws the words, blocks, permutation and the ends of the shards' ranges."""
     rng = np.random.default_rng(seed)
     longest = max(longest, math.ceil(sum(sizes) / 4e8))  # keeps the tree's draws within the sampler's range
     block = [max(1, min(longest, s // pieces)) for s in sizes]
-    count = [-(-s // b) for s, b in zip(sizes, block)]
-    first = [n if g >= s else min(n, round(g / b)) for s, b, n, g in zip(sizes, block, count, goal)]
-    second = [n if g > 2 * s - 0.5 else min(n, max(0, round((g - s) / b))) for s, b, n, g in zip(sizes, block, count, goal)]
-    leaves = [split_tree(np.array(q, np.int64), shards, rng).cumsum(0) for q in (first, second)]
+    drawn = [[min(s, round(g)) for s, g in zip(sizes, goal)], [min(s, max(0, round(g) - s)) for s, g in zip(sizes, goal)]]
+    count = [[-(-w // b) for w, b in zip(ws, block)] for ws in drawn]
+    leaves = [split_tree(np.array(q, np.int64), shards, rng).cumsum(0) for q in count]
     out = []
-    for i, (b, n) in enumerate(zip(block, count)):
-        step = [1, 1]
+    for i, b in enumerate(block):
+        step = []
         for e in range(2):
-            step[e] = int(rng.integers(1, max(2, n)))
-            while math.gcd(step[e], max(1, n)) != 1:
-                step[e] = step[e] % max(1, n) + 1
-        out.append({"block": b, "blocks": n, "step": step, "shift": [int(x) for x in rng.integers(0, max(1, n), 2)],
-                    "ends": [[int(x) for x in lv[:, i]] for lv in leaves]})
+            n = max(1, count[e][i])
+            k = int(rng.integers(1, max(2, n)))
+            while math.gcd(k, n) != 1:
+                k = k % n + 1
+            step.append(k)
+        out.append({"block": b, "words": [ws[i] for ws in drawn], "blocks": [c[i] for c in count], "step": step,
+                    "shift": [int(rng.integers(0, max(1, c[i]))) for c in count], "ends": [[int(x) for x in lv[:, i]] for lv in leaves]})
     return out
 
 
 def draw(docs: DataFrame, shards: int = 8, seed: int = 7, share: float = 1.5, most: float = 2.0,
          weights: tuple[float, ...] = WEIGHTS, max_sources: int = 100_000) -> DataFrame:
-    """docs with size, source_size, target, taken and draws (epoch, shard, place, words start to stop of the document, position in the shard)."""
+    """doc_id, source, size, source_size, target, taken and draws (epoch, shard, place, words start to stop of the document, position in the shard).
+
+    A column `_id` of docs is kept; it must name a row.
+    """
     spark = docs.sparkSession
-    sized = materialize(docs.select("doc_id", "source", F.size(words(docs["text"])).cast("long").alias("size")))
+    name = ["_id"] if "_id" in docs.columns else []
+    sized = materialize(docs.select("doc_id", "source", F.size(words(docs["text"])).cast("long").alias("size"), F.xxhash64("text").alias("_text"), *name))
     found = sized.groupBy("source").agg(F.sum("size").alias("n")).limit(max_sources + 1).collect()
     if len(found) > max_sources:
         raise ValueError(f"more than {max_sources} sources")
     found.sort(key=lambda r: (r.source is None, (r.source or "").encode()))
     sizes = [r.n for r in found]
     goal = targets(sizes, [weights[i % len(weights)] for i in range(len(sizes))], share, most)
-    schema = ("_source string, source_size bigint, target double, p struct<block: bigint, blocks: bigint, step: array<bigint>, "
+    schema = ("_source string, source_size bigint, target double, p struct<block: bigint, words: array<bigint>, blocks: array<bigint>, step: array<bigint>, "
               "shift: array<bigint>, ends: array<array<bigint>>>")
     plans = spark.createDataFrame([(r.source, r.n, t, p) for r, t, p in zip(found, goal, plan(sizes, goal, shards, seed))], schema)
-    key = spread(F.lit(seed), "doc_id")
-    placed = with_offsets(sized, ["source"], key, ["doc_id", "size"], "_rank", sized.count(), total=("size", "_from"))
+    key = spread(F.lit(seed), "doc_id", "_text")
+    placed = with_offsets(sized, ["source"], key, ["doc_id", "size", *name], "_rank", sized.count(), total=("size", "_from"))
     whole = placed.join(F.broadcast(plans), F.col("source").eqNullSafe(F.col("_source")))  # at most max_sources rows
     drawn = whole.withColumn("draws", F.when(F.col("size") > 0, _draws(F.col("_from"), F.col("size"))).otherwise(F.array().cast(DRAWS)))
-    drawn = _with_positions(materialize(drawn.select("doc_id", "source", "_rank", "size", "source_size", "target", "draws")), seed)
+    drawn = _with_positions(materialize(drawn.select("doc_id", "source", "_rank", "size", "source_size", "target", "draws", *name)), seed)
     taken = F.aggregate("draws", F.lit(0).cast("long"), lambda acc, d: acc + d["stop"] - d["start"])
-    return drawn.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "draws")
+    return drawn.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "draws", *name)
 
 
 def _with_positions(drawn: DataFrame, seed: int) -> DataFrame:
@@ -122,54 +131,47 @@ def _with_positions(drawn: DataFrame, seed: int) -> DataFrame:
 
 def _draws(start: Column, size: Column) -> Column:
     p = F.col("p")
-    b, n = p["block"], p["blocks"]
 
-    def one(epoch: int):
-        def at(j: Column) -> Column:
-            place = F.pmod(p["step"][epoch] * j + p["shift"][epoch], n)
-            shard = F.size(F.filter(p["ends"][epoch], lambda end: end <= place))
-            lo, hi = F.greatest(start, j * b) - start, F.least(start + size, (j + 1) * b) - start
-            return F.struct(F.lit(epoch + 1).alias("epoch"), shard.alias("shard"), place.alias("place"), lo.alias("start"), hi.alias("stop"))
-        return at
+    def one(epoch: int) -> Column:
+        place = F.pmod(p["step"][epoch] * F.floor(start / p["block"]) + p["shift"][epoch], F.greatest(p["blocks"][epoch], F.lit(1).cast("bigint")))
+        shard = F.size(F.filter(p["ends"][epoch], lambda end: end <= place))
+        stop = F.least(size, p["words"][epoch] - start)
+        return F.struct(F.lit(epoch + 1).alias("epoch"), shard.alias("shard"), place.alias("place"), F.lit(0).cast("bigint").alias("start"), stop.alias("stop"))
 
-    shards = F.size(p["ends"][0])
-    touched = F.sequence(F.floor(start / b), F.floor((start + size - 1) / b))
-    both = [F.filter(F.transform(touched, one(epoch)), lambda d: d["shard"] < shards) for epoch in (0, 1)]
-    return F.concat(*both).cast(DRAWS)
+    return F.filter(F.array(one(0), one(1)), lambda d: d["stop"] > 0).cast(DRAWS)
 
 
 def mixed_documents(docs: DataFrame, rows_per_task: int = 4096, **options) -> DataFrame:
-    """The mix as rows with the columns of documents: per draw of a document and shard one row with the words drawn.
+    """The mix as rows with the columns of documents: one row per draw of a document.
 
     Rows are laid out in runs of about `rows_per_task` positions of a shard, each in order.
 
-    A document drawn whole keeps its text; of a partly drawn one the drawn words stay, with
-    the white space between them. n_chars follows the text. Rows that agree in doc_id,
-    source and size share the draws of one of them.
+    A document drawn whole keeps its text; of the one that its source's target cuts the drawn
+    words stay, with the white space between them. n_chars follows the text.
     """
-    drawn = draw(docs, **options).where("taken > 0")
-    once = drawn.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_src"), F.col("size").alias("_size")).agg(F.min("draws").alias("_draws"))
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), F.size(words(docs["text"])).cast("long").alias("_n"))
-    on = F.col("_row.doc_id").eqNullSafe(F.col("_id")) & F.col("_row.source").eqNullSafe(F.col("_src")) & (F.col("_n") == F.col("_size"))
-    pieces = F.array_distinct(F.transform("_draws", lambda d: F.struct(d["epoch"].alias("epoch"), d["shard"].alias("shard"))))
-    both = rows.join(once, on).select("_row", "_n", F.explode(pieces).alias("_piece"), "_draws")
-    mine = both.withColumn("_mine", F.filter("_draws", lambda d: (d["epoch"] == F.col("_piece.epoch")) & (d["shard"] == F.col("_piece.shard"))))
-    mine = mine.withColumns({"_shard": F.col("_piece.shard"), "_at": F.array_min(F.transform("_mine", lambda d: d["position"]))})
-    spans = F.flatten(F.transform("_mine", lambda d: F.array(d["start"], d["stop"])))
-    count = F.aggregate("_mine", F.lit(0).cast("long"), lambda a, d: a + d["stop"] - d["start"])
+    row = F.struct(*[docs[c] for c in docs.columns]).alias("_row")
+    rows = materialize(docs.select(row, F.monotonically_increasing_id().alias("_name")))
+    named = rows.select(*[F.col("_row")[c].alias(c) for c in ("doc_id", "source", "text")], F.col("_name").alias("_id"))
+    drawn = draw(named, **options).where("taken > 0").select("_id", "size", F.inline("draws"))
+    both = rows.join(drawn, F.col("_name") == F.col("_id"))
     text = F.col("_row.text")
-    out = mine.withColumn("_cut", F.when(count == F.col("_n"), text).otherwise(pandas_udf(cut_words, "string")(text, spans)))
+    cut = F.when(F.col("stop") == F.col("size"), text).otherwise(pandas_udf(cut_words, "string")(
+        F.when(F.col("stop") < F.col("size"), text), F.array("start", "stop")))
+    out = both.withColumn("_cut", cut)
     new = {"text": F.col("_cut"), "n_chars": F.length("_cut").cast("long")}
-    laid = out.select(*[new.get(c, F.col("_row")[c]).alias(c) for c in docs.columns], "_shard", "_at")
-    laid = laid.repartition("_shard", F.floor(F.col("_at") / rows_per_task)).sortWithinPartitions("_shard", "_at")
-    return laid.select(*docs.columns)
+    laid = out.select(*[new.get(c, F.col("_row")[c]).alias(f"_c{i}") for i, c in enumerate(docs.columns)], "shard", "position")
+    laid = laid.repartition("shard", F.floor(F.col("position") / rows_per_task)).sortWithinPartitions("shard", "position")
+    return laid.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def cut_words(texts: pd.Series, spans: pd.Series) -> pd.Series:
     """Words [start, stop) of each text, white space between adjacent words kept, pieces joined by a line feed."""
     out = []
     for text, flat in zip(texts, spans):
-        ends = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", text or "")]
+        if text is None:
+            out.append(None)
+            continue
+        ends = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
         runs: list[list[int]] = []
         for lo, hi in sorted(zip(flat[0::2], flat[1::2])):
             if runs and runs[-1][1] == lo:
