@@ -2,9 +2,10 @@
 
 Texts are encoded by a byte-level BPE (A, over space + text) and a piece BPE (B, which
 puts the space itself). Byte offsets where tokens of both end cut a text into groups, and
-the two tokens that end there are a link. Both tokenizers cut before a space that follows
-a character other than white space, so a text is a list of units (a space and what follows),
-and each distinct unit of a chunk is encoded and aligned once.
+the two tokens that end there are a link. Both tokenizers cut after a letter where no
+letter, digit or underscore follows, and before a space after anything else, so a text is a list of units (a
+word with the white space before it, or signs), and each distinct unit is encoded and aligned
+once in a task. B's vocabulary is checked for pieces across such cuts.
 
 A chunk is a run of documents of one partition (about `chunk_chars` characters, at most
 65,536 documents); a document's place in it is its bit. For each pair of ids a chunk holds
@@ -32,6 +33,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -47,8 +49,11 @@ from tickforge.llm.common import materialize, query, table
 BYTE_FILE, PIECE_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 SHIFT = 1 << 20  # of A's id in a pair
 SUMS = ("n_best", "count_sum", "doc_count_sum")
-MOST_DOCS, MOST_UNITS = 1 << 16, 1 << 18
-CUT = re.compile(r"(?<=\S)(?= \s*\S)")
+MOST_DOCS, MOST_UNITS = 1 << 16, 1 << 19
+#: A unit: white space and letters before something else, signs before a blank, or whatever leads to such a place.
+UNIT = re.compile(r"\s*[^\W\d_\xb2\xb3\xb9\xbc-\xbe]+(?!\w)|[^\w\s]+(?=[ \n\t]|\Z)|.+?(?:(?<=[^\W\d_\xb2\xb3\xb9\xbc-\xbe])(?=\W)|(?<=[^\w\s])(?=[ \n\t])|(?<=[\d_\xb2\xb3\xb9\xbc-\xbe])(?=[ \n\t])|\Z)", re.S)
+#: What no piece of B may hold for these to be cuts of B: a letter and then another sign, a space or blank after anything.
+NO_CUT = re.compile(r"[^\W\d_\xb2\xb3\xb9\xbc-\xbe](?!\w)[^▁]|[^▁]▁|.[\n\t]", re.S)
 CHUNK_TYPE = pa.schema([
     ("chunk", pa.int64()),
     ("docs", pa.list_(pa.struct([("doc_id", pa.int64()), ("place", pa.int32()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()),
@@ -81,6 +86,9 @@ def piece_encoder(path: str):
     """(encode, bytes of every id) of a piece BPE model."""
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
 
+    if any(NO_CUT.search(sp.id_to_piece(i)) for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i))):
+        raise ValueError("the piece vocabulary has pieces across the cuts of units")
+
     def raw(i: int) -> bytes:
         piece = sp.id_to_piece(i)
         return bytes([int(piece[3:5], 16)]) if sp.is_byte(i) else piece.replace("▁", " ").encode()
@@ -88,49 +96,57 @@ def piece_encoder(path: str):
 
 
 def units_of(text: str) -> list[str]:
-    """Units of space + text: each a space and what follows up to the next cut."""
-    whole = " " + text
-    parts = text.split(" ")
-    return [" " + p for p in parts] if parts == text.split() else CUT.split(whole)
+    """Units of space + text, none of which begins with a letter."""
+    return UNIT.findall(" " + text)
 
 
 class Aligner:
     """Encodes and aligns units, keeping those met before (up to MOST_UNITS)."""
 
     def __init__(self, byte_path: str, piece_path: str):
-        (self.a, self.bytes_a), (self.b, self.bytes_b) = byte_encoder(byte_path), piece_encoder(piece_path)
+        (self.a, bytes_a), (self.b, self.bytes_b) = byte_encoder(byte_path), piece_encoder(piece_path)
+        self.width_a, self.width_b = {i: len(x) for i, x in bytes_a.items()}, {i: len(x) for i, x in self.bytes_b.items()}
+        self.lead = self.b("a")
+        if len(self.lead) != 1:
+            raise ValueError("the piece vocabulary has no piece for a first letter a")
+        self.name = [str(i) for i in range(max(*bytes_a, *self.bytes_b) + 1)]
+        self.pairs: dict[int, int] = {}
         self.known: dict[str, tuple | None] = {}
 
     def align(self, unit: str, b: list[int]) -> tuple | None:
-        """(A tokens, B tokens, digest of groups, links as pairs); None if the tokens do not give back the unit."""
-        a = self.a(unit)
-        raw_a, raw_b = [self.bytes_a[i] for i in a], [self.bytes_b.get(i, b"") for i in b]
-        whole = unit.encode()
-        if b"".join(raw_a) != whole or b"".join(raw_b) != whole:
+        """(A tokens, B tokens, digest of groups, links as pairs); None if B's tokens do not give back the unit, as A's always do."""
+        if b"".join(map(self.bytes_b.__getitem__, b)) != unit.encode():
             return None
-        groups, links, i, j, end_a, end_b, from_a, from_b = [], [], 0, 0, len(raw_a[0]), len(raw_b[0]), 0, 0
-        while True:
-            if end_a == end_b:
-                groups.append(",".join(map(str, a[from_a:i + 1])) + "|" + ",".join(map(str, b[from_b:j + 1])))
-                links.append(a[i] * SHIFT + b[j])
-                i, j = i + 1, j + 1
-                from_a, from_b = i, j
-                if i == len(a):
-                    return len(a), len(b), ";".join(groups), links
-                end_a, end_b = end_a + len(raw_a[i]), end_b + len(raw_b[j])
-            elif end_a < end_b:
-                i += 1
-                end_a += len(raw_a[i])
-            else:
-                j += 1
-                end_b += len(raw_b[j])
-
-    def learn(self, units: set[str]) -> None:
+        a, name, same = self.a(unit), self.name.__getitem__, self.pairs.setdefault
+        if len(a) == 1 or len(b) == 1:
+            pair = a[-1] * SHIFT + b[-1]
+            return len(a), len(b), ",".join(map(name, a)) + "|" + ",".join(map(name, b)), (same(pair, pair),)
+        ends_a = dict(zip(accumulate(map(self.width_a.__getitem__, a)), range(1, len(a) + 1)))
+        groups, links, from_a, from_b = [], [], 0, 0
+        for to_b, end in enumerate(accumulate(map(self.width_b.__getitem__, b)), 1):
+            to_a = ends_a.get(end)
+            if to_a is not None:
+                groups.append(",".join(map(name, a[from_a:to_a])) + "|" + ",".join(map(name, b[from_b:to_b])))
+                pair = a[to_a - 1] * SHIFT + b[to_b - 1]
+                links.append(same(pair, pair))
+                from_a, from_b = to_a, to_b
+        return len(a), len(b), ";".join(groups), tuple(links)
+
+    def learn(self, units) -> None:
         if len(self.known) > MOST_UNITS:
             self.known.clear()
         new = [u for u in units if u not in self.known]
-        for u, b in zip(new, self.b([u[1:] for u in new], num_threads=1) if new else ()):
-            self.known[u] = self.align(u, b)
+        # a unit follows a letter as it follows anything else
+        for u, b in zip(new, self.b(["a" + u for u in new], num_threads=1) if new else ()):
+            self.known[u] = self.align(u, b[1:])
+
+
+class Numbers(dict):
+    """Numbers of units, in the order of their first look-up."""
+
+    def __missing__(self, unit: str) -> int:
+        self[unit] = n = len(self)
+        return n
 
 
 def bitmaps(pair: np.ndarray, place: np.ndarray, times: np.ndarray, docs: int) -> pa.Array:
@@ -186,34 +202,32 @@ def _chunker(byte_path: str, piece_path: str, chunk_chars: int):
         aligner, part, made = Aligner(byte_path, piece_path), TaskContext.get().partitionId(), 0
 
         def row(held: list) -> pa.RecordBatch:
-            split = [units_of(t) if t else [] for _, t in held]
-            aligner.learn({u for us in split for u in us})
-            number: dict[str, int] = {}
-            docs, unit_at, unit_doc = [], [], []
-            for k, ((doc_id, _), us) in enumerate(zip(held, split)):
-                found = [aligner.known[u] for u in us]
-                if not us or None in found:
-                    docs.append((doc_id, k, 0, 0, 0, ""))
-                    continue
-                sha = hashlib.sha256(";".join([f[2] for f in found]).encode()).hexdigest()
-                docs.append((doc_id, k, sum([f[0] for f in found]), sum([f[1] for f in found]), sum([len(f[3]) for f in found]), sha))
-                unit_at += [number.setdefault(u, len(number)) for u in us]
-                unit_doc.append((k, len(us)))
+            number = Numbers()
+            at = [list(map(number.__getitem__, units_of(t))) if t else [] for _, t in held]
+            aligner.learn(number)
+            found = [aligner.known[u] for u in number]
+            bad = np.array([f is None for f in found], bool)
+            found = [f or (0, 0, "", ()) for f in found]
+            digest = [f[2] for f in found].__getitem__
+            unit = np.array([u for us in at for u in us], np.int64)
+            doc = np.repeat(np.arange(len(at)), [len(us) for us in at])
+            good = np.ones(len(at), bool)
+            good[doc[bad[unit]]] = False
+            unit, doc = unit[good[doc]], doc[good[doc]]
+            total = lambda k: np.bincount(doc, np.array([k(f) for f in found], np.float64)[unit], len(at)).astype(np.int64)
+            sha = [hashlib.sha256(";".join(map(digest, us)).encode()).hexdigest() if us and ok else "" for us, ok in zip(at, good.tolist())]
+            docs = pa.StructArray.from_arrays([
+                pa.array([d for d, _ in held], pa.int64()), pa.array(np.arange(len(at)), pa.int32()), *[pa.array(total(k), pa.int64()) for k in (
+                    lambda f: f[0], lambda f: f[1], lambda f: len(f[3]))], pa.array(sha, pa.string())], [f.name for f in CHUNK_TYPE.field("docs").type.value_type])
             # units of documents -> links of documents -> times of each (pair, document)
-            at = np.array(unit_at, np.int64)
-            doc = np.repeat(*(np.array(x, np.int64) for x in zip(*unit_doc))) if unit_doc else at
-            links = [aligner.known[u][3] for u in number]
-            size = np.array([len(x) for x in links], np.int64)
-            flat = np.array([x for xs in links for x in xs], np.int64)
-            names, code = np.unique(flat, return_inverse=True)
-            rank = np.cumsum(size) - size
-            n = size[at] if len(at) else at
+            size = np.array([len(f[3]) for f in found], np.int64)
+            names, code = np.unique(np.array([x for f in found for x in f[3]], np.int64), return_inverse=True)
+            n, rank = size[unit], (np.cumsum(size) - size)[unit]
             inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            key, times = np.unique(code[np.repeat(rank[at] if len(at) else at, n) + inside] * MOST_DOCS + np.repeat(doc, n), return_counts=True)
-            post = bitmaps(names[key // MOST_DOCS] if len(key) else key, key % MOST_DOCS, times, len(held))
-            ids = pa.array([dict(zip(("doc_id", "place", "n_a", "n_b", "n_groups", "groups_sha256"), d)) for d in docs], CHUNK_TYPE.field("docs").type.value_type)
+            key, times = np.unique(code[np.repeat(rank, n) + inside] * MOST_DOCS + np.repeat(doc, n), return_counts=True)
+            post = bitmaps(names[key // MOST_DOCS], key % MOST_DOCS, times, len(held))
             one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-            return pa.RecordBatch.from_arrays([pa.array([part << 32 | made], pa.int64()), one(ids), one(post)], schema=CHUNK_TYPE)
+            return pa.RecordBatch.from_arrays([pa.array([part << 32 | made], pa.int64()), one(docs), one(post)], schema=CHUNK_TYPE)
 
         held, chars = [], 0
         for batch in batches:
