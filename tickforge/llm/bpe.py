@@ -21,7 +21,9 @@ from __future__ import annotations
 import base64
 import heapq
 import json
+import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -35,6 +37,8 @@ from tickforge.llm.fingerprint import let
 
 RANK_FILE = "byte_bpe_50k.tiktoken"
 LONG = 64
+#: Units end where PATTERN always cuts: after a letter that no letter, digit or underscore follows, or before a space after a sign.
+UNIT = re.compile(r"\s*[^\W\d_\xb2\xb3\xb9\xbc-\xbe]+(?!\w)|[^\w\s]+(?=[ \n\t]|\Z)|.+?(?:(?<=[^\W\d_\xb2\xb3\xb9\xbc-\xbe])(?=\W)|(?<=\S)(?= )|\Z)", re.S)
 BUCKETS = 131_101  # a prime near the number of pairs
 SHIFT = 1 << 17
 NONE = (1 << 31) - 1
@@ -133,6 +137,18 @@ def merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[piece[i:end[i]]] for i in range(n) if alive[i]]
 
 
+class Units(dict):
+    """Numbers of the pieces of every unit met in a chunk."""
+
+    def __init__(self, find, number: dict[str, int]):
+        super().__init__()
+        self.find, self.number = find, number
+
+    def __missing__(self, unit: str) -> list[int]:
+        self[unit] = at = [self.number.setdefault(p, len(self.number)) for p in self.find(unit)]
+        return at
+
+
 def _chunker(pattern: str, shared, chunk_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, ranks = regex.compile(pattern).findall, shared.value
@@ -141,6 +157,7 @@ def _chunker(pattern: str, shared, chunk_chars: int):
         ids: list[int | None] = []
         at: list[np.ndarray] = []
         number: dict[str, int] = {}
+        units = Units(find, number)
         held = 0
 
         def nested(values: pa.Array) -> pa.Array:
@@ -164,12 +181,14 @@ def _chunker(pattern: str, shared, chunk_chars: int):
         for batch in batches:
             for k in range(batch.num_rows):
                 text = batch["text"][k].as_py() or ""
-                at.append(np.array([number.setdefault(p, len(number)) for p in find(text)], np.int32))
+                split = UNIT.findall(text) if pattern == public_tokenizers.PATTERN else [text]
+                at.append(np.fromiter(chain.from_iterable(map(units.__getitem__, split)), np.int32))
                 ids.append(batch["doc_id"][k].as_py())
                 held += len(text)
                 if held >= chunk_chars:
                     yield row()
                     ids, at, number, held = [], [], {}, 0
+                    units = Units(find, number)
         if ids:
             yield row()
 
@@ -183,7 +202,7 @@ def chunks(docs: DataFrame, vocabulary: Vocabulary, pattern: str, chunk_chars: i
 
 
 def encode_documents(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN,
-                     chunk_chars: int = 1 << 24, keep_ids: bool = False) -> DataFrame:
+                     chunk_chars: int = 1 << 23, keep_ids: bool = False) -> DataFrame:
     """Rows (doc_id, n_tokens, ids_sha256, decoded_sha256), with keep_ids also `ids`, one per row of docs."""
     v = Vocabulary(read_ranks(path or public_tokenizers.path(RANK_FILE)))
     sets = chunks(docs, v, pattern, chunk_chars)
