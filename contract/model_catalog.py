@@ -393,7 +393,15 @@ def _(spark, sf):
     return D.rating_weights(D.rating_components(m.filter(F.col("target").isNotNull()), prior(spark)))
 
 
-@query("same_idea")
+IDEA = RATE + f""", sg AS MATERIALIZED (SELECT sym, time, direction, regime, close AS px, atr_14 AS atr, tp_dist, row_number() OVER (PARTITION BY sym ORDER BY time) AS n FROM cp),
+ si AS (SELECT sym, time, n, direction, true AS kept, time AS lt, direction AS ld, regime AS lr, px AS lp, tp_dist AS ltp FROM sg WHERE n = 1
+  UNION ALL SELECT s.sym, s.time, s.n, s.direction, k, CASE WHEN k THEN s.time ELSE lt END, CASE WHEN k THEN s.direction ELSE ld END, CASE WHEN k THEN s.regime ELSE lr END,
+   CASE WHEN k THEN s.px ELSE lp END, CASE WHEN k THEN s.tp_dist ELSE ltp END FROM (SELECT s.*, i.lt, i.ld, i.lr, i.lp, i.ltp,
+    NOT (epoch(s.time) - epoch(i.lt) < 30 OR s.direction = i.ld AND s.regime = i.lr AND abs(s.px - i.lp) < 0.5 * s.atr AND abs(s.tp_dist - i.ltp) <= 1.0) AS k
+    FROM si i JOIN sg s ON s.sym = i.sym AND s.n = i.n + 1) s)"""
+
+
+@query("same_idea", IDEA + f" SELECT {KEY}, direction, kept FROM si")
 def _(spark, sf):
     s = rated(spark, sf).select("sym", "time", "direction", "regime", F.col("close").alias("px"), F.col("atr_14").alias("atr"), "tp_dist")
     return D.same_idea(checkpointed(s)).select("sym", epoch(), "direction", "kept")
@@ -521,6 +529,33 @@ def _(spark, sf):
     return one_at_a_time(spark, sf).select("sym", epoch(), "kind", "exit_rn", *rd("pnl"))
 
 
+HELD = TRADES + """, hx AS (SELECT e.sym, e.period_id, e.rn, min(CASE WHEN e.direction = 1 AND f.low <= e.sl OR e.direction = 0 AND f.high >= e.sl THEN f.rn END) AS s,
+   min(CASE WHEN e.direction = 1 AND f.high >= e.tp OR e.direction = 0 AND f.low <= e.tp THEN f.rn END) AS k
+   FROM e2 e LEFT JOIN b f ON f.sym = e.sym AND f.period_id = e.period_id AND f.rn > e.rn GROUP BY ALL),
+ ho AS MATERIALIZED (SELECT e.*, least(s, k) AS exit_rn, CASE WHEN s IS NULL AND k IS NULL THEN 'OPEN' WHEN k IS NULL OR s < k THEN 'SL' ELSE 'TP' END AS kind FROM e2 e JOIN hx USING (sym, period_id, rn)),
+ hp AS MATERIALIZED (SELECT *, (CASE kind WHEN 'SL' THEN sl WHEN 'TP' THEN tp END - entry) * CASE WHEN direction = 1 THEN 1 ELSE -1 END AS pnl FROM ho)"""
+HELD_CHAIN = HELD + """, hl AS (SELECT sym, period_id, min(rn) AS rn FROM hp GROUP BY 1, 2 UNION ALL SELECT a.sym, a.period_id, (SELECT min(z.rn) FROM hp z
+   WHERE z.sym = a.sym AND z.period_id = a.period_id AND z.rn > a.exit_rn) FROM hl JOIN hp a ON a.sym = hl.sym AND a.period_id = hl.period_id AND a.rn = hl.rn WHERE a.exit_rn IS NOT NULL)"""
+
+
+def held_trades(spark, sf):
+    """Trades of the fixed rule without a time stop; a bar that touches both levels takes the target."""
+    b = checkpointed(atr_bars(spark, sf))
+    p = (F.col("rn") * 37 % 100) / F.lit(100.0)
+    return b, BT.exit_ahead(b, BT.threshold_levels(p, 0.6, F.col("atr_14"), F.col("close")), tie="TP")
+
+
+@query("exit_ahead", HELD + f" SELECT {KEY}, direction, kind, exit_rn, {R('pnl', 'pnl')} FROM hp")
+def _(spark, sf):
+    return held_trades(spark, sf)[1].select("sym", epoch(), "direction", "kind", "exit_rn", *rd("pnl"))
+
+
+@query("one_position", HELD_CHAIN + f" SELECT {KEY}, kind, exit_rn, {R('pnl', 'pnl')} FROM hp JOIN hl USING (sym, period_id, rn)")
+def _(spark, sf):
+    b, trades = held_trades(spark, sf)
+    return BT.one_position(b, checkpointed(trades)).select("sym", epoch(), "kind", "exit_rn", *rd("pnl"))
+
+
 @query("bt_report", CHAIN + f""", cu AS (SELECT *, sum(pnl) OVER (PARTITION BY sym ORDER BY time) AS cum FROM no), dd AS (SELECT *, cum - max(cum) OVER (PARTITION BY sym ORDER BY time) AS d FROM cu)
  SELECT sym, count(*) AS trades, count(*) FILTER (pnl > 0) AS wins, count(*) FILTER (kind = 'SL') AS n_sl, count(*) FILTER (kind = 'TP') AS n_tp, count(*) FILTER (kind = 'TIME') AS n_time,
  {R('avg((pnl > 0)::INT)', 'win_rate')}, {R('sum(CASE WHEN pnl > 0 THEN pnl ELSE 0 END) / sum(CASE WHEN pnl < 0 THEN -pnl ELSE 0 END)', 'profit_factor')},

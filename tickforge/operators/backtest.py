@@ -10,8 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tickforge.operators.ahead import first_ahead, follow
 from tickforge.operators.labels import trade_levels, with_outcome
 from tickforge.operators.series import BLOCK_ROWS, exact_quantiles, running
+from tickforge.session import checkpointed
 
 
 def threshold_levels(p: Column, conf: float, atr: Column, close: Column, spread: float = 0.20,
@@ -49,6 +51,41 @@ def entry_exit(bars: DataFrame, levels: dict[str, Column], horizon: int, tie: st
     }).drop("p", "buy", "path_close", "path_time")
 
 
+def exit_ahead(bars: DataFrame, levels: dict[str, Column], tie: str = "SL", keys: Sequence[str] = ("sym", "period_id"), at: str = "rn",
+               block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Exit of a trade entered at every bar with a side, held until a level is touched, however long: kind SL or TP, exit_rn, pnl.
+
+    A trade that touches neither level to the end of its series stays open (kind OPEN, null exit and pnl).
+    """
+    keys = list(keys)
+    named = checkpointed(bars.withColumns(dict(levels)))
+    buy = F.col("direction") > 0.5
+    side = lambda a, b: F.when(F.col("direction").isNotNull(), F.when(buy, a).otherwise(b))
+    found = first_ahead(named, keys, at, [-F.col("low"), F.col("high")], [side(-F.col("sl"), -F.col("tp")), side(F.col("tp"), F.col("sl"))],
+                        name="exit_rn", block_rows=block_rows)
+    touched = bars.select(*keys, F.col(at).cast("long").alias("exit_rn"), F.col("low").alias("_low"), F.col("high").alias("_high"))
+    out = named.where("direction IS NOT NULL").join(found, [*keys, at]).join(touched, [*keys, "exit_rn"], "left")
+    hit_sl = F.when(buy, F.col("_low") <= F.col("sl")).otherwise(F.col("_high") >= F.col("sl"))
+    hit_tp = F.when(buy, F.col("_high") >= F.col("tp")).otherwise(F.col("_low") <= F.col("tp"))
+    kind = F.when(F.col("exit_rn").isNull(), "OPEN").when(hit_sl if tie == "SL" else ~hit_tp, "SL").otherwise("TP")
+    px = F.when(F.col("kind") == "SL", F.col("sl")).when(F.col("kind") == "TP", F.col("tp"))
+    out = out.withColumn("kind", kind).withColumn("pnl", F.when(buy, px - F.col("entry")).otherwise(F.col("entry") - px))
+    return out.select(*bars.columns, *[c for c in levels if c not in bars.columns], "kind", "exit_rn", "pnl")
+
+
+def one_position(bars: DataFrame, trades: DataFrame, skip: int = 1, keys: Sequence[str] = ("sym", "period_id"), at: str = "rn",
+                 block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Trades of a one-position-at-a-time run over bars numbered densely, with exits any number of bars ahead.
+
+    From a bar without a trade the run goes on with the next bar, from a trade with the bar `skip` after its
+    exit; an open trade ends it. trades: as from exit_ahead.
+    """
+    keys = list(keys)
+    entered = trades.select(*keys, at, F.lit(True).alias("_trade"), (F.col("exit_rn") + skip).alias("_free"))
+    steps = bars.select(*keys, at).join(entered, [*keys, at], "left").withColumn("_to", F.when(F.col("_trade"), F.col("_free")).otherwise(F.col(at) + 1))
+    return trades.join(follow(steps, keys, at, "_to", block_rows), [*keys, at], "left_semi")
+
+
 def _chain(rn: np.ndarray, exit_rn: np.ndarray, skip: int, end: int) -> tuple[np.ndarray, np.ndarray]:
     """For each candidate of a block: the next candidate it allows, and where its chain leaves the block."""
     nxt = np.searchsorted(rn, exit_rn + skip)

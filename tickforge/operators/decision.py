@@ -7,14 +7,14 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tickforge.constants import SL_MULTS, TP_RATIOS
 from tickforge.functions.windows import clip
+from tickforge.operators.ahead import first_ahead, follow
 from tickforge.operators.grid import distances
-from tickforge.operators.series import running
+from tickforge.operators.series import BLOCK_ROWS, running
+from tickforge.session import checkpointed
 
 
 def expectancy(p: Column, sl_dist: Column, tp_dist: Column, spread: Column) -> dict[str, Column]:
@@ -183,44 +183,32 @@ def same_idea(
     move_atr: float = 0.5,
     tp_band: float = 1.0,
     bucket_secs: int = 7 * 86400,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Marks signals kept (True) or suppressed as repeats of the last kept one.
 
-    Input: sym, time, direction, regime, px, atr, tp_dist. A signal is certainly
-    kept when it changes side or regime and both it and the one before follow
-    their predecessors by min_gap: then the last kept signal has the side and
-    regime of the one before. Such signals split a series into independent stretches; only inside one is
-    the order followed row by row.
+    Input: sym, time, direction, regime, px, atr, tp_dist. Every signal finds the next
+    that would be kept after it, were it kept itself: the first that follows by min_gap and
+    differs in side, regime, price or target. These steps are followed from the first
+    signal of a series. Both work in blocks of rows, however long one state lasts.
     """
-    gap = int(min_gap_secs * 1e6)
+    gap, names = int(min_gap_secs * 1e6), signals.columns
     bucket = F.floor(F.unix_micros("time") / (bucket_secs * 1_000_000))
-    state = F.concat_ws("|", F.col("direction").cast("string"), "regime")
-    rows = signals.withColumns({"_us": F.unix_micros("time"), "_state": state, "_bk0": bucket})
-    w = W.partitionBy("sym", "_bk0").orderBy("time")
-    # without both neighbours in the bucket a row simply stays in the stretch before it
-    fresh = ((F.col("_us") - F.lag("_us").over(w) >= gap) & (F.lag("_us").over(w) - F.lag("_us", 2).over(w) >= gap)
-             & (F.col("_state") != F.lag("_state").over(w)))
-    rows = rows.withColumn("_new", F.coalesce(fresh, F.lit(False)).cast("int"))
-    rows = running(rows, ["sym"], ["time"], F.col("_bk0"), {"_stretch": ("sum", "_new")})
-    schema = T.StructType([*signals.schema.fields, T.StructField("kept", T.BooleanType())])
-    names = signals.columns
-
-    def follow(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_us")
-        t, px, atr, tp = (pdf[c].to_numpy(dtype=float) for c in ("_us", "px", "atr", "tp_dist"))
-        st, stretch = pdf["_state"].to_numpy(), pdf["_stretch"].to_numpy()
-        kept = np.zeros(len(pdf), dtype=bool)
-        k = -1
-        for i in range(len(pdf)):
-            if k >= 0 and stretch[i] == stretch[k]:
-                if t[i] - t[k] < min_gap_secs * 1e6:
-                    continue
-                if st[i] == st[k] and abs(px[i] - px[k]) < move_atr * atr[i] and abs(tp[i] - tp[k]) <= tp_band:
-                    continue
-            kept[i] = True
-            k = i
-        return pdf.assign(kept=kept)[[*names, "kept"]]
-
-    # stretches are mostly short; a few hundred share one call
-    rows = rows.select(*names, "_us", "_state", "_stretch")
-    return rows.groupBy("sym", F.floor(F.col("_stretch") / 256)).applyInPandas(follow, schema)
+    rows = signals.withColumns({"_us": F.unix_micros("time"), "_one": F.lit(1), "_state": F.concat_ws("|", F.col("direction").cast("string"), "regime")})
+    rows = checkpointed(running(rows, ["sym"], ["time"], bucket, {"_n": ("sum", "_one")}))
+    high = F.lit(float("inf"))
+    code = F.pmod(F.xxhash64("_state"), F.lit(1 << 40)).cast("double")
+    # limits a little tighter than the rule; `differs` has the last word
+    px, reach, slack = F.col("px"), F.col("atr") * move_atr, (F.abs("px") + F.abs("atr")) * 1e-9
+    heights = [px - reach + slack, slack - px - reach, F.col("tp_dist"), -F.col("tp_dist"), code, -code]
+    limits = [px, -px, F.col("tp_dist") + tp_band * (1 - 1e-9), tp_band * (1 - 1e-9) - F.col("tp_dist"), code + 0.5, 0.5 - code]
+
+    def differs(at: pd.DataFrame, last: pd.DataFrame) -> np.ndarray:
+        near = np.abs(at["px"].to_numpy(float) - last["px"].to_numpy(float)) < move_atr * at["atr"].to_numpy(float)
+        close = np.abs(at["tp_dist"].to_numpy(float) - last["tp_dist"].to_numpy(float)) <= tp_band
+        return ~((at["_state"].to_numpy() == last["_state"].to_numpy()) & near & close)
+
+    steps = first_ahead(rows, ["sym"], "_n", [F.coalesce(h, high) for h in heights], [F.coalesce(x, -high) for x in limits], F.col("_us"),
+                        F.col("_us") + gap, ["_state", "px", "atr", "tp_dist"], differs, block_rows)
+    met = follow(steps, ["sym"], "_n", "ahead", block_rows).withColumn("_met", F.lit(True))
+    return rows.join(met, ["sym", "_n"], "left").select(*names, F.coalesce("_met", F.lit(False)).alias("kept"))
