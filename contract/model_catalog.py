@@ -349,11 +349,43 @@ RATE = SIDE + ", " + PRIOR + """, cp AS MATERIALIZED (SELECT sd.*, sl_dist / gre
 WEIGHTS = "50.0 * p_comp + 30.0 * e_comp + 10.0 * r_comp + 10.0 * x_comp"
 
 
+def cell_p(side, sl_mult, tp_ratio):
+    """pcell() as a function of a placement."""
+    whole = F.floor(F.unix_seconds("time") / 3600) * 37 + F.round(sl_mult * 10).cast("bigint") * 7 + \
+        F.round(tp_ratio * 10).cast("bigint") * 3 + side.cast("bigint") * 11
+    return (whole % 100) / F.lit(100.0)
+
+
 def rated(spark, sf):
-    side = D.side_choice(D.best_placement(cells(spark, sf), ["sym", "time", "direction"]))
-    reg = regime_bars(spark, sf).select("sym", "time", "regime", "trend_ema", "atr_pctile", "atr_14", "close")
-    rows = side.join(reg, ["sym", "time"]).withColumn("sl_atr", F.col("sl_dist") / F.greatest("atr_14", F.lit(1e-9)))
-    return D.rating_components(rows, prior(spark))
+    side = D.decide(regime_bars(spark, sf), cell_p, anchor=(1.2, 1.8)).drop(*D.COMPONENTS, "rating")
+    return D.rating_components(side, prior(spark))
+
+
+DECIDE = CELL + ", " + PRIOR + f""", dq AS (SELECT cd.* EXCLUDE (exp), false AS learned, p0.sl_atr AS psl, p0.tp_ratio AS ptp, p0.mfe_p50 FROM cd JOIN prior p0 ON p0.regime = cd.regime AND p0.direction = cd.direction),
+ dl0 AS (SELECT DISTINCT sym, period_id, rn, time, regime, trend_ema, atr_pctile, atr_14, close, direction, psl, ptp, mfe_p50 FROM dq),
+ dl1 AS (SELECT sym, time, regime, trend_ema, atr_pctile, atr_14, direction, psl AS sl_mult, ptp AS tp_ratio FROM dl0),
+ dl AS (SELECT sym, time, regime, trend_ema, atr_pctile, atr_14, direction, sl_mult, tp_ratio, greatest(atr_14 * sl_mult, 0.30) AS sl_dist, (greatest(atr_14 * sl_mult, 0.30) + 0.2) * tp_ratio AS tp_dist,
+   {PCELL} AS p, false AS is_anchor, true AS learned FROM dl1),
+ da0 AS (SELECT sym, time, regime, trend_ema, atr_pctile, atr_14, direction, sl_mult, tp_ratio, sl_dist, tp_dist, p, is_anchor, learned FROM dq
+   WHERE is_anchor OR (sl_dist / greatest(atr_14, 1e-9) <= psl AND tp_dist / greatest(atr_14, 1e-9) <= mfe_p50) UNION ALL SELECT * FROM dl),
+ da AS MATERIALIZED (SELECT *, p * (tp_dist / (sl_dist + 0.2 + 1e-9)) - (1 - p) AS exp FROM da0), """ + _best("da") + """,
+ ds AS (SELECT b.sym, b.time, b.regime, b.trend_ema, b.atr_pctile, b.atr_14, unnest(CASE WHEN b.exp >= s.exp THEN {'d': 1.0::DOUBLE, 'e': b.exp, 'p': b.p, 'sl': b.sl_dist, 'm': b.sl_mult, 'r': b.tp_ratio, 'l': b.learned}
+   ELSE {'d': 0.0::DOUBLE, 'e': s.exp, 'p': s.p, 'sl': s.sl_dist, 'm': s.sl_mult, 'r': s.tp_ratio, 'l': s.learned} END) FROM bp b JOIN bp s ON s.sym = b.sym AND s.time = b.time WHERE b.direction = 1 AND s.direction = 0),
+ dc AS (SELECT ds.*, p AS p_comp, greatest(least((e + 0.25) / 3.0, 1), 0) AS e_comp,
+  greatest(least(0.5 * (1 - least(abs(abs(coalesce(trend_ema, 0)) - 0.4), abs(abs(coalesce(trend_ema, 0)) - 1.2), 1.0)) + 0.5 * abs(coalesce(atr_pctile, 0.5) - 0.5), 1), 0) AS r_comp,
+  CASE WHEN sl / greatest(atr_14, 1e-9) >= q.sl_atr THEN 1.0 WHEN sl / greatest(atr_14, 1e-9) > q.mfa_p50 THEN 0.6 ELSE 0.2 END::DOUBLE AS x_comp
+  FROM ds JOIN prior q ON q.regime = ds.regime AND q.direction = ds.d),
+ dr AS MATERIALIZED (SELECT *, d AS direction, m AS sl_mult, r AS tp_ratio, e AS exp, l AS learned, round_even(greatest(least(""" + WEIGHTS + """, 100), 0), 1) + 0.0 AS rating FROM dc)"""
+
+
+def decided(spark, sf):
+    """Live decisions of all bars: band and learned pair of the prior, side, rating and signal at a threshold of 55."""
+    return D.decide(regime_bars(spark, sf), cell_p, prior(spark), fixed_weights(spark), 55.0, (1.2, 1.8))
+
+
+@query("decide", DECIDE + f" SELECT {KEY}, direction, sl_mult, tp_ratio, {R('exp', 'exp')}, learned, exp > 0 AS fire, rating, exp > 0 AND rating >= 55 AS signal FROM dr")
+def _(spark, sf):
+    return decided(spark, sf).select("sym", epoch(), "direction", "sl_mult", "tp_ratio", *rd("exp"), "learned", "fire", "rating", "signal")
 
 
 def fixed_weights(spark):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -112,20 +112,97 @@ def direction_gate(df: DataFrame, metrics: DataFrame, prior: DataFrame) -> DataF
 COMPONENTS = ["p_comp", "e_comp", "r_comp", "x_comp"]
 
 
+def components(sl_level: Column, noise: Column) -> dict[str, Column]:
+    """Rating inputs of a decided row, from the learned stop and the winners' usual adverse move of its regime and side."""
+    te = F.abs(F.coalesce("trend_ema", F.lit(0.0)))
+    dist = F.least(F.abs(te - 0.4), F.abs(te - 1.2), F.lit(1.0))
+    known = (sl_level > 0) & (noise > 0) & F.col("sl_atr").isNotNull()
+    room = (F.when(~F.coalesce(known, F.lit(False)), 0.5).when(F.col("sl_atr") >= sl_level, 1.0)
+            .when(F.col("sl_atr") > noise, 0.6).otherwise(0.2))
+    ap = F.coalesce("atr_pctile", F.lit(0.5))
+    return {"p_comp": clip(F.col("p"), 0, 1), "e_comp": clip((F.col("exp") + 0.25) / 3.0, 0, 1),
+            "r_comp": clip(0.5 * (1 - dist) + 0.5 * F.abs(ap - 0.5), 0, 1), "x_comp": room}
+
+
 def rating_components(df: DataFrame, prior: DataFrame) -> DataFrame:
     """Four inputs of the rating: probability, expectancy, regime confidence, stop headroom."""
     lv = prior.select("regime", "direction", F.col("sl_atr").alias("_sl"), F.col("mfa_p50").alias("_noise"))
     out = df.join(lv, ["regime", "direction"], "left")
-    te = F.abs(F.coalesce("trend_ema", F.lit(0.0)))
-    dist = F.least(F.abs(te - 0.4), F.abs(te - 1.2), F.lit(1.0))
-    known = (F.col("_sl") > 0) & (F.col("_noise") > 0) & F.col("sl_atr").isNotNull()
-    room = (F.when(~F.coalesce(known, F.lit(False)), 0.5).when(F.col("sl_atr") >= F.col("_sl"), 1.0)
-            .when(F.col("sl_atr") > F.col("_noise"), 0.6).otherwise(0.2))
-    ap = F.coalesce("atr_pctile", F.lit(0.5))
-    return out.withColumns({
-        "p_comp": clip(F.col("p"), 0, 1), "e_comp": clip((F.col("exp") + 0.25) / 3.0, 0, 1),
-        "r_comp": clip(0.5 * (1 - dist) + 0.5 * F.abs(ap - 0.5), 0, 1), "x_comp": room,
-    }).drop("_sl", "_noise")
+    return out.withColumns(components(F.col("_sl"), F.col("_noise"))).drop("_sl", "_noise")
+
+
+def _best_cell(direction: float, p: Callable[[Column, Column, Column], Column], learned: Column | None, anchor: tuple[float, float] | None) -> Column:
+    """The best reachable cell of one side, as a struct; null where no cell has an expectancy.
+
+    The cells of the grid, and the pair learned for the regime, are an array in the row: scored, filtered and reduced in place.
+    """
+    pair = lambda m, r, is_anchor, own: F.struct(m.alias("sl_mult"), r.alias("tp_ratio"), F.lit(is_anchor).alias("is_anchor"), F.lit(own).alias("learned"))
+    pairs = F.array(*[pair(F.lit(float(m)), F.lit(float(r)), (m, r) == anchor, False) for m in SL_MULTS for r in TP_RATIOS])
+    if learned is not None:
+        own = pair(learned["sl_atr"], learned["tp_ratio"], False, True)
+        pairs = F.concat(pairs, F.when(learned["sl_atr"].isNotNull() & learned["tp_ratio"].isNotNull(), F.array(own)).otherwise(F.slice(F.array(own), 1, 0)))
+    side, spread, unit = F.lit(direction), F.col("_spread"), F.greatest("atr_14", F.lit(1e-9))
+
+    def placed(c: Column) -> Column:
+        d = distances(F.col("atr_14"), spread, c["sl_mult"], c["tp_ratio"])
+        return F.struct(c["sl_mult"].alias("sl_mult"), c["tp_ratio"].alias("tp_ratio"), c["is_anchor"].alias("is_anchor"), c["learned"].alias("learned"),
+                        d["sl_dist"].alias("sl_dist"), d["tp_dist"].alias("tp_dist"), p(side, c["sl_mult"], c["tp_ratio"]).alias("p"))
+
+    def reachable(c: Column) -> Column:
+        cap = F.coalesce(learned["mfe_p50"], learned["sl_atr"] * learned["tp_ratio"])
+        return c["is_anchor"] | c["learned"] | learned["sl_atr"].isNull() | ((c["sl_dist"] / unit <= learned["sl_atr"]) & (c["tp_dist"] / unit <= cap))
+
+    def ranked(c: Column) -> Column:
+        e = expectancy(c["p"], c["sl_dist"], c["tp_dist"], spread)
+        rank = [F.round(e["exp"], 9).alias("_1"), c["is_anchor"].cast("int").alias("_2"), (-c["sl_mult"]).alias("_3"), (-c["tp_ratio"]).alias("_4")]
+        cell = [c[n].alias(n) for n in ("sl_mult", "tp_ratio", "sl_dist", "tp_dist", "p")] + [e[n].alias(n) for n in ("rr", "exp", "ev")]
+        return F.struct(*rank, *cell, c["learned"].alias("learned"))
+
+    cells = F.transform(pairs, placed)
+    if learned is not None:
+        cells = F.filter(cells, lambda c: F.coalesce(reachable(c), F.lit(False)))
+    return F.array_max(F.filter(F.transform(cells, ranked), lambda c: c["exp"].isNotNull()))
+
+
+def decide(
+    bars: DataFrame,
+    p: Callable[[Column, Column, Column], Column],
+    prior: DataFrame | None = None,
+    weights: DataFrame | None = None,
+    threshold: float | None = None,
+    anchor: tuple[float, float] | None = None,
+) -> DataFrame:
+    """Bars to decisions in one pass: placements, reachable band, learned pair, side, rating.
+
+    Input: atr_14, spread (points), regime, trend_ema, atr_pctile and, if known, p_up. p(side, sl_mult, tp_ratio) is the
+    probability of a placement, also of the learned pair, from the row's columns. prior (regime, direction, sl_atr,
+    tp_ratio, mfe_p50, mfa_p50) has one row a regime and side, and is joined as one small row a regime;
+    nothing is exploded, grouped or shuffled, so it also runs on a stream. Adds direction, the chosen
+    cell, fire, rating and signal (fired at or above the threshold); a bar without any scored cell is dropped.
+    """
+    rows = bars.withColumn("_spread", F.coalesce("spread", F.lit(20.0)) / 100.0)
+    sides: list[Column | None] = [None, None]
+    if prior is not None:
+        level = F.struct("sl_atr", "tp_ratio", "mfe_p50", "mfa_p50")
+        per = prior.groupBy(F.col("regime").alias("_regime")).agg(F.max(F.when(F.col("direction") > 0.5, level)).alias("_b"),
+                                                                  F.max(F.when(F.col("direction") <= 0.5, level)).alias("_s"))
+        rows = rows.join(F.broadcast(per), F.col("regime") == F.col("_regime"), "left").drop("_regime")  # a row a regime
+        sides = [F.col("_b"), F.col("_s")]
+    up = F.coalesce("p_up", F.lit(0.5)) if "p_up" in bars.columns else F.lit(0.5)
+    rows = rows.withColumns({"_buy": _best_cell(1.0, p, sides[0], anchor), "_sell": _best_cell(0.0, p, sides[1], anchor), "p_up": up})
+    rows = rows.withColumns({"buy_w": F.col("_buy.exp") * F.col("p_up"), "sell_w": F.col("_sell.exp") * (1 - F.col("p_up"))})
+    buys = F.col("_sell").isNull() | F.coalesce(F.col("buy_w") >= F.col("sell_w"), F.lit(False))
+    rows = rows.withColumn("direction", F.when(buys, 1.0).otherwise(0.0)).withColumn("_cell", F.when(F.col("direction") > 0.5, F.col("_buy")).otherwise(F.col("_sell")))
+    cell = ["sl_mult", "tp_ratio", "sl_dist", "tp_dist", "p", "rr", "exp", "ev", "learned"]
+    rows = rows.where(F.col("_cell").isNotNull()).withColumns({c: F.col("_cell")[c] for c in cell})
+    rows = rows.withColumns({"fire": F.col("exp") > 0, "sl_atr": F.col("sl_dist") / F.greatest("atr_14", F.lit(1e-9))})
+    null = F.lit(None).cast("double")
+    own = F.when(F.col("direction") > 0.5, F.col("_b")).otherwise(F.col("_s")) if prior is not None else None
+    rows = rows.withColumns(components(null if own is None else own["sl_atr"], null if own is None else own["mfa_p50"]))
+    rows = rate_signal(rows, weights)
+    if threshold is not None:
+        rows = rows.withColumn("signal", F.col("fire") & (F.col("rating") >= threshold))
+    return rows.drop("_spread", "_buy", "_sell", "_cell", *(["_b", "_s"] if prior is not None else []))
 
 
 def cross_products(df: DataFrame, target: str = "target") -> DataFrame:
