@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from itertools import count
 
 from pyspark.sql import functions as F
@@ -23,8 +24,9 @@ from tickforge.operators import models as M
 from tickforge.operators import regime as RG
 from tickforge.operators.features import features
 from tickforge.plans.pipelines import REGIME_GROUPS
-from tickforge.session import checkpointed
+from tickforge.session import checkpointed, shared_folder
 from tickforge.streaming import live
+from tickforge.streaming import state as ST
 
 SHORT = 9  # label horizon in bars; four times that is searched
 EXT = 4 * SHORT
@@ -765,22 +767,37 @@ def _(spark, sf):
 
 MICRO = "WITH " + TICKS + f""", d AS (SELECT *, sign(bid - lag(bid) OVER (PARTITION BY sym ORDER BY ts)) AS dr FROM ticks),
  m AS (SELECT *, count(*) OVER s AS a, count(*) OVER l AS b, count(*) FILTER (dr > 0) OVER s AS us, count(*) FILTER (dr < 0) OVER s AS ds, count(*) FILTER (dr > 0) OVER l AS ul, count(*) FILTER (dr < 0) OVER l AS dl,
-   avg(ask - bid) OVER s AS sm FROM d WINDOW s AS (PARTITION BY sym ORDER BY ts RANGE BETWEEN INTERVAL 600 SECONDS PRECEDING AND CURRENT ROW), l AS (PARTITION BY sym ORDER BY ts RANGE BETWEEN INTERVAL 3000 SECONDS PRECEDING AND CURRENT ROW))
- SELECT event_id, a AS ticks_60s, b AS ticks_300s, {R('(us - ds) / (us + ds + 1e-9)', 'imb_60s')}, {R('(ul - dl) / (ul + dl + 1e-9)', 'imb_300s')}, {R('sm', 'spread_mean_60s')} FROM m"""
+   avg(ask - bid) OVER s AS sm, stddev_samp(ask - bid) OVER s AS sd FROM d WINDOW s AS (PARTITION BY sym ORDER BY ts RANGE BETWEEN INTERVAL 600 SECONDS PRECEDING AND CURRENT ROW), l AS (PARTITION BY sym ORDER BY ts RANGE BETWEEN INTERVAL 3000 SECONDS PRECEDING AND CURRENT ROW))
+ SELECT event_id, a AS ticks_60s, b AS ticks_300s, {R('(us - ds) / (us + ds + 1e-9)', 'imb_60s')}, {R('(ul - dl) / (ul + dl + 1e-9)', 'imb_300s')}, {R('ask - bid', 'spread_now')}, {R('sm', 'spread_mean_60s')}, {R('coalesce(sd, 0)', 'spread_std_60s')} FROM m"""
 
 
 @query("microstructure", MICRO)
 def _(spark, sf):
     # the test ticks are sparse, so the windows are ten times longer than live ones
     out = live.microstructure(ticks(spark, sf), 600, 3000)
-    return out.select("event_id", "ticks_60s", "ticks_300s", *rd("imb_60s", "imb_300s", "spread_mean_60s"))
+    return out.select("event_id", "ticks_60s", "ticks_300s", *rd("imb_60s", "imb_300s", "spread_now", "spread_mean_60s", "spread_std_60s"))
 
 
-@query("stream_microstructure", "WITH " + TICKS + """, w AS (SELECT sym, time_bucket(INTERVAL 1 HOUR, ts) AS st, count(*) AS ticks, round(avg(ask - bid), 6) AS spread_mean FROM ticks GROUP BY 1, 2)
- SELECT sym, epoch(st)::BIGINT AS t, ticks, spread_mean FROM w""")
+def as_files(df, time):
+    """A file stream over the rows written as three files by time, read one a micro-batch; and a place for its results."""
+    spark, place = df.sparkSession, f"{shared_folder(df.sparkSession)}/stream-{uuid.uuid4().hex}"
+    df = checkpointed(df)
+    lo, hi = df.agg(F.min(F.unix_micros(time)), F.max(F.unix_micros(time))).first()
+    part = F.least(F.floor((F.unix_micros(time) - (lo or 0)) * 3 / F.lit(((hi or 0) - (lo or 0)) or 1)), F.lit(2))
+    for i in range(3):
+        df.where(part == i).repartition(1).write.mode("append").parquet(f"{place}/in")
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{place}/in"), place
+
+
+def appended(stream, place):
+    return ST.run_files(stream, f"{place}/out", f"{place}/checkpoint")
+
+
+@query("stream_microstructure", MICRO.replace("SELECT event_id,", "SELECT sym, epoch_us(ts)::BIGINT AS us,"))
 def _(spark, sf):
-    out = live.run_available(live.stream_microstructure(tick_stream(spark, sf), "1 hour", "1 hour"), f"stream_micro_{next(_names)}")
-    return out.select("sym", epoch("start"), "ticks", *rd("spread_mean"))
+    stream, place = as_files(ticks(spark, sf), "ts")
+    out = appended(ST.stream_microstructure(stream, 600, 3000), place)
+    return out.select("sym", F.unix_micros("ts").alias("us"), "ticks_60s", "ticks_300s", *rd("imb_60s", "imb_300s", "spread_now", "spread_mean_60s", "spread_std_60s"))
 
 
 def open_trades(spark, sf):
@@ -797,10 +814,20 @@ TOUCH = "WITH " + TICKS + """, o AS (SELECT sym, ts::DATE AS d, min(ts) - INTERV
   FROM o2 JOIN ticks t ON t.sym = o2.sym AND t.ts >= o2.opened GROUP BY 1, 2)"""
 
 
-@query("stream_first_touch", TOUCH + f" SELECT trade_id, CASE WHEN s IS NOT NULL AND (k IS NULL OR s <= k) THEN 'SL' WHEN k IS NOT NULL THEN 'TP' END AS verdict, {R('min_bid', 'min_bid')}, {R('max_ask', 'max_ask')} FROM j")
+@query("tick_first_touch", TOUCH + f" SELECT trade_id, CASE WHEN s IS NOT NULL AND (k IS NULL OR s <= k) THEN 'SL' WHEN k IS NOT NULL THEN 'TP' END AS verdict, {R('min_bid', 'min_bid')}, {R('max_ask', 'max_ask')} FROM j")
+def _(spark, sf):
+    return live.tick_first_touch(ticks(spark, sf), open_trades(spark, sf)).select("trade_id", "verdict", *rd("min_bid", "max_ask"))
+
+
+@query("stream_first_touch", TOUCH + f""", v AS (SELECT trade_id, least(s, k) AS hit_ts, CASE WHEN k IS NULL OR s <= k THEN 'SL' ELSE 'TP' END AS verdict FROM j WHERE least(s, k) IS NOT NULL)
+ SELECT v.trade_id, verdict, epoch_us(hit_ts)::BIGINT AS us, {R('min(bid)', 'min_bid')}, {R('max(ask)', 'max_ask')} FROM v JOIN o2 USING (trade_id) JOIN ticks t ON t.sym = o2.sym AND t.ts BETWEEN o2.opened AND v.hit_ts GROUP BY 1, 2, 3""")
 def _(spark, sf):
-    out = live.run_available(live.tick_first_touch(tick_stream(spark, sf), open_trades(spark, sf)), f"touch_{next(_names)}")
-    return out.select("trade_id", "verdict", *rd("min_bid", "max_ask"))
+    none = F.lit(None).cast("double")
+    opened = open_trades(spark, sf).select("sym", F.col("opened").alias("ts"), none.alias("bid"), none.alias("ask"), "trade_id", "direction", "sl", "tp")
+    seen = ticks(spark, sf).select("sym", "ts", "bid", "ask", F.lit(None).cast("long").alias("trade_id"), *[none.alias(c) for c in ("direction", "sl", "tp")])
+    stream, place = as_files(seen.unionByName(opened), "ts")
+    out = appended(ST.stream_touch(stream), place)
+    return out.select("trade_id", "verdict", F.unix_micros("verdict_ts").alias("us"), *rd("min_bid", "max_ask"))
 
 
 @query("partial_coverage", TOUCH + " SELECT trade_id, epoch(f) - epoch(opened) > 1 AS partial FROM j")
@@ -830,10 +857,29 @@ def _(spark, sf):
     return live.after_watermark(b, last).select("sym", epoch(), "close")
 
 
-@query("stream_score", SIDE + f" SELECT {KEY}, direction, {R('exp', 'exp')} FROM sd WHERE time >= TIMESTAMP '2024-01-25'")
+@query("stream_score", SIDE + f" SELECT {KEY}, regime, direction, {R('exp', 'exp')} FROM sd")
 def _(spark, sf):
-    fresh = bars(spark, sf).filter(F.col("time") >= F.lit("2024-01-25").cast("timestamp")).select("sym", "time")
-    return D.side_choice(D.best_placement(cells(spark, sf))).join(fresh, ["sym", "time"], "left_semi").select("sym", epoch(), "direction", *rd("exp"))
+    stream, place = as_files(bars(spark, sf), "time")
+    return appended(ST.score_stream(stream, cell_p, anchor=(1.2, 1.8)), place).select("sym", epoch(), "regime", "direction", *rd("exp"))
+
+
+@query("stream_upsert", "WITH " + BARS + f", u AS (SELECT *, epoch(time)::BIGINT % 7200 = 0 AS c FROM bars) SELECT {KEY}, open, high + c::INT AS high, low, close + 0.5 * c::INT AS close FROM u")
+def _(spark, sf):
+    """A table of days brought up to date by a stream of changed bars, three micro-batches."""
+    b = checkpointed(bars(spark, sf))
+    changed = b.where(F.unix_seconds("time") % 7200 == 0).withColumns({"high": F.col("high") + 1, "close": F.col("close") + 0.5})
+    stream, place = as_files(changed, "time")
+    live.write_days(b, f"{place}/table")
+    live.upsert_stream(stream, f"{place}/table", f"{place}/checkpoint").awaitTermination()
+    return live.read_days(spark, f"{place}/table").select("sym", epoch(), "open", "high", "low", "close")
+
+
+@query("stream_new_bars", "WITH " + BARS + f" SELECT {KEY}, open, close FROM bars")
+def _(spark, sf):
+    """Bars of a stream that sends half of them twice, each once."""
+    b = bars(spark, sf)
+    stream, place = as_files(b.unionByName(b.where(F.unix_seconds("time") % 7200 == 0)), "time")
+    return appended(ST.new_bars(stream), place).select("sym", epoch(), "open", "close")
 
 
 @query("incremental_append", MATRIX + f" SELECT {KEY}, direction, sl_mult, tp_ratio, target FROM mx WHERE time > TIMESTAMP '2024-01-25'")

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tickforge.operators.ahead import first_ahead
 from tickforge.operators.bars import ticks_to_bars
+from tickforge.operators.series import BLOCK_ROWS, running
+from tickforge.session import checkpointed
 
 
 def stream_bars(ticks: DataFrame, width: str = "1 minute", late: str = "60 seconds") -> DataFrame:
@@ -48,50 +51,35 @@ def microstructure(ticks: DataFrame, short: int = 60, long: int = 300, bucket_se
         "imb_60s": imbalance(short), "imb_300s": imbalance(long), "spread_now": spread,
         "spread_mean_60s": F.avg(spread).over(last(short)),
         "spread_std_60s": F.coalesce(F.stddev_samp(spread).over(last(short)), F.lit(0.0))})
-    return rows.filter(F.col("_b") == F.col("_home")).drop("_us", "_b", "_d", "_home")
+    return rows.filter(F.col("_b") == F.col("_home")).drop("_us", "_b", "_d", "_e", "_home")
 
 
-def stream_microstructure(ticks: DataFrame, width: str = "60 seconds", slide: str = "5 seconds", late: str = "60 seconds") -> DataFrame:
-    """Sliding-window tick counts and spread statistics of a stream.
-
-    A window's up and down moves come from its sorted bids, a list bounded by the
-    window.
-    """
-    spread = F.col("ask") - F.col("bid")
-    per = ticks.withWatermark("ts", late).groupBy("sym", F.window("ts", width, slide).alias("w")).agg(
-        F.count(F.lit(1)).alias("ticks"), F.avg(spread).alias("spread_mean"),
-        F.coalesce(F.stddev_samp(spread), F.lit(0.0)).alias("spread_std"),
-        F.array_sort(F.collect_list(F.struct("ts", "bid"))).alias("_l"))
-    bids = F.transform("_l", lambda x: x["bid"])
-    moves = F.zip_with(F.slice(bids, 2, F.size(bids)), F.slice(bids, 1, F.size(bids)), lambda a, b: F.signum(a - b))
-    up = F.size(F.filter(moves, lambda m: m > 0))
-    dn = F.size(F.filter(moves, lambda m: m < 0))
-    return per.select("sym", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "ticks",
-                      ((up - dn) / (up + dn + 1e-9)).alias("imb"), "spread_mean", "spread_std")
-
-
-def tick_first_touch(ticks: DataFrame, trades: DataFrame, partial_secs: float = 5.0) -> DataFrame:
+def tick_first_touch(ticks: DataFrame, trades: DataFrame, partial_secs: float = 5.0, bucket_secs: int = 3600, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Verdict per open trade on fill sides: buys close at the bid, sells at the ask; a tie is SL.
 
-    trades: trade_id, sym, opened, direction, sl, tp. They are the small, current
-    positions; the ticks are grouped by trade with map-side partial minima, so a
-    hot series needs no single task. With a stream of ticks it runs in complete
-    or update mode (stream-static join).
+    trades: trade_id, sym, opened, direction, sl, tp. Openings and ticks are numbered as one series, an opening before
+    the ticks of its time; a trade then finds its first touch by extremes of blocks of ticks, and only in the
+    block of the touch by ticks, so no trade is joined with the ticks it lives through. min_bid and max_ask are
+    those of all ticks since the opening, by running extremes from the end. The live twin is `state.stream_touch`.
     """
-    hit = ticks.join(trades, "sym").filter(F.col("ts") >= F.col("opened"))
-    buy = F.col("direction") > 0.5
-    sl = F.when(buy, F.col("bid") <= F.col("sl")).otherwise(F.col("ask") >= F.col("sl"))
-    tp = F.when(buy, F.col("bid") >= F.col("tp")).otherwise(F.col("ask") <= F.col("tp"))
-    per = hit.groupBy("trade_id", "sym", "direction", "opened").agg(
-        F.min(F.when(sl, F.col("ts"))).alias("sl_ts"), F.min(F.when(tp, F.col("ts"))).alias("tp_ts"),
-        F.min("ts").alias("first_ts"), F.min("bid").alias("min_bid"), F.max("ask").alias("max_ask"))
-    tick_gap = F.unix_micros("first_ts") - F.unix_micros("opened")
-    kind = F.when(F.col("sl_ts").isNotNull() & F.coalesce(F.col("sl_ts") <= F.col("tp_ts"), F.lit(True)), "SL").when(
-        F.col("tp_ts").isNotNull(), "TP")
-    out = per.withColumns({"partial": tick_gap > int(partial_secs * 1e6), "touched": kind})
+    none = F.lit(None).cast("double")
+    both = ticks.select("sym", "ts", F.lit(1).alias("_tick"), F.lit(None).cast("long").alias("trade_id"), *[none.alias(c) for c in ("direction", "sl", "tp")], "bid", "ask").unionByName(
+        trades.select("sym", F.col("opened").alias("ts"), F.lit(0).alias("_tick"), F.col("trade_id").cast("long").alias("trade_id"), "direction", "sl", "tp", none.alias("bid"), none.alias("ask")))
+    us = F.unix_micros("ts")
+    both = both.withColumns({"_one": F.lit(1), "_back": -us, "_last": -F.col("_tick"), "_us": F.when(F.col("_tick") == 1, us)})
+    bucket = F.floor(us / (bucket_secs * 1_000_000))
+    rows = running(both, ["sym"], ["ts", "_tick", "trade_id"], bucket, {"_n": ("sum", "_one")})
+    rows = checkpointed(running(rows, ["sym"], ["_back", "_last"], -bucket, {"min_bid": ("min", "bid"), "max_ask": ("max", "ask"), "_first": ("min", "_us")}))
+    buy, high = F.col("direction") > 0.5, F.lit(float("inf"))
+    side = lambda b, s: F.when(F.col("_tick") == 0, F.when(buy, b).otherwise(s))
+    limits = [side(-F.col("sl"), high), side(F.col("tp"), high), side(high, F.col("sl")), side(high, -F.col("tp"))]
+    found = first_ahead(rows, ["sym"], "_n", [-F.col("bid"), F.col("bid"), F.col("ask"), -F.col("ask")], limits, block_rows=block_rows)
+    at = rows.select("sym", F.col("_n").alias("ahead"), F.col("bid").alias("_b"), F.col("ask").alias("_a"), F.col("ts").alias("verdict_ts"))
+    out = rows.where("_tick = 0").drop("bid", "ask").join(found, ["sym", "_n"]).join(at, ["sym", "ahead"], "left").where(F.col("_first").isNotNull())
+    hit_sl = F.when(buy, F.col("_b") <= F.col("sl")).otherwise(F.col("_a") >= F.col("sl"))
+    out = out.withColumns({"touched": F.when(F.col("ahead").isNotNull(), F.when(hit_sl, "SL").otherwise("TP")), "partial": F.col("_first") - us > int(partial_secs * 1e6)})
     verdict = F.when(F.col("touched").isNotNull() & F.col("partial"), "UNVERIFIED").otherwise(F.col("touched"))
-    return out.select("trade_id", "sym", verdict.alias("verdict"), "touched", "partial",
-                      F.least("sl_ts", "tp_ts").alias("verdict_ts"), "min_bid", "max_ask")
+    return out.select("trade_id", "sym", verdict.alias("verdict"), "touched", "partial", "verdict_ts", "min_bid", "max_ask")
 
 
 def fresh_ticks(ticks: DataFrame, server_time: str, arrival: str, offset_hours: float = 3.0, max_age_secs: float = 60.0) -> DataFrame:
@@ -109,16 +97,36 @@ def upsert_bars(current: DataFrame, updates: DataFrame) -> DataFrame:
         F.max_by("spread", F.when(F.col("spread").isNotNull(), F.col("_v"))).alias("spread"))
 
 
-def upsert_stream(bars: DataFrame, read_current: Callable[[], DataFrame], write_new: Callable[[DataFrame, int], None], checkpoint: str):
-    """foreachBatch merge of bar updates into a versioned table.
+def write_days(bars: DataFrame, path: str) -> None:
+    """Bars as a table partitioned by day, one file a day."""
+    bars.withColumn("day", F.to_date("time")).repartition("day").write.partitionBy("day").mode("overwrite").parquet(path)
+
+
+def read_days(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).drop("day")
+
+
+def upsert_stream(bars: DataFrame, path: str, checkpoint: str):
+    """Merges a stream of bar updates into a table of `write_days`, rewriting only the days that a micro-batch touches.
 
-    write_new(df, batch_id) must write a new version and move the pointer, so a
-    repeated batch after a failure overwrites its own version.
+    The days are read by partition pruning, merged, written to the shared folder and then swapped in day by day. An update
+    applied twice changes nothing, so a micro-batch repeated after a failure is harmless.
     """
     def merge(batch: DataFrame, batch_id: int) -> None:
-        write_new(upsert_bars(read_current(), batch), batch_id)
+        spark = batch.sparkSession
+        days = [r.day for r in batch.select(F.to_date("time").alias("day")).distinct().collect()]  # days of one micro-batch
+        if not days:
+            return
+        current = spark.read.parquet(path).where(F.col("day").isin(days)).drop("day")
+        merged = checkpointed(upsert_bars(current, batch).withColumn("day", F.to_date("time")))
+        merged.repartition("day").write.partitionBy("day").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
 
-    return bars.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).start()
+    return bars.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def dedupe_stream(rows: DataFrame, keys: Sequence[str], time: str, late: str) -> DataFrame:
+    """First row of every key of a stream; a key is forgotten once the watermark has passed it by `late`."""
+    return rows.withWatermark(time, late).dropDuplicatesWithinWatermark(list(keys))
 
 
 def after_watermark(bars: DataFrame, last_times: DataFrame) -> DataFrame:
@@ -127,20 +135,6 @@ def after_watermark(bars: DataFrame, last_times: DataFrame) -> DataFrame:
         F.col("last_time").isNull() | (F.col("time") > F.col("last_time"))).drop("last_time")
 
 
-def score_stream(bars: DataFrame, history: Callable[[], DataFrame], decide: Callable[[DataFrame], DataFrame],
-                 sink: Callable[[DataFrame, int], None], checkpoint: str):
-    """Per micro-batch: features on history plus new bars, decisions for the new bars only.
-
-    decide is the batch pipeline (features, regime, placement, side, rating), so
-    live and batch results agree.
-    """
-    def score(batch: DataFrame, batch_id: int) -> None:
-        fresh = batch.select("sym", "time").distinct()
-        sink(decide(history()).join(fresh, ["sym", "time"], "left_semi"), batch_id)
-
-    return bars.writeStream.foreachBatch(score).option("checkpointLocation", checkpoint).start()
-
-
 def run_available(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
     """Run a stream over the data available now and return the result table (tests, small results)."""
     q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
