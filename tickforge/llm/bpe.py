@@ -1,27 +1,34 @@
 """Byte-level BPE encoding and decoding by higher-order functions.
 
-Texts are cut into pieces by the tokenizer's pattern, and the distinct pieces of a chunk
-of documents (about `chunk_chars` characters, within one partition) are encoded once: a
-fold over the piece's bytes merges, step by step, the adjacent pair whose joined bytes
-have the least rank, leftmost first, until no pair has one. The rank map is a literal,
-keyed by the ids of the two parts and cut into buckets so that a look-up is constant time. Documents hold positions in
-the chunk's list of pieces, so nothing is shuffled and no dictionary of the corpus is
-kept. Decoding looks up the bytes of every id in a literal array and concatenates them.
+Texts are cut into pieces by the tokenizer's pattern. The distinct pieces of the corpus are
+encoded once each: a fold over the piece's bytes merges, step by step, the adjacent pair
+whose joined bytes have the least rank, leftmost first, until no pair has one. The rank map
+is a literal, keyed by the ids of the two parts and cut into buckets so that a look-up is
+constant time. Decoding looks up the bytes of every id in a literal array and concatenates them.
+
+Documents are kept in chunks (about `chunk_chars` characters of one partition) as positions in
+the chunk's list of distinct pieces, written once. The lists are exchanged by piece: each
+distinct piece is folded once, joined back to the chunks that have it, and every chunk puts its
+documents together. So no dictionary of the corpus is held anywhere, what is shuffled are a
+chunk's distinct pieces, and a frequent piece has one row a chunk.
 
 Decoded bytes travel as strings of the characters U+0000 to U+00FF. The fold is quadratic in the
 length of a piece, so pieces over `LONG` bytes (runs without white space) are merged by
 the same rule with a heap, in n log n.
 
-Null texts count as empty and have no ids. Repeated rows are encoded one by one. Only
-doc_id and text are read; the rank file is a parameter and is read by the driver.
+Null texts count as empty and have no ids. Repeated rows are encoded one by one. A very long text is
+a chunk of its own. An empty table gives an empty result. Only doc_id and text are read, so other
+columns may have any name; the rank file is a parameter and is read by the driver.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 import json
 import re
+import zlib
 from collections.abc import Iterator
 from itertools import chain
 
@@ -29,20 +36,23 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickforge.llm.common import query, table
+from tickforge.llm.common import materialize, query, table
 from tickforge.llm.fingerprint import let
 
 RANK_FILE = "byte_bpe_50k.tiktoken"
 LONG = 64
+MOST_DOCS = 1 << 16
 #: Units end where PATTERN always cuts: after a letter that no letter, digit or underscore follows, or before a space after a sign.
 UNIT = re.compile(r"\s*[^\W\d_\xb2\xb3\xb9\xbc-\xbe]+(?!\w)|[^\w\s]+(?=[ \n\t]|\Z)|.+?(?:(?<=[^\W\d_\xb2\xb3\xb9\xbc-\xbe])(?=\W)|(?<=\S)(?= )|\Z)", re.S)
 BUCKETS = 131_101  # a prime near the number of pairs
 SHIFT = 1 << 17
 NONE = (1 << 31) - 1
-CHUNK_TYPE = "docs array<struct<id: bigint, at: array<int>>>, pieces array<struct<parts: array<int>, pairs: array<int>, ids: array<int>>>"
+CHUNK_TYPE = "chunk bigint, ids array<bigint>, sizes array<int>, at binary, pieces array<string>"
+PART_TYPE = "piece string, parts array<int>, pairs array<int>, ids array<int>"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -149,45 +159,39 @@ class Units(dict):
         return at
 
 
-def _chunker(pattern: str, shared, chunk_chars: int):
+def _chunker(pattern: str, chunk_chars: int):
+    """Chunks of documents: their ids, numbers of pieces, positions (deflated) in the chunk's distinct pieces, and these."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, ranks = regex.compile(pattern).findall, shared.value
-        of_byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
-        of_pair = np.array([[ranks.get(bytes([a, b]), NONE) for b in range(256)] for a in range(256)], np.int32)
+        find, part = regex.compile(pattern).findall, TaskContext.get().partitionId()
+        known = pattern == public_tokenizers.PATTERN
         ids: list[int | None] = []
         at: list[np.ndarray] = []
         number: dict[str, int] = {}
-        units = Units(find, number)
-        held = 0
-
-        def nested(values: pa.Array) -> pa.Array:
-            return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+        units, held, made = Units(find, number), 0, 0
 
         def row() -> pa.RecordBatch:
-            ends = np.cumsum([0, *map(len, at)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(at)))
-            docs = pa.StructArray.from_arrays([pa.array(ids, pa.int64()), lists], ["id", "at"])
-            raw = [s.encode() for s in number]
-            known = pa.array([merge_long(x, ranks) if len(x) > LONG else None for x in raw], pa.list_(pa.int32()))
-            raw = [x if len(x) <= LONG else b"" for x in raw]
-            marks = np.cumsum([0, *map(len, raw)]).astype(np.int32)
-            data = np.frombuffer(b"".join(raw), np.uint8)
-            first = np.append(of_pair[data[:-1], data[1:]], NONE).astype(np.int32)[:len(data)]
-            first[marks[1:][np.diff(marks) > 0] - 1] = NONE  # no pair reaches over the end of a piece
-            parts, pairs = (pa.ListArray.from_arrays(pa.array(marks), pa.array(x)) for x in (of_byte[data], first))
-            pieces = pa.StructArray.from_arrays([parts, pairs, known], ["parts", "pairs", "ids"])
-            return pa.RecordBatch.from_arrays([nested(docs), nested(pieces)], ["docs", "pieces"])
+            flat = np.concatenate(at)
+            # frequent pieces get small numbers, which deflate well
+            order = np.argsort(-np.bincount(flat, minlength=len(number)), kind="stable")
+            rank = np.empty(len(order), np.int32)
+            rank[order] = np.arange(len(order), dtype=np.int32)
+            names = list(number)
+            one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+            return pa.RecordBatch.from_arrays([
+                pa.array([part << 32 | made], pa.int64()), one(pa.array(ids, pa.int64())), one(pa.array([len(x) for x in at], pa.int32())),
+                pa.array([zlib.compress(rank[flat].astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)], pa.binary()),
+                one(pa.array([names[i] for i in order.tolist()], pa.string()))], ["chunk", "ids", "sizes", "at", "pieces"])
 
         for batch in batches:
-            for k in range(batch.num_rows):
-                text = batch["text"][k].as_py() or ""
-                split = UNIT.findall(text) if pattern == public_tokenizers.PATTERN else [text]
+            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
+                text = text or ""
+                split = UNIT.findall(text) if known else [text]
                 at.append(np.fromiter(chain.from_iterable(map(units.__getitem__, split)), np.int32))
-                ids.append(batch["doc_id"][k].as_py())
+                ids.append(doc_id)
                 held += len(text)
-                if held >= chunk_chars:
+                if held >= chunk_chars or len(ids) >= MOST_DOCS:
                     yield row()
-                    ids, at, number, held = [], [], {}, 0
+                    ids, at, number, held, made = [], [], {}, 0, made + 1
                     units = Units(find, number)
         if ids:
             yield row()
@@ -195,42 +199,77 @@ def _chunker(pattern: str, shared, chunk_chars: int):
     return run
 
 
-def chunks(docs: DataFrame, vocabulary: Vocabulary, pattern: str, chunk_chars: int) -> DataFrame:
-    """One row per chunk: its documents as positions in its list of distinct pieces."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary.ranks)  # the vocabulary's size bounds it
-    return docs.select("doc_id", "text").mapInArrow(_chunker(pattern, shared, chunk_chars), CHUNK_TYPE)
+def _partitioner(shared):
+    """Byte ids and ranks of adjacent bytes of pieces; of long pieces their ids."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks = shared.value
+        of_byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
+        of_pair = np.array([[ranks.get(bytes([a, b]), NONE) for b in range(256)] for a in range(256)], np.int32)
+        for batch in batches:
+            raw = [s.encode() for s in batch["piece"].to_pylist()]
+            known = pa.array([merge_long(x, ranks) if len(x) > LONG else None for x in raw], pa.list_(pa.int32()))
+            raw = [x if len(x) <= LONG else b"" for x in raw]
+            marks = np.cumsum([0, *map(len, raw)]).astype(np.int32)
+            data = np.frombuffer(b"".join(raw), np.uint8)
+            first = np.append(of_pair[data[:-1], data[1:]], NONE).astype(np.int32)[:len(data)]
+            first[marks[1:][np.diff(marks) > 0] - 1] = NONE  # no pair reaches over the end of a piece
+            parts, pairs = (pa.ListArray.from_arrays(pa.array(marks), pa.array(x)) for x in (of_byte[data], first))
+            yield pa.RecordBatch.from_arrays([batch["piece"], parts, pairs, known], ["piece", "parts", "pairs", "ids"])
+    return run
+
+
+def encode_pieces(pieces: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """Rows (piece, text, raw): ids of distinct pieces as text, and their decoded bytes where these are not those of the piece."""
+    shared = pieces.sparkSession.sparkContext.broadcast(vocabulary.ranks)  # the vocabulary's size bounds it
+    parts = pieces.mapInArrow(_partitioner(shared), PART_TYPE)
+    ids = F.coalesce("ids", let(vocabulary.buckets, lambda b: encode_piece(F.col("parts"), F.col("pairs"), b)))
+    coded = parts.select("piece", ids.alias("ids"))
+    raw = F.encode(let(vocabulary.tokens, lambda t: decode_ids(F.col("ids"), t)), "ISO-8859-1")
+    return coded.select("piece", F.array_join(F.col("ids").cast("array<string>"), " ").alias("text"),
+                        F.when(raw != F.encode("piece", "UTF-8"), raw).alias("raw"))
+
+
+def _assemble(keep_ids: bool):
+    """Documents of a chunk from its pieces' ids and bytes."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                ids, sizes = batch["ids"][k].as_py(), batch["sizes"][k].values.to_numpy()
+                wide = np.frombuffer(zlib.decompress(batch["at"][k].as_py()), np.uint8).reshape(4, -1).T
+                at = np.ascontiguousarray(wide).view("<u4").ravel().tolist()
+                coded = batch["coded"][k].values
+                place = coded.field("pos").to_numpy()
+                text, raw = [""] * len(place), [b""] * len(place)
+                for i, t, r, p in zip(place.tolist(), coded.field("text").to_pylist(), coded.field("raw").to_pylist(), coded.field("piece").to_pylist()):
+                    text[i], raw[i] = t, p.encode() if r is None else r
+                count = np.array([t.count(" ") + 1 for t in text], np.int64)
+                out, start = [], 0
+                for doc_id, n in zip(ids, sizes.tolist()):
+                    mine = at[start:start + n]
+                    start += n
+                    joined = " ".join([text[i] for i in mine])
+                    out.append((doc_id, int(count[mine].sum()) if n else 0, hashlib.sha256(joined.encode()).hexdigest(),
+                                hashlib.sha256(b"".join([raw[i] for i in mine])).hexdigest(), *([list(map(int, joined.split()))] if keep_ids else [])))
+                cols = list(zip(*out))
+                kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32())]
+                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names[:len(cols)])
+    return run
 
 
 def encode_documents(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN,
-                     chunk_chars: int = 1 << 23, keep_ids: bool = False) -> DataFrame:
+                     chunk_chars: int = 1 << 21, keep_ids: bool = False) -> DataFrame:
     """Rows (doc_id, n_tokens, ids_sha256, decoded_sha256), with keep_ids also `ids`, one per row of docs."""
     v = Vocabulary(read_ranks(path or public_tokenizers.path(RANK_FILE)))
-    sets = chunks(docs, v, pattern, chunk_chars)
-
-    def piece_row(buckets: Column, tokens: Column):
-        def one(p: Column) -> Column:
-            ids = F.coalesce(p["ids"], encode_piece(p["parts"], p["pairs"], buckets))
-            return let(ids, lambda x: F.struct(
-                x.alias("ids"), F.array_join(x.cast("array<string>"), " ").alias("text"), decode_ids(x, tokens).alias("bytes")))
-        return one
-
-    def doc_row(pieces: Column):
-        def one(d: Column) -> Column:
-            ids = F.flatten(F.transform(d["at"], lambda i: F.get(pieces, i)["ids"]))
-            text = F.array_join(F.transform(d["at"], lambda i: F.get(pieces, i)["text"]), " ")
-            raw = F.encode(F.array_join(F.transform(d["at"], lambda i: F.get(pieces, i)["bytes"]), ""), "ISO-8859-1")
-            blanks = lambda t: F.length(F.translate(t, "0123456789", "")).cast("bigint")
-            n = lambda t: F.when(F.size(d["at"]) > 0, blanks(t) + 1).otherwise(F.lit(0).cast("bigint"))
-            return let(text, lambda t: F.struct(
-                d["id"].alias("doc_id"), n(t).alias("n_tokens"), F.sha2(t.cast("binary"), 256).alias("ids_sha256"),
-                F.sha2(raw, 256).alias("decoded_sha256"), *([ids.alias("ids")] if keep_ids else [])))
-        return one
-
-    def chunk_rows(buckets: Column) -> Column:
-        return let(v.tokens, lambda tokens: let(
-            F.transform("pieces", piece_row(buckets, tokens)), lambda pieces: F.transform("docs", doc_row(pieces))))
-
-    return sets.select(F.explode(let(v.buckets, chunk_rows)).alias("d")).select("d.*")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    chunks = materialize(rows.mapInArrow(_chunker(pattern, chunk_chars), CHUNK_TYPE))
+    flat = chunks.select("chunk", F.posexplode("pieces").alias("pos", "piece"))
+    coded = encode_pieces(flat.select("piece").distinct(), v).withColumnRenamed("piece", "_piece")
+    back = flat.join(coded, F.col("piece") == F.col("_piece")).groupBy("chunk").agg(F.collect_list(F.struct("pos", "text", "raw", "piece")).alias("coded"))
+    whole = chunks.select(F.col("chunk").alias("_chunk"), "ids", "sizes", "at").join(back, F.col("_chunk") == F.col("chunk"), "left").select(
+        "ids", "sizes", "at", F.coalesce("coded", F.array().cast(back.schema["coded"].dataType)).alias("coded"))
+    kind = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if keep_ids else "")
+    return whole.mapInArrow(_assemble(keep_ids), kind)
 
 
 @query("op9_bpe_fold")
