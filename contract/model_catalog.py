@@ -22,7 +22,7 @@ from tickforge.operators import labels as L
 from tickforge.operators import maintenance as MN
 from tickforge.operators import models as M
 from tickforge.operators import regime as RG
-from tickforge.operators.features import features
+from tickforge.operators.features import feature_names, features
 from tickforge.plans.pipelines import REGIME_GROUPS
 from tickforge.session import checkpointed, shared_folder
 from tickforge.streaming import live
@@ -449,50 +449,94 @@ def _(spark, sf):
     return M.time_chunks(bars(spark, sf), 6, ["sym"]).select("sym", epoch(), F.col("chunk").cast("bigint").alias("chunk"))
 
 
-MODEL_COLS = ["rsi_14", "trend_ema", "trend_slope", "vol_spike", "news_candle", "range_pos", "body_atr"]
-FAST = dict(max_iter=2, max_depth=3)
+MODEL_GROUPS = [*REGIME_GROUPS, "returns", "macd", "stochastic", "price_shape", "structure", "session_clock", "order_flow", "adx", "cci", "candles", "donchian"]
+MODEL_COLS = feature_names(MODEL_GROUPS)
 _names = count()
 
 
-def training(spark, sf):
-    rows = L.dir_price(regime_bars(spark, sf), 12).dropna(subset=[*MODEL_COLS, "target"])
-    # training reads its rows many times: cut the lineage once
-    return checkpointed(M.time_chunks(L.recency_weight(rows), 4))
+def model_bars(spark, sf):
+    return RG.with_regime(features(seg(spark, sf), MODEL_GROUPS, None, bar_secs=3600))
+
+
+def training(spark, sf, chunks=6):
+    """All bars with a known direction label, in time chunks; the lineage is cut, as training reads its rows many times."""
+    rows = L.dir_price(model_bars(spark, sf), 12).where(F.col("target").isNotNull())
+    return checkpointed(M.time_chunks(L.recency_weight(rows), chunks))
+
+
+FOLDS = "WITH " + sql_bars("hour") + ", " + sql_seg() + f""", lb AS (SELECT *, lead(close, 13) OVER ({PW}) - close AS fr FROM seg), lk AS (SELECT sym, time, fr, (fr > 0)::INT::DOUBLE AS target FROM lb WHERE fr IS NOT NULL),
+ tt AS (SELECT time, row_number() OVER (ORDER BY time) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT time FROM lk)),
+ fo AS MATERIALIZED (SELECT lk.*, least(i // greatest(n // 6, 1), 6) AS chunk FROM lk JOIN tt USING (time))"""
+
+
+@query("oof_folds", FOLDS + f" SELECT {KEY}, target, chunk::BIGINT AS chunk FROM fo WHERE chunk BETWEEN 2 AND 5")
+def _(spark, sf):
+    """Rows that the walk-forward scores, with their fold and label."""
+    return training(spark, sf).where("chunk BETWEEN 2 AND 5").select("sym", epoch(), "target", F.col("chunk").cast("bigint").alias("chunk"))
 
 
 @query("oof_ensemble")
 def _(spark, sf):
-    out = M.oof_ensemble(training(spark, sf), MODEL_COLS, ["sym", "time"], weight="weight", n_chunks=4, seeds=[42, 7], **FAST)
+    out = M.oof_ensemble(training(spark, sf), MODEL_COLS, ["sym", "time"], weight="weight")
     return out.select("sym", epoch(), "target", *rd("p", d=4))
 
 
 @query("direction_model")
 def _(spark, sf):
-    rows = training(spark, sf)
-    oof = M.oof_ensemble(rows, MODEL_COLS, ["sym", "time", "fwd_return"], weight="weight", n_chunks=3, seeds=[42], **FAST)
-    return M.eval_metrics(oof, "p", "target").crossJoin(M.price_metrics(oof))
+    oof = checkpointed(M.oof_ensemble(training(spark, sf, 5), MODEL_COLS, ["sym", "time", "fwd_return"], weight="weight", n_chunks=5))
+    return M.direction_gates(M.eval_metrics(oof, "p", "target").crossJoin(M.price_metrics(oof)))
+
+
+@query("direction_gates", "WITH " + PROBS + """, m AS (SELECT sym, avg(((p >= 0.5) = (y = 1))::INT) AS acc, avg(((p >= 0.5) = (value > 40))::INT) AS acc_price, avg((value > 40)::INT) AS base_up FROM pr GROUP BY 1)
+ SELECT sym, acc > 0.53 AS gate_acc, acc_price > greatest(base_up, 1 - base_up) + 0.02 AS gate_price FROM m""")
+def _(spark, sf):
+    right = F.avg(((F.col("p") >= 0.5) == (F.col("y") == 1)).cast("double"))
+    per = probs(spark, sf).groupBy("sym").agg(right.alias("acc"), F.avg(((F.col("p") >= 0.5) == (F.col("value") > 40)).cast("double")).alias("acc_price"),
+                                              F.avg((F.col("value") > 40).cast("double")).alias("base_up"))
+    return M.direction_gates(per).select("sym", "gate_acc", "gate_price")
+
+
+def move_rows(spark, sf):
+    return L.big_move(model_bars(spark, sf), 15, 3.0)
 
 
 @query("big_move_model")
 def _(spark, sf):
-    rows = L.big_move(regime_bars(spark, sf), 15, 2.0).dropna(subset=MODEL_COLS)
-    rows = checkpointed(M.time_chunks(rows, 5))
-    model = M.gbt(MODEL_COLS, "regime_label", None, 42, **FAST).fit(rows.filter("chunk < 4"))
-    return M.auc(M.p_win(model, rows.filter("chunk >= 4")), "p", "regime_label", 1e-2).withColumn("passed", F.col("auc") > 0.60)
+    return M.big_move_model(M.time_chunks(move_rows(spark, sf), 5), MODEL_COLS)[0]
+
+
+@query("base_rate_gate", ATR + f""", m AS (SELECT *, CASE WHEN count(*) OVER ({PW} {_F15}) = 15 THEN max(close) OVER ({PW} {_F15}) - close END / (atr_14 + 1e-9) AS u,
+ CASE WHEN count(*) OVER ({PW} {_F15}) = 15 THEN close - min(close) OVER ({PW} {_F15}) END / (atr_14 + 1e-9) AS d FROM b),
+ g AS (SELECT count(*) AS n, avg(coalesce((greatest(u, d) >= 3.0)::INT, 0)) AS r FROM m) SELECT n, {R('r', 'base_rate')}, r BETWEEN 0.05 AND 0.60 AS informative FROM g""")
+def _(spark, sf):
+    return M.base_rate_gate(move_rows(spark, sf), "regime_label").select("n", *rd("base_rate"), "informative")
 
 
 @query("routed_scoring")
 def _(spark, sf):
     rows = training(spark, sf)
-    models = M.specialists(rows, MODEL_COLS, ["UP", "DOWN"], weight="weight", seeds=[42], **FAST)
+    models = M.specialists(rows, MODEL_COLS, REGIMES, weight="weight")
     return M.routed_scoring(rows, models, ["sym", "time"]).select("sym", epoch(), *rd("p", d=4))
 
 
+@query("specialist_curves")
+def _(spark, sf):
+    """Curves per regime, side and ratio from the specialists' own out-of-fold scores of the placement matrix."""
+    rows = regime_matrix(spark, sf).withColumn("rr", F.col("tp_ratio")).where(F.col("target").isNotNull())
+    names = [*feature_names(REGIME_GROUPS), "direction", "sl_mult", "tp_ratio"]
+    oof = M.specialist_oof(rows, names, REGIMES, ["direction", "rr"])
+    curves = C.fit_curves(oof, ["regime", "direction", "rr"], "p", "target", min_rows=500)
+    return curves.select("regime", "direction", "rr", "n", F.size("knots_p").alias("knots"), *[F.round(F.element_at(c, -1), 4).alias(f"last_{c}") for c in ("knots_p", "knots_y")])
+
+
 @query("warm_start")
 def _(spark, sf):
+    """Loss of an ensemble of the earlier half of the times, and of the same ensemble continued on the last 180 days, over all rows."""
     rows = training(spark, sf)
-    model = M.refit_recent(B.recent_window(rows, 20), MODEL_COLS, "weight", **FAST)
-    return M.eval_metrics(M.p_win(model, rows), "p", "target")
+    base = M.gbt(MODEL_COLS, "target", "weight").fit(rows.where("chunk < 3"))
+    more = M.warm_start(base, B.recent_window(rows, 180), MODEL_COLS, weight="weight")
+    parts = [M.log_loss(m.score(rows)).select(F.lit(n).alias("model"), F.lit(len(m.trees)).alias("added"), *rd("loss", d=4), "n") for n, m in (("saved", M.ContinuedGBT(base)), ("continued", more))]
+    return parts[0].unionByName(parts[1])
 
 
 @query("eval_metrics", "WITH " + PROBS + f" SELECT {R('avg(((p >= 0.5) = (y = 1))::INT)', 'acc')}, {R('avg(y) FILTER (p >= 0.5)', 'p_up')}, {R('avg(1 - y) FILTER (p < 0.5)', 'p_dn')}, count(*) AS n FROM pr")
