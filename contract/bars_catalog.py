@@ -267,21 +267,21 @@ def _z(e):
     return f"coalesce({e}, 0)"
 
 
-CAP = 1e5  # a zero range or ATR divides by 1e-9; such values are compared as large only
+def htf_query(name, exprs):
+    """Values of a zero range are divided by 1e-9; from 1e5 on, whole numbers are compared, as far as doubles go."""
+    whole = lambda e: f"CASE WHEN abs({e}) < 1e5 THEN round({e}, 4) ELSE round({e}, 0) END + 0.0"
 
-
-def capped_query(name, exprs):
-    @query(name, HTF + f" SELECT {KEY}, " + cols_sql({a: f"greatest(least({e}, {CAP}), -{CAP})" for a, e in exprs.items()}, 4) + " FROM x")
+    @query(name, HTF + f" SELECT {KEY}, " + ", ".join(f"{whole(e)} AS {a}" for a, e in exprs.items()) + " FROM x")
     def _(spark, sf):
         f = feat(spark, sf, [name])
-        return f.select("sym", epoch(), *[F.round(F.greatest(F.least(c, F.lit(CAP)), F.lit(-CAP)), 4).alias(c) for c in GROUPS[name]])
+        return f.select("sym", epoch(), *[F.when(F.abs(c) < 1e5, F.round(c, 4)).otherwise(F.round(c, 0)).alias(c) for c in GROUPS[name]])
 
 
-capped_query("levels", {
+htf_query("levels", {
     "dist_prev_close": _z("(close - d1_cl) / (atr_14 + 1e-9)"), "dist_prev_high": _z("(close - d1_hi) / (atr_14 + 1e-9)"),
     "dist_prev_low": _z("(close - d1_lo) / (atr_14 + 1e-9)"), "dist_day_open": "(close - d_open) / (atr_14 + 1e-9)",
     "round50_dist": "(close - round_even(close / 50.0, 0) * 50.0) / (atr_14 + 1e-9)", "dow_cos": "cos(2 * pi() * (isodow(time) - 1) / 7.0)"})
-capped_query("htf_context", {
+htf_query("htf_context", {
     **{f"{r}_trend": _z(f"{r}_tr") for r in ("h1", "d1", "m15")}, **{f"{r}_pos": _z(f"(close - {r}_lo) / ({r}_hi - {r}_lo + 1e-9)") for r in ("h1", "d1", "m15")},
     "m1_h1_vol_ratio": _z("atr_14 / ((h1_hi - h1_lo) / 60 + 1e-9)"), "m1_d1_vol_ratio": _z("atr_14 / ((d1_hi - d1_lo) / 1440 + 1e-9)"),
     "m15_m1_vol_ratio": _z("(m15_hi - m15_lo) / (atr_14 * 3 + 1e-9)"),
@@ -380,12 +380,12 @@ def _(spark, sf):
     return complete_rows(feat(spark, sf, ["returns"])).select("sym", epoch(), *rd("ret_60"))
 
 
-@query("market_columns", HEAD + f" SELECT {KEY}, {R(ret['ret_1'], 'ret_1')} FROM seg QUALIFY coalesce(close > c1, false)")
+@query("market_columns", HEAD + f" SELECT {KEY}, {R(ret['ret_1'], 'ret_1')} FROM seg")
 def _(spark, sf):
     """Anti-list projection: raw prices never reach the model frame."""
     f = feat(spark, sf, ["returns"])
     names = market_columns(f, RAW_PRICE_COLS)
-    return f.select(*names).filter(F.col("ret_1") > 0).select("sym", epoch(), *rd("ret_1"))
+    return f.select(*names).select("sym", epoch(), *rd("ret_1"))
 
 
 @query("schema_guard")
