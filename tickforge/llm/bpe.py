@@ -4,7 +4,7 @@ Texts are cut into pieces by the tokenizer's pattern. The distinct pieces of the
 encoded once each: a fold over the piece's bytes merges, step by step, the adjacent pair
 whose joined bytes have the least rank, leftmost first, until no pair has one. The rank map
 is a literal, keyed by the ids of the two parts and cut into buckets so that a look-up is
-constant time. Decoding looks up the bytes of every id in a literal array and concatenates them.
+constant time. Decoding looks up the bytes of every id and concatenates them, once per piece of a chunk.
 
 Documents are kept in chunks (about `chunk_chars` characters of one partition) as positions in
 the chunk's list of distinct pieces, written once. The lists are exchanged by piece: each
@@ -12,9 +12,8 @@ distinct piece is folded once, joined back to the chunks that have it, and every
 documents together. So no dictionary of the corpus is held anywhere, what is shuffled are a
 chunk's distinct pieces, and a frequent piece has one row a chunk.
 
-Decoded bytes travel as strings of the characters U+0000 to U+00FF. The fold is quadratic in the
-length of a piece, so pieces over `LONG` bytes (runs without white space) are merged by
-the same rule with a heap, in n log n.
+The fold is quadratic in the length of a piece, so pieces over `LONG` bytes (runs without white
+space) are merged by the same rule with a heap, in n log n.
 
 Null texts count as empty and have no ids. Repeated rows are encoded one by one. A very long text is
 a chunk of its own. An empty table gives an empty result. Only doc_id and text are read, so other
@@ -61,7 +60,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class Vocabulary:
-    """Literal columns of the rank map and of the ids' bytes.
+    """Literal column of the rank map.
 
     The rank map is keyed by the ids of two adjacent parts; its value, the rank of their
     joined bytes, is also the id of the joined part.
@@ -71,9 +70,7 @@ class Vocabulary:
         if any(bytes([b]) not in ranks for b in range(256)) or max(ranks.values()) >= SHIFT:
             raise ValueError("every byte needs an id, and ids must stay below 2^17")
         buckets = [{"k": [], "v": []} for _ in range(BUCKETS)]
-        tokens = [""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
-            tokens[rank] = token.decode("latin-1")
             for cut in range(1, len(token)):
                 left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
                 if left is not None and right is not None:
@@ -82,7 +79,6 @@ class Vocabulary:
                     buckets[key % BUCKETS]["v"].append(rank)
         self.ranks = ranks
         self.buckets = F.from_json(F.lit(json.dumps(buckets, separators=(",", ":"))), "array<struct<k: array<bigint>, v: array<int>>>")
-        self.tokens = F.from_json(F.lit(json.dumps(tokens)), "array<string>")
 
 
 def lookup(buckets: Column, left: Column, right: Column) -> Column:
@@ -113,11 +109,6 @@ def encode_piece(parts: Column, pairs: Column, buckets: Column) -> Column:
     return F.aggregate(rest(parts), start, step)["p"]
 
 
-def decode_ids(ids: Column, tokens: Column) -> Column:
-    """String of byte characters of an array of ids."""
-    return F.array_join(F.transform(ids, lambda i: F.get(tokens, i)), "")
-
-
 def merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Ids of a long piece: the same merges from a heap of (rank, place), with linked neighbours."""
     n = len(piece)
@@ -219,19 +210,17 @@ def _partitioner(shared):
 
 
 def encode_pieces(pieces: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """Rows (piece, text, raw): ids of distinct pieces as text, and their decoded bytes where these are not those of the piece."""
+    """Rows (piece, text): ids of distinct pieces, as text."""
     shared = pieces.sparkSession.sparkContext.broadcast(vocabulary.ranks)  # the vocabulary's size bounds it
     parts = pieces.mapInArrow(_partitioner(shared), PART_TYPE)
     ids = F.coalesce("ids", let(vocabulary.buckets, lambda b: encode_piece(F.col("parts"), F.col("pairs"), b)))
-    coded = parts.select("piece", ids.alias("ids"))
-    raw = F.encode(let(vocabulary.tokens, lambda t: decode_ids(F.col("ids"), t)), "ISO-8859-1")
-    return coded.select("piece", F.array_join(F.col("ids").cast("array<string>"), " ").alias("text"),
-                        F.when(raw != F.encode("piece", "UTF-8"), raw).alias("raw"))
+    return parts.select("piece", F.array_join(ids.cast("array<string>"), " ").alias("text"))
 
 
-def _assemble(keep_ids: bool):
-    """Documents of a chunk from its pieces' ids and bytes."""
+def _assemble(shared, keep_ids: bool):
+    """Documents of a chunk from its pieces' ids: the ids in order, and the bytes of every id one after the other."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        token = {str(rank): raw for raw, rank in shared.value.items()}.__getitem__
         for batch in batches:
             for k in range(batch.num_rows):
                 ids, sizes = batch["ids"][k].as_py(), batch["sizes"][k].values.to_numpy()
@@ -239,10 +228,10 @@ def _assemble(keep_ids: bool):
                 at = np.ascontiguousarray(wide).view("<u4").ravel().tolist()
                 coded = batch["coded"][k].values
                 place = coded.field("pos").to_numpy()
-                text, raw = [""] * len(place), [b""] * len(place)
-                for i, t, r, p in zip(place.tolist(), coded.field("text").to_pylist(), coded.field("raw").to_pylist(), coded.field("piece").to_pylist()):
-                    text[i], raw[i] = t, p.encode() if r is None else r
-                count = np.array([t.count(" ") + 1 for t in text], np.int64)
+                text, raw, count = [""] * len(place), [b""] * len(place), np.zeros(len(place), np.int64)
+                for i, t in zip(place.tolist(), coded.field("text").to_pylist()):
+                    parts = t.split(" ")
+                    text[i], raw[i], count[i] = t, b"".join(map(token, parts)), len(parts)
                 out, start = [], 0
                 for doc_id, n in zip(ids, sizes.tolist()):
                     mine = at[start:start + n]
@@ -258,18 +247,18 @@ def _assemble(keep_ids: bool):
 
 
 def encode_documents(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN,
-                     chunk_chars: int = 1 << 21, keep_ids: bool = False) -> DataFrame:
+                     chunk_chars: int = 1 << 22, keep_ids: bool = False) -> DataFrame:
     """Rows (doc_id, n_tokens, ids_sha256, decoded_sha256), with keep_ids also `ids`, one per row of docs."""
     v = Vocabulary(read_ranks(path or public_tokenizers.path(RANK_FILE)))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     chunks = materialize(rows.mapInArrow(_chunker(pattern, chunk_chars), CHUNK_TYPE))
     flat = chunks.select("chunk", F.posexplode("pieces").alias("pos", "piece"))
     coded = encode_pieces(flat.select("piece").distinct(), v).withColumnRenamed("piece", "_piece")
-    back = flat.join(coded, F.col("piece") == F.col("_piece")).groupBy("chunk").agg(F.collect_list(F.struct("pos", "text", "raw", "piece")).alias("coded"))
+    back = flat.join(coded, F.col("piece") == F.col("_piece")).groupBy("chunk").agg(F.collect_list(F.struct("pos", "text")).alias("coded"))
     whole = chunks.select(F.col("chunk").alias("_chunk"), "ids", "sizes", "at").join(back, F.col("_chunk") == F.col("chunk"), "left").select(
         "ids", "sizes", "at", F.coalesce("coded", F.array().cast(back.schema["coded"].dataType)).alias("coded"))
     kind = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if keep_ids else "")
-    return whole.mapInArrow(_assemble(keep_ids), kind)
+    return whole.mapInArrow(_assemble(docs.sparkSession.sparkContext.broadcast(v.ranks), keep_ids), kind)
 
 
 @query("op9_bpe_fold")
