@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from itertools import count
 
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from contract.base import (
     ATR, BARS, CELLS, FEATS, HEAD, KEY, OUTCOMES, PRIOR, PROBS, PW, R, REG, TICKS, W, bars, calendar, epoch, outcomes, prior, probs, query, rd, roll,
-    seg, sql_bars, sql_excursions, sql_levels, sql_seg, sql_touch, table, ticks,
+    seg, sql_bars, sql_excursions, sql_levels, sql_regime, sql_seg, sql_touch, table, ticks,
 )
 from tickforge.constants import REGIMES
 from tickforge.operators import audit as A
@@ -266,6 +267,14 @@ def _(spark, sf):
     return C.apply_curves(probs(spark, sf), curves, ["direction"]).select("event_id", *rd("p_cal"))
 
 
+@query("apply_nearest", "WITH " + PROBS + """, q AS (SELECT *, 1.0 + (event_id % 7) / 2.0::DOUBLE AS rr FROM pr), c AS (SELECT * FROM (VALUES (1.3::DOUBLE, 0.5::DOUBLE), (2.5, 0.8), (4.0, 0.2)) t(r, s)),
+ n AS (SELECT q.*, (SELECT s FROM c ORDER BY abs(r - rr), r LIMIT 1) AS s FROM q) SELECT event_id, """ + R("0.1 + s * greatest(least(p, 0.9), 0.1)", "p_cal") + " FROM n")
+def _(spark, sf):
+    curves = spark.createDataFrame([(1.0, r, [0.1, 0.9], [0.1 + s * 0.1, 0.1 + s * 0.9]) for r, s in ((1.3, 0.5), (2.5, 0.8), (4.0, 0.2))], "side double, rr double, knots_p array<double>, knots_y array<double>")
+    rows = probs(spark, sf).withColumns({"rr": 1 + (F.col("event_id") % 7) / F.lit(2.0), "side": F.lit(1.0)})
+    return C.apply_nearest(rows, curves, ["side"], "rr").select("event_id", *rd("p_cal"))
+
+
 # ── decisions ───────────────────────────────────────────────────────────────
 
 PCELL = "(((epoch(time)::BIGINT // 3600) * 37 + round(sl_mult * 10)::BIGINT * 7 + round(tp_ratio * 10)::BIGINT * 3 + direction::BIGINT * 11) % 100) / 100.0::DOUBLE"
@@ -656,6 +665,21 @@ def _(spark, sf):
     return BT.prob_calibration(probs(spark, sf)).select("threshold", "side", "n", *rd("correct"))
 
 
+SELECTIVE = HELD + f""", cf AS (SELECT 90.0::DOUBLE AS q, quantile_cont(greatest({BTP}, 1 - {BTP}), 0.90) AS cut FROM b UNION ALL SELECT 95.0, quantile_cont(greatest({BTP}, 1 - {BTP}), 0.95) FROM b),
+ hq AS MATERIALIZED (SELECT hp.*, q FROM hp JOIN cf ON greatest({BTP}, 1 - {BTP}) >= cut),
+ sl AS (SELECT sym, period_id, q, min(rn) AS rn FROM hq GROUP BY 1, 2, 3 UNION ALL SELECT a.sym, a.period_id, a.q, (SELECT min(z.rn) FROM hq z
+   WHERE z.sym = a.sym AND z.period_id = a.period_id AND z.q = a.q AND z.rn > a.exit_rn) FROM sl JOIN hq a ON a.sym = sl.sym AND a.period_id = sl.period_id AND a.q = sl.q AND a.rn = sl.rn WHERE a.exit_rn IS NOT NULL),
+ sr AS MATERIALIZED (SELECT hq.* FROM hq JOIN sl USING (sym, period_id, q, rn))"""
+
+
+@query("selective_runs", SELECTIVE + f" SELECT q, sym, count(*) AS trades, count(*) FILTER (pnl > 0) AS wins, {R('sum(pnl)', 'net')}, {R('avg(pnl)', 'expectancy')} FROM sr GROUP BY 1, 2")
+def _(spark, sf):
+    b = checkpointed(atr_bars(spark, sf))
+    p = (F.col("rn") * 37 % 100) / F.lit(100.0)
+    runs = BT.selective_runs(b, BT.threshold_levels(p, 0.6, F.col("atr_14"), F.col("close")), F.greatest(p, 1 - p), (90, 95))
+    return BT.report(checkpointed(runs), ["q", "sym"]).select("q", "sym", "trades", "wins", *rd("net", "expectancy"))
+
+
 @query("selectivity", "WITH " + PROBS + " SELECT event_id FROM pr WHERE p >= (SELECT quantile_cont(p, 0.95) FROM pr WHERE p <> 0)")
 def _(spark, sf):
     return BT.selectivity(probs(spark, sf), 95).select("event_id")
@@ -718,14 +742,19 @@ def _(spark, sf):
     return out.select(epoch(), "direction", F.lit(1).cast("bigint").alias("n"), "target")
 
 
-@query("replay_decisions")
+_OC = ", rg AS MATERIALIZED (SELECT event_id AS sym, 0 AS period_id, 0 AS rn, time, regime, trend_ema, atr_pctile, abs(entry - sl) AS atr_14, entry AS close FROM ("
+REPLAY = "WITH " + OUTCOMES + _OC + sql_regime("oc").replace("SELECT *,", "SELECT * EXCLUDE (regime),", 1) + """) x WHERE result IN ('TP', 'SL') AND NOT EXISTS (
+ SELECT 1 FROM oc d WHERE d.t = x.t AND d.dir = x.dir AND d.result IN ('TP', 'SL', 'UNVERIFIED') AND hour(d.time) < 6))""" + re.sub(r"\+ 0\.2(?=[ )])", "+ 0.24", DECIDE[len(REG):])
+
+
+@query("replay_decisions", REPLAY + f""" SELECT o.event_id, CASE WHEN exp > 0 THEN CASE WHEN d = 1 THEN 'BUY' ELSE 'SELL' END END AS new_dir, {R('exp', 'new_exp')}, {R('p', 'new_p')},
+ CASE WHEN coalesce(exp > 0 AND (d = 1) = (o.dir = 'BUY'), false) THEN 'SAME-DECISION' ELSE 'LEARNED-DIFFERENT' END AS verdict FROM dr JOIN oc o ON o.event_id = dr.sym""")
 def _(spark, sf):
-    rows = A.stored_inputs(outcomes(spark, sf))
-    rows = rows.withColumn("regime_now", RG.regime_bin("feats"))
-    new = rows.withColumn("new_dir", F.when(F.col("regime_now").isin("STRONG_UP", "UP"), "BUY").otherwise("SELL"))
-    decisions = new.groupBy("t", "dir").agg(F.max("new_dir").alias("new_dir"))
-    done = rows.filter(F.hour("time") < 6).select("t", "dir").distinct()
-    return A.replay_verdict(rows, decisions, done).groupBy("dir", "new_dir", "verdict").agg(F.count("*").alias("n"))
+    """Resolved trades decided again; those of a replay of the early hours are done."""
+    rows = outcomes(spark, sf)
+    done = rows.filter(F.hour("time") < 6)
+    out = A.replay(rows, cell_p, prior(spark), fixed_weights(spark), done, (1.2, 1.8))
+    return out.select("event_id", "new_dir", *rd("new_exp", "new_p"), "verdict")
 
 
 RECON = f"""tt AS (SELECT event_id AS trade_id, sym, time, direction, entry, sl, tp FROM oc), h AS (SELECT trade_id, max(b.high) AS hi, min(b.low) AS lo FROM tt JOIN bars b ON b.sym = tt.sym AND b.time >= tt.time GROUP BY 1),
@@ -744,11 +773,30 @@ def _(spark, sf):
     return A.purge(outcomes(spark, sf), (F.col("dir") == "SELL") & (F.col("result") == "TP") & (F.col("entry") > 100)).select("event_id")
 
 
-@query("market_digest", "WITH " + sql_bars("hour") + f""", l AS (SELECT sym, max(time::DATE) AS day FROM bars GROUP BY 1), t AS (SELECT b.*, day FROM bars b JOIN l ON l.sym = b.sym AND b.time::DATE = l.day)
- SELECT sym, max(day)::VARCHAR AS day, count(*) AS bars, arg_min(open, time) AS o, arg_max(close, time) AS c, {R('(arg_max(close, time) / arg_min(open, time) - 1) * 100', 'day_ret_pct')},
- {R('(max(high) - min(low)) / arg_min(open, time) * 100', 'range_pct')} FROM t GROUP BY 1""")
+EVENT_CHAIN = """, ek AS MATERIALIZED (SELECT * FROM m2 WHERE abs(move_atr) >= 0.5), ec AS (SELECT sym, time::DATE AS day, min(time) AS time FROM ek GROUP BY 1, 2
+  UNION ALL SELECT c.sym, c.day, (SELECT min(k.time) FROM ek k WHERE k.sym = c.sym AND k.time::DATE = c.day AND epoch(k.time) - epoch(c.time) >= 7200) FROM ec c WHERE c.time IS NOT NULL)"""
+
+
+def moves(spark, sf, columns=()):
+    ev = L.big_move_30(A.precursors(atr_bars(spark, sf)), 30, 0.5).filter("is_event")
+    return A.move_events(ev.select("sym", "time", "move_atr", *columns), 7200)
+
+
+_EMA = "list_reduce(list_prepend(cs[1], cs), lambda y, x: y + (x - y) * 2.0 / {n})"
+
+
+@query("market_digest", EVENTS30 + EVENT_CHAIN + f""", l AS (SELECT sym, max(time::DATE) AS day FROM bars GROUP BY 1), t AS (SELECT b.*, day FROM b JOIN l ON l.sym = b.sym AND b.time::DATE = l.day),
+ g AS (SELECT sym, max(day) AS day, count(*) AS bars, arg_min(open, time) AS o, arg_max(close, time) AS c, max(high) AS hi, min(low) AS lo, list(close ORDER BY time) AS cs, list(atr_14 ORDER BY time) AS ats,
+   list(tick_volume ORDER BY time) AS vs FROM t GROUP BY 1),
+ n AS (SELECT sym, day, count(*) AS n_events, count(*) FILTER (hour(time) < 7) AS n_asia, count(*) FILTER (hour(time) BETWEEN 7 AND 11) AS n_london FROM ec WHERE time IS NOT NULL GROUP BY 1, 2)
+ SELECT g.sym, g.day::VARCHAR AS day, bars, o, c, {R('(c / o - 1) * 100', 'day_ret_pct')}, {R('(hi - lo) / o * 100', 'range_pct')},
+  {R('(' + _EMA.format(n='21.0::DOUBLE') + ' - ' + _EMA.format(n='61.0::DOUBLE') + ') / (list_max(ats[-60:]) + 1e-9)', 'trend_ema')},
+  {R('list_avg(vs[-20:]) / (list_avg(vs[greatest(len(vs) - 199, 1):len(vs) - 20]) + 1e-9)', 'vol_spike')},
+  {R('CASE WHEN len(ats) >= 200 THEN (len(list_filter(ats[-200:], lambda x: x < ats[-1])) + len(list_filter(ats[-200:], lambda x: x <= ats[-1])) + 1) / 400.0::DOUBLE END', 'atr_pctile_200')},
+  coalesce(n_events, 0) AS n_events, coalesce(n_asia, 0) AS n_asia, coalesce(n_london, 0) AS n_london FROM g LEFT JOIN n ON n.sym = g.sym AND n.day = g.day""")
 def _(spark, sf):
-    return A.market_digest(bars(spark, sf)).select("sym", F.col("day").cast("string").alias("day"), "bars", "o", "c", *rd("day_ret_pct", "range_pct"))
+    out = A.market_digest(atr_bars(spark, sf), moves(spark, sf))
+    return out.select("sym", F.col("day").cast("string").alias("day"), "bars", "o", "c", *rd("day_ret_pct", "range_pct", "trend_ema", "vol_spike", "atr_pctile_200"), "n_events", "n_asia", "n_london")
 
 
 @query("session_counts", EVENTS30 + """ SELECT sym, time::DATE::VARCHAR AS day, count(*) FILTER (hour(time) < 7) AS asia, count(*) FILTER (hour(time) BETWEEN 7 AND 11) AS london,
@@ -758,18 +806,27 @@ def _(spark, sf):
     return A.session_counts(ev).select("sym", F.col("day").cast("string").alias("day"), "asia", "london", "ny", "late")
 
 
-@query("move_events")
+_PRE, _BASE = f"({PW} ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING)", f"({PW} ROWS BETWEEN 200 PRECEDING AND 13 PRECEDING)"
+
+
+def sql_precursors(src):
+    return f"""SELECT *, CASE WHEN n12 >= 5 THEN r12 END AS pre_ret_pct, CASE WHEN n12 >= 5 THEN v12 END AS pre_vol_rel, CASE WHEN n12 >= 5 THEN s12 END AS pre_spread, CASE WHEN n12 >= 5 THEN b12 END AS pre_body_ratio
+ FROM (SELECT *, count(*) OVER {_PRE} AS n12, (last_value(close) OVER {_PRE} / first_value(close) OVER {_PRE} - 1) * 100 AS r12, avg(tick_volume) OVER {_PRE} / (avg(tick_volume) OVER {_BASE} + 1e-9) AS v12,
+  avg(spread) OVER {_PRE} AS s12, avg(abs(close - open)) OVER {_PRE} / avg(high - low + 1e-9) OVER {_PRE} AS b12 FROM {src})"""
+
+
+PRE_COLS = ["pre_ret_pct", "pre_vol_rel", "pre_spread", "pre_body_ratio"]
+PRE_SQL = ", ".join(R(c, c) for c in PRE_COLS)
+
+
+@query("move_events", EVENTS30 + EVENT_CHAIN + ", pc AS (" + sql_precursors("m2") + f") SELECT {KEY.replace('sym', 'pc.sym').replace('time', 'pc.time')}, {R('move_atr', 'move_atr')}, {PRE_SQL} FROM pc JOIN ec ON ec.sym = pc.sym AND ec.time = pc.time")
 def _(spark, sf):
-    ev = L.big_move_30(A.precursors(atr_bars(spark, sf)), 30, 0.5).filter("is_event")
-    cols = ["pre_ret_pct", "pre_vol_rel", "pre_spread", "pre_body_ratio"]
-    return A.move_events(ev.select("sym", "time", "move_atr", *cols), 7200).select("sym", epoch(), *rd("move_atr", *cols))
+    return moves(spark, sf, PRE_COLS).select("sym", epoch(), *rd("move_atr", *PRE_COLS))
 
 
-@query("precursors", HEAD + f""", p AS (SELECT *, count(*) OVER ({PW} ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING) AS n, (last_value(close) OVER ({PW} ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING)
-  / first_value(close) OVER ({PW} ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING) - 1) * 100 AS r, avg(spread) OVER ({PW} ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING) AS s FROM seg)
- SELECT {KEY}, {R('CASE WHEN n >= 5 THEN r END', 'pre_ret_pct')}, {R('CASE WHEN n >= 5 THEN s END', 'pre_spread')} FROM p""")
+@query("precursors", HEAD + ", pc AS (" + sql_precursors("seg") + f") SELECT {KEY}, {PRE_SQL} FROM pc")
 def _(spark, sf):
-    return A.precursors(seg(spark, sf)).select("sym", epoch(), *rd("pre_ret_pct", "pre_spread"))
+    return A.precursors(seg(spark, sf)).select("sym", epoch(), *rd(*PRE_COLS))
 
 
 @query("feature_parity", HEAD + " SELECT f AS feature, count(*) AS n, 0::BIGINT AS mismatches FROM seg, unnest(['atr_14', 'rsi_14', 'trend_ema']) t(f) GROUP BY 1")

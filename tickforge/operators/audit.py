@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -10,7 +10,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickforge.operators.regime import DEFAULTS
+from tickforge.operators.decision import decide
+from tickforge.operators.regime import DEFAULTS, regime_bin
 from tickforge.operators.series import block_window, blocks, core_rows, running
 
 # schema of an outcome journal, for spark.read.schema(...).json(...)
@@ -80,19 +81,6 @@ def merge_outcomes(outcomes: DataFrame, merged: DataFrame | None, feature_cols:
                        F.when(F.col("result") == "TP", 1.0).otherwise(0.0).alias("target"))
 
 
-def replay_verdict(outcomes: DataFrame, decisions: DataFrame, done: DataFrame | None = None) -> DataFrame:
-    """Compare past sides with the sides decided now; trades of earlier replays are left out.
-
-    decisions: (t, dir, new_dir, new_p, new_exp, rating) from the decision operators.
-    """
-    rows = outcomes.filter(F.col("result").isin("TP", "SL"))
-    if done is not None:
-        rows = rows.join(done.select("t", "dir"), ["t", "dir"], "left_anti")
-    out = rows.join(decisions, ["t", "dir"], "left")
-    changed = ~F.col("new_dir").eqNullSafe(F.col("dir"))
-    return out.withColumn("verdict", F.when(changed, "LEARNED-DIFFERENT").otherwise("SAME-DECISION"))
-
-
 def stored_inputs(outcomes: DataFrame) -> DataFrame:
     """atr and spread of a past trade, rebuilt from its stored geometry."""
     feats = F.col("feats")
@@ -102,6 +90,26 @@ def stored_inputs(outcomes: DataFrame) -> DataFrame:
         "spread": F.coalesce(feats["spread"], F.lit(24.0)) / 100.0})
 
 
+def replay(outcomes: DataFrame, p: Callable[[Column, Column, Column], Column], prior: DataFrame | None = None, weights: DataFrame | None = None,
+           done: DataFrame | None = None, anchor: tuple[float, float] | None = None) -> DataFrame:
+    """Past trades decided again on their stored features by today's `decide`.
+
+    Adds new_dir, new_p, new_exp, new_rating and verdict: LEARNED-DIFFERENT where the side differs or nothing would fire now.
+    Trades of earlier replays (done: t, dir) and unresolved ones are left out; nothing else is shuffled.
+    """
+    rows = outcomes.filter(F.col("result").isin("TP", "SL"))
+    if done is not None:
+        rows = rows.join(done.select("t", "dir").distinct(), ["t", "dir"], "left_anti")
+    whole = F.struct(*[rows[c] for c in rows.columns]).alias("_row")
+    stored = stored_inputs(rows.withColumn("_row", whole))
+    inputs = stored.select("_row", "time", F.col("atr").alias("atr_14"), (F.col("spread") * 100).alias("spread"), regime_bin("feats").alias("regime"),
+                           F.col("feats")["trend_ema"].alias("trend_ema"), F.col("feats")["atr_pctile"].alias("atr_pctile"))
+    new = decide(inputs, p, prior, weights, None, anchor).select(
+        "_row.*", F.when(F.col("fire"), F.when(F.col("direction") > 0.5, "BUY").otherwise("SELL")).alias("new_dir"), F.col("p").alias("new_p"),
+        F.col("exp").alias("new_exp"), F.col("rating").alias("new_rating"))
+    return new.withColumn("verdict", F.when(F.col("new_dir").eqNullSafe(F.col("dir")), "SAME-DECISION").otherwise("LEARNED-DIFFERENT"))
+
+
 def reconcile(trades: DataFrame, bars: DataFrame, bucket_secs: int = 86400) -> DataFrame:
     """Verdict from all bars since entry: one level touched decides, both or none is UNVERIFIED.
 
@@ -181,17 +189,45 @@ def precursors(bars: DataFrame, n: int = 12, long: int = 200, block_rows: int =
     return core_rows(framed).drop("_k", "_c0", "_c9", "_v", "_vb", "_sp", "_bd", "_rg")
 
 
-def market_digest(bars: DataFrame) -> DataFrame:
-    """One row per series: what its last day did."""
+def market_digest(bars: DataFrame, events: DataFrame | None = None) -> DataFrame:
+    """One row per series: what its last day did.
+
+    With atr_14 among the columns also the rank of the day's last ATR among 200 of the day, the trend (EMA 20 less EMA 60 of the
+    day's closes, over the largest of the last 60 ATRs) and the burst of the last 20 bars' volume; with events (sym, time) their
+    number on that day, in all and per session. A series day is bounded by its bars, so it is one array.
+    """
     day = F.to_date("time")
     last = bars.groupBy("sym").agg(F.max(day).alias("_last"))
     today = bars.join(last, "sym").filter(day == F.col("_last"))
+    whole = "atr_14" in bars.columns
+    rows = [F.array_sort(F.collect_list(F.struct("time", "close", "atr_14", "tick_volume"))).alias("_rows")] if whole else []
     out = today.groupBy("sym").agg(
         F.max("_last").alias("day"), F.count(F.lit(1)).alias("bars"), F.min_by("open", "time").alias("o"),
-        F.max_by("close", "time").alias("c"), F.max("high").alias("_h"), F.min("low").alias("_l"))
-    return out.withColumns({
+        F.max_by("close", "time").alias("c"), F.max("high").alias("_h"), F.min("low").alias("_l"), *rows)
+    out = out.withColumns({
         "day_ret_pct": (F.try_divide(F.col("c"), F.col("o")) - 1) * 100,
         "range_pct": F.try_divide(F.col("_h") - F.col("_l"), F.col("o")) * 100}).drop("_h", "_l")
+    if whole:
+        n = F.size("_rows")
+        values = lambda c, start, length: F.transform(F.slice("_rows", start, length), lambda r: r[c])
+        mean = lambda a: F.when(F.size(a) > 0, F.aggregate(a, F.lit(0.0), lambda t, x: t + x) / F.size(a))
+        ema = lambda span: F.aggregate(values("close", F.lit(1), n), F.lit(None).cast("double"),
+                                       lambda y, x: F.coalesce(y + (x - y) * F.lit(2.0 / (span + 1)), x))
+        tail = values("atr_14", F.greatest(n - 199, F.lit(1)), F.lit(200))
+        newest = F.element_at(tail, -1)
+        rank = (F.size(F.filter(tail, lambda x: x < newest)) + F.size(F.filter(tail, lambda x: x <= newest)) + 1) / 400.0
+        late, early = values("tick_volume", F.greatest(n - 19, F.lit(1)), F.lit(20)), values(
+            "tick_volume", F.greatest(n - 199, F.lit(1)), F.greatest(n - 20 - F.greatest(n - 200, F.lit(0)), F.lit(0)))
+        out = out.withColumns({
+            "atr_pctile_200": F.when(n >= 200, rank), "trend_ema": (ema(20) - ema(60)) / (F.array_max(values("atr_14", F.greatest(n - 59, F.lit(1)), F.lit(60))) + 1e-9),
+            "vol_spike": mean(late) / (mean(early) + 1e-9)}).drop("_rows")
+    if events is not None:
+        names = ["asia", "london", "ny", "late"]
+        counts = session_counts(events).withColumnRenamed("day", "_day")
+        out = out.join(counts, (out["sym"] == counts["sym"]) & (out["day"] == counts["_day"]), "left").select(
+            *[out[c] for c in out.columns], *[F.coalesce(counts[c], F.lit(0)).alias(f"n_{c}") for c in names])
+        out = out.withColumn("n_events", sum((F.col(f"n_{c}") for c in names[1:]), F.col("n_asia")))
+    return out
 
 
 def session_counts(events: DataFrame) -> DataFrame:

@@ -218,6 +218,24 @@ def selectivity(df: DataFrame, q: float, p: str = "p", width: float = 1e-3) -> D
     return df.crossJoin(F.broadcast(cut)).filter(F.col(p) >= F.col("_cut")[0]).drop("_cut")
 
 
+def selective_runs(bars: DataFrame, levels: dict[str, Column], p: Column, qs: Sequence[float] = (90, 95, 99), width: float = 1e-3, tie: str = "TP",
+                   keys: Sequence[str] = ("sym", "period_id"), at: str = "rn", **options) -> DataFrame:
+    """Trades taken one at a time when p is in the top of its own distribution, once per percentile q of the non-zero p.
+
+    Exits are found once; each q then has its own chain over the bars. Adds q.
+    """
+    keys = list(keys)
+    rows = checkpointed(bars.withColumn("_conf", p))
+    cuts = exact_quantiles(rows.where("_conf <> 0"), [], "_conf", [q / 100.0 for q in qs], width, "_cut")
+    named = {k: v for k, v in levels.items()}
+    trades = exit_ahead(rows, named, tie, keys, at, **options)
+    each = F.explode(F.array(*[F.struct(F.lit(float(q)).alias("q"), F.lit(i).alias("i")) for i, q in enumerate(qs)])).alias("_q")
+    chosen = trades.crossJoin(F.broadcast(cuts)).select("*", each).where(F.col("_conf") >= F.get("_cut", F.col("_q.i"))).withColumn("q", F.col("_q.q"))
+    chosen = checkpointed(chosen.drop("_q", "_cut", "_conf"))
+    run = rows.select(*keys, at, each).withColumn("q", F.col("_q.q")).drop("_q")
+    return one_position(run, chosen, 1, [*keys, "q"], at)
+
+
 def rerun_at_spreads(bars: DataFrame, levels_of, horizon: int, spreads: Sequence[float] = (0.20, 0.30, 0.41), skip: int = 1, **options) -> DataFrame:
     """Trades taken one at a time under each assumed spread: exits and chains are found again for each.
 

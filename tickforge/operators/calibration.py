@@ -146,3 +146,17 @@ def apply_curves(df: DataFrame, curves: DataFrame, keys: Sequence[str], p: str =
     """Calibrated probability by a left join with the curve table (one row per key)."""
     joined = df.join(curves.select(*keys, "knots_p", "knots_y"), list(keys), "left")
     return joined.withColumn(out, interpolate(F.col(p), F.col("knots_p"), F.col("knots_y"))).drop("knots_p", "knots_y")
+
+
+def apply_nearest(df: DataFrame, curves: DataFrame, keys: Sequence[str], ratio: str, p: str = "p", out: str = "p_cal") -> DataFrame:
+    """Calibrated probability by the curve of the row's keys whose ratio is nearest (of two equally near the lesser); p without one.
+
+    curves: keys, ratio, knots_p, knots_y. The curves of a key are one small row, so df is joined once and not multiplied.
+    """
+    keys = list(keys)
+    curve = F.struct(F.col(ratio).alias("r"), "knots_p", "knots_y")
+    per = curves.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(F.collect_list(curve).alias("_curves"))
+    on = [F.col(k) == F.col(f"_k_{k}") for k in keys]
+    near = F.array_min(F.transform("_curves", lambda c: F.struct(F.abs(c["r"] - F.col(ratio)).alias("d"), c["r"].alias("r"), c["knots_p"].alias("knots_p"), c["knots_y"].alias("knots_y"))))
+    joined = df.join(per, on, "left").withColumn("_near", near)
+    return joined.withColumn(out, interpolate(F.col(p), F.col("_near.knots_p"), F.col("_near.knots_y"))).drop("_curves", "_near", *[f"_k_{k}" for k in keys])
