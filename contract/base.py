@@ -102,9 +102,9 @@ def outcomes(spark, sf):
 PRIOR_ROWS = [(r, d, 1.5 + 0.1 * i, 1.4, 2.0 + 0.2 * i, 2.5, 0.8 + 0.1 * i) for i, r in enumerate(REGIMES) for d in (1.0, 0.0)]
 
 
-def prior(spark):
+def prior(spark, rows=None):
     return spark.createDataFrame(
-        PRIOR_ROWS, "regime string, direction double, sl_atr double, tp_ratio double, mfe_p50 double, mfa_p90 double, mfa_p50 double")
+        rows or PRIOR_ROWS, "regime string, direction double, sl_atr double, tp_ratio double, mfe_p50 double, mfa_p90 double, mfa_p50 double")
 
 
 def epoch(name="time"):
@@ -190,8 +190,12 @@ OUTCOMES = f"""oc AS (SELECT event_id, event_type AS sym, ts AS time, floor(epoc
  CASE event_id % 3 WHEN 0 THEN 'TP' WHEN 1 THEN 'SL' ELSE 'UNVERIFIED' END AS result,
  {_ms(37, 1000, 1000.0, 0.0)} AS conf, {_RG} AS regime, {_ms(13, 40, 10.0, 0.5)} AS sl_atr,
  {', '.join(f'{_ms(*a)} AS {n}' for n, a in FEATS.items())} FROM events)"""
-PRIOR = "prior(regime, direction, sl_atr, tp_ratio, mfe_p50, mfa_p90, mfa_p50) AS (VALUES " + ", ".join(
-    "('" + r[0] + "', " + ", ".join(f"{x!r}::DOUBLE" for x in r[1:]) + ")" for r in PRIOR_ROWS) + ")"
+def sql_prior(rows):
+    return "prior(regime, direction, sl_atr, tp_ratio, mfe_p50, mfa_p90, mfa_p50) AS (VALUES " + ", ".join(
+        "('" + r[0] + "', " + ", ".join(f"{x!r}::DOUBLE" for x in r[1:]) + ")" for r in rows) + ")"
+
+
+PRIOR = sql_prior(PRIOR_ROWS)
 
 # regime inputs of the hourly bars
 _RS = ewm("er", "seg", {"atr": (TR, A14), "ema20": ("close", "(2.0::DOUBLE/21)"), "ema50": ("close", "(2.0::DOUBLE/51)"),

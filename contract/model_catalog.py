@@ -9,8 +9,8 @@ from itertools import count
 from pyspark.sql import functions as F
 
 from contract.base import (
-    ATR, BARS, CELLS, FEATS, HEAD, KEY, OUTCOMES, PRIOR, PROBS, PW, R, REG, TICKS, W, bars, calendar, epoch, outcomes, prior, probs, query, rd, roll,
-    seg, sql_bars, sql_excursions, sql_levels, sql_regime, sql_seg, sql_touch, table, ticks,
+    ATR, BARS, CELLS, FEATS, HEAD, KEY, OUTCOMES, PRIOR, PRIOR_ROWS, PROBS, PW, R, REG, TICKS, W, bars, calendar, epoch, outcomes, prior, probs, query, rd, roll,
+    seg, sql_bars, sql_excursions, sql_levels, sql_prior, sql_regime, sql_seg, sql_touch, table, ticks,
 )
 from tickforge.constants import REGIMES
 from tickforge.operators import audit as A
@@ -277,7 +277,7 @@ def _(spark, sf):
 
 # ── decisions ───────────────────────────────────────────────────────────────
 
-PCELL = "(((epoch(time)::BIGINT // 3600) * 37 + round(sl_mult * 10)::BIGINT * 7 + round(tp_ratio * 10)::BIGINT * 3 + direction::BIGINT * 11) % 100) / 100.0::DOUBLE"
+PCELL = "(((floor(epoch(time))::BIGINT // 3600) * 37 + round(sl_mult * 10)::BIGINT * 7 + round(tp_ratio * 10)::BIGINT * 3 + direction::BIGINT * 11) % 100) / 100.0::DOUBLE"
 
 
 def pcell():
@@ -742,9 +742,10 @@ def _(spark, sf):
     return out.select(epoch(), "direction", F.lit(1).cast("bigint").alias("n"), "target")
 
 
+WIDE_PRIOR = [(r, d, round(sl + 0.053, 6), tp, mfe, mfa, low) for r, d, sl, tp, mfe, mfa, low in PRIOR_ROWS]
 _OC = ", rg AS MATERIALIZED (SELECT event_id AS sym, 0 AS period_id, 0 AS rn, time, regime, trend_ema, atr_pctile, abs(entry - sl) AS atr_14, entry AS close FROM ("
 REPLAY = "WITH " + OUTCOMES + _OC + sql_regime("oc").replace("SELECT *,", "SELECT * EXCLUDE (regime),", 1) + """) x WHERE result IN ('TP', 'SL') AND NOT EXISTS (
- SELECT 1 FROM oc d WHERE d.t = x.t AND d.dir = x.dir AND d.result IN ('TP', 'SL', 'UNVERIFIED') AND hour(d.time) < 6))""" + re.sub(r"\+ 0\.2(?=[ )])", "+ 0.24", DECIDE[len(REG):])
+ SELECT 1 FROM oc d WHERE d.t = x.t AND d.dir = x.dir AND d.result IN ('TP', 'SL', 'UNVERIFIED') AND hour(d.time) < 6))""" + re.sub(r"\+ 0\.2(?=[ )])", "+ 0.24", DECIDE[len(REG):]).replace(PRIOR, sql_prior(WIDE_PRIOR))
 
 
 @query("replay_decisions", REPLAY + f""" SELECT o.event_id, CASE WHEN exp > 0 THEN CASE WHEN d = 1 THEN 'BUY' ELSE 'SELL' END END AS new_dir, {R('exp', 'new_exp')}, {R('p', 'new_p')},
@@ -753,7 +754,8 @@ def _(spark, sf):
     """Resolved trades decided again; those of a replay of the early hours are done."""
     rows = outcomes(spark, sf)
     done = rows.filter(F.hour("time") < 6)
-    out = A.replay(rows, cell_p, prior(spark), fixed_weights(spark), done, (1.2, 1.8))
+    # stops of 5 dollars make whole multiples of the ATR: the caps lie between them
+    out = A.replay(rows, cell_p, prior(spark, WIDE_PRIOR), fixed_weights(spark), done, (1.2, 1.8))
     return out.select("event_id", "new_dir", *rd("new_exp", "new_p"), "verdict")
 
 
