@@ -174,8 +174,8 @@ def _chunker(pattern: str, chunk_chars: int):
                 one(pa.array([names[i] for i in order.tolist()], pa.string()))], ["chunk", "ids", "sizes", "at", "pieces"])
 
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
-                text = text or ""
+            for k in range(batch.num_rows):  # one text at a time, so that a batch is not held twice
+                doc_id, text = batch["doc_id"][k].as_py(), batch["text"][k].as_py() or ""
                 split = UNIT.findall(text) if known else [text]
                 at.append(np.fromiter(chain.from_iterable(map(units.__getitem__, split)), np.int32))
                 ids.append(doc_id)
@@ -247,7 +247,7 @@ def _assemble(shared, keep_ids: bool):
 
 
 def encode_documents(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN,
-                     chunk_chars: int = 1 << 22, keep_ids: bool = False) -> DataFrame:
+                     chunk_chars: int = 1 << 21, keep_ids: bool = False) -> DataFrame:
     """Rows (doc_id, n_tokens, ids_sha256, decoded_sha256), with keep_ids also `ids`, one per row of docs."""
     v = Vocabulary(read_ranks(path or public_tokenizers.path(RANK_FILE)))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
