@@ -40,10 +40,12 @@ def feature_list(text: Column, longest: int) -> Column:
     if longest == 1:
         return words
 
+    def runs(w: Column, n: int) -> Column:
+        found = F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, n), " "))
+        return F.when(F.size(w) >= n, found).otherwise(F.array().cast("array<string>"))
+
     def of_words(w: Column) -> Column:
-        runs = [w] + [F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i, n=n: F.array_join(
-            F.slice(w, i, n), " "))).otherwise(F.array().cast("array<string>")) for n in range(2, longest + 1)]
-        return F.concat(*runs)
+        return F.concat(w, *[runs(w, n) for n in range(2, longest + 1)])
     return F.get(F.transform(F.array(words), of_words), 0)
 
 
