@@ -93,6 +93,23 @@ def test_legacy_streak(spark):
     assert legacy == [1, 2, -1, -1, 0, 1, 2, -1, 0]
 
 
+def test_position_state_of_trades_at_one_time(spark):
+    """Against the query's SQL with its open ties closed by event_id."""
+    import duckdb
+
+    rng = np.random.default_rng(3)
+    oc = pd.DataFrame({"event_id": rng.permutation(400), "sym": rng.choice(["A", "B"], 400), "time": pd.to_datetime(rng.integers(0, 12, 400) * 21600, unit="s"),
+                       "pnl": rng.choice([-1.0, 1.0, 1.0, 1.0, 0.0], 400)})
+    oc.loc[oc["time"].dt.hour < 12, "pnl"] = 1.0
+    assert duckdb.sql("SELECT count(*) FROM (SELECT DISTINCT sym, time FROM oc)").fetchall()[0][0] < 30
+    want = duckdb.sql("""WITH q AS (SELECT *, sum(pnl) OVER (PARTITION BY sym, time::DATE ORDER BY time) AS dp, count(*) OVER (PARTITION BY sym, time::DATE ORDER BY time) AS tt, sign(pnl) AS sg FROM oc),
+ i AS (SELECT *, CASE WHEN sg IS DISTINCT FROM lag(sg) OVER (PARTITION BY sym ORDER BY time, event_id) THEN 1 ELSE 0 END AS ch FROM q),
+ j AS (SELECT *, sum(ch) OVER (PARTITION BY sym ORDER BY time) AS isl FROM i)
+ SELECT event_id, dp, tt, (sg * row_number() OVER (PARTITION BY sym, isl ORDER BY time, event_id))::BIGINT AS streak FROM j ORDER BY event_id""").fetchall()
+    got = A.position_state(spark.createDataFrame(oc), ties=["event_id"]).orderBy("event_id").select("event_id", "day_pnl", "trades_today", F.col("streak").cast("bigint"))
+    assert [tuple(r) for r in got.collect()] == want
+
+
 def test_microstructure_across_buckets(spark):
     rng = np.random.default_rng(5)
     secs = np.sort(rng.choice(20_000, 600, replace=False))

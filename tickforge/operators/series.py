@@ -166,6 +166,21 @@ def running(
     return out.drop("_bk", *[f"_c_{name}" for name in columns])
 
 
+def previous(df: DataFrame, keys: Sequence[str], order: str, bucket: str, column: str, name: str) -> DataFrame:
+    """df with `name`: column of the row before in `order` (distinct in a key), also from earlier buckets.
+
+    The column bucket must not decrease along order; one row a bucket crosses buckets.
+    """
+    keys = list(keys)
+    edge = df.groupBy(*keys, bucket).agg(F.max_by(F.struct(column), order)[column].alias("_edge"))
+    edge = edge.withColumn("_edge", F.lag("_edge").over(W.partitionBy(*keys).orderBy(bucket)))
+    w = W.partitionBy(*keys, bucket).orderBy(order)
+    first = F.row_number().over(w) == 1
+    own = F.lag(column).over(w)
+    rows = df.withColumn(name, own).withColumn("_first", first).join(edge, [*keys, bucket])
+    return rows.withColumn(name, F.when(F.col("_first"), F.col("_edge")).otherwise(F.col(name))).drop("_first", "_edge")
+
+
 def asof_join(
     left: DataFrame,
     right: DataFrame,
