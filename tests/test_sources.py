@@ -121,6 +121,24 @@ def test_microstructure_across_buckets(spark):
     pd.testing.assert_frame_equal(a, b)
 
 
+def test_microstructure_windows_longer_than_buckets(spark):
+    """Windows over several buckets, dense ticks of equal times and missing bids, against each tick's own window; no frame is scanned a tick."""
+    rng = np.random.default_rng(6)
+    secs = np.sort(rng.integers(0, 3000, 800))
+    pdf = pd.DataFrame({"sym": "A", "ts": pd.to_datetime(secs, unit="s"), "bid": 100.0 + secs % 7, "ask": 100.0 + secs % 7 + secs % 5 / 10})
+    pdf.loc[secs % 11 == 0, "bid"] = np.nan
+    df = spark.createDataFrame(pdf).withColumn("bid", F.nanvl("bid", F.lit(None)))
+    found = live.microstructure(df, 60, 900, bucket_secs=400)
+    got = found.toPandas().sort_values("ts", kind="stable").reset_index(drop=True)
+    assert "RangeFrame, -" not in found._jdf.queryExecution().toString()
+    spread = (pdf["ask"] - pdf["bid"]).to_numpy()
+    for i, t in enumerate(secs):
+        short, long = (secs <= t) & (secs >= t - 60), (secs <= t) & (secs >= t - 900)
+        known = spread[short][~np.isnan(spread[short])]
+        want = [pdf["bid"][short].count(), pdf["bid"][long].count(), known.mean() if len(known) else np.nan, known.std(ddof=1) if len(known) > 1 else 0.0]
+        np.testing.assert_allclose(got.loc[i, ["ticks_60s", "ticks_300s", "spread_mean_60s", "spread_std_60s"]].astype(float), want, atol=1e-9)
+
+
 def test_csv_is_read_by_its_header(spark, tmp_path):
     from tickforge.sources.readers import read_bars_csv
 

@@ -171,3 +171,29 @@ def run_block_pass(framed: DataFrame, todo: BlockPass) -> DataFrame:
         return table
 
     return framed.groupBy("sym", "period_id", "block").applyInArrow(per_block, schema)
+
+
+def tick_windows(us: np.ndarray, bid: np.ndarray, move: np.ndarray, spread: np.ndarray, n: int, short: int, long: int) -> dict[str, np.ndarray]:
+    """Counts, imbalance of moves and spread statistics of the last seconds at the ticks from the n-th on; us must be sorted.
+
+    Ticks of one time see each other. Every window is a difference of running totals, so the cost
+    is the number of ticks, not the ticks in all windows. NaN is a missing value.
+    """
+    at = us[n:]
+    until = np.searchsorted(us, at, "right")
+    total = lambda x: np.concatenate([[0], np.cumsum(x)])
+    ticks, ups, downs = total(~np.isnan(bid)), total(move > 0), total(move < 0)
+    out = {}
+    for name, secs in (("60s", short), ("300s", long)):
+        since = np.searchsorted(us, at - secs * 1_000_000, "left")
+        up, dn = ups[until] - ups[since], downs[until] - downs[since]
+        out[f"ticks_{name}"], out[f"imb_{name}"] = ticks[until] - ticks[since], (up - dn) / (up + dn + 1e-9)
+    since = np.searchsorted(us, at - short * 1_000_000, "left")
+    known = ~np.isnan(spread)
+    centre = spread[known].mean() if known.any() else 0.0
+    shift = np.where(known, spread - centre, 0.0)
+    s1, s2, k = total(shift), total(shift * shift), total(known)
+    k = k[until] - k[since]
+    mean = (s1[until] - s1[since]) / np.maximum(k, 1)
+    var = np.maximum((s2[until] - s2[since]) - k * mean * mean, 0.0) / np.maximum(k - 1, 1)
+    return out | {"spread_now": spread[n:], "spread_mean_60s": np.where(k > 0, mean + centre, np.nan), "spread_std_60s": np.where(k > 1, np.sqrt(var), 0.0)}

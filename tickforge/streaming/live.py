@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tickforge.functions.paths import tick_windows
 from tickforge.operators.ahead import first_ahead
 from tickforge.operators.bars import ticks_to_bars
-from tickforge.operators.series import BLOCK_ROWS, running
+from tickforge.operators.series import BLOCK_ROWS, previous, running
 from tickforge.session import checkpointed
 
 
@@ -19,39 +23,38 @@ def stream_bars(ticks: DataFrame, width: str = "1 minute", late: str = "60 secon
     return ticks_to_bars(ticks.withWatermark("ts", late), width)
 
 
+MICRO = {"ticks_60s": "bigint", "ticks_300s": "bigint", "imb_60s": "double", "imb_300s": "double", "spread_now": "double", "spread_mean_60s": "double",
+         "spread_std_60s": "double"}
+
+
 def microstructure(ticks: DataFrame, short: int = 60, long: int = 300, bucket_secs: int = 3600) -> DataFrame:
     """Per tick: counts, up/down imbalance and spread statistics of the last seconds.
 
-    Time buckets with a halo of `long` seconds are the tasks. The direction of a
-    bucket's first tick comes from the last bid of the bucket before it.
+    Time buckets with a halo of `long` seconds (which they are never shorter than) are the groups; in a group
+    windows are differences of running totals. The direction of a bucket's first tick comes from the last bid of the bucket before it.
     """
     us = F.unix_micros("ts")
-    size = bucket_secs * 1_000_000
-    rows = ticks.withColumns({"_us": us, "_b": F.floor(us / size)})
-    w = W.partitionBy("sym", "_b").orderBy("_us")
-    edge = rows.groupBy("sym", "_b").agg(F.max_by("bid", "_us").alias("_e"))
-    edge = edge.withColumn("_e", F.lag("_e").over(W.partitionBy("sym").orderBy("_b")))
-    rows = rows.join(edge, ["sym", "_b"]).withColumn("_d", F.signum(F.col("bid") - F.coalesce(F.lag("bid").over(w), F.col("_e"))))
-    rows = rows.withColumn("_home", F.col("_b"))
-    halo = F.array_compact(F.array(F.col("_home"), F.when(F.col("_us") >= (F.col("_home") + 1) * size - long * 1_000_000, F.col("_home") + 1)))
-    rows = rows.withColumn("_b", F.explode(halo))
-
-    def last(secs: int):
-        return W.partitionBy("sym", "_b").orderBy("_us").rangeBetween(-secs * 1_000_000, 0)
-
-    spread = F.col("ask") - F.col("bid")
-    up, dn = (F.col("_d") > 0).cast("int"), (F.col("_d") < 0).cast("int")
-
-    def imbalance(secs: int) -> Column:
-        u, d = F.coalesce(F.sum(up).over(last(secs)), F.lit(0)), F.coalesce(F.sum(dn).over(last(secs)), F.lit(0))
-        return (u - d) / (u + d + 1e-9)
-
-    rows = rows.withColumns({
-        "ticks_60s": F.count("bid").over(last(short)), "ticks_300s": F.count("bid").over(last(long)),
-        "imb_60s": imbalance(short), "imb_300s": imbalance(long), "spread_now": spread,
-        "spread_mean_60s": F.avg(spread).over(last(short)),
-        "spread_std_60s": F.coalesce(F.stddev_samp(spread).over(last(short)), F.lit(0.0))})
-    return rows.filter(F.col("_b") == F.col("_home")).drop("_us", "_b", "_d", "_e", "_home")
+    size = max(bucket_secs, long) * 1_000_000
+    rows = previous(ticks.withColumns({"_us": us, "_home": F.floor(us / size)}), ["sym"], "_us", "_home", "bid", "_was")
+    rows = rows.withColumn("_d", F.signum(F.col("bid") - F.col("_was"))).drop("_was")
+    homes = F.array_compact(F.array(F.col("_home"), F.when(F.col("_us") >= (F.col("_home") + 1) * size - long * 1_000_000, F.col("_home") + 1)))
+    rows = rows.withColumn("_b", F.explode(homes))
+    names = ticks.columns
+    schema = T.StructType([*ticks.schema.fields, *T.StructType.fromDDL(", ".join(f"{c} {t}" for c, t in MICRO.items())).fields])
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.take(pc.sort_indices(group["_us"]))
+        values = lambda c: group[c].cast(pa.float64()).to_numpy()
+        b, us = group["_b"][0].as_py(), group["_us"].to_numpy()
+        n = int(np.searchsorted(us, b * size))
+        bid = values("bid")
+        found = tick_windows(us, bid, values("_d"), values("ask") - bid, n, short, long)
+        own = group.slice(n).select(names)
+        for c, t in MICRO.items():
+            own = own.append_column(c, pa.array(found[c], pa.int64() if t == "bigint" else pa.float64(), from_pandas=True))
+        return own
+
+    return rows.groupBy("sym", "_b").applyInArrow(run, schema)
 
 
 def tick_first_touch(ticks: DataFrame, trades: DataFrame, partial_secs: float = 5.0, bucket_secs: int = 3600, block_rows: int = BLOCK_ROWS) -> DataFrame:
