@@ -70,6 +70,19 @@ def test_microstructure_equals_batch(spark, tmp_path):
     twice(spark, ticks, "ts", lambda s: state.stream_microstructure(s, 600, 3000), tmp_path, ["sym", "ts"], want)
 
 
+def test_micro_batches_keep_their_size(spark, monkeypatch):
+    """More rows make more files, not larger ones; pieces of a micro-batch see the ticks before them, rows of one time stay together."""
+    from contract.model_catalog import appended, as_files
+
+    monkeypatch.setattr(state, "PIECE", 7)
+    ticks = base.ticks(spark, SF).drop("event_id").dropDuplicates(["sym", "ts"])
+    n = ticks.count()
+    stream, place = as_files(ticks, "ts", n // 8)
+    sizes = [r["n"] for r in spark.read.parquet(f"{place}/in").groupBy(F.input_file_name()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert len(sizes) >= 8 and sum(sizes) == n and max(sizes) < n // 4
+    same(appended(state.stream_microstructure(stream, 600, 3000), place), live.microstructure(ticks, 600, 3000), ["sym", "ts"])
+
+
 @pytest.mark.parametrize("partial", [1.0, 1e9])
 def test_touch_equals_batch(spark, tmp_path, partial):
     ticks = base.ticks(spark, SF).drop("event_id").dropDuplicates(["sym", "ts"])

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tickforge.functions.paths import tick_windows
 from tickforge.functions.windows import span_alpha
 from tickforge.operators.decision import decide
 from tickforge.operators.features import EPS, WILDER
@@ -27,6 +28,7 @@ from tickforge.operators.regime import with_regime
 
 STATE = "scalars array<double>, tails array<array<double>>"
 NAN = float("nan")
+PIECE = 1 << 16
 
 #: Columns that a stream of bars gains; names and values are those of the batch features.
 BAR_FEATURES = ["period_id", "rn", "atr_14", "bb_w_20", "rsi_14", "vol_z", "trend_ema", "trend_slope", "above_ema50", "trend_quality", "body_atr", "news_candle",
@@ -148,42 +150,39 @@ def stream_microstructure(ticks: DataFrame, short: int = 60, long: int = 300) ->
     """Per tick of a stream: counts, imbalance of moves and spread statistics of the last seconds, as in batch.
 
     The state is the last bid and the ticks of the last `long` seconds. Ticks of one time see each other, as in a range window.
+    A micro-batch is held as three numbers a tick and answered in runs of about `PIECE` ticks.
     """
-    raw = ticks.select("sym", "ts", F.unix_micros("ts").alias("_us"), F.col("bid").cast("double").alias("bid"), F.col("ask").cast("double").alias("ask"))
+    raw = ticks.select("sym", F.unix_micros("ts").alias("_us"), F.col("bid").cast("double").alias("bid"), F.col("ask").cast("double").alias("ask"))
     schema = ("sym string, ts timestamp, bid double, ask double, ticks_60s bigint, ticks_300s bigint, imb_60s double, imb_300s double, "
               "spread_now double, spread_mean_60s double, spread_std_60s double")
+    names = [c.split(" ")[0] for c in schema.split(", ")]
 
     def run(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = _ordered(pdfs, ["_us"])
-        (last, bid), held = state.get if state.exists else ([NAN, NAN], [[], [], []])
-        rows = rows[~(rows["_us"] <= last)]
-        if len(rows):
-            us0, move0, spread0 = (np.array(t, dtype=float) for t in held)
-            us1, b = rows["_us"].to_numpy(float), rows["bid"].to_numpy(float)
-            us = np.concatenate([us0, us1])
-            move = np.concatenate([move0, np.sign(np.diff(b, prepend=bid))])
-            spread = np.concatenate([spread0, rows["ask"].to_numpy(float) - b])
-            n = len(us0)
-            until = np.searchsorted(us, us1, "right")
-            total = lambda x: np.concatenate([[0.0], np.cumsum(x)])
-            ups, downs = total(move > 0), total(move < 0)
-            out = rows[["sym", "ts", "bid", "ask"]].copy()
-            for name, secs in (("60s", short), ("300s", long)):
-                since = np.searchsorted(us, us1 - secs * 1e6, "left")
-                up, dn = ups[until] - ups[since], downs[until] - downs[since]
-                out[f"ticks_{name}"], out[f"imb_{name}"] = until - since, (up - dn) / (up + dn + EPS)
-            since = np.searchsorted(us, us1 - short * 1e6, "left")
-            shift = spread - spread.mean()
-            s1, s2, k = total(shift), total(shift * shift), until - since
-            mean = (s1[until] - s1[since]) / k
-            var = np.maximum((s2[until] - s2[since]) - k * mean * mean, 0.0) / np.maximum(k - 1, 1)
-            out["spread_now"], out["spread_mean_60s"], out["spread_std_60s"] = spread[n:], mean + spread.mean(), np.where(k > 1, np.sqrt(var), 0.0)
-            keep = us > us[-1] - long * 1e6 - 1
-            last, bid, held = us[-1], b[-1], [us[keep].tolist(), move[keep].tolist(), spread[keep].tolist()]
-            yield out[[c.split(" ")[0] for c in schema.split(", ")]]
-        state.update(([float(last), float(bid)], held))
-
-    return _keyed(raw, schema, run)
+        (last, bid), held = state.get if state.exists else ([NAN, NAN], [[], [], [], []])
+        parts = [(x["_us"].to_numpy(np.int64), x["bid"].to_numpy(float), x["ask"].to_numpy(float)) for x in pdfs]
+        us1, b1, a1 = (np.concatenate(x) for x in zip(*parts))
+        del parts
+        order = np.argsort(us1, kind="stable")
+        order = order[~(us1[order] <= last)]
+        us0, bid0, move0, spread0 = (np.array(t, dtype=float) for t in held)
+        us0, at = us0.astype(np.int64), 0
+        while at < len(order):
+            stop = min(at + PIECE, len(order))
+            stop += int(np.searchsorted(us1[order[stop - 1:]], us1[order[stop - 1]], "right")) - 1  # ticks of one time stay together
+            mine = order[at:stop]
+            b, a = b1[mine], a1[mine]
+            us, bids = np.concatenate([us0, us1[mine]]), np.concatenate([bid0, b])
+            move, spread = np.concatenate([move0, np.sign(np.diff(b, prepend=bid))]), np.concatenate([spread0, a - b])
+            out = pd.DataFrame({"sym": key[0], "ts": pd.to_datetime(us1[mine], unit="us", utc=True), "bid": b, "ask": a}
+                               | tick_windows(us, bids, move, spread, len(us0), short, long))
+            keep = us >= us[-1] - long * 1_000_000
+            us0, bid0, move0, spread0 = us[keep], bids[keep], move[keep], spread[keep]
+            last, bid, at = us[-1], b[-1], stop
+            yield out[names]
+        state.update(([float(last), float(bid)], [x.astype(float).tolist() for x in (us0, bid0, move0, spread0)]))
+
+    found = _keyed(raw, schema, run)
+    return found.select(*names[:2], *[F.nanvl(c, F.lit(None)).alias(c) if c in ("bid", "ask", "spread_now", "spread_mean_60s") else F.col(c) for c in names[2:]])
 
 
 def stream_touch(events: DataFrame, partial_secs: float = 5.0) -> DataFrame:
