@@ -49,6 +49,26 @@ def test_specialists_and_oof(rows):
     assert scored.count() == scored.select("id").distinct().count() and scored.agg(F.min("id")).first()[0] == 1332
 
 
+def test_oof_reads_its_features_once(spark, rows):
+    """As the mean of pipelines fitted fold by fold; the features are computed once, not once a pass of a fit."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double", useArrow=False)
+    def counted(x):
+        seen.add(1)
+        return x
+
+    chunked = M.time_chunks(rows, 4).checkpoint()
+    options = {"max_iter": 2, "max_depth": 3}
+    got = M.oof_ensemble(chunked.withColumn("a", counted("a")), X, ["id"], n_chunks=4, seeds=[1, 2], **options).select("id", "p").collect()
+    assert seen.value == chunked.count()
+    want = {}
+    for _, train, test in M.walk_forward(4):
+        models = [M.gbt(X, seed=s, **options).fit(chunked.filter(train)) for s in (1, 2)]
+        want |= {r.id: r.p for r in M.mean_p(models, chunked.filter(test)).select("id", "p").collect()}
+    assert len(got) == len(want) and all(abs(want[r.id] - r.p) < 1e-9 for r in got)
+
+
 def test_gates(spark, rows):
     moves = M.time_chunks(rows.withColumn("regime_label", (F.col("a") > 0.7).cast("int")).withColumn("regime_dir", F.col("target")), 5)
     metrics, models = M.big_move_model(moves, X, seeds=[1, 2], min_moves=50, max_iter=2, max_depth=3)

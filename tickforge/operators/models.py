@@ -35,15 +35,21 @@ def walk_forward(n_chunks: int = 6) -> list[tuple[int, Column, Column]]:
     return [(i, F.col("chunk") < i, F.col("chunk") == i) for i in range(2, n_chunks)]
 
 
-def gbt(features: Sequence[str], label: str = "target", weight: str | None = None, seed: int = 42, max_iter: int = 20, max_depth: int = 5) -> Pipeline:
-    """Boosted trees over the features; a missing feature counts as 0, in training and in scoring, and no row is left out."""
-    options = {"weightCol": weight} if weight else {}
+def inputs(features: Sequence[str]) -> list:
+    """Stages that make the vector `_x` of the features; a missing feature counts as 0, in training and in scoring, and no row is left out."""
     filled = ", ".join(f"nanvl(coalesce(cast(`{c}` AS double), 0D), 0D) AS `_f_{c}`" for c in features)
-    return Pipeline(stages=[
-        SQLTransformer(statement=f"SELECT *, {filled} FROM __THIS__"),
-        VectorAssembler(inputCols=[f"_f_{c}" for c in features], outputCol="_x"),
-        GBTClassifier(featuresCol="_x", labelCol=label, seed=seed, maxIter=max_iter, maxDepth=max_depth,
-                      subsamplingRate=0.85, featureSubsetStrategy="0.85", **options)])
+    return [SQLTransformer(statement=f"SELECT *, {filled} FROM __THIS__"), VectorAssembler(inputCols=[f"_f_{c}" for c in features], outputCol="_x")]
+
+
+def booster(label: str = "target", weight: str | None = None, seed: int = 42, max_iter: int = 20, max_depth: int = 5) -> GBTClassifier:
+    """Boosted trees over the vector `_x`."""
+    options = {"weightCol": weight} if weight else {}
+    return GBTClassifier(featuresCol="_x", labelCol=label, seed=seed, maxIter=max_iter, maxDepth=max_depth, subsamplingRate=0.85, featureSubsetStrategy="0.85", **options)
+
+
+def gbt(features: Sequence[str], label: str = "target", weight: str | None = None, seed: int = 42, max_iter: int = 20, max_depth: int = 5) -> Pipeline:
+    """Boosted trees over the features."""
+    return Pipeline(stages=[*inputs(features), booster(label, weight, seed, max_iter, max_depth)])
 
 
 def fit_all(jobs: Sequence[Callable], parallelism: int = 4) -> list:
@@ -69,12 +75,19 @@ def oof_ensemble(df: DataFrame, features: Sequence[str], key: Sequence[str], lab
                  n_chunks: int = 6, seeds: Sequence[int] = tuple(SEEDS), parallelism: int = 4, **options) -> DataFrame:
     """Out-of-fold probabilities: mean over the seeds, walk-forward in time. df has chunk; rows without a label are left out."""
     df = df.where(F.col(label).isNotNull())
+    for stage in inputs(features):
+        df = stage.transform(df)
+    # fits read their rows many times: the vectors are made once, rows carry nothing else
+    df = checkpointed(df.select(*dict.fromkeys([*key, label, "chunk", *([weight] if weight else []), "_x"])))
     folds = walk_forward(n_chunks)
-    jobs = [lambda t=train, s=seed: gbt(features, label, weight, s, **options).fit(df.filter(t)) for _, train, _ in folds for seed in seeds]
+    jobs = [lambda t=train, s=seed: booster(label, weight, s, **options).fit(df.filter(t)) for _, train, _ in folds for seed in seeds]
     models = fit_all(jobs, parallelism)
     both = None
     for i, (_, _, test) in enumerate(folds):
-        part = mean_p(models[i * len(seeds):(i + 1) * len(seeds)], df.filter(test)).select(*key, label, "p")
+        part, names = df.filter(test), [f"_p{k}" for k in range(len(seeds))]
+        for name, model in zip(names, models[i * len(seeds):(i + 1) * len(seeds)]):
+            part = model.transform(part).withColumn(name, vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction")
+        part = part.withColumn("p", sum((F.col(n) for n in names[1:]), F.col(names[0])) / len(names)).select(*key, label, "p")
         both = part if both is None else both.unionByName(part)
     return both
 
