@@ -409,6 +409,18 @@ def test_language_model_is_a_distribution(spark):
     assert ends.keys() <= single.keys() and all(x < 0 for x in s) and 10 ** single["a"] + 10 ** single["b"] + 10 ** single["c"] + 10 ** single["d"] < 1
 
 
+@pytest.mark.parametrize("block_bytes", [1 << 24, 1 << 15])
+def test_language_model_gives_rare_words_a_context(spark, block_bytes):
+    """In a corpus whose words are all rarer than one in 10,000, a pair that was seen is likelier than one that was not."""
+    train = [i for i in range(30_000) if zlib.crc32(str(i).encode()) % 10][:24_000]
+    free = [i for i in range(30_000) if not zlib.crc32(str(i).encode()) % 10][:200]
+    n = 8000
+    data = [(i, f"a{k % n} b{k % n} c{k % n}") for k, i in enumerate(train)]
+    data += [(i, f"a{k // 2} b{k // 2 + k % 2} c{k // 2 + k % 2}") for k, i in enumerate(free)]
+    got = {r.doc_id: r.score for r in lm_score.score_documents(spark.createDataFrame(data, "doc_id long, text string"), block_bytes=block_bytes).where("held_out").collect()}
+    assert len(got) == 200 and all(got[a] - got[b] > 2 for a, b in zip(free[::2], free[1::2]))
+
+
 def test_pipeline_against_brute_force(spark, docs):
     """Stages by stage: kept ids, mix sizes and token counts."""
     sf = SF

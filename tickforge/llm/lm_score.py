@@ -1,27 +1,29 @@
 """Hierarchical Pitman-Yor language model, sampled by Gibbs, and document scores.
 
-Model: every token is drawn in the restaurant of its context, the previous token. Words
-that make up at least `min_rate` of the training tokens have a restaurant each (so there
-are at most 1 / min_rate), rarer words share one, and the start of a text has its own.
-All context restaurants share one parent, the unigram restaurant, whose parent is
-uniform over the V known tokens and one unknown token. Tables of a context restaurant are
-customers of the parent.
+Model: every token is drawn in the restaurant of its context, the previous token; every
+word has one, and the start of a text shares that of the end token. All context
+restaurants share one parent, the unigram restaurant, whose parent is uniform over the V
+known tokens and one unknown token. Tables of a context restaurant are customers of the
+parent.
 
 Gibbs sampling: a sweep re-seats, for every (context, word), its customers given all
 other seats: the number of tables of up to `EXACT` customers is drawn from its exact
 conditional (generalised Stirling numbers times the parent's probability of a table
-each), further customers are seated after them in batches of a sixteenth. Table totals
+each), further customers are seated after them in batches of a sixteenth. A single customer
+always has one table, so only pairs that occur twice or more are re-seated. Table totals
 of restaurants come from the sweep before, summed over all data. After the burn-in the
 predictive probabilities of the samples are averaged; the score is the sum of their
 log10, from which perplexity follows.
 
-Distribution: documents are grouped into blocks by hash of doc_id, tokens into buckets by
-hash of the word. A block sends each bucket one compressed list of its distinct (word,
-context) pairs with training counts; buckets add up counts, keep the seats and answer
-with one list of probabilities in the same order. Every pair of a word is in one bucket,
-a hot word being at most one row per context and block. The driver sees one row per
-context. Blocks are about `block_bytes` of text; there are at most 100,000 blocks and
-20,000 buckets, beyond which they grow.
+Distribution: documents are grouped into blocks by hash of doc_id, words and contexts,
+named by 64-bit hashes, into buckets by that hash. A block sends each bucket one compressed
+list of its distinct (word, context) pairs with training counts, sorted by the word's hash;
+buckets add up counts, keep the seats of their words and the table totals of their words'
+restaurants, and answer with numbers in the order of the request. After a sweep each bucket sends
+the tables of its contexts to the buckets that own these, which add them up and send the
+totals back: lists in a fixed order, no names. So no table of contexts is held anywhere. Every pair of a word is
+in one bucket. The driver sees sums only. Blocks are about `block_bytes` of text; there are at most
+100,000 blocks and 20,000 buckets, beyond which they grow.
 
 Null texts count as empty (one end token). Rows without doc_id are scored but not learned
 from, and count as not held out. Repeated rows are learned from and scored one by one.
@@ -30,8 +32,7 @@ Without training rows every probability is 1. Only doc_id and text are read.
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -42,10 +43,11 @@ from pyspark.sql import functions as F
 
 from tickforge.llm.common import materialize, query, table
 
-START, RARE = 0, 1  # contexts: start of text, all rarer words; further ones are words
 EXACT = 32
 END = b""
-STATE = "bucket int, words binary, starts binary, ctx binary, c binary, t binary, tsum binary, root_t binary, root_p binary, stats array<struct<ctx: int, c: bigint, t: bigint>>, n bigint, v bigint, tables bigint, n1 bigint, n2 bigint, m1 bigint, m2 bigint"
+#: Rows that blocks and buckets send each other: to, what, from, packed arrays; numbers for the driver.
+MAIL = "place int, kind string, sender int, parts array<binary>, nums array<bigint>"
+NUMS = ("n", "v", "tables", "guests", "n1", "n2", "m1", "m2")
 
 
 def pack(a: np.ndarray) -> bytes:
@@ -62,24 +64,40 @@ def tokens(raw: bytes | None) -> list[bytes]:
     return words
 
 
-# ── contexts ────────────────────────────────────────────────────────────────
+def letter(place: int, kind: str, sender: int, *arrays: np.ndarray, nums: list[int] | None = None) -> tuple:
+    return int(place), kind, int(sender), [pack(a) for a in arrays], nums
 
-def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    held: Counter = Counter()
-    for batch in batches:
-        for raw in batch["raw"]:
-            held.update(tokens(raw))
-            if len(held) > 1_000_000:
-                yield pd.DataFrame({"word": list(held), "n": list(held.values())})
-                held.clear()
-    yield pd.DataFrame({"word": list(held), "n": list(held.values())})
 
+def mail(letters: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(letters, columns=["place", "kind", "sender", "parts", "nums"])
 
-def context_words(rows: DataFrame, min_rate: float) -> list[bytes]:
-    """Words with at least min_rate of the training tokens; at most 1 / min_rate of them."""
-    counts = materialize(rows.where("train").select("raw").mapInPandas(_count_words, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n")))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    return sorted(bytes(r["word"]) for r in counts.where((F.col("n") >= min_rate * total) & (F.length("word") > 0)).select("word").collect())
+
+def sorted_mail(rows: pd.DataFrame) -> dict[str, list]:
+    """Rows of each kind, by sender."""
+    out: dict[str, list] = {}
+    for r in rows.sort_values("sender").itertuples():
+        out.setdefault(r.kind, []).append(r)
+    return out
+
+
+def steps(at: np.ndarray) -> np.ndarray:
+    """Ascending positions as differences, which pack well."""
+    return np.diff(at, prepend=0).astype(np.uint32)
+
+
+def positions(raw: bytes) -> np.ndarray:
+    return np.cumsum(unpack(raw, np.uint32), dtype=np.int64)
+
+
+def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets are ranges of hashes."""
+    return ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+def runs(places: np.ndarray):
+    """(place, slice) of every place that occurs, places ascending."""
+    at, first = np.unique(places, return_index=True)
+    return [(int(b), slice(lo, hi)) for b, lo, hi in zip(at, first, np.append(first[1:], len(places)))]
 
 
 # ── blocks ──────────────────────────────────────────────────────────────────
@@ -87,78 +105,110 @@ def context_words(rows: DataFrame, min_rate: float) -> list[bytes]:
 class Block:
     """Tokens of a block as positions in its sorted list of distinct (word, context) pairs."""
 
-    def __init__(self, raws, contexts: dict[bytes, int], buckets: int):
+    def __init__(self, raws):
         number: dict[bytes, int] = {}
         put = number.setdefault
         parts = [np.array([put(w, len(number)) for w in tokens(raw)], np.int64) for raw in raws]
         self.lengths = np.array([len(p) for p in parts], np.int64)
-        ids = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-        words = list(number)
-        hashes = np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64)
-        places = hashes % np.uint64(buckets)
-        order = np.lexsort((hashes, places))
+        ids = np.concatenate(parts)
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, number), np.uint64, len(number))
+        order = np.argsort(hashes)
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
-        own = np.array([contexts.get(w, RARE) if w != END else START for w in words], np.int64)
-        before = np.concatenate(([START], own[ids[:-1]])) if len(ids) else ids  # the end of a text starts the next
-        self.ids = rank[ids]
-        key, self.pair = np.unique(self.ids << 16 | before, return_inverse=True)
-        self.hashes, self.places = hashes[order], places[order].astype(np.int64)
-        self.word, self.ctx = key >> 16, (key & 0xFFFF).astype(np.uint16)
-
-    def spans(self):
+        self.hashes, self.ids = hashes[order], rank[ids]
+        before = np.concatenate((rank[[number[END]]], self.ids[:-1]))  # the end of a text starts the next
+        del parts, ids, number
+        key, self.pair = np.unique(self.ids << 32 | before, return_inverse=True)
+        self.word, self.ctx = key >> 32, key & 0xFFFFFFFF
+
+    def spans(self, buckets: int):
         """(bucket, word slice, pair slice) of every bucket that occurs."""
-        at, first = np.unique(self.places, return_index=True)
-        ends = np.append(first[1:], len(self.places))
-        lo, hi = np.searchsorted(self.word, first), np.searchsorted(self.word, ends)
-        return [(int(b), slice(w0, w1), slice(p0, p1)) for b, w0, w1, p0, p1 in zip(at, first, ends, lo, hi)]
+        for bucket, w in runs(bucket_of(self.hashes, buckets)):
+            yield bucket, w, slice(*np.searchsorted(self.word, (w.start, w.stop)))
 
 
-def _requests(contexts, buckets: int):
+def _requests(buckets: int):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        b = Block(rows["raw"], contexts.value, buckets)
+        b = Block(rows["raw"])
         learn = np.repeat(rows["train"].to_numpy(bool), b.lengths)
         n = np.bincount(b.pair[learn], minlength=len(b.word)).astype(np.uint32)
         out = []
-        for bucket, w, p in b.spans():
+        for bucket, w, p in b.spans(buckets):
             per_word = np.bincount(b.word[p] - w.start, minlength=w.stop - w.start).astype(np.uint32)
-            out.append((bucket, key[0], pack(b.hashes[w]), pack(per_word), pack(b.ctx[p]), pack(n[p])))
-        return pd.DataFrame(out, columns=["bucket", "block", "words", "per_word", "ctx", "n"])
+            out.append(letter(bucket, "ask", key[0], b.hashes[w], per_word, b.hashes[b.ctx[p]], n[p]))
+        return mail(out)
     return run
 
 
 # ── buckets: restaurants and their seats ────────────────────────────────────
 
-def _stats(ctx, c, t, n_ctx: int) -> list[dict]:
-    cs, ts = np.bincount(ctx, c, n_ctx).astype(np.int64), np.bincount(ctx, t, n_ctx).astype(np.int64)
-    return [{"ctx": int(u), "c": int(cs[u]), "t": int(ts[u])} for u in np.flatnonzero(cs)]
-
-
-def _open(n_ctx: int):
+def _open(buckets: int):
     """Adds up the counts of all blocks; one table for each (context, word) to begin with."""
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        words, ctx, n = [], [], []
-        for r in rows.itertuples():
-            count = unpack(r.n, np.uint32)
-            keep = count > 0
-            words.append(np.repeat(unpack(r.words, np.uint64), unpack(r.per_word, np.uint32))[keep])
-            ctx.append(unpack(r.ctx, np.uint16)[keep])
-            n.append(count[keep].astype(np.int64))
-        w, u, n = np.concatenate(words), np.concatenate(ctx), np.concatenate(n)
+        own = key[0]
+        asked = sorted_mail(rows)["ask"]
+        names = [unpack(r.parts[0], np.uint64) for r in asked]
+        w = np.concatenate([np.repeat(x, unpack(r.parts[1], np.uint32)) for x, r in zip(names, asked)])
+        u = np.concatenate([unpack(r.parts[2], np.uint64) for r in asked])
+        n = np.concatenate([unpack(r.parts[3], np.uint32) for r in asked])
         order = np.lexsort((u, w))
-        w, u, n = w[order], u[order], n[order]
-        new = np.concatenate(([True], (w[1:] != w[:-1]) | (u[1:] != u[:-1]))) if len(w) else np.zeros(0, bool)
+        marks = np.cumsum([0] + [int(unpack(r.parts[1], np.uint32).sum()) for r in asked])
+        w, u = w[order], u[order]
+        new = np.concatenate(([True], (w[1:] != w[:-1]) | (u[1:] != u[:-1])))
         at = np.flatnonzero(new)
-        c = np.add.reduceat(n, at) if len(at) else n
+        c = np.add.reduceat(n[order].astype(np.int64), at)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.cumsum(new) - 1
         w, u = w[at], u[at]
-        first = np.flatnonzero(np.concatenate(([True], w[1:] != w[:-1]))) if len(w) else at
-        kinds = np.diff(np.append(first, len(w)))
-        one, t = np.ones(len(c), np.uint32), np.ones(len(c), np.int64)
-        zero = np.zeros(len(c), np.uint32)
-        return pd.DataFrame([{
-            "bucket": key[0], "words": pack(w[first]), "starts": pack(first.astype(np.uint32)), "ctx": pack(u), "c": pack(c), "t": pack(one), "tsum": pack(zero),
-            "root_t": pack(np.ones(len(first), np.uint32)), "root_p": pack(np.zeros(0)), "stats": _stats(u, c, t, n_ctx), "n": int(c.sum()), "v": len(first),
-            "tables": len(first), "n1": int((c == 1).sum()), "n2": int((c == 2).sum()), "m1": int((kinds == 1).sum()), "m2": int((kinds == 2).sum())}])
+        words, word = np.unique(w, return_inverse=True)
+        out = [letter(own, "pos", r.sender, steps(np.searchsorted(words, x)), steps(place[lo:hi])) for r, x, lo, hi in zip(asked, names, marks, marks[1:])]
+        many = np.flatnonzero(c > 1)
+        count = lambda i: np.bincount(i, minlength=len(words))
+        total, kinds, ones = np.bincount(word, c, len(words)).astype(np.int64), count(word[c > 0]), count(word[c == 1]).astype(np.uint32)
+        ctx, at = np.unique(u[c > 0], return_inverse=True)
+        single, more = (np.bincount(at[x], minlength=len(ctx)).astype(np.uint32) for x in (c[c > 0] == 1, c[c > 0] > 1))
+        moving = ctx[more > 0]
+        root_t, none = (total > 0).astype(np.uint32), np.zeros(len(many), np.uint32)
+        owners = runs(bucket_of(moving, buckets))
+        out += [
+            letter(own, "count", own, c, total), letter(own, "own", own, words),
+            letter(own, "many", own, steps(word[many]), np.searchsorted(moving, u[many]).astype(np.uint32), c[many], ones,
+                   np.array([b for b, _ in owners], np.int64), np.array([s.stop for _, s in owners], np.int64)),
+            letter(own, "seats", own, none + np.uint32(1), root_t, none, np.zeros(0, np.uint32)),
+            letter(own, "nums", own, nums=[int(x) for x in (c.sum(), (total > 0).sum(), root_t.sum(), (c > 0).sum(), (c == 1).sum(), (c == 2).sum(), (kinds == 1).sum(), (kinds == 2).sum())])]
+        out += [letter(b, "enter", own, ctx[s], single[s], more[s]) for b, s in runs(bucket_of(ctx, buckets))]
+        return mail(out)
+    return run
+
+
+def _enter(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """Places of every bucket's contexts in the list of their owner, and the first table totals."""
+    own, got = key[0], sorted_mail(rows)
+    words = unpack(got["own"][0].parts[0], np.uint64)
+    base, t, seen = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), []
+    for r in got.get("enter", ()):
+        at, more = np.searchsorted(words, unpack(r.parts[0], np.uint64)), unpack(r.parts[2], np.uint32)
+        base[at] += unpack(r.parts[1], np.uint32)
+        t[at] += more
+        seen.append((r.sender, at[more > 0]))
+    t += base
+    out = [letter(own, "base", own, base)]
+    for sender, at in seen:
+        if len(at):
+            out += [letter(own, "seen", sender, steps(at)), letter(sender, "totals", own, t[at])]
+    return mail(out)
+
+
+def _add_up(sample: int):
+    """Table totals of a bucket's contexts, kept for a sample (-1: none), sent to the buckets that seat customers there."""
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        own, got = key[0], sorted_mail(rows)
+        t = unpack(got["base"][0].parts[0], np.int64)
+        at = [(r.sender, positions(r.parts[0])) for r in got.get("seen", ())]
+        for (_, a), r in zip(at, got.get("sums", ())):
+            t[a] += unpack(r.parts[0], np.int64)
+        out = [letter(sender, "totals", own, t[a]) for sender, a in at]
+        return mail(out + ([letter(own, "kept", sample, t)] if sample >= 0 else []))
     return run
 
 
@@ -200,30 +250,31 @@ def seat(c, others, parent, discount: float, strength: float, rng: np.random.Gen
     return t
 
 
-def _sweep(g: dict, seed: int, keep: bool):
-    """Re-seats every bucket row; g: totals of the sweep before (arrays by context and numbers)."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        v = g.value
-        for batch in batches:
-            for r in batch.to_dict("records"):
-                rng = np.random.default_rng([seed, r["bucket"]])
-                starts, u, c = unpack(r["starts"], np.uint32).astype(np.int64), unpack(r["ctx"], np.uint16), unpack(r["c"], np.int64)
-                t, tsum = unpack(r["t"], np.uint32).astype(np.int64), unpack(r["tsum"], np.uint32)
-                root_t = unpack(r["root_t"], np.uint32).astype(np.int64)
-                word = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(u))))
-                guests = np.add.reduceat(t, starts) if len(starts) else t
-                parent = root_probability(guests, root_t, v)
-                many = np.flatnonzero(c > 1)
-                t[many] = seat(c[many], v["t"][u[many]] - t[many], parent[word[many]], v["d"], v["theta"], rng)
-                guests = np.add.reduceat(t, starts) if len(starts) else t
-                base = np.full(len(starts), 1.0 / (v["v"] + 1))
-                root_t = seat(guests, np.maximum(0, v["tables"] - root_t), base, v["d0"], v["theta"], rng)
-                if keep:
-                    tsum = tsum + t.astype(np.uint32)
-                    probs = np.append(unpack(r["root_p"], np.float64), np.stack([guests, root_t]).astype(np.float64).ravel())
-                    r["tsum"], r["root_p"] = pack(tsum), pack(probs)
-                r |= {"t": pack(t.astype(np.uint32)), "root_t": pack(root_t.astype(np.uint32)), "stats": _stats(u, c, t, len(v["t"])), "tables": int(root_t.sum())}
-                yield pd.DataFrame([r])
+def _sweep(shared, seed: int, keep: bool):
+    """Re-seats the customers of a bucket's words; shared: totals of the sweep before."""
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        v, own, got = shared.value, key[0], sorted_mail(rows)
+        rng = np.random.default_rng([seed, own])
+        many, seats = got["many"][0].parts, got["seats"][0].parts
+        word, ctx, c = positions(many[0]), unpack(many[1], np.uint32), unpack(many[2], np.int64)
+        ones, owners, stops = unpack(many[3], np.uint32).astype(np.int64), unpack(many[4], np.int64), unpack(many[5], np.int64)
+        t, root_t, tsum = unpack(seats[0], np.uint32).astype(np.int64), unpack(seats[1], np.uint32).astype(np.int64), unpack(seats[2], np.uint32)
+        guests = lambda: ones + np.bincount(word, t, len(ones)).astype(np.int64)
+        parent = root_probability(guests(), root_t, v)
+        if len(c):
+            others = np.concatenate([unpack(r.parts[0], np.int64) for r in got["totals"]])[ctx] - t
+            t = seat(c, others, parent[word], v["d"], v["theta"], rng)
+        held = guests()
+        some = np.flatnonzero(held)
+        base = np.full(len(some), 1.0 / (v["v"] + 1))
+        root_t[some] = seat(held[some], np.maximum(0, v["tables"] - root_t[some]), base, v["d0"], v["theta"], rng)
+        past = unpack(seats[3], np.uint32)
+        if keep:
+            tsum, past = tsum + t.astype(np.uint32), np.concatenate((past, held.astype(np.uint32), root_t.astype(np.uint32)))
+        sums = np.bincount(ctx, t, stops[-1] if len(stops) else 0).astype(np.int64)
+        out = [letter(own, "seats", own, t.astype(np.uint32), root_t.astype(np.uint32), tsum, past),
+               letter(own, "nums", own, nums=[0, 0, int(root_t.sum()), int(held.sum()), 0, 0, 0, 0])]
+        return mail(out + [letter(b, "sums", own, sums[lo:hi]) for b, lo, hi in zip(owners, np.append(0, stops[:-1]), stops)])
     return run
 
 
@@ -236,81 +287,60 @@ def root_back_off(v: dict) -> float:
     return (v["theta"] + v["d0"] * v["tables"]) / (v["theta"] + v["guests"]) / (v["v"] + 1)
 
 
-def totals(state: DataFrame, n_ctx: int, theta: float) -> dict:
-    sums = state.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "v", "tables", "n1", "n2", "m1", "m2")]).first()
-    c, t = np.zeros(n_ctx, np.int64), np.zeros(n_ctx, np.int64)
-    for r in state.select(F.explode("stats").alias("s")).groupBy("s.ctx").agg(F.sum("s.c").alias("c"), F.sum("s.t").alias("t")).collect():
-        c[r["ctx"]], t[r["ctx"]] = r["c"], r["t"]
-    share = lambda a, b: min(0.95, max(0.05, a / (a + 2 * b))) if a else 0.5
-    return {"n": sums.n, "v": sums.v, "tables": sums.tables, "c": c, "t": t, "guests": int(t.sum()), "theta": theta,
-            "d": share(sums.n1, sums.n2), "d0": share(sums.m1, sums.m2)}
+def totals(state: DataFrame) -> dict[str, int]:
+    sums = state.where("kind = 'nums'").agg(*[F.coalesce(F.sum(F.col("nums")[i]), F.lit(0)).alias(c) for i, c in enumerate(NUMS)])
+    return sums.first().asDict()
 
 
-def _answers(samples):
-    """Per block of a bucket: counts of its words and log10 probabilities of its pairs, in the order of the request."""
-    def run(key: tuple, asked: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
-        g = samples.value
-        v = g[-1]
-        own = state.iloc[0] if len(state) else None
-        if own is None:
-            words = np.zeros(0, np.uint64)
-            pair_key, c, tsum, count, probs = (np.zeros(0, np.int64),) * 4 + (np.zeros((len(g), 2, 0)),)
-        else:
-            words, starts = unpack(own.words, np.uint64), unpack(own.starts, np.uint32).astype(np.int64)
-            u, c, tsum = unpack(own.ctx, np.uint16).astype(np.int64), unpack(own.c, np.int64), unpack(own.tsum, np.uint32).astype(np.int64)
-            word = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(u))))
-            pair_key = word << 16 | u
-            count = np.add.reduceat(c, starts) if len(starts) else c
-            probs = unpack(own.root_p, np.float64).reshape(len(g), 2, -1)
-        back = [(s["theta"] + s["d"] * s["t"]) / (s["theta"] + s["c"]) for s in g]
+# ── answers and scores ──────────────────────────────────────────────────────
+
+def _answers(samples: int):
+    """Per block: of its words the count and, a sample each, guests, tables and tables of their own restaurant; of its pairs the customers and summed tables."""
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        got = sorted_mail(rows)
+        c, total = (unpack(x, np.int64) for x in got["count"][0].parts)
+        _, _, tsum, past = (unpack(x, np.uint32) for x in got["seats"][0].parts)
+        per_word = np.stack([*past.reshape(2 * samples, -1).astype(np.int64), *[unpack(r.parts[0], np.int64) for r in got["kept"]]])
+        tables = np.where(c == 1, samples, 0).astype(np.uint32)
+        tables[c > 1] = tsum
         out = []
-        for r in asked.itertuples():
-            h, per = unpack(r.words, np.uint64), unpack(r.per_word, np.uint32)
-            ctx = unpack(r.ctx, np.uint16).astype(np.int64)
-            at = np.searchsorted(words, h)
-            known = at < len(words)
-            known[known] = words[at[known]] == h[known]
-            place = np.where(known, at, -1)
-            wide = np.repeat(place, per)
-            p = np.zeros(len(ctx))
-            for s, lam, (guests, root_t) in zip(g, back, probs):
-                root = np.full(len(h), root_back_off(s))
-                root[known] = root_probability(guests[at[known]], root_t[at[known]], s)
-                p += lam[ctx] * np.repeat(root, per)
-            p /= len(g)
-            k = wide << 16 | ctx
-            j = np.searchsorted(pair_key, k)
-            hit = (wide >= 0) & (j < len(pair_key))
-            hit[hit] = pair_key[j[hit]] == k[hit]
-            j = j[hit]
-            p[hit] += (c[j] - v["d"] * tsum[j] / len(g)) / (v["theta"] + v["c"][ctx[hit]])
-            counts = np.zeros(len(h), np.int64)
-            counts[known] = count[at[known]]
-            out.append((int(r.block), key[0], pack(counts), pack(np.log10(np.minimum(p, 1.0)).astype(np.float32))))
-        return pd.DataFrame(out, columns=["block", "bucket", "counts", "logs"])
+        for r in got["pos"]:
+            w, p = map(positions, r.parts)
+            out.append(letter(r.sender, "answer", key[0], total[w], per_word[:, w], c[p], tables[p]))
+        return mail(out)
     return run
 
 
-def _score(contexts, buckets: int, n: int, v: int):
+def _score(shared):
+    """Scores of a block's documents; shared: totals of every sample."""
     def run(rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        b = Block(rows["raw"], contexts.value, buckets)
-        answers = answers.sort_values("bucket")
-        counts = np.concatenate([unpack(x, np.int64) for x in answers["counts"]])
-        logs = np.concatenate([unpack(x, np.float32) for x in answers["logs"]]).astype(np.float64)
-        base = np.log10((counts + 0.1) / (n + 0.1 * (v + 1)))
+        g, b = shared.value, Block(rows["raw"])
+        got = [r.parts for r in sorted_mail(answers)["answer"]]
+        counts, c = (np.concatenate([unpack(x[i], np.int64) for x in got]) for i in (0, 2))
+        per_word = np.concatenate([unpack(x[1], np.int64).reshape(3 * len(g), -1) for x in got], 1)
+        tables = np.concatenate([unpack(x[3], np.uint32) for x in got])
+        v = g[-1]
+        p = (c - v["d"] * tables / len(g)) / (v["theta"] + counts[b.ctx])  # a word's restaurant has as many customers as the word occurs
+        for i, s in enumerate(g):
+            guests, root_t, own_t = per_word[2 * i], per_word[2 * i + 1], per_word[2 * len(g) + i]
+            back = (s["theta"] + s["d"] * own_t) / (s["theta"] + counts)
+            p += back[b.ctx] * root_probability(guests, root_t, s)[b.word] / len(g)
+        logs = np.log10(np.minimum(p, 1.0))
+        base = np.log10((counts + 0.1) / (v["n"] + 0.1 * (v["v"] + 1)))
         doc = np.repeat(np.arange(len(rows)), b.lengths)
         sums = lambda x: np.bincount(doc, x, len(rows))
         return pd.DataFrame({
             "doc_id": rows["doc_id"], "held_out": rows["held_out"], "n_tokens": b.lengths, "n_known": sums(counts[b.ids] > 0).astype(np.int64),
-            "train_tokens": n, "base_score": sums(base[b.ids]), "score": sums(logs[b.pair])})
+            "train_tokens": v["n"], "base_score": sums(base[b.ids]), "score": sums(logs[b.pair])})
     return run
 
 
-def score_documents(docs: DataFrame, min_rate: float = 1e-4, burn_in: int = 3, samples: int = 3, theta: float = 1.0, seed: int = 11,
-                    block_bytes: int = 1 << 24) -> DataFrame:
-    """Rows (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity), one per row of docs."""
-    if min_rate < 1 / 60_000:
-        raise ValueError("contexts are numbered in 16 bits")
+def score_documents(docs: DataFrame, min_rate: float = 0.0, burn_in: int = 3, samples: int = 3, theta: float = 1.0, seed: int = 11,
+                    block_bytes: int = 1 << 23) -> DataFrame:
+    """Rows (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity), one per row of docs.
+
+    min_rate is accepted as before and has no effect: the rarest word is a context too.
+    """
     spark = docs.sparkSession
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("raw"), F.coalesce(fold == 0, F.lit(False)).alias("held_out"),
@@ -318,26 +348,31 @@ def score_documents(docs: DataFrame, min_rate: float = 1e-4, burn_in: int = 3, s
     size = rows.agg(F.coalesce(F.sum(F.length("raw") + 64), F.lit(0))).first()[0]
     blocks = int(min(100_000, max(1, -(-size // block_bytes))))
     buckets = min(20_000, blocks)
-    words = context_words(rows, min_rate)
-    contexts = spark.sparkContext.broadcast({w: i + 2 for i, w in enumerate(words)})  # at most 1 / min_rate words
-    n_ctx = len(words) + 2
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("raw"))), F.lit(blocks)).cast("int"))
-    asked = materialize(rows.groupBy("block").applyInPandas(
-        _requests(contexts, buckets), "bucket int, block int, words binary, per_word binary, ctx binary, n binary"))
-    state = materialize(asked.groupBy("bucket").applyInPandas(_open(n_ctx), STATE))
-    kept, now = [], totals(state, n_ctx, theta)
-    d = {k: now[k] for k in ("d", "d0")}
+
+    def deliver(run, *letters: tuple[DataFrame, tuple[str, ...]]) -> DataFrame:
+        post = reduce(DataFrame.union, [df.where(F.col("kind").isin(*kinds)) for df, kinds in letters])
+        return materialize(post.groupBy("place").applyInPandas(run, MAIL))
+
+    asked = rows.groupBy("block").applyInPandas(_requests(buckets), MAIL)
+    opened = deliver(_open(buckets), (asked, ("ask",)))
+    entered = deliver(_enter, (opened, ("own", "enter")))
+    now = totals(opened) | {"theta": theta}
+    share = lambda a, b: min(0.95, max(0.05, a / (a + 2 * b))) if a else 0.5
+    now |= {"d": share(now["n1"], now["n2"]), "d0": share(now["m1"], now["m2"])}
+    state, sums, kept, held = opened, entered, [], []
     for s in range(burn_in + samples):
-        shared = spark.sparkContext.broadcast(now)
-        state = materialize(state.mapInPandas(_sweep(shared, seed + s, s >= burn_in), STATE))
-        now = totals(state, n_ctx, theta) | d
-        if s >= burn_in:
+        keep = s >= burn_in
+        state = deliver(_sweep(spark.sparkContext.broadcast(now), seed + s, keep), (opened, ("many",)), (state, ("seats",)), (sums, ("totals",)))
+        sums = deliver(_add_up(s - burn_in if keep else -1), (entered, ("base", "seen")), (state, ("sums",)))
+        now = now | {k: x for k, x in totals(state).items() if k in ("tables", "guests")}
+        if keep:
             kept.append(now)
-    shared = spark.sparkContext.broadcast(kept)
-    answers = asked.groupBy("bucket").cogroup(state.groupBy("bucket")).applyInPandas(
-        _answers(shared), "block int, bucket int, counts binary, logs binary")
-    scored = rows.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(
-        _score(contexts, buckets, now["n"], now["v"]),
+            held.append((sums, ("kept",)))
+    answers = reduce(DataFrame.union, [df.where(F.col("kind").isin(*kinds)) for df, kinds in [(opened, ("pos", "count")), (state, ("seats",)), *held]])
+    answers = answers.groupBy("place").applyInPandas(_answers(samples), MAIL)
+    scored = rows.groupBy("block").cogroup(answers.groupBy("place")).applyInPandas(
+        _score(spark.sparkContext.broadcast(kept)),
         "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
     return scored.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
 
