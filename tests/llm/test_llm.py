@@ -158,6 +158,18 @@ def test_bpe_matches_tiktoken(spark):
         assert r.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
 
 
+def test_bpe_numbers_start_anew(spark):
+    """Few pieces held at a time, a run a text or several: equal to tiktoken, and nothing is exchanged or written between."""
+    rnd = random.Random(4)
+    texts_ = [" ".join(rnd.choice(["the", "anon", "x" * 70, "zé日", "q7"]) + str(rnd.randrange(40)) for _ in range(30)) for _ in range(60)] + [None, ""]
+    df = spark.createDataFrame(list(enumerate(texts_)), "doc_id long, text string").coalesce(2)
+    enc = tokenizer()
+    for chars, most in ((1, 1), (500, 20), (1 << 20, 1 << 19)):
+        out = bpe.encode_documents(df, chunk_chars=chars, keep_ids=True, most_pieces=most)
+        assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+        assert {r.doc_id: list(r.ids) for r in out.collect()} == {i: enc.encode_ordinary(t or "") for i, t in enumerate(texts_)}
+
+
 def test_bpe_edges(edge, empty):
     assert bpe.encode_documents(edge).count() == len(EDGE) and bpe.encode_documents(empty).count() == 0
 

@@ -1,22 +1,23 @@
 """Byte-level BPE encoding and decoding by higher-order functions.
 
-Texts are cut into pieces by the tokenizer's pattern. The distinct pieces of the corpus are
-encoded once each: a fold over the piece's bytes merges, step by step, the adjacent pair
-whose joined bytes have the least rank, leftmost first, until no pair has one. The rank map
-is a literal, keyed by the ids of the two parts and cut into buckets so that a look-up is
-constant time. Decoding looks up the bytes of every id and concatenates them, once per piece of a chunk.
-
-Documents are kept in chunks (about `chunk_chars` characters of one partition) as positions in
-the chunk's list of distinct pieces, written once. The lists are exchanged by piece: each
-distinct piece is folded once, joined back to the chunks that have it, and every chunk puts its
-documents together. So no dictionary of the corpus is held anywhere, what is shuffled are a
-chunk's distinct pieces, and a frequent piece has one row a chunk.
+Texts are cut into pieces by the tokenizer's pattern. A piece is encoded by a fold over its
+bytes that merges, step by step, the adjacent pair whose joined bytes have the least rank,
+leftmost first, until no pair has one. The rank map is a literal, keyed by the ids of the two
+parts and cut into buckets so that a look-up is constant time. Decoding looks up the bytes of
+every id and concatenates them, once per piece.
+
+A partition is read once, in runs of about `chunk_chars` characters. A run holds its documents as numbers
+of pieces and the pieces that are new to the partition, as byte ids; these are folded in
+place, and the same task puts the documents together from what it was told of each number. So a
+piece is folded once a partition, nothing is exchanged or written between, and rows stay small. Runs and numbers
+follow each other in one stage, whose rows keep their order. After `MOST_PIECES` pieces the numbers start
+anew, on both sides, so neither side's memory grows with the partition.
 
 The fold is quadratic in the length of a piece, so pieces over `LONG` bytes (runs without white
 space) are merged by the same rule with a heap, in n log n.
 
 Null texts count as empty and have no ids. Repeated rows are encoded one by one. A very long text is
-a chunk of its own. An empty table gives an empty result. Only doc_id and text are read, so other
+a run of its own. An empty table gives an empty result. Only doc_id and text are read, so other
 columns may have any name; the rank file is a parameter and is read by the driver.
 """
 
@@ -27,19 +28,17 @@ import hashlib
 import heapq
 import json
 import re
-import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickforge.llm.common import materialize, query, table
+from tickforge.llm.common import query, table
 from tickforge.llm.fingerprint import let
 
 RANK_FILE = "byte_bpe_50k.tiktoken"
@@ -49,9 +48,11 @@ MOST_DOCS = 1 << 16
 UNIT = re.compile(r"\s*[^\W\d_\xb2\xb3\xb9\xbc-\xbe]+(?!\w)|[^\w\s]+(?=[ \n\t]|\Z)|.+?(?:(?<=[^\W\d_\xb2\xb3\xb9\xbc-\xbe])(?=\W)|(?<=\S)(?= )|\Z)", re.S)
 BUCKETS = 131_101  # a prime near the number of pairs
 SHIFT = 1 << 17
-NONE = (1 << 31) - 1
-CHUNK_TYPE = "chunk bigint, ids array<bigint>, sizes array<int>, at binary, pieces array<string>"
-PART_TYPE = "piece string, parts array<int>, pairs array<int>, ids array<int>"
+LOW = -(1 << 31)  # in the fold an id is its rank plus LOW, so that keys, ids and NONE never meet
+NONE = 0
+END = 1 << 40  # stands before the first and after the last part, joins with nothing
+MOST_PIECES = 1 << 19
+RUN_TYPE = "ids array<bigint>, sizes array<int>, at binary, anew boolean, parts array<array<bigint>>, pairs array<array<bigint>>, known array<array<bigint>>"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -69,44 +70,39 @@ class Vocabulary:
     def __init__(self, ranks: dict[bytes, int]):
         if any(bytes([b]) not in ranks for b in range(256)) or max(ranks.values()) >= SHIFT:
             raise ValueError("every byte needs an id, and ids must stay below 2^17")
-        buckets = [{"k": [], "v": []} for _ in range(BUCKETS)]
+        buckets = [[NONE] for _ in range(BUCKETS)]
         for token, rank in ranks.items():
             for cut in range(1, len(token)):
                 left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
                 if left is not None and right is not None:
-                    key = left * SHIFT + right
-                    buckets[key % BUCKETS]["k"].append(key)
-                    buckets[key % BUCKETS]["v"].append(rank)
+                    key = (left + LOW) * SHIFT + right + LOW
+                    buckets[key % BUCKETS] += [key, rank + LOW]
         self.ranks = ranks
-        self.buckets = F.from_json(F.lit(json.dumps(buckets, separators=(",", ":"))), "array<struct<k: array<bigint>, v: array<int>>>")
+        self.buckets = F.from_json(F.lit(json.dumps(buckets, separators=(",", ":"))), "array<array<bigint>>")
 
 
 def lookup(buckets: Column, left: Column, right: Column) -> Column:
-    """Rank of two adjacent parts joined, NONE if they cannot be (or one is missing)."""
-    key = left.cast("bigint") * SHIFT + right
-    bucket = F.get(buckets, (key % BUCKETS).cast("int"))
-    return F.coalesce(F.get(bucket["v"], F.array_position(bucket["k"], key).cast("int") - 1), F.lit(NONE))
+    """Rank of two adjacent parts joined, NONE if they cannot be. A bucket is NONE, then keys with their ranks."""
+    key = left * SHIFT + right
+    return let(F.get(buckets, F.pmod(key, F.lit(BUCKETS)).cast("int")), lambda k: F.get(k, F.array_position(k, key).cast("int")))
 
 
 def encode_piece(parts: Column, pairs: Column, buckets: Column) -> Column:
-    """array<int>: ids of one piece by a fold of ranked merges, from its bytes' ids and the ranks of adjacent bytes."""
-    rest = lambda a: F.slice(a, F.lit(2), F.size(a))
-
+    """array<bigint>: ids of one piece by a fold of ranked merges, from its bytes' ids between two END and the ranks of adjacent ones."""
     def step(acc: Column, _: Column) -> Column:
         p, r = acc["p"], acc["r"]  # parts, and the rank of each part joined with the next
 
-        def at(m: Column) -> Column:  # parts m - 1 and m, counted from 0, become one
+        def at(m: Column) -> Column:  # parts m and m + 1, counted from 1, become one
             low = F.get(r, m - 1)
             left, right = lookup(buckets, F.get(p, m - 2), low), lookup(buckets, low, F.get(p, m + 1))
-            merged = F.struct(
-                F.transform(rest(p), lambda x, i: F.when(i >= m, x).when(i < m - 1, F.get(p, i)).otherwise(low)).alias("p"),
-                F.transform(rest(r), lambda x, i: F.when(i >= m, x).when(i < m - 2, F.get(r, i)).when(i == m - 1, right).otherwise(left)).alias("r"))
-            return F.when(low < NONE, merged).otherwise(acc)
+            head, tail = lambda a, n: F.slice(a, F.lit(1), n), lambda a: F.slice(a, m + 2, F.lit(LONG + 2))
+            return F.struct(F.concat(head(p, m - 1), F.array(low), tail(p)).alias("p"), F.concat(head(r, m - 2), F.array(left, right), tail(r)).alias("r"))
 
-        return let(F.array_position(r, F.array_min(r)).cast("int"), at)
+        return F.when(F.array_min(r) < NONE, let(F.array_position(r, F.array_min(r)).cast("int"), at)).otherwise(acc)
 
     start = F.struct(parts.alias("p"), pairs.alias("r"))
-    return F.aggregate(rest(parts), start, step)["p"]
+    done = F.aggregate(F.slice(pairs, 3, LONG), start, step)["p"]
+    return F.slice(done, F.lit(2), F.size(done) - 2)
 
 
 def merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -139,7 +135,7 @@ def merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class Units(dict):
-    """Numbers of the pieces of every unit met in a chunk."""
+    """Numbers of the pieces of every unit met."""
 
     def __init__(self, find, number: dict[str, int]):
         super().__init__()
@@ -150,28 +146,47 @@ class Units(dict):
         return at
 
 
-def _chunker(pattern: str, chunk_chars: int):
-    """Chunks of documents: their ids, numbers of pieces, positions (deflated) in the chunk's distinct pieces, and these."""
+def nested(arrays: pa.Array, marks: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.asarray(marks, np.int32)), arrays)
+
+
+def byte_parts(pieces: list[str], shared) -> list[pa.Array]:
+    """Byte ids between END and ranks of adjacent bytes of pieces; of long pieces their ids instead."""
+    ranks, of_byte, of_pair = shared
+    raw = [s.encode() for s in pieces]
+    known = pa.array([[i + LOW for i in merge_long(x, ranks)] if len(x) > LONG else None for x in raw], pa.list_(pa.int64()))
+    raw = [x if len(x) <= LONG else b"" for x in raw]
+    size = np.fromiter(map(len, raw), np.int64, len(raw))
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    n = np.arange(len(raw))
+    own = np.arange(len(data)) + 2 * np.repeat(n, size) + 1  # places of bytes among parts with two END a piece
+    parts = np.full(len(data) + 2 * len(raw), END, np.int64)
+    parts[own] = of_byte[data]
+    pairs = np.full(len(data) + len(raw), NONE, np.int64)
+    inner = np.flatnonzero(np.diff(np.repeat(n, size)) == 0)  # bytes with another one of their piece after them
+    pairs[(own - np.repeat(n, size))[inner]] = of_pair[data[inner], data[inner + 1]]
+    return [nested(pa.array(parts), np.cumsum([0, *(size + 2)])), nested(pa.array(pairs), np.cumsum([0, *(size + 1)])), known]
+
+
+def _runs(shared, pattern: str, chunk_chars: int, most: int):
+    """Runs of documents: their ids, numbers of pieces, and the pieces not met before, numbered on."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, part = regex.compile(pattern).findall, TaskContext.get().partitionId()
+        ranks = shared.value
+        of_byte = np.array([ranks[bytes([b])] + LOW for b in range(256)], np.int64)
+        of_pair = np.array([[ranks.get(bytes([a, b]), NONE - LOW) + LOW for b in range(256)] for a in range(256)], np.int64)
+        find = regex.compile(pattern).findall
         known = pattern == public_tokenizers.PATTERN
         ids: list[int | None] = []
         at: list[np.ndarray] = []
         number: dict[str, int] = {}
-        units, held, made = Units(find, number), 0, 0
+        units, held, told = Units(find, number), 0, 0
+        one = lambda x: nested(x, np.array([0, len(x)]))
 
         def row() -> pa.RecordBatch:
-            flat = np.concatenate(at)
-            # frequent pieces get small numbers, which deflate well
-            order = np.argsort(-np.bincount(flat, minlength=len(number)), kind="stable")
-            rank = np.empty(len(order), np.int32)
-            rank[order] = np.arange(len(order), dtype=np.int32)
-            names = list(number)
-            one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+            fresh = byte_parts(list(islice(number, told, None)), (ranks, of_byte, of_pair))
             return pa.RecordBatch.from_arrays([
-                pa.array([part << 32 | made], pa.int64()), one(pa.array(ids, pa.int64())), one(pa.array([len(x) for x in at], pa.int32())),
-                pa.array([zlib.compress(rank[flat].astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)], pa.binary()),
-                one(pa.array([names[i] for i in order.tolist()], pa.string()))], ["chunk", "ids", "sizes", "at", "pieces"])
+                one(pa.array(ids, pa.int64())), one(pa.array([len(x) for x in at], pa.int32())), pa.array([np.concatenate(at).astype("<u4").tobytes()], pa.binary()),
+                pa.array([told == 0]), *map(one, fresh)], ["ids", "sizes", "at", "anew", "parts", "pairs", "known"])
 
         for batch in batches:
             for k in range(batch.num_rows):  # one text at a time, so that a batch is not held twice
@@ -182,63 +197,48 @@ def _chunker(pattern: str, chunk_chars: int):
                 held += len(text)
                 if held >= chunk_chars or len(ids) >= MOST_DOCS:
                     yield row()
-                    ids, at, number, held, made = [], [], {}, 0, made + 1
-                    units = Units(find, number)
+                    ids, at, held, told = [], [], 0, len(number)
+                    if told >= most:
+                        number, told = {}, 0
+                        units = Units(find, number)
         if ids:
             yield row()
 
     return run
 
 
-def _partitioner(shared):
-    """Byte ids and ranks of adjacent bytes of pieces; of long pieces their ids."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = shared.value
-        of_byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
-        of_pair = np.array([[ranks.get(bytes([a, b]), NONE) for b in range(256)] for a in range(256)], np.int32)
-        for batch in batches:
-            raw = [s.encode() for s in batch["piece"].to_pylist()]
-            known = pa.array([merge_long(x, ranks) if len(x) > LONG else None for x in raw], pa.list_(pa.int32()))
-            raw = [x if len(x) <= LONG else b"" for x in raw]
-            marks = np.cumsum([0, *map(len, raw)]).astype(np.int32)
-            data = np.frombuffer(b"".join(raw), np.uint8)
-            first = np.append(of_pair[data[:-1], data[1:]], NONE).astype(np.int32)[:len(data)]
-            first[marks[1:][np.diff(marks) > 0] - 1] = NONE  # no pair reaches over the end of a piece
-            parts, pairs = (pa.ListArray.from_arrays(pa.array(marks), pa.array(x)) for x in (of_byte[data], first))
-            yield pa.RecordBatch.from_arrays([batch["piece"], parts, pairs, known], ["piece", "parts", "pairs", "ids"])
-    return run
-
-
-def encode_pieces(pieces: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """Rows (piece, text): ids of distinct pieces, as text."""
-    shared = pieces.sparkSession.sparkContext.broadcast(vocabulary.ranks)  # the vocabulary's size bounds it
-    parts = pieces.mapInArrow(_partitioner(shared), PART_TYPE)
-    ids = F.coalesce("ids", let(vocabulary.buckets, lambda b: encode_piece(F.col("parts"), F.col("pairs"), b)))
-    return parts.select("piece", F.array_join(ids.cast("array<string>"), " ").alias("text"))
-
-
 def _assemble(shared, keep_ids: bool):
-    """Documents of a chunk from its pieces' ids: the ids in order, and the bytes of every id one after the other."""
+    """Documents of runs from their pieces' ids: the ids in order, and the bytes of every id one after the other."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = {str(rank): raw for raw, rank in shared.value.items()}.__getitem__
+        name, token = {}, {}
+        for raw, rank in shared.value.items():
+            name[rank + LOW], token[rank + LOW] = str(rank), raw
+        text: list[str] = []
+        raws: list[bytes] = []
+        count = np.zeros(0, np.int64)
         for batch in batches:
             for k in range(batch.num_rows):
                 ids, sizes = batch["ids"][k].as_py(), batch["sizes"][k].values.to_numpy()
-                wide = np.frombuffer(zlib.decompress(batch["at"][k].as_py()), np.uint8).reshape(4, -1).T
-                at = np.ascontiguousarray(wide).view("<u4").ravel().tolist()
-                coded = batch["coded"][k].values
-                place = coded.field("pos").to_numpy()
-                text, raw, count = [""] * len(place), [b""] * len(place), np.zeros(len(place), np.int64)
-                for i, t in zip(place.tolist(), coded.field("text").to_pylist()):
-                    parts = t.split(" ")
-                    text[i], raw[i], count[i] = t, b"".join(map(token, parts)), len(parts)
+                at = np.frombuffer(batch["at"][k].as_py(), "<u4")
+                if batch["anew"][k].as_py():
+                    text, raws, count = [], [], count[:0]
+                fresh = batch["coded"][k].values
+                flat, lengths = fresh.flatten().to_numpy().tolist(), np.diff(fresh.offsets.to_numpy())
+                start = 0
+                for n in lengths.tolist():
+                    mine = flat[start:start + n]
+                    start += n
+                    text.append(" ".join([name[i] for i in mine]))
+                    raws.append(b"".join([token[i] for i in mine]))
+                count = np.concatenate((count, lengths))
                 out, start = [], 0
                 for doc_id, n in zip(ids, sizes.tolist()):
                     mine = at[start:start + n]
                     start += n
+                    tokens, mine = int(count[mine].sum()), mine.tolist()
                     joined = " ".join([text[i] for i in mine])
-                    out.append((doc_id, int(count[mine].sum()) if n else 0, hashlib.sha256(joined.encode()).hexdigest(),
-                                hashlib.sha256(b"".join([raw[i] for i in mine])).hexdigest(), *([list(map(int, joined.split()))] if keep_ids else [])))
+                    out.append((doc_id, tokens, hashlib.sha256(joined.encode()).hexdigest(),
+                                hashlib.sha256(b"".join([raws[i] for i in mine])).hexdigest(), *([list(map(int, joined.split()))] if keep_ids else [])))
                 cols = list(zip(*out))
                 kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32())]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"]
@@ -247,18 +247,15 @@ def _assemble(shared, keep_ids: bool):
 
 
 def encode_documents(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN,
-                     chunk_chars: int = 1 << 22, keep_ids: bool = False) -> DataFrame:
+                     chunk_chars: int = 1 << 20, keep_ids: bool = False, most_pieces: int = MOST_PIECES) -> DataFrame:
     """Rows (doc_id, n_tokens, ids_sha256, decoded_sha256), with keep_ids also `ids`, one per row of docs."""
     v = Vocabulary(read_ranks(path or public_tokenizers.path(RANK_FILE)))
+    shared = docs.sparkSession.sparkContext.broadcast(v.ranks)  # the vocabulary's size bounds it
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    chunks = materialize(rows.mapInArrow(_chunker(pattern, chunk_chars), CHUNK_TYPE))
-    flat = chunks.select("chunk", F.posexplode("pieces").alias("pos", "piece"))
-    coded = encode_pieces(flat.select("piece").distinct(), v).withColumnRenamed("piece", "_piece")
-    back = flat.join(coded, F.col("piece") == F.col("_piece")).groupBy("chunk").agg(F.collect_list(F.struct("pos", "text")).alias("coded"))
-    whole = chunks.select(F.col("chunk").alias("_chunk"), "ids", "sizes", "at").join(back, F.col("_chunk") == F.col("chunk"), "left").select(
-        "ids", "sizes", "at", F.coalesce("coded", F.array().cast(back.schema["coded"].dataType)).alias("coded"))
+    runs = rows.mapInArrow(_runs(shared, pattern, chunk_chars, most_pieces), RUN_TYPE)
+    coded = let(v.buckets, lambda b: F.transform(F.arrays_zip("parts", "pairs", "known"), lambda x: F.coalesce(x["known"], encode_piece(x["parts"], x["pairs"], b))))
     kind = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if keep_ids else "")
-    return whole.mapInArrow(_assemble(docs.sparkSession.sparkContext.broadcast(v.ranks), keep_ids), kind)
+    return runs.select("ids", "sizes", "at", "anew", coded.alias("coded")).mapInArrow(_assemble(shared, keep_ids), kind)
 
 
 @query("op9_bpe_fold")
