@@ -170,6 +170,26 @@ def test_bpe_numbers_start_anew(spark):
         assert {r.doc_id: list(r.ids) for r in out.collect()} == {i: enc.encode_ordinary(t or "") for i, t in enumerate(texts_)}
 
 
+def test_bpe_folds_cuts_of_pieces_in_rank_order(spark):
+    """The fold over cuts equals the heap, also with a token that lower merges don't lead to, whose pieces go to the heap."""
+    rnd = random.Random(8)
+    own = bpe.read_ranks(P.path(bpe.RANK_FILE))
+    odd = {bytes([b]): b for b in range(256)} | {b"abc": 256, b"bc": 257, b"ab": 258, b"dd": 259, b"abcdd": 260}
+    for ranks, n_odd in ((own, 0), (odd, 2)):
+        tokens = bpe.by_length(ranks)
+        marked = bpe.odd_ranks(ranks, tokens)
+        assert len(marked) == n_odd
+        pieces = [b"".join(rnd.choice(list(ranks)[-400:] + [b"abc", b"a", b"b", b"c", b"d"]) for _ in range(rnd.randint(1, 8))) for _ in range(400)]
+        merges = bpe.ranked_merges(pieces, (ranks, tokens, marked))
+        df = spark.createDataFrame(list(enumerate(merges.to_pylist())), "i int, merges array<bigint>")
+        cuts = [r.cuts for r in df.select("i", bpe.encode_piece(F.col("merges")).alias("cuts")).orderBy("i").collect()]
+        assert [c is None for c in cuts] == [len(p) > bpe.LONG or (n_odd and b"abc" in p) for p in pieces]
+        for p, c in zip(pieces, cuts):
+            if c is not None:
+                at = [i for i in range(len(p)) if c >> i & 1] + [len(p)]
+                assert [ranks[p[a:b]] for a, b in zip(at, at[1:])] == bpe.merge_long(p, ranks)
+
+
 def test_bpe_edges(edge, empty):
     assert bpe.encode_documents(edge).count() == len(EDGE) and bpe.encode_documents(empty).count() == 0
 
