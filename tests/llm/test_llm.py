@@ -503,6 +503,31 @@ def brute_kept(found):
     return sorted({find(i) for i in sets})
 
 
+def test_similar_pairs_meet_by_golay_keys(spark):
+    """Pairs of Jaccard 0.8 share a key of a codeword index near their SimHash words, though few words are equal; others don't."""
+    rnd, data = random.Random(11), []
+    for k in range(300):
+        n = rnd.choice([40, 104, 204])
+        a = [f"w{k}x{j}" for j in range(n)]  # n - 4 shingles, of which the pair shares 8 of 9
+        keep = (n - 4) * 8 // 9 + 5
+        data += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(a[:keep] + [f"v{k}x{j}" for j in range(n - keep - 1)]))]
+    rows = spark.createDataFrame(data, "doc_id long, text string").select("doc_id", similar.sketch(F.col("text")).alias("k")).select("doc_id", "k.*")
+    node = {r.doc_id: r for r in rows.collect()}
+    keys = defaultdict(set)
+    for r in similar.golay_keys(rows).collect():
+        keys[r.node].add(r.key)
+    assert all(len(k) <= 6 * similar.TABLES for k in keys.values())
+    words = [(x, y) for k in range(300) for x, y in zip(node[2 * k].words, node[2 * k + 1].words)]
+    assert sum(x == y for x, y in words) < 0.1 * len(words) and 0.12 < np.mean([(x ^ y).bit_count() for x, y in words]) / similar.BITS < 0.18
+    assert all(keys[node[2 * k].node] & keys[node[2 * k + 1].node] for k in range(300))
+    assert not any(keys[node[2 * k].node] & keys[node[2 * k + 3].node] for k in range(299))
+    pairs, _ = similar.candidates(similar.golay_keys(rows), 12)
+    assert {(r.a, r.b) for r in pairs.collect()} == {tuple(sorted((node[2 * k].node, node[2 * k + 1].node))) for k in range(300)}
+    word = node[0].words[3]
+    near = {int(i) for i in golay.indices(np.array([word])).ravel() if i >= 0}
+    assert len(near) == sum(k & 31 == 3 for k in keys[node[0].node])
+
+
 def test_similar_finds_pairs_of_brute_force(spark):
     """Every pair of five-word Jaccard 0.8 or more is linked, and nothing else; also if all bands count as large."""
     docs = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet")

@@ -1,19 +1,22 @@
 """Near copies of a corpus: documents whose sets of five-word shingles have Jaccard 0.8 or more.
 
-Method: equal shingle sets are one node from the start. A node's MinHash has `BANDS`
-bands of `ROWS` values; nodes with an equal band are candidates (a pair at 0.8 shares
-one with probability 0.9999, at 0.2 with 0.008). A band of up to `small` nodes gives
-all its pairs, a larger one each node with three hubs: its least, its greatest, and the
-node most of whose bands are large, as the original of edited copies is. Nodes of a large
-band that are not in its hubs' component are searched exactly: their pairs with all nodes of
-large bands that share a shingle among the rarest of both. At 0.8 the smaller set (n
+Method: equal shingle sets are one node from the start. As in op10, candidates meet by Golay keys of
+SimHash words beside an exact segment. A node has `TABLES` words of 23 SimHash bits of its shingle set; its keys in a table
+are the up to six codeword indices near its word, each together with the `ROWS` MinHash values of the table as the
+exact segment. Texts at 0.8 differ in 15 % of the bits, and words that do share an index with probability 0.60 (two bits
+always, three and four in 0.59), so with two MinHash values a table finds the pair with 0.385 and all with 0.9999;
+an exact segment of SimHash bits would take a hundred tables. Nodes with an equal key are candidates. A key of up to `small` nodes gives
+all its pairs, a larger one is a hub's: in its largest key of a table a node is paired with the least, the greatest, and the
+node most of whose keys are large, as the original of edited copies is. Nodes with a
+large key that are not in the component of the hub of each are searched exactly: their pairs with all nodes of
+large keys that share a shingle among the rarest of both. At 0.8 the smaller set (n
 shingles) shares one of its n/9 + 1 rarest with the n/5 + 1 rarest of the larger, and the
 places of the shared one bound how many can follow. So texts of one template are told
 apart by what is rare in them, and the template's own shingles pair nobody. Every
 candidate pair is verified on the shingle sets themselves, so nothing below 0.8 is
-linked, and links feed connected components. Nothing is dropped at any size of a band.
+linked, and links feed connected components. Nothing is dropped at any size of a key's group.
 
-Rarity is the count of a shingle among the nodes of large bands, in a table of `SLOTS`
+Rarity is the count of a shingle among the nodes of large keys, in a table of `SLOTS`
 hashed counters; a collision changes the order, not what is found.
 
 Words are as in SimHash: lower case (ASCII), cut at ASCII white space. A text of fewer
@@ -32,11 +35,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from tickforge.llm import golay
 from tickforge.llm.common import components, materialize
 
-SHINGLE, BANDS, ROWS = 5, 24, 5
+SHINGLE, TABLES, ROWS, BITS = 5, 20, 2, 23
 SEED = 42
-FACTORS = np.random.default_rng(SEED).integers(1 << 62, 1 << 63, BANDS * ROWS).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+FACTORS = np.random.default_rng(SEED).integers(1 << 62, 1 << 63, TABLES * (ROWS + 1)).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 CHUNK = 1 << 12
 SLOTS = 1 << 18
 
@@ -54,19 +58,45 @@ def shingle_set(raw: bytes) -> np.ndarray:
     return np.unique(np.fromiter((digest(text[a:b], SEED) for a, b in zip(starts.tolist(), last.tolist())), np.uint64, len(last)))
 
 
-def bands(s: np.ndarray) -> np.ndarray:
-    """BANDS hashes of ROWS MinHash values each, numbered bands being hashed apart."""
-    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+def mixed(x: np.ndarray) -> np.ndarray:
+    """Hashes of 64-bit numbers, every bit of which depends on all of theirs."""
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+def fingerprint(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of a shingle set per table a hash of ROWS MinHash values, and BITS SimHash bits as a word."""
+    rows, words = FACTORS[:TABLES * ROWS], FACTORS[TABLES * ROWS:][:-(-TABLES * BITS // 64)]
+    low, ones = np.full(len(rows), np.iinfo(np.uint64).max, np.uint64), np.zeros(64 * len(words), np.int64)
     for at in range(0, len(s), CHUNK):
-        low = np.minimum(low, (s[at:at + CHUNK, None] * FACTORS).min(0))
-    rows = low.reshape(BANDS, ROWS)
-    return np.array([xxhash.xxh64_intdigest(r.tobytes(), i) for i, r in enumerate(rows)], np.uint64).view(np.int64)
+        part = s[at:at + CHUNK, None]
+        low = np.minimum(low, (part * rows).min(0))
+        ones += np.unpackbits(mixed(part * words).astype("<u8").view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.uint16)
+    exact = np.array([xxhash.xxh64_intdigest(r.tobytes(), i) for i, r in enumerate(low.reshape(TABLES, ROWS))], np.uint64)
+    bits = (2 * ones > len(s))[:TABLES * BITS].reshape(TABLES, BITS)
+    return exact.view(np.int64), (bits @ (1 << np.arange(BITS))).astype(np.int32)
 
 
 def _sketch(raw: pd.Series) -> pd.DataFrame:
     sets = [shingle_set(r or b"") for r in raw]
+    none = np.zeros(0, np.int64), np.zeros(0, np.int32)
+    found = [fingerprint(s) if len(s) else none for s in sets]  # texts without a word are one node and have no keys
     return pd.DataFrame({"node": pd.Series([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], dtype="uint64").astype("int64"),
-                         "bands": [bands(s) if len(s) else np.zeros(0, np.int64) for s in sets]})
+                         "exact": [f[0] for f in found], "words": [f[1] for f in found]})
+
+
+def _golay_keys(exact: pd.Series, words: pd.Series) -> pd.Series:
+    """Keys of nodes: exact segment and codeword index near the SimHash word, the table in the lowest five bits."""
+    full = np.flatnonzero(exact.map(len).to_numpy() > 0)
+    out = [np.zeros(0, np.int64)] * len(exact)
+    if len(full):
+        seg, word = (np.stack([np.asarray(x.iloc[i], np.int64) for i in full]) for x in (exact, words))
+        near = golay.indices(word.reshape(-1)).reshape(len(full), TABLES, -1)
+        keys = mixed(seg.view(np.uint64)[:, :, None] + near.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) & ~np.uint64(31) | np.arange(TABLES, dtype=np.uint64)[None, :, None]
+        for i, k, n in zip(full.tolist(), keys.view(np.int64), near):
+            out[i] = k[n >= 0]
+    return pd.Series(out)
 
 
 def _hashes(raw: pd.Series) -> pd.Series:
@@ -74,8 +104,13 @@ def _hashes(raw: pd.Series) -> pd.Series:
 
 
 def sketch(text) -> Column:
-    """Column: node (hash of the shingle set) and bands of a text."""
-    return pandas_udf(_sketch, "struct<node: bigint, bands: array<bigint>>")(F.coalesce(text, F.lit("")).cast("binary"))
+    """Column: node (hash of the shingle set) and fingerprint (exact segments, words) of a text."""
+    return pandas_udf(_sketch, "struct<node: bigint, exact: array<bigint>, words: array<int>>")(F.coalesce(text, F.lit("")).cast("binary"))
+
+
+def golay_keys(nodes: DataFrame) -> DataFrame:
+    """Rows (node, key), up to six keys a table, from rows (node, exact, words)."""
+    return nodes.select("node", F.explode(pandas_udf(_golay_keys, "array<bigint>")("exact", "words")).alias("key"))
 
 
 def hashes(text) -> Column:
@@ -84,16 +119,18 @@ def hashes(text) -> Column:
 
 
 def candidates(keyed: DataFrame, small: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a < b) of nodes that meet in a band, and rows (node, hub) of the bands with more than `small` nodes."""
-    sizes = materialize(keyed.groupBy(F.col("band").alias("_band")).agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("n > 1"))
-    shared = materialize(keyed.join(sizes, F.col("band") == F.col("_band")).select("node", "band", "n", "lo", "hi"))
+    """Pairs (a < b) of nodes that meet in a key, and rows (node, hub) of the keys with more than `small` nodes."""
+    sizes = materialize(keyed.groupBy(F.col("key").alias("_key")).agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    shared = materialize(keyed.join(sizes, F.col("key") == F.col("_key")).select("node", "key", "n"))
     few, many = shared.where(F.col("n") <= small), shared.where(F.col("n") > small)
-    met = few.select(F.col("node").alias("a"), "band").join(few.select(F.col("node").alias("b"), "band"), "band").where("a < b").select("a", "b")
+    met = few.select(F.col("node").alias("a"), "key").join(few.select(F.col("node").alias("b"), "key"), "key").where("a < b").select("a", "b")
     weight = many.groupBy(F.col("node").alias("_n")).agg(F.count(F.lit(1)).alias("w"))
     weighed = many.join(weight, F.col("node") == F.col("_n"))
-    hubs = weighed.groupBy(F.col("band").alias("_band")).agg(F.max(F.struct("w", "node"))["node"].alias("hub"))
-    starred = materialize(many.join(hubs, F.col("band") == F.col("_band")).select("node", "lo", "hi", "hub"))
-    star = starred.select("node", F.explode(F.array("lo", "hi", "hub")).alias("to")).where("node <> to").select(
+    hubs = weighed.groupBy(F.col("key").alias("_key")).agg(F.max(F.struct("w", "node"))["node"].alias("hub"), F.min("node").alias("lo"), F.max("node").alias("hi"))
+    starred = materialize(many.join(hubs, F.col("key") == F.col("_key")).select("node", "key", "n", "lo", "hi", "hub"))
+    # a node's keys of one table hold much the same nodes, so the largest of them gives the pairs
+    largest = starred.groupBy("node", F.col("key").bitwiseAND(31)).agg(F.max(F.struct("n", "key", "lo", "hi", "hub")).alias("k"))
+    star = largest.select("node", F.explode(F.array("k.lo", "k.hi", "k.hub")).alias("to")).where("node <> to").select(
         F.least("node", "to").alias("a"), F.greatest("node", "to").alias("b"))
     return met.union(star).distinct(), starred.select("node", "hub").distinct()
 
@@ -139,9 +176,9 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def similar_components(docs: DataFrame, rows: DataFrame, small: int = 12) -> DataFrame:
-    """Rows (node, root) of linked nodes. docs: text, r1 and r2 (hashes of the row); rows: node, bands, r1 and r2."""
-    nodes = materialize(rows.groupBy("node").agg(F.min(F.struct("r1", "r2")).alias("r"), F.first("bands").alias("bands")))
-    pairs, starred = candidates(nodes.select("node", F.explode("bands").alias("band")), small)
+    """Rows (node, root) of linked nodes. docs: text, r1 and r2 (hashes of the row); rows: node, exact, words, r1 and r2."""
+    nodes = materialize(rows.groupBy("node").agg(F.min(F.struct("r1", "r2")).alias("r"), F.first(F.struct("exact", "words")).alias("k")).select("node", "r", "k.*"))
+    pairs, starred = candidates(golay_keys(nodes.select("node", "exact", "words")), small)
     pairs = materialize(pairs)
     met = pairs.select(F.explode(F.array("a", "b")).alias("n")).distinct()
     rep = nodes.join(met, F.col("node") == F.col("n")).select("node", F.col("r.r1").alias("_r1"), F.col("r.r2").alias("_r2"))
@@ -169,7 +206,7 @@ def keep_distinct(docs: DataFrame, small: int = 12) -> DataFrame:
     whole = docs.select(F.struct(*[docs[c] for c in names]).alias("row"), F.xxhash64(*names).alias("r1"), F.xxhash64(F.lit("row"), *names).alias("r2"))
     doc_id, text = F.col("row.doc_id"), F.col("row.text")
     seen = whole.select(doc_id.alias("doc_id"), "r1", "r2", sketch(text).alias("k"))
-    rows = materialize(seen.select("doc_id", "r1", "r2", "k.node", "k.bands"))
+    rows = materialize(seen.select("doc_id", "r1", "r2", "k.node", "k.exact", "k.words"))
     roots = similar_components(whole.select(text.alias("text"), "r1", "r2"), rows, small).withColumnRenamed("node", "_node")
     placed = rows.join(roots, F.col("node") == F.col("_node"), "left").select(
         F.coalesce("root", "node").alias("comp"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "r1", "r2").alias("row"))
