@@ -571,6 +571,25 @@ def test_similar_keeps_a_group_around_its_original(spark):
     assert sorted(r.doc_id for r in got.collect()) == want
 
 
+def test_similar_verifies_no_pairs_within_a_component(spark, monkeypatch):
+    """In a large group of near copies the pairs that are compared stay a few a text: linked texts are not compared again."""
+    rnd, base, seen = random.Random(3), [f"t{i}" for i in range(200)], []
+    data = [(0, " ".join(base))]
+    for k in range(1, 401):
+        text = list(base)
+        text[rnd.randrange(200)] = f"e{k}"
+        data.append((k, " ".join(text)))
+    verified = similar.verified
+
+    def counted(pairs, texts):
+        seen.append(pairs.count())
+        return verified(pairs, texts)
+    monkeypatch.setattr(similar, "verified", counted)
+    got = similar.keep_distinct(spark.createDataFrame(data, "doc_id long, text string"))
+    assert [r.doc_id for r in got.collect()] == [0] == brute_kept(dict(data))
+    assert sum(seen) < 15 * len(data), seen
+
+
 def test_similar_keeps_one_row_of_each_text(spark, edge, empty):
     a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
     rows = [(1, a, "en", "s", 1), (2, a + " more", "en", "s", 1), (2, b, "en", "s", 1), (None, b, "en", "s", 1), (3, "x", "en", "s", 1), (3, "x", "en", "s", 1), (None, "y", None, None, None)]

@@ -5,10 +5,12 @@ SimHash words beside an exact segment. A node has `TABLES` words of 23 SimHash b
 are the up to six codeword indices near its word, each together with the `ROWS` MinHash values of the table as the
 exact segment. Texts at 0.8 differ in 15 % of the bits, and words that do share an index with probability 0.60 (two bits
 always, three and four in 0.59), so with two MinHash values a table finds the pair with 0.385 and all with 0.9999;
-an exact segment of SimHash bits would take a hundred tables. Nodes with an equal key are candidates. A key of up to `small` nodes gives
-all its pairs, a larger one is a hub's: in its largest key of a table a node is paired with the least, the greatest, and the
-node most of whose keys are large, as the original of edited copies is. Nodes with a
-large key that are not in the component of the hub of each are searched exactly: their pairs with all nodes of
+an exact segment of SimHash bits would take a hundred tables. Nodes with an equal key are candidates. Links are
+sought in steps, and a step makes no pair within a component of the steps before, as it would link nothing more.
+First a node is paired with the hub of its key: in a key of up to `small` nodes the least node; in a larger one, the
+largest of each table, the node most of whose keys are large, as the original of edited copies is. Then small keys give all
+other pairs. The rest, nodes with a large key that are not in the component of the hub of each after the first step,
+are searched exactly (two of them without a link only so): their pairs with all nodes of
 large keys that share a shingle among the rarest of both. At 0.8 the smaller set (n
 shingles) shares one of its n/9 + 1 rarest with the n/5 + 1 rarest of the larger, and the
 places of the shared one bound how many can follow. So texts of one template are told
@@ -119,26 +121,51 @@ def hashes(text) -> Column:
 
 
 def candidates(keyed: DataFrame, small: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a < b) of nodes that meet in a key, and rows (node, hub) of the keys with more than `small` nodes."""
+    """First pairs (a < b), of a node and the hub of its key, and rows (node, key, n, big, hub) of the keys that nodes share.
+
+    big: the node has a key of more than `small` nodes. The hub of such a key is the node most of whose keys are large, of others
+    the least node.
+    """
     sizes = materialize(keyed.groupBy(F.col("key").alias("_key")).agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    shared = materialize(keyed.join(sizes, F.col("key") == F.col("_key")).select("node", "key", "n"))
-    few, many = shared.where(F.col("n") <= small), shared.where(F.col("n") > small)
-    met = few.select(F.col("node").alias("a"), "key").join(few.select(F.col("node").alias("b"), "key"), "key").where("a < b").select("a", "b")
-    weight = many.groupBy(F.col("node").alias("_n")).agg(F.count(F.lit(1)).alias("w"))
-    weighed = many.join(weight, F.col("node") == F.col("_n"))
-    hubs = weighed.groupBy(F.col("key").alias("_key")).agg(F.max(F.struct("w", "node"))["node"].alias("hub"), F.min("node").alias("lo"), F.max("node").alias("hi"))
-    starred = materialize(many.join(hubs, F.col("key") == F.col("_key")).select("node", "key", "n", "lo", "hi", "hub"))
-    # a node's keys of one table hold much the same nodes, so the largest of them gives the pairs
-    largest = starred.groupBy("node", F.col("key").bitwiseAND(31)).agg(F.max(F.struct("n", "key", "lo", "hi", "hub")).alias("k"))
-    star = largest.select("node", F.explode(F.array("k.lo", "k.hi", "k.hub")).alias("to")).where("node <> to").select(
-        F.least("node", "to").alias("a"), F.greatest("node", "to").alias("b"))
-    return met.union(star).distinct(), starred.select("node", "hub").distinct()
-
-
-def rare_pairs(sets: DataFrame, rest: DataFrame) -> DataFrame:
-    """Pairs (a < b) that Jaccard 0.8 allows by their rarest shingles, one of each at least in `rest` (rows node).
-
-    sets: rows (node, s) of all nodes to search. A pair of sizes n <= m needs 4/9 (n + m) common shingles.
+    met = materialize(keyed.join(sizes, F.col("key") == F.col("_key")).select("node", "key", "n"))
+    weight = met.where(F.col("n") > small).groupBy(F.col("node").alias("_n")).agg(F.count(F.lit(1)).alias("w"))
+    weighed = met.join(weight, F.col("node") == F.col("_n"), "left").withColumn("w", F.coalesce("w", F.lit(0)))
+    hubs = weighed.groupBy(F.col("key").alias("_key")).agg(
+        F.when(F.max("n") > small, F.max(F.struct("w", "node"))["node"]).otherwise(F.min("node")).alias("hub"))
+    shared = materialize(weighed.join(hubs, F.col("key") == F.col("_key")).select("node", "key", "n", (F.col("w") > 0).alias("big"), "hub"))
+    few = shared.where(F.col("n") <= small).select("node", "hub")
+    # a node's keys of one table hold much the same nodes, so the largest of them gives the pair
+    star = shared.where(F.col("n") > small).groupBy("node", F.col("key").bitwiseAND(31)).agg(F.max(F.struct("n", "key", "hub"))["hub"].alias("hub")).select("node", "hub")
+    pairs = few.union(star).where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
+    return pairs.distinct(), shared
+
+
+def rooted(rows: DataFrame, roots: DataFrame, *names: str) -> DataFrame:
+    """Rows with columns r_<name> (the root of the named node, or itself) and l_<name> (it has a link)."""
+    for c in names:
+        rows = rows.join(roots.select(F.col("node").alias("_node"), F.col("root").alias("_root")), F.col(c) == F.col("_node"), "left").withColumns(
+            {f"r_{c}": F.coalesce("_root", c), f"l_{c}": F.col("_root").isNotNull()}).drop("_node", "_root")
+    return rows
+
+
+def other_pairs(shared: DataFrame, roots: DataFrame, rest: DataFrame, small: int) -> DataFrame:
+    """Pairs (a < b) of small keys that the first ones have left in two components. Where neither node has a link
+    yet and one is in the rest, `rare_pairs` searches for all of theirs."""
+    few = rooted(shared.where((F.col("n") <= small) & (F.col("n") > 2)).select("node", "key", "big", "hub"), roots, "node")
+    split = few.groupBy(F.col("key").alias("_key")).agg(F.min("r_node").alias("lo"), F.max("r_node").alias("hi")).where("lo < hi").select("_key")
+    few = few.join(split, F.col("key") == F.col("_key")).drop("_key").join(rest.select(F.col("node").alias("_rest")), F.col("node") == F.col("_rest"), "left")
+    few = materialize(few.select("node", "key", "big", "hub", "r_node", "l_node", F.col("_rest").isNotNull().alias("rest")))
+    x, y = (few.select(*[F.col(c).alias(f"{c}_{i}") for c in few.columns]) for i in "xy")
+    sought = F.col("big_x") & F.col("big_y") & (F.col("rest_x") | F.col("rest_y")) & ~F.col("l_node_x") & ~F.col("l_node_y")
+    new = (F.col("node_x") != F.col("hub_x")) & ~sought
+    met = x.join(y, (F.col("key_x") == F.col("key_y")) & (F.col("node_x") < F.col("node_y")) & (F.col("r_node_x") != F.col("r_node_y")) & new)
+    return met.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
+
+
+def rare_keys(sets: DataFrame, rest: DataFrame) -> DataFrame:
+    """Rows (node, n, rest, g, at): the n/5 + 1 rarest shingles of a node that others have, and their places.
+
+    sets: rows (node, s) of all nodes to search; rest: rows node of those whose pairs are sought.
     """
     slot = F.pmod("g", F.lit(SLOTS)).cast("int")
     counted = sets.select(F.explode("s").alias("g")).groupBy(slot.alias("slot")).agg(F.count(F.lit(1)).alias("c")).where("c > 1").toArrow()  # at most SLOTS rows
@@ -157,12 +184,21 @@ def rare_pairs(sets: DataFrame, rest: DataFrame) -> DataFrame:
 
     marked = sets.join(rest.select(F.col("node").alias("_rest")), F.col("node") == F.col("_rest"), "left").select(
         "node", F.size("s").alias("n"), F.col("_rest").isNotNull().alias("rest"), pandas_udf(prefix, "array<struct<g: bigint, at: int>>")("s").alias("p"))
-    keys = materialize(marked.select("node", "n", "rest", F.explode("p").alias("p")).select("node", "n", "rest", "p.g", "p.at"))
+    return marked.select("node", "n", "rest", F.explode("p").alias("p")).select("node", "n", "rest", "p.g", "p.at")
+
+
+def rare_pairs(keys: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs (a < b) of two components that Jaccard 0.8 allows by their rarest shingles, one of each at least in the rest.
+
+    keys: rows of `rare_keys`. A pair of sizes n <= m needs 4/9 (n + m) common shingles.
+    """
+    keys = materialize(rooted(keys, roots, "node"))
     x = keys.where("9 * at <= n").select(*[F.col(c).alias(f"{c}_x") for c in keys.columns])
     y = keys.select(*[F.col(c).alias(f"{c}_y") for c in keys.columns])
-    fits = (F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("node_x") != F.col("node_y")))
+    once = (F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("node_x") != F.col("node_y")))
+    fits = once & (5 * F.col("n_x") >= 4 * F.col("n_y")) & (F.col("r_node_x") != F.col("r_node_y"))
     enough = 9 * F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y")) >= 4 * (F.col("n_x") + F.col("n_y"))
-    met = x.join(y, (F.col("g_x") == F.col("g_y")) & fits & enough & (5 * F.col("n_x") >= 4 * F.col("n_y")) & (F.col("rest_x") | F.col("rest_y")))
+    met = x.join(y, (F.col("g_x") == F.col("g_y")) & fits & enough & (F.col("rest_x") | F.col("rest_y")))
     return met.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
 
 
@@ -178,26 +214,25 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def similar_components(docs: DataFrame, rows: DataFrame, small: int = 12) -> DataFrame:
     """Rows (node, root) of linked nodes. docs: text, r1 and r2 (hashes of the row); rows: node, exact, words, r1 and r2."""
     nodes = materialize(rows.groupBy("node").agg(F.min(F.struct("r1", "r2")).alias("r"), F.first(F.struct("exact", "words")).alias("k")).select("node", "r", "k.*"))
-    pairs, starred = candidates(golay_keys(nodes.select("node", "exact", "words")), small)
-    pairs = materialize(pairs)
-    met = pairs.select(F.explode(F.array("a", "b")).alias("n")).distinct()
+    pairs, shared = candidates(golay_keys(nodes.select("node", "exact", "words")), small)
+    met = shared.select(F.col("node").alias("n")).distinct()
     rep = nodes.join(met, F.col("node") == F.col("n")).select("node", F.col("r.r1").alias("_r1"), F.col("r.r2").alias("_r2"))
     texts = docs.join(rep, (F.col("r1") == F.col("_r1")) & (F.col("r2") == F.col("_r2"))).select("node", hashes(F.col("text")).alias("s"))
     # equal rows of docs have the same r1 and r2
     sets = materialize(texts.groupBy("node").agg(F.first("s").alias("s")))
     found = materialize(verified(pairs, sets))
     roots = components(found)
-    if starred.isEmpty():
-        return roots
-    root = lambda c: roots.select(F.col("node").alias(f"_{c}"), F.col("root").alias(f"r_{c}"))
-    apart = starred.join(root("node"), F.col("node") == F.col("_node"), "left").join(root("hub"), F.col("hub") == F.col("_hub"), "left").where(
-        F.coalesce("r_node", "node") != F.coalesce("r_hub", "hub"))
-    rest = materialize(apart.select("node").distinct())
+    large = shared.where(F.col("n") > small)
+    rest = materialize(rooted(large.select("node", "hub").distinct(), roots, "node", "hub").where("r_node <> r_hub").select("node").distinct())
+    more = materialize(verified(other_pairs(shared, roots, rest, small), sets))
+    if not more.isEmpty():
+        found = found.union(more)
+        roots = components(found)
     if rest.isEmpty():
         return roots
-    large = starred.select(F.col("node").alias("_n")).distinct()
-    more = materialize(rare_pairs(sets.join(large, F.col("node") == F.col("_n")).select("node", "s"), rest))
-    return components(found.union(verified(more, sets)))
+    search = sets.join(large.select(F.col("node").alias("_n")).distinct(), F.col("node") == F.col("_n")).select("node", "s")
+    more = materialize(verified(materialize(rare_pairs(rare_keys(search, rest), roots)), sets))
+    return roots if more.isEmpty() else components(found.union(more))
 
 
 def keep_distinct(docs: DataFrame, small: int = 12) -> DataFrame:
